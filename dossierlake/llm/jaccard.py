@@ -2,14 +2,15 @@
 
 1. Texts with equal shingle sets form one class; a class has one row from there on.
 2. Shingles get one global order, rarest first, from counts over all documents (a fixed-size table of
-   hashed counts). Two sets that reach the threshold share a shingle among the first
-   ``n - ceil(t * n) + 1`` of both; those are posted, and only shared postings go on.
+   hashed counts). Two sets that reach the threshold ``t`` share ``l`` shingles among the first
+   ``n - ceil(t * n) + l`` of both, for any ``l`` up to their overlap. Those are posted; classes with too
+   few shared postings leave, and what they leave unshared leaves with them.
 3. Classes are compared with one or two pivots of their postings, and those links are merged, so that
    large families of near copies cost a comparison or two each instead of all pairs.
 4. What the pivots left apart is settled by the matrix: classes are partitioned into groups of similar
    ones (at most ``GROUP`` rows), the union of a group's shingles is stored, a class queries the groups
-   it shares a posting with, its overlap with the union bounds its overlap with every member, and only
-   groups whose bound reaches the threshold are opened and compared exactly.
+   with whose union it shares enough postings, its overlap with the whole union bounds its overlap with
+   every member, and only groups whose bound reaches the threshold are opened and compared exactly.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ QUERIES = 256  # query rows that meet one group in one task
 FAN_IN = 64  # partial count tables summed at a time
 SKETCH_BITS = 22  # hashed shingle counts: 16 MB, whatever the corpus
 SLICES = 16
+BROADCAST_ROWS = 1_000_000  # rows of ids that may be sent to every executor (under 40 MB)
+STEP = 16  # one more shared posting is asked for per so many shingles of overlap
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -113,39 +116,46 @@ def shingle_counts(texts: DataFrame, width: int) -> np.ndarray:
     return total.reshape(-1)
 
 
+def _need(n: int, num: int, den: int) -> int:
+    """Shared postings of a set of ``n`` that count on: grows with ``n``, never beyond the least overlap."""
+    return 1 + (-(-num * n // den) - 1) // STEP
+
+
 def _signatures(width: int, num: int, den: int, counts):
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("need", pa.int64()), ("cls", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches):
         order = counts.value
         for b in _small_batches(batches):
             sets = shingle_sets(b.column(2).to_pylist(), width)
-            cls, prefix = [], []
+            cls, prefix, need = [], [], []
             for s in sets:
                 n = len(s)
                 if not n:
                     cls.append(None)
                     prefix.append(None)
+                    need.append(0)
                     continue
-                keep = n - -(-num * n // den) + 1
+                keep = n - -(-num * n // den) + _need(n, num, den)
+                need.append(_need(-(-num * n // den), num, den))  # the least that a partner can ask
                 rank = np.lexsort((s, order[s & np.uint64((1 << SKETCH_BITS) - 1)]))[:keep]
                 cls.append(xxhash.xxh3_128_digest(s.tobytes()))
                 prefix.append(s[rank].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], schema=schema
+                [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(need, pa.int64()), pa.array(cls, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], schema=schema
             )
 
     return run
 
 
 def _token_sets(width: int):
-    schema = pa.schema([("cls", pa.binary()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches):
         for b in _small_batches(batches):
             sets = shingle_sets(b.column(1).to_pylist(), width)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).cast(pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], schema=schema
+                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], schema=schema
             )
 
     return run
@@ -164,28 +174,28 @@ def _open_groups(num: int, den: int):
     def run(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple] = []
         asked: dict = {}
-        for row in zip(queries["qg"], queries["qcls"], queries["qlabel"], queries["qtokens"]):
+        for row in zip(queries["qg"], queries["qnode"], queries["qlabel"], queries["qtokens"]):
             asked.setdefault(row[0], []).append(row[1:])
         held: dict = {}
-        for row in zip(members["g"], members["cls"], members["label"], members["tokens"]):
+        for row in zip(members["g"], members["node"], members["label"], members["tokens"]):
             held.setdefault(row[0], []).append(row[1:])
         for g, asks in asked.items():
-            rows = [(cls, label, np.sort(np.asarray(t))) for cls, label, t in held.get(g, [])]
+            rows = [(node, label, np.sort(np.asarray(t))) for node, label, t in held.get(g, [])]
             if not rows:
                 continue
             union = _distinct(np.concatenate([t for _, _, t in rows]))
             least = min(len(t) for _, _, t in rows)
-            for cls, label, tokens in asks:
+            for node, label, tokens in asks:
                 q = np.sort(np.asarray(tokens))
                 if len(rows) > 1 and _shared(q, union) * den < num * max(len(q), least):
                     continue  # no member can share enough
                 for other, own, s in rows:
                     n = len(s)
-                    if own == label or other == cls or min(n, len(q)) * den < num * max(n, len(q)):
+                    if own == label or other == node or min(n, len(q)) * den < num * max(n, len(q)):
                         continue
                     both = _shared(q, s)
                     if both * den >= num * (n + len(q) - both):
-                        found.append((cls, other))
+                        found.append((node, other))
         return pd.DataFrame(found, columns=["a", "b"])
 
     return run
@@ -206,30 +216,50 @@ def link_components(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
     counts = spark.sparkContext.broadcast(shingle_counts(rows.select("text"), width))
     signed = materialize(
-        rows.mapInArrow(_signatures(width, num, den, counts), "doc_id long, text_key long, n_shingles long, cls binary, prefix array<long>"), "signatures"
+        rows.mapInArrow(_signatures(width, num, den, counts), "doc_id long, text_key long, n_shingles long, need long, cls binary, prefix array<long>"), "signatures"
     )
-    classes = signed.filter("cls is not null").groupBy("cls").agg(F.first("prefix").alias("prefix"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
-    posted = classes.select("cls", F.explode("prefix").alias("token"))
-    shared = posted.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    postings = materialize(posted.join(shared, "token"), "postings")
-    labels = _settle(rows, signed, postings, width, num, den)
-    named = signed.select("doc_id", "n_shingles", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
-    named = named.withColumn("label", F.coalesce("label", "cls"))
-    ids = named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return named.join(ids, "label", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    counts.unpersist()
+    classes = signed.filter("cls is not null")
+    ids = _numbered(classes)
+    unique = classes.groupBy("cls").agg(F.first("prefix").alias("prefix"), F.first("need").alias("need")).select(ids.alias("node"), "need", "prefix")
+    posted = unique.select("node", F.explode("prefix").alias("token"))
+    shared = posted.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token")
+    first = materialize(posted.join(shared, "token"), "postings")
+    postings = _enough(first, unique.select("node", "need"))
+    labels = _settle(rows, signed.withColumn("node", F.when(F.col("cls").isNotNull(), ids)), postings, width, num, den)
+    named = signed.select("doc_id", "n_shingles", F.when(F.col("cls").isNotNull(), ids).alias("node")).join(labels, "node", "left")
+    named = named.withColumn("label", F.coalesce("label", "node"))
+    least = named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    return named.join(least, "label", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _numbered(classes: DataFrame):
+    """A 64-bit number of a class, no two alike: the hash of its 128-bit key under a seed that keeps them apart."""
+    distinct = classes.select("cls").distinct()
+    for seed in range(100):
+        number = F.xxhash64("cls", F.lit(seed))
+        if not distinct.groupBy(number.alias("node")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").limit(1).count():
+            return number
+    raise RuntimeError("no seed keeps the classes apart")
+
+
+def _enough(postings: DataFrame, needs: DataFrame, rounds: int = 2) -> DataFrame:
+    """Postings of nodes that share as many as any partner needs; repeated, as leaving unshares others'."""
+    for _ in range(rounds):
+        kept = postings.groupBy("node").agg(F.count(F.lit(1)).alias("n")).join(needs, "node").filter("n >= need").select("node", "need")
+        left = postings.select("node", "token").join(kept, "node")
+        shared = left.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("low"), F.max("node").alias("high")).filter("c > 1").drop("c")
+        postings = materialize(left.join(shared, "token"), "postings")
+    return postings
 
 
 def _settle(rows: DataFrame, signed: DataFrame, postings: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """(node, label) of the classes that link with another class."""
-    involved = postings.select("cls").distinct()
-    # one text of each involved class makes its token set; equal rows are told apart by nothing, so keep one
-    keyed = signed.filter("cls is not null").groupBy("cls").agg(F.min(F.struct("text_key", "doc_id")).alias("k")).join(involved, "cls", "left_semi")
-    keyed = keyed.select("cls", F.col("k.text_key").alias("text_key"), F.col("k.doc_id").alias("id"))
-    texts = rows.join(keyed, "text_key").filter(F.col("doc_id").eqNullSafe(F.col("id"))).select("cls", "text")
-    sets = materialize(texts.mapInArrow(_token_sets(width), "cls binary, n long, tokens array<long>").dropDuplicates(["cls"]), "token-sets")
-    left, right = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta"), F.col("n").alias("na")), sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb"), F.col("n").alias("nb"))
-    stars = postings.groupBy("cls").agg(F.min("low").alias("p"), F.max("high").alias("q"))
-    pairs = stars.select(F.col("cls").alias("a"), F.explode(F.array("p", "q")).alias("b")).filter("a != b").distinct()
+    sets = _sets_of(rows, signed, postings.select("node").distinct(), width)
+    left, right = sets.toDF("a", "na", "ta"), sets.toDF("b", "nb", "tb")
+    stars = postings.groupBy("node").agg(F.min("low").alias("p"), F.max("high").alias("q"))
+    pairs = stars.select(F.col("node").alias("a"), F.explode(F.array("p", "q")).alias("b")).filter("a != b")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     both = F.size(F.array_intersect("ta", "tb")).cast("long")
     linked = (
         pairs.join(left, "a").join(right, "b")
@@ -240,33 +270,50 @@ def _settle(rows: DataFrame, signed: DataFrame, postings: DataFrame, width: int,
     )
     linked = materialize(linked, "star-links")
     merged = components(linked)
-    node = sets.select("cls").join(merged.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("label", "cls").alias("label"))
-    labelled = materialize(postings.select("token", "cls").join(node, "cls"), "labelled-postings")
+    labelled = postings.select("token", "node", "need").join(merged, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = materialize(labelled, "labelled-postings")
     open_tokens = labelled.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("token")
     apart = labelled.join(open_tokens, "token")
     # groups: a merged family, or what is single with the same first posting; cut to GROUP rows
-    family = apart.groupBy("cls", "label").agg(F.min("token").alias("t")).join(sets.select("cls", "n"), "cls")
-    family = family.withColumn("key", F.when(F.col("cls") == F.col("label"), F.xxhash64("t")).otherwise(F.xxhash64("label")))
+    family = apart.groupBy("node", "label", "need").agg(F.min("token").alias("t")).join(sets.select("node", "n"), "node")
+    family = family.withColumn("key", F.when(F.col("node") == F.col("label"), F.xxhash64("t")).otherwise(F.xxhash64("label")))
     cut = family.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("cuts"))
     groups = materialize(
-        family.join(cut, "key").select("cls", "label", "n", F.xxhash64("key", F.pmod(F.xxhash64("cls"), F.col("cuts"))).alias("grp")), "groups"
+        family.join(cut, "key").select("node", "label", "n", "need", F.xxhash64("key", F.pmod(F.xxhash64("node"), F.col("cuts"))).alias("grp")), "groups"
     )
     spread = groups.groupBy(F.col("grp").alias("g")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    placed = apart.select("token", "cls").join(groups.select("cls", "grp", "n"), "cls")
+    placed = apart.select("token", "node").join(groups.select("node", "grp", "n", "need"), "node")
     reached = placed.select("token", F.col("grp").alias("g")).distinct().join(spread, "g")
     queries = placed.join(reached, "token").filter("g >= grp").filter((F.col("n") * den >= F.col("lo") * num) & (F.col("hi") * den >= F.col("n") * num))
-    queries = materialize(queries.select("g", "cls").distinct(), "queries")
+    # a posting counts once per group, so this count is a bound for every member
+    queries = queries.groupBy("g", "node").agg(F.count(F.lit(1)).alias("hits"), F.first("need").alias("need")).filter("hits >= need")
+    queries = materialize(queries.select("g", "node"), "queries")
     loads = queries.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("shares"))
     tasks = max(1, -(-queries.count() // (8 * QUERIES)))
-    with_sets = groups.join(sets.select("cls", "tokens"), "cls")
+    with_sets = groups.join(sets.select("node", "tokens"), "node")
+    task = F.pmod(F.xxhash64("g", "share"), F.lit(tasks))
     asks = (
         queries.join(loads, "g")
-        .withColumn("share", F.pmod(F.xxhash64("cls"), F.col("shares")))
-        .join(with_sets.select("cls", "label", "tokens"), "cls")
-        .select(F.pmod(F.xxhash64("g", "share"), F.lit(tasks)).alias("qt"), F.col("g").alias("qg"), F.col("cls").alias("qcls"), F.col("label").alias("qlabel"), F.col("tokens").alias("qtokens"))
+        .withColumn("share", F.pmod(F.xxhash64("node"), F.col("shares")))
+        .join(with_sets.select("node", "label", "tokens"), "node")
+        .select(task.alias("qt"), F.col("g").alias("qg"), F.col("node").alias("qnode"), F.col("label").alias("qlabel"), F.col("tokens").alias("qtokens"))
     )
     opened = with_sets.join(loads, with_sets["grp"] == loads["g"])
-    opened = opened.select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), "cls", "label", "tokens")
-    opened = opened.select(F.pmod(F.xxhash64("g", "share"), F.lit(tasks)).alias("t"), "g", "cls", "label", "tokens")
-    more = asks.groupBy("qt").cogroup(opened.groupBy("t")).applyInPandas(_open_groups(num, den), "a binary, b binary")
+    opened = opened.select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), "node", "label", "tokens")
+    opened = opened.select(task.alias("t"), "g", "node", "label", "tokens")
+    more = asks.groupBy("qt").cogroup(opened.groupBy("t")).applyInPandas(_open_groups(num, den), "a long, b long")
     return components(materialize(linked.unionByName(more), "links"))
+
+
+def _sets_of(rows: DataFrame, signed: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, n, tokens) of ``nodes``, from one text of each."""
+    nodes = materialize(nodes, "involved")
+    keyed = signed.filter("node is not null").groupBy("node").agg(F.min(F.struct("text_key", "doc_id")).alias("k")).join(nodes, "node", "left_semi")
+    keyed = keyed.select("node", F.col("k.text_key").alias("text_key"), F.col("k.doc_id").alias("id"))
+    if nodes.count() <= BROADCAST_ROWS:
+        keyed = F.broadcast(keyed)
+    texts = rows.join(keyed, "text_key").filter(F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
+    sets = materialize(texts.mapInArrow(_token_sets(width), "node long, n long, tokens array<long>"), "token-sets")
+    # rows that repeat a doc_id with its text give their set twice
+    repeated = sets.groupBy("node").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").limit(1).count()
+    return sets.dropDuplicates(["node"]) if repeated else sets
