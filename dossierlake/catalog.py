@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dossierlake.plans import base, documents, events, relational, resolution  # noqa: F401  registers the queries
+
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(base.SQL)
