@@ -115,16 +115,27 @@ def candidates(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> tuple[DataF
     return whole.groupBy("text_key").agg(F.collect_set("kind").alias("kinds")), scans
 
 
-def _spans(text: Column, rule: Rule, order: int) -> Column:
-    """array<struct<start,order,kind,end>> of the rule's matches, left to right, that are long enough."""
-    pattern = F.lit(rule.pattern)
-    between = F.transform(F.split(text, rule.pattern, -1), F.length)
-    found = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length)
-    size = found if rule.group == 0 else F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length)
-    steps = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda a, b: a + b)
-    ends = F.transform(steps, lambda _, i: F.aggregate(F.slice(steps, F.lit(1), i + 1), F.lit(0), lambda s, x: s + x))
+_NONE = "array<struct<start:int,order:int,kind:string,end:int,size:int>>"
+
+
+def _lengths(text: Column, rule: Rule) -> Column:
+    """Lengths of the text between the rule's matches, of the matches, and of the group that must be long enough."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), F.length)
+    size = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), F.length) if rule.group else found
+    return F.struct(F.transform(F.split(text, rule.pattern, -1), F.length).alias("between"), found.alias("found"), size.alias("size"))
+
+
+def _ends(m: Column) -> Column:
+    """The lengths and every match's end, from running sums."""
+    steps = F.zip_with(F.slice(m["between"], F.lit(1), F.size(m["found"])), m["found"], lambda a, b: a + b)
+    return F.struct(m["found"].alias("found"), m["size"].alias("size"), steps.alias("steps"))
+
+
+def _spans(m: Column, rule: Rule, order: int) -> Column:
+    """array<struct<start,order,kind,end,size>> of the matches, left to right, that are long enough."""
+    ends = F.transform(m["steps"], lambda _, i: F.aggregate(F.slice(m["steps"], F.lit(1), i + 1), F.lit(0), lambda s, x: s + x))
     rows = F.transform(
-        F.arrays_zip(ends.alias("ends"), found.alias("found"), size.alias("size")),
+        F.arrays_zip(ends.alias("ends"), m["found"].alias("found"), m["size"].alias("size")),
         lambda x: F.struct((x["ends"] - x["found"]).alias("start"), F.lit(order).alias("order"), F.lit(rule.kind).alias("kind"), x["ends"].alias("end"), x["size"].alias("size")),
     )
     return F.filter(rows, lambda x: x["size"] >= rule.least)
@@ -142,13 +153,15 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
     kinds, scans = candidates(rows.select("text_key", "text"), rules)
     joined = rows.join(kinds, "text_key", "left")
-    none = F.array().cast("array<struct<start:int,order:int,kind:string,end:int,size:int>>")
-    each = []
-    for order, rule in enumerate(rules):
-        spans = _spans(F.col("text"), rule, order)
-        may = F.expr(f"array_contains(kinds, '{rule.kind}')") if rule.kind not in scans else F.col("text").rlike(rule.pattern if rule.group else f"(?:{rule.pattern[:-1]}{{{rule.least},}})" if rule.pattern.endswith("]+") else rule.pattern)
-        each.append(F.when(may, spans).otherwise(none))
-    return joined.select("doc_id", "text", F.array_sort(F.concat(*each)).alias("spans"))
+    # one step a column: a step is then evaluated once, however often the next refers to it
+    may = {}
+    for rule in rules:
+        least = f"{rule.pattern[:-1]}{{{rule.least},}}" if rule.pattern.endswith("]+") and not rule.group else rule.pattern
+        may[rule.kind] = F.col("text").rlike(least) if rule.kind in scans else F.array_contains("kinds", rule.kind)
+    steps = joined.select("doc_id", "text", *[F.when(may[r.kind], _lengths(F.col("text"), r)).alias(f"m_{r.kind}") for r in rules])
+    steps = steps.select("doc_id", "text", *[F.when(F.size(F.col(f"m_{r.kind}")["found"]) > 0, _ends(F.col(f"m_{r.kind}"))).alias(f"e_{r.kind}") for r in rules])
+    each = [F.when(F.col(f"e_{r.kind}").isNotNull(), _spans(F.col(f"e_{r.kind}"), r, k)).otherwise(F.array().cast(_NONE)) for k, r in enumerate(rules)]
+    return steps.select("doc_id", "text", F.array_sort(F.concat(*each)).alias("spans"))
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
