@@ -169,10 +169,20 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _open_groups(num: int, den: int):
-    """Links between query rows and the members of the groups they reach; a call has some hundred groups."""
+    """Links between query rows and the members of the groups they reach; a call has some hundred groups.
+
+    Rows whose labels earlier links of the call have joined are not compared: they are in one component.
+    """
 
     def run(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple] = []
+        root: dict = {}
+
+        def top(x):
+            while root.get(x, x) != x:
+                root[x] = x = root.get(root[x], root[x])
+            return x
+
         asked: dict = {}
         for row in zip(queries["qg"], queries["qnode"], queries["qlabel"], queries["qtokens"]):
             asked.setdefault(row[0], []).append(row[1:])
@@ -191,11 +201,12 @@ def _open_groups(num: int, den: int):
                     continue  # no member can share enough
                 for other, own, s in rows:
                     n = len(s)
-                    if own == label or other == node or min(n, len(q)) * den < num * max(n, len(q)):
+                    if top(own) == top(label) or min(n, len(q)) * den < num * max(n, len(q)):
                         continue
                     both = _shared(q, s)
                     if both * den >= num * (n + len(q) - both):
                         found.append((node, other))
+                        root[top(own)] = top(label)
         return pd.DataFrame(found, columns=["a", "b"])
 
     return run
