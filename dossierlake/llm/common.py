@@ -60,8 +60,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def bounded_sample(rows: DataFrame, by: str, size: int) -> DataFrame:
-    """About ``size`` rows of each value of ``by``, by a hash of text and doc_id: alike in every run.
+def bounded_sample(rows: DataFrame, by: str, size: int, key: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """About ``size`` rows of each value of ``by``, by a hash of ``key``: alike in every run.
 
     A hot text takes no more than its share, as its copies hash apart.
     """
@@ -69,5 +69,18 @@ def bounded_sample(rows: DataFrame, by: str, size: int) -> DataFrame:
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, size / n))]) if counts else None
     if share is None:
         return rows.limit(0)
-    spread = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) / 1_000_003
+    spread = F.pmod(F.xxhash64(*key), F.lit(1_000_003)) / 1_000_003
     return rows.filter(spread < share[F.col(by)])
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, by: str, size: int) -> DataFrame:
+    """(doc_id, text, ``by``) of about ``size`` labelled documents of each class, 0 and 1, as a shared table.
+
+    The labels are sampled before they meet the texts, so they can be sent to every task (``size`` rows a
+    class) and no text but those chosen is moved. A doc_id that repeats gives one text, the least; null and
+    empty texts and null doc_ids give none.
+    """
+    known = labels.filter(F.col(by).isin(0, 1)).select("doc_id", by).distinct()
+    chosen = F.broadcast(bounded_sample(known, by, size, ("doc_id",)))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.length("text") > 0)
+    return materialize(texts.join(chosen, "doc_id").groupBy("doc_id", by).agg(F.min("text").alias("text")), "labelled")

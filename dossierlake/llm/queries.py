@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossierlake.llm import bpe, jaccard, langid, licenses, media, packing, quality, secrets, topk, toxicity
-from dossierlake.llm.common import table
+from dossierlake.llm.common import labelled_sample, table
 
 
 def vocabulary() -> str:
@@ -60,17 +60,14 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
-def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), "doc_id")
-
-
 def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
-    return quality.learn(labelled(spark, sf_dir).filter(remainder(5) != 0))
+    labels = table(spark, sf_dir, "labels").filter(remainder(5) != 0)
+    return quality.learn(labelled_sample(table(spark, sf_dir, "documents"), labels, "quality", quality.SAMPLE))
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
-    return toxicity.learn(labelled(spark, sf_dir).filter(remainder(3) != 1))
+    labels = table(spark, sf_dir, "labels").filter(remainder(3) != 1)
+    return toxicity.learn(labelled_sample(table(spark, sf_dir, "documents"), labels, "toxic", toxicity.SAMPLE))
 
 
 def op7_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
