@@ -177,3 +177,14 @@ def test_languages(spark):
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs(spark, ["the dog and the cat", "die katze und der hund", None, "z", "123 !!", ""]), f).collect()}
     assert got[0][0] == "en" and got[1][0] == "de" and got[2] == ("und", 0.0) and got[4][0] == "und" and got[5][0] == "und"
     assert langid.identify(empty(spark), f).count() == 0
+
+
+def test_labelled_sample(spark):
+    from dossierlake.llm.common import labelled_sample
+
+    texts = spark.createDataFrame([(1, "b", "x"), (1, "a", "x"), (2, None, "x"), (3, "", "x"), (None, "n", "x"), (4, "d", "x"), (4, "d", "x"), (5, "e", "x")], "doc_id long, text string, quality string").select("doc_id", "text", "quality")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 1), (3, 0), (None, 1), (4, 0), (5, None), (9, 1)], "doc_id long, quality int")
+    got = labelled_sample(texts, labels, "quality", 100)
+    assert sorted((r["doc_id"], r["text"], r["quality"]) for r in got.collect()) == [(1, "a", 1), (4, "d", 0)]
+    assert labelled_sample(texts.limit(0), labels, "quality", 100).count() == 0
+    assert labelled_sample(texts, labels.limit(0), "quality", 100).count() == 0
