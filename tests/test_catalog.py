@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 duckdb = pytest.importorskip("duckdb")
@@ -24,7 +25,7 @@ def db():
 
 def normal(frame):
     frame = frame[sorted(frame.columns)]
-    cell = lambda x: None if x is None or x != x else round(float(x), 5) if isinstance(x, float) else str(x)
+    cell = lambda x: None if x is None or x is pd.NA or x != x else round(float(x), 5) if isinstance(x, float) else str(x)
     return sorted(([cell(x) for x in row] for row in frame.astype(object).values.tolist()), key=str)
 
 
