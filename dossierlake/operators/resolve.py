@@ -77,7 +77,7 @@ def bm25(queries: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def fuzzy_pairs(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(q_id, d_id, fuzzy) of pairs whose names share a token: the better of plain and token-sorted ratio."""
+    """(q_id, d_id, fuzzy) of pairs whose names share a token: the weighted ratio of their folded names."""
     q = queries.select("q_id", T.normalize_text(F.col("name")).alias("qk"))
     d = docs.select("d_id", T.normalize_text(F.col("name")).alias("dk"))
     qt, dt = q.select("qk", F.explode(F.array_distinct(F.split("qk", " "))).alias("t")).distinct(), d.select("dk", F.explode(F.array_distinct(F.split("dk", " "))).alias("t")).distinct()
