@@ -32,27 +32,56 @@ SIGNS = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "aeiou",
 }
-#: kinds of characters below 128: 1 letter, 2 what sets letters apart, 4 sign; all above count as letters
-_KINDS = np.array([1 if chr(c).isalpha() else (2 if chr(c) in " .-_*" else 0) | (4 if chr(c) in SIGNS else 0) for c in range(128)], np.uint8)
-#: a sign before a letter within a word; one letter at a time, four or more; a letter three times or more
-_SWAPPED = regex.compile(r"(?<!\S)[^\s]*?(?:(?<=[^\W\d_])[0-9@$!|+(*]{1,3}|(?<!\S)[0-9@$!|+(]{1,3})(?=[^\W\d_])\S*")
+ENDS = "0123456789@$+"  # signs that may stand for a word's last letters; the others end words as punctuation
+RARE = {"@": 3.0, "$": 3.0}  # costs of signs that seldom stand for themselves after a letter
+TERM_SHARE = 0.05  # chance that a disguised word is one of the terms
+#: kinds of characters below 128: 1 letter, 2 what sets letters apart, 4 sign, 8 sign at a word's end; all above count as letters
+_KINDS = np.array([1 if chr(c).isalpha() else (2 if chr(c) in " .-_*" else 0) | (4 if chr(c) in SIGNS else 0) | (8 if chr(c) in ENDS else 0) for c in range(128)], np.uint8)
+#: a sign before a letter within a word or after a letter at its end; one letter at a time, four or more; a letter three times or more
+_SWAPPED = regex.compile(r"(?<!\S)[^\s]*?(?:(?:(?<=[^\W\d_])[0-9@$!|+(*]++|(?<!\S)[0-9@$!|+(]++)(?=[^\W\d_])|(?<=[^\W\d_])[0-9@$+]++(?![^\W_]))\S*")
 _APART = regex.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*][\p{L}0-9@$!]){3,}(?![^\W_])")
 _LONG = regex.compile(r"[^\W\d_]*([^\W\d_])\1\1+[^\W\d_]*")
 _WORD = regex.compile(r"[^\W\d_]+")
 LM_EVERY = 4  # one sampled row in so many feeds the language model
 AROUND = 3  # tokens on both sides that tell a term's places apart
-SPAN = 48  # characters of the longest stretch that is read as one disguised word
 
 
 def _suspect(low: str) -> tuple[bool, bool, bool]:
-    """Whether a text may have letters set apart, signs before letters, letters three times in a row."""
+    """Whether a text may have letters set apart, signs for letters, letters three times in a row."""
     codes = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
     kinds = _KINDS[np.minimum(codes, 127)]
     kinds[codes > 127] = 1
     letter, gap, sign = (kinds & 1).view(bool), (kinds & 2) != 0, (kinds & 4) != 0
     step = (letter | sign)[:-1] & gap[1:]
     apart = len(step) > 6 and bool((step[:-5] & step[2:-3] & step[4:-1] & (letter | sign)[6:]).any())
-    return apart, bool((sign[:-1] & letter[1:]).any()), bool((letter[2:] & (codes[2:] == codes[1:-1]) & (codes[2:] == codes[:-2])).any())
+    swapped = bool((sign[:-1] & letter[1:]).any()) or bool((letter[:-1] & ((kinds & 8) != 0)[1:]).any())
+    return apart, swapped, bool((letter[2:] & (codes[2:] == codes[1:-1]) & (codes[2:] == codes[:-2])).any())
+
+
+def _lattice(span: str, apart: bool) -> list[tuple[str, int, str]]:
+    """Letter choices of each place, how often they stood there, and what stands there if it ends a word.
+
+    A separator has no choices. A sign after a letter at a word's end is a letter or ends the word. ``apart``
+    says that every other character is a separator.
+    """
+    lattice: list[tuple[str, int, str]] = []
+    ends, kept = set(), True  # signs that may end a word
+    for i in range(len(span) - 1, -1, -1):
+        if span[i] not in SIGNS:
+            kept = not span[i].isalpha()
+        elif kept:
+            ends.add(i)
+    after = False  # a letter, or signs that follow one
+    for i, ch in enumerate(span):
+        sign = SIGNS.get(ch, "")
+        choices = "" if apart and i % 2 or ch == "*" and not lattice else ch if ch.isalpha() else sign
+        end = ch if not choices or after and i in ends else ""
+        after = ch.isalpha() or after and bool(sign)
+        if lattice and choices and lattice[-1][0] == choices:
+            lattice[-1] = (choices, lattice[-1][1] + 1, lattice[-1][2] and lattice[-1][2] + end)
+        elif choices or lattice:
+            lattice.append((choices, 1, end))
+    return lattice
 
 
 class Model:
@@ -74,7 +103,19 @@ class Model:
                 self._three[w[i : i + 3]] += extra
         for g, n in self._three.items():
             self._two[g[:2]] += n
-        self._seen: dict[str, str] = {}
+        self._seen: dict[tuple[str, bool], str] = {}
+        self._tree: list[dict[str, int]] = [{}]  # letters that lead on within the terms
+        self._ends: list[set[str]] = [set()]  # "=" where a word ends there, "^" where it may go on
+        for t in self.terms:
+            node = 0
+            for c in t[1:]:
+                if c not in self._tree[node]:
+                    self._tree[node][c] = len(self._tree)
+                    self._tree.append({})
+                    self._ends.append(set())
+                node = self._tree[node][c]
+            self._ends[node].add(t[0])
+        self._entry = -math.log(TERM_SHARE / max(1, len(self.terms)))
         self._machine = ahocorasick.Automaton()
         for t, x in self.terms.items():
             self._machine.add_word(t[1:], (len(t) - 1, t[0] == "=", x))
@@ -85,43 +126,66 @@ class Model:
     def _cost(self, context: str, letter: str) -> float:
         return -math.log((self._three.get(context + letter, 0) + 0.05) / (self._two.get(context, 0) + 2.0))
 
-    def restore(self, span: str) -> str:
+    def restore(self, span: str, apart: bool = False) -> str:
         """The likeliest reading of a disguised stretch, by Viterbi over its lattice of letters."""
-        known = self._seen.get(span)
+        known = self._seen.get((span, apart))
         if known is None:
-            known = self._viterbi(span)
+            known = self._viterbi(span, apart)
             if len(self._seen) < 200_000:
-                self._seen[span] = known
+                self._seen[span, apart] = known
         return known
 
-    def _viterbi(self, span: str) -> str:
-        lattice: list[tuple[str, int]] = []  # letter choices and how often the sign stood there
-        for ch in span:
-            if ch in " .-_" or (ch == "*" and not lattice):
-                continue
-            choices = ch if ch.isalpha() else SIGNS.get(ch, "")
-            if not choices:
-                continue
-            if lattice and lattice[-1][0] == choices:
-                lattice[-1] = (choices, lattice[-1][1] + 1)
-            else:
-                lattice.append((choices, 1))
-        if not lattice:
+    def _after(self, context: str, node: int, letter: str) -> Iterator[tuple[str, int, float]]:
+        """Contexts, places in the tree of terms (0 outside) and costs after one more letter."""
+        if not node:
+            yield context[1] + letter, 0, self._cost(context, letter)
+        place = self._tree[node].get(letter) if node or context == "^^" else None
+        if place:
+            entry = 0.0 if node else self._entry
+            yield context[1] + letter, place, entry
+            if "^" in self._ends[place]:
+                yield context[1] + letter, 0, entry
+
+    def _ending(self, context: str, node: int) -> float:
+        """Cost of a word's end; none where a word ended just before or a whole term ends."""
+        if node:
+            return 0.0 if "=" in self._ends[node] else math.inf
+        return 0.0 if context == "^^" else self._cost(context, "$")
+
+    def _viterbi(self, span: str, apart: bool) -> str:
+        lattice = _lattice(span, apart)
+        if not any(choices for choices, _, _ in lattice):
             return span
-        paths = {"^^": (0.0, "")}
-        for choices, times in lattice:
-            after: dict[str, tuple[float, str]] = {}
-            for context, (cost, text) in paths.items():
+        paths: dict[tuple[str, int], tuple[float, tuple | None]] = {("^^", 0): (0.0, None)}  # with the pieces read, last first
+        before = ""
+        for choices, times, end in lattice:
+            after: dict[tuple[str, int], tuple[float, tuple | None]] = {}
+
+            def reach(state, cost, pieces):
+                if cost < math.inf and (state not in after or cost < after[state][0]):
+                    after[state] = (cost, pieces)
+
+            for (context, node), (cost, pieces) in paths.items():
+                if not choices:
+                    reach((context, node), cost, pieces)
+                if end:
+                    own = sum(RARE.get(x, 0.0) for x in end) if choices else 0.0
+                    reach(("^^", 0), cost + own + self._ending(context, node), (end, pieces))
                 for c in choices:
-                    for copies in (1, 2) if times > 1 else (1,):
-                        total, ctx = cost, context
-                        for _ in range(copies):
-                            total += self._cost(ctx, c)
-                            ctx = ctx[1] + c
-                        if ctx not in after or total < after[ctx][0]:
-                            after[ctx] = (total, text + c * copies)
+                    if choices == before and context[1] == c:  # repeated with a separator between
+                        reach((context, node), cost, pieces)
+                    for ctx, place, more in self._after(context, node, c):
+                        reach((ctx, place), cost + more, (c, pieces))
+                        for ctx2, place2, again in self._after(ctx, place, c) if times > 1 else ():
+                            reach((ctx2, place2), cost + more + again, (c + c, pieces))
             paths = after
-        return min((cost + self._cost(ctx, "$"), text) for ctx, (cost, text) in paths.items())[1]
+            before = choices or before
+        pieces = min(((cost + self._ending(*state), n, read) for n, (state, (cost, read)) in enumerate(paths.items())), key=lambda x: x[:2])[2]
+        found = []
+        while pieces:
+            piece, pieces = pieces
+            found.append(piece)
+        return "".join(reversed(found))
 
     def restored(self, text: str) -> str:
         """Lower-cased text with every disguised stretch replaced by its reading."""
@@ -129,13 +193,13 @@ class Model:
             self._prepare()
         low = text.lower()
 
-        def read(m) -> str:
+        def read(m, apart: bool = False) -> str:
             span = m.group().strip(".,;:?\"'()[]|#%&*!")
-            return self.restore(span) if 3 <= len(span) <= SPAN else m.group()
+            return self.restore(span, apart) if len(span) >= 3 else m.group()
 
         apart, swapped, long = _suspect(low)
         if apart:
-            low = _APART.sub(read, low)
+            low = _APART.sub(lambda m: read(m, True), low)
         if swapped:
             low = _SWAPPED.sub(read, low)
         if long:

@@ -2,6 +2,7 @@
 
 import re
 import zlib
+from collections import Counter
 
 import public_tokenizers
 import pytest
@@ -171,6 +172,18 @@ def test_toxicity(spark):
     assert toxicity.score(empty(spark), model).count() == 0
 
 
+def test_toxicity_disguises():
+    texts = ["you are a stupid idiot and an asshole", "some river and valley words are here to see", "the grass and the glass class pass"]
+    letters = Counter(("^^" + w + "$")[i : i + 3] for t in texts for w in t.split() for i in range(len(w) + 1))
+    model = toxicity.Model({g: 50 * n for g, n in letters.items()}, {"=stupid": 3.0, "=idiot": 3.0, "=ass": 3.0, "^assho": 3.0})
+    spaced = lambda s: " ".join(s.replace(" ", ""))
+    found = lambda t: model.features(t)[2] == 1.0
+    assert all(map(found, [spaced("you are a stupid idiot and an asshole"), "st" + "u" * 60 + "pid", "a s t u p i d", "s*t*u*p*i*d", "s t u p p p i d"]))
+    assert all(map(found, ["asshol3", "an idio7.", "a$$", "idiot1", "stupid2", "id1111ot"]))
+    assert model.features("s t u p i d i d i o t") == model.features("stupid idiot")
+    assert not any(map(found, ["c l a s s", "class3", "g r a s s", "the valley 1234 words", "river5"]))
+
+
 def test_languages(spark):
     rows = [(i, f"the cat and the dog run over there {i}", "en") for i in range(40)] + [(100 + i, f"der hund und die katze laufen dort {i}", "de") for i in range(40)] + [(200, None, "fr"), (201, "x", None)]
     f = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
