@@ -67,7 +67,8 @@ def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
 
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
     labels = table(spark, sf_dir, "labels").filter(remainder(3) != 1)
-    return toxicity.learn(labelled_sample(table(spark, sf_dir, "documents"), labels, "toxic", toxicity.SAMPLE))
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.learn(labelled_sample(docs, labels, "toxic", toxicity.SAMPLE), texts=docs)
 
 
 def op7_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from dossierlake.llm.quality import logistic, score_with
 SAMPLE = 6_000  # labelled rows of each class, by hash
 STEMS = (4, 5, 6)  # lengths of word beginnings that may be terms
 PRECISION = 0.8  # toxic share of a term's rows
-LM_SIZE = 60_000  # character trigrams that the language model keeps
+WORDS = 200_000  # distinct words whose counts a task holds before it passes their trigrams on
 # Letters that a sign may stand for.
 SIGNS = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -42,7 +42,6 @@ _SWAPPED = regex.compile(r"(?<!\S)[^\s]*?(?:(?:(?<=[^\W\d_])[0-9@$!|+(*]++|(?<!\
 _APART = regex.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*][\p{L}0-9@$!]){3,}(?![^\W_])")
 _LONG = regex.compile(r"[^\W\d_]*([^\W\d_])\1\1+[^\W\d_]*")
 _WORD = regex.compile(r"[^\W\d_]+")
-LM_EVERY = 4  # one sampled row in so many feeds the language model
 AROUND = 3  # tokens on both sides that tell a term's places apart
 
 
@@ -84,10 +83,42 @@ def _lattice(span: str, apart: bool) -> list[tuple[str, int, str]]:
     return lattice
 
 
+class Trigrams:
+    """Counts of character trigrams in two sorted columns of 16 bytes a trigram."""
+
+    def __init__(self, what, n):
+        codes = np.array([self._code(g) for g in what], np.int64)
+        order = np.argsort(codes)
+        self._codes, self._n = codes[order], np.asarray(n, np.int64)[order]
+        first = np.flatnonzero(np.diff(self._codes >> 21, prepend=-1))
+        self._pairs, self._sums = self._codes[first] >> 21, np.add.reduceat(self._n, first) if len(first) else self._n
+
+    @staticmethod
+    def _code(g: str) -> int:
+        code = 0
+        for c in g:
+            code = code << 21 | ord(c)
+        return code
+
+    def __len__(self) -> int:
+        return len(self._n)
+
+    def total(self) -> int:
+        return int(self._n.sum())
+
+    def count(self, g: str) -> int:
+        """Occurrences of a trigram, or of all trigrams that begin with two letters."""
+        keys, values = (self._codes, self._n) if len(g) == 3 else (self._pairs, self._sums)
+        code = self._code(g)
+        i = int(np.searchsorted(keys, code))
+        return int(values[i]) if i < len(keys) and keys[i] == code else 0
+
+
 class Model:
     """Character language model, toxic terms and calibration."""
 
-    def __init__(self, trigrams: dict[str, int], terms: dict[str, float], weights: np.ndarray | None = None):
+    def __init__(self, trigrams: Trigrams | dict[str, int], terms: dict[str, float], weights: np.ndarray | None = None):
+        trigrams = Trigrams(list(trigrams), list(trigrams.values())) if isinstance(trigrams, dict) else trigrams
         self.trigrams, self.terms, self.weights = trigrams, terms, weights
         self._ready = False
 
@@ -95,8 +126,9 @@ class Model:
         return {"trigrams": self.trigrams, "terms": self.terms, "weights": self.weights, "_ready": False}
 
     def _prepare(self) -> None:
-        self._three, self._two = Counter(self.trigrams), Counter()
-        extra = max(1, sum(self.trigrams.values()) // 200 // max(1, len(self.terms)))
+        self._three, self._two = Counter(), Counter()  # what the terms add
+        self._costs: dict[str, float] = {}
+        extra = max(1, self.trigrams.total() // 200 // max(1, len(self.terms)))
         for t in self.terms:  # disguised words are likelier to be terms
             w = "^^" + t[1:] + ("$" if t[0] == "=" else "")
             for i in range(len(w) - 2):
@@ -124,7 +156,13 @@ class Model:
         self._ready = True
 
     def _cost(self, context: str, letter: str) -> float:
-        return -math.log((self._three.get(context + letter, 0) + 0.05) / (self._two.get(context, 0) + 2.0))
+        known = self._costs.get(context + letter)
+        if known is None:
+            three, two = (self.trigrams.count(g) + more.get(g, 0) for g, more in ((context + letter, self._three), (context, self._two)))
+            known = -math.log((three + 0.05) / (two + 2.0))
+            if len(self._costs) < 1_000_000:
+                self._costs[context + letter] = known
+        return known
 
     def restore(self, span: str, apart: bool = False) -> str:
         """The likeliest reading of a disguised stretch, by Viterbi over its lattice of letters."""
@@ -231,24 +269,40 @@ class Model:
 
 
 def _parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows with each term and occurrences of each character trigram, by label."""
+    """Rows with each term, by label."""
     terms: tuple[Counter, Counter] = (Counter(), Counter())
-    letters: Counter = Counter()
     for f in frames:
-        for k_row, (text, y) in enumerate(zip(f["text"], f["y"])):
+        for text, y in zip(f["text"], f["y"]):
             words = set(_WORD.findall(text.lower()))
             rows = {"=" + w for w in words if 3 <= len(w) <= 24}
             for k in STEMS:
                 rows |= {"^" + w[:k] for w in words if len(w) >= k}
             terms[y].update(rows)
-            for w in words if k_row % LM_EVERY == 0 else ():
-                w = "^^" + w + "$"
-                letters.update([w[i : i + 3] for i in range(len(w) - 2)])
     for y in (0, 1):
         if terms[y]:
-            yield pd.DataFrame({"kind": "term", "y": y, "what": list(terms[y]), "n": list(terms[y].values())})
-    if letters:
-        yield pd.DataFrame({"kind": "letters", "y": 0, "what": list(letters), "n": list(letters.values())})
+            yield pd.DataFrame({"y": y, "what": list(terms[y]), "n": list(terms[y].values())})
+
+
+def _letters(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Occurrences of each character trigram in the distinct words of each text."""
+    words: Counter = Counter()
+
+    def passed_on() -> pd.DataFrame:
+        letters: Counter = Counter()
+        for w, n in words.items():
+            w = "^^" + w + "$"
+            for i in range(len(w) - 2):
+                letters[w[i : i + 3]] += n
+        words.clear()
+        return pd.DataFrame({"what": list(letters), "n": list(letters.values())})
+
+    for f in frames:
+        for text in f["text"]:
+            words.update(set(_WORD.findall(text.lower())))
+            if len(words) > WORDS:
+                yield passed_on()
+    if words:
+        yield passed_on()
 
 
 def _around(names: set[str]):
@@ -281,14 +335,15 @@ def _sharpest(rows: dict[str, tuple[int, int]]) -> list[str]:
     return sorted((w for w in rows if not blunt(w)), key=lambda w: (len(w), w))
 
 
-def learn(labelled: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Model:
+def learn(labelled: DataFrame, label: str = "toxic", sample: int = SAMPLE, texts: DataFrame | None = None) -> Model:
     """Model from (doc_id, text, label) rows; null or empty texts and null labels do not count.
 
-    Terms (words and word beginnings) and trigrams are counted over about ``sample`` rows of each class.
+    Terms (words and word beginnings) are counted over about ``sample`` rows of each class, character
+    trigrams over every row of ``texts`` (all labelled rows by default), labelled or not.
     A term is kept if toxic rows make up ``PRECISION`` of its rows and so many toxic rows would not come
     about by chance among all terms, counting places that differ, as copies of one text repeat all its words;
     a beginning stands for its longer forms unless one of them is as frequent and cleaner. The driver receives the
-    terms that toxic rows alone could pass with, the ``LM_SIZE`` most frequent trigrams, and one row of
+    terms that toxic rows alone could pass with, every distinct trigram with its count, and one row of
     three numbers a sampled text for the calibration.
     """
     rows = labelled.filter(F.col(label).isin(0, 1) & (F.length("text") > 0)).select("doc_id", "text", F.col(label).cast("int").alias("y"))
@@ -296,10 +351,10 @@ def learn(labelled: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Mo
     size = {r["y"]: r["n"] for r in chosen.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not size.get(1) or not size.get(0):
         return Model({}, {}, np.zeros(4))
-    parts = chosen.select("text", "y").mapInPandas(_parts, "kind string, y int, what string, n long")
-    summed = parts.groupBy("kind", "what").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("clean"))
+    parts = chosen.select("text", "y").mapInPandas(_parts, "y int, what string, n long")
+    summed = parts.groupBy("what").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("clean"))
     base = size[1] / (size[0] + size[1])
-    found = summed.filter((F.col("kind") == "term") & (F.col("toxic") >= 3) & (F.col("toxic") >= PRECISION * (F.col("toxic") + F.col("clean")))).toPandas()
+    found = summed.filter((F.col("toxic") >= 3) & (F.col("toxic") >= PRECISION * (F.col("toxic") + F.col("clean")))).toPandas()
     least = max(3.0, (math.log(max(len(found), 1) + 1) + 4) / -math.log(base))
     strong = found[found["toxic"] >= least]
     places = chosen.filter("y = 1").select("text").mapInPandas(_around(set(strong["what"])), "what string, place long").distinct()
@@ -310,8 +365,9 @@ def learn(labelled: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Mo
     for w in _sharpest({w: (t, c) for w, t, c in zip(strong["what"], strong["toxic"], strong["clean"])}):
         if not any("^" + w[1 : 1 + k] in terms for k in STEMS if len(w) > k):
             terms[w] = strength[w]
-    letters = summed.filter("kind = 'letters'").orderBy(F.desc("clean"), "what").limit(LM_SIZE).select("what", "clean").toPandas()
-    model = Model(dict(zip(letters["what"], letters["clean"].tolist())), terms)
+    whole = (rows if texts is None else texts).select(F.col("text").cast("string").alias("text")).filter(F.length("text") > 0)
+    letters = whole.mapInPandas(_letters, "what string, n long").groupBy("what").agg(F.sum("n").alias("n")).toPandas()
+    model = Model(Trigrams(letters["what"], letters["n"]), terms)
     sent = labelled.sparkSession.sparkContext.broadcast(model)
 
     def measured(frames):

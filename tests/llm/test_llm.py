@@ -184,6 +184,17 @@ def test_toxicity_disguises():
     assert not any(map(found, ["c l a s s", "class3", "g r a s s", "the valley 1234 words", "river5"]))
 
 
+def test_toxicity_letters_of_all_texts(spark):
+    rows = [(i, f"you stupid idiot number{i} go away", 1) for i in range(20)] + [(500 + i, f"some river word{i} here", 0) for i in range(60)]
+    labels = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    texts = ["жук жук ёж"] + ["the river"] * 9 + [None, "", "漢字"] + [f"{chr(0x4E00 + i)}{chr(0x5E00 + i)}" for i in range(300)]
+    want = Counter(("^^" + w + "$")[i : i + 3] for t in texts for w in set((t or "").split()) for i in range(len(w) + 1))
+    for parts in (1, 7):
+        got = toxicity.learn(labels, texts=docs(spark, texts).repartition(parts)).trigrams
+        assert len(got) == len(want) and all(got.count(g) == n for g, n in want.items())
+        assert got.count("^^") == sum(n for g, n in want.items() if g[:2] == "^^") and got.count("zzz") == 0
+
+
 def test_languages(spark):
     rows = [(i, f"the cat and the dog run over there {i}", "en") for i in range(40)] + [(100 + i, f"der hund und die katze laufen dort {i}", "de") for i in range(40)] + [(200, None, "fr"), (201, "x", None)]
     f = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
