@@ -77,10 +77,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     ``vectors`` (vec_id, v array<long>), ``queries`` (query_id, v). Returns query_id, rank from 1,
     vec_id, score; ties go to the smaller vec_id; fewer rows where there are fewer candidates. Vectors
-    of unequal length count as padded with zeros. Rows equal in id and vector count once. No rows from
+    of unequal length count as padded with zeros. Rows of either table equal in id and
+    vector count once. No rows from
     empty tables.
     """
-    vectors = vectors.dropDuplicates()
+    vectors, queries = vectors.dropDuplicates(), queries.select("query_id", "v").dropDuplicates()
     spread = vectors.select(F.posexplode("v").alias("d", "x")).groupBy("d").agg(F.min("x").alias("a"), F.max("x").alias("b")).orderBy("d").collect()  # a row a dimension
     n, m = vectors.count(), queries.count()
     if not n or not m:

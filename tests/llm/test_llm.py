@@ -135,6 +135,17 @@ def test_topk(spark):
     assert topk.top_k(v.limit(0), v.limit(0).withColumnRenamed("vec_id", "query_id")).count() == 0
 
 
+def test_topk_repeated_rows(spark):
+    import random
+
+    rnd = random.Random(7)
+    once = spark.createDataFrame([(i, [rnd.randint(-9, 9) for _ in range(4)]) for i in range(60)], "vec_id long, v array<long>")
+    again = once.unionByName(once.filter("vec_id % 20 = 0 or vec_id < 30")).unionByName(once.filter("vec_id = 20"))
+    nearest = lambda v: sorted(map(tuple, topk.top_k(v, v.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), 10).collect()))
+    got = nearest(again)
+    assert got == nearest(once) and len(got) == 30 and len({(r[0], r[2]) for r in got}) == 30
+
+
 def test_packing(spark):
     texts = [None, "", "a b c"] + ["word " * n for n in (5, 300, 900, 1300, 2500, 4095, 4096, 9000)]
     got = packing.pack_documents(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4), PATH).toPandas()
