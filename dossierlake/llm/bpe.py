@@ -1,9 +1,10 @@
 """BPE encoding and decoding by tree concatenation, many words at a time.
 
-Words are encoded side by side: every round merges, in each word, all places of its best-ranked pair.
-A long unsplit run is cut into leaves that are encoded in parallel; neighbours are then joined level by
-level: a window of tokens around each join is encoded anew and grows until its outermost tokens equal
-those of the left and of the right side, from where on both sides are right as they stand.
+A batch of texts is cut at blanks and into words; each distinct word is encoded once, all side by side.
+A word is cut into leaves of ``LEAF`` symbols, which are encoded in parallel; neighbours are then joined
+level by level: a window of tokens around each join is encoded anew and grows until its outermost tokens
+equal those of the left and of the right side, from where on both sides are right as they stand. Leaves
+and windows of a level are merged in one go, a round at a time: in each, all places of its best-ranked pair.
 """
 
 from __future__ import annotations
@@ -12,9 +13,7 @@ import functools
 import hashlib
 import json
 import unicodedata
-from collections import ChainMap
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +21,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAF = 64  # symbols of a leaf of a long run
-LONG = 256  # symbols from which a run is encoded as a tree
-CACHE = 700_000  # pieces of text, and words, remembered by a worker
+LEAF = 12  # symbols of a leaf
+WINDOW = 2  # tokens on both sides of a join that are encoded anew at first
+CHUNK = 16_000_000  # bytes of text encoded at a time
 _NONE = np.int64(1 << 40)
 
 
@@ -35,6 +34,12 @@ def _byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each range, in a row."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
 class Encoder:
     """A vocabulary with word ends, from a tokenizers JSON file."""
 
@@ -64,7 +69,11 @@ class Encoder:
                 self._keys[s], self._values[s] = k, v
         self._split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+|\n")
         self._special = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
-        self._blank = regex.compile(r"\s+")
+        self._kinds = np.zeros(0x110000, np.uint8)  # 0 blank, 1 letter, 2 number, 3 other
+        every = "".join(map(chr, range(0x110000)))
+        for kind, what in enumerate((r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+"), 1):
+            for m in regex.finditer(what, every):
+                self._kinds[m.start() : m.end()] = kind
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self._bits)).astype(np.int64)
@@ -133,74 +142,132 @@ class Encoder:
         order = np.argsort(w, kind="stable")
         return i[order], np.bincount(w, minlength=n), s[order]
 
-    def symbols(self, word: str) -> np.ndarray:
-        raw = np.frombuffer(word.encode("utf-8", "surrogatepass"), np.uint8)
-        out = self.inner[raw]
-        out[-1] = self.final[raw[-1]]
-        return out
-
-    def merge_long(self, symbols: np.ndarray, leaf: int = LEAF) -> np.ndarray:
-        """Token ids of one long run, by tree concatenation of its leaves."""
-        cuts = np.arange(0, len(symbols), leaf)
-        sizes = np.diff(np.r_[cuts, len(symbols)])
-        ids, counts, spans = self.merge(symbols, sizes)
-        ends = np.cumsum(counts)
-        nodes = [(int(c), ids[e - k : e], spans[e - k : e]) for c, e, k in zip(cuts, ends, counts)]
-        while len(nodes) > 1:
-            joined = self._join(symbols, list(zip(nodes[::2], nodes[1::2])))
-            nodes = joined + nodes[len(joined) * 2 :]
-        return nodes[0][1]
-
-    def _join(self, symbols: np.ndarray, pairs: list) -> list:
-        """Join neighbouring (start, ids, spans) nodes; all windows of a round are encoded together."""
-        out: list = [None] * len(pairs)
-        todo = [(k, 4) for k in range(len(pairs))]
-        while todo:
-            windows = []
-            for k, w in todo:
-                (start, li, ls), (_, ri, rs) = pairs[k]
-                a, b = min(w, len(li)), min(w, len(ri))
-                mid = start + int(ls.sum())
-                windows.append((k, w, a, b, mid - int(ls[len(ls) - a :].sum()), mid + int(rs[:b].sum())))
-            ids, counts, spans = self.merge(np.concatenate([symbols[x[4] : x[5]] for x in windows]), np.array([x[5] - x[4] for x in windows]))
-            ends, todo = np.cumsum(counts), []
-            for (k, w, a, b, _, _), e, c in zip(windows, ends.tolist(), counts.tolist()):
-                (start, li, ls), (_, ri, rs) = pairs[k]
-                got, size = ids[e - c : e], spans[e - c : e]
-                left = a == len(li) or (got[0] == li[-a] and size[0] == ls[-a])
-                right = b == len(ri) or (got[-1] == ri[b - 1] and size[-1] == rs[b - 1])
-                if left and right:
-                    out[k] = (start, np.r_[li[: len(li) - a], got, ri[b:]], np.r_[ls[: len(ls) - a], size, rs[b:]])
-                else:
-                    todo.append((k, w * 2))
-        return out
+    def tree(self, symbols: np.ndarray, sizes: np.ndarray, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of words laid end to end, by tree concatenation of their leaves: ids, tokens by word."""
+        leaves = -(-sizes // leaf)
+        word = np.repeat(np.arange(len(sizes)), leaves)
+        turn = np.arange(len(word)) - np.repeat(np.cumsum(leaves) - leaves, leaves)
+        ids, tokens, spans = self.merge(symbols, np.minimum(leaf, sizes[word] - leaf * turn))
+        while True:
+            left = np.flatnonzero((word[1:] == word[:-1]) & (turn[:-1] % 2 == 0))
+            if not len(left):
+                return ids, tokens
+            ids, spans, tokens = self._join(symbols, ids, spans, tokens, left)
+            keep = np.ones(len(word), bool)
+            keep[left + 1] = False
+            word, turn, tokens = word[keep], turn[keep] // 2, tokens[keep]
+
+    def _join(self, symbols, ids, spans, tokens, left) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Join the nodes ``left`` with their right neighbours; all windows of a round are encoded together."""
+        at = np.cumsum(spans) - spans
+        mid = np.cumsum(tokens)[left]
+        n_left, n_right, tokens = tokens[left], tokens[left + 1], tokens.copy()
+        tokens[left] += n_right
+        gone, fresh = np.zeros(len(ids), bool), []
+        todo, width = np.arange(len(left)), WINDOW
+        while len(todo):
+            m, a, b = mid[todo], np.minimum(width, n_left[todo]), np.minimum(width, n_right[todo])
+            begin, last = at[m - a], m + b - 1
+            size = at[last] + spans[last] - begin
+            got, counts, gspans = self.merge(symbols[_ranges(begin, size)], size)
+            ends = np.cumsum(counts)
+            starts = ends - counts
+            right = (got[starts] == ids[m - a]) & (gspans[starts] == spans[m - a]) | (a == n_left[todo])
+            right &= (got[ends - 1] == ids[last]) & (gspans[ends - 1] == spans[last]) | (b == n_right[todo])
+            gone[_ranges((m - a)[right], (a + b)[right])] = True
+            place = np.cumsum(gspans) - gspans + np.repeat(begin - (np.cumsum(size) - size), counts)
+            taken = np.repeat(right, counts)
+            fresh.append((place[taken], got[taken], gspans[taken]))
+            tokens[left[todo[right]]] += (counts - a - b)[right]
+            todo, width = todo[~right], width * 2
+        place, got, gspans = (np.concatenate(x) for x in zip(*fresh, (at[~gone], ids[~gone], spans[~gone])))
+        order = np.argsort(place, kind="stable")
+        return got[order], gspans[order], tokens
 
     def words(self, text: str) -> list[str]:
         """Normalised and split text without special tokens; a line feed stays as a word."""
+        return self._split.findall(self._normal(text))
+
+    @staticmethod
+    def _normal(text: str) -> str:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
             text = text.replace("Σ", "σ")  # each letter is lower-cased by itself
-        return self._split.findall(text.lower())
-
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """Token ids of each word (no word is empty), as unsigned 32-bit numbers."""
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-        short = np.flatnonzero(sizes <= LONG)
-        out: list = [None] * len(raw)
-        if len(short):
-            flat = np.frombuffer(b"".join([raw[i] for i in short]), np.uint8)
-            symbols, ends = self.inner[flat], np.cumsum(sizes[short])
-            symbols[ends - 1] = self.final[flat[ends - 1]]
-            ids, counts, _ = self.merge(symbols, sizes[short])
-            stops = np.cumsum(counts).tolist()
-            flat_ids, start = ids.astype("<u4").tobytes(), 0
-            for i, stop in zip(short.tolist(), stops):
-                out[i] = flat_ids[4 * start : 4 * stop]
-                start = stop
-        for i in np.flatnonzero(sizes > LONG).tolist():
-            out[i] = self.merge_long(self.symbols(words[i])).astype("<u4").tobytes()
-        return out
+        return text.lower()
+
+    def _split_lines(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words of normal text without apostrophes: their bytes end to end, sizes in bytes, and lines."""
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kinds = self._kinds[codes]
+        width = np.ones(len(codes), np.int64)
+        for least in (0x80, 0x800, 0x10000):
+            width += codes >= least
+        cut = np.flatnonzero(np.r_[True, (kinds[1:] != kinds[:-1]) | (kinds[1:] == 2)] if len(kinds) else np.empty(0, bool))
+        sizes = np.add.reduceat(width, cut) if len(cut) else width
+        word = kinds[cut] != 0
+        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        return raw[np.repeat(kinds != 0, width)], sizes[word], np.cumsum(codes == 10)[cut][word]
+
+    def encode_words(self, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of words laid end to end as bytes (no word is empty): ids, tokens by word."""
+        offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))])
+        words = words.dictionary_encode()
+        which, starts, raw = words.indices.to_numpy(), *_laid_out(words.dictionary)
+        symbols, ends = self.inner[raw], starts[1:] - 1
+        symbols[ends] = self.final[raw[ends]]
+        ids, counts = self.tree(symbols, np.diff(starts))
+        begins, counts = (np.cumsum(counts) - counts)[which], counts[which]
+        return ids[_ranges(begins, counts)].astype(np.uint32), counts
+
+    def encode_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of pieces of text (binary) without blanks: ids, tokens by piece."""
+        starts, raw = _laid_out(pieces)
+        odd = np.zeros(len(pieces), bool)  # what may hold a contraction or a special token
+        odd[np.searchsorted(starts, np.flatnonzero((raw == ord("'")) | np.r_[(raw[:-1] == ord("<")) & (raw[1:] == ord("|")), False]), "right") - 1] = True
+        texts = np.array(pieces.to_pylist(), object)
+        counts = np.zeros(len(pieces), np.int64)
+        text = b"\n".join(texts[~odd]).decode("utf-8", "surrogatepass")
+        flat, sizes, line = self._split_lines(self._normal(text))
+        ids, tokens = self.encode_words(flat, sizes)
+        counts[~odd] = np.bincount(line, tokens, np.count_nonzero(~odd))[: np.count_nonzero(~odd)].astype(np.int64)
+        if not odd.any():
+            return ids, counts
+        parts = [list(self._with_specials(t.decode("utf-8", "surrogatepass"))) for t in texts[odd]]
+        words = [w.encode("utf-8", "surrogatepass") for ws in parts for w in ws if isinstance(w, str)]
+        own, tokens = self.encode_words(np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words], np.int64))
+        own, ends, at, rest = own.tolist(), np.cumsum(tokens).tolist(), 0, []
+        for ws in parts:
+            out: list[int] = []
+            for w in ws:
+                if isinstance(w, str):
+                    out += own[ends[at - 1] if at else 0 : ends[at]]
+                    at += 1
+                else:
+                    out.append(w)
+            rest.append(out)
+        counts[odd] = [len(x) for x in rest]
+        # laid out in the order of the pieces
+        order = np.empty(int(counts.sum()), np.uint32)
+        begins = np.cumsum(counts) - counts
+        order[_ranges(begins[~odd], counts[~odd])] = ids
+        order[_ranges(begins[odd], counts[odd])] = np.array([i for x in rest for i in x], np.uint32)
+        return order, counts
+
+    def _with_specials(self, piece: str) -> Iterator[str | int]:
+        for k, part in enumerate(self._special.split(piece) if self._special else [piece]):
+            if k % 2:
+                yield self.specials[part]
+            else:
+                yield from (w for w in self.words(part) if w != "\n")
+
+
+def _laid_out(pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Starts (with the end of the last) and bytes of a binary array."""
+    starts = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1].astype(np.int64)
+    data = pieces.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[starts[0] : starts[-1]] if data is not None else np.empty(0, np.uint8)
+    return starts - starts[0], raw
 
 
 @functools.lru_cache(maxsize=4)
@@ -208,90 +275,45 @@ def load(path: str) -> Encoder:
     return Encoder(path)
 
 
-class Pieces:
-    """Blank-separated pieces of texts -> ``form(ids)``; frequent ones are remembered, within bounds.
+_BLANK = np.isin(np.arange(256), [9, 10, 13, 32])
 
-    No word spans white space, so a text's ids are its pieces' ids in a row.
-    """
 
-    _odd = frozenset("\x1c\x1d\x1e\x1f")
-
-    def __init__(self, encoder: Encoder, form):
-        self.encoder, self.form = encoder, form
-        self.known: dict[str, object] = {}
-        self.word_known: dict[str, bytes] = {}
-        self._seen = bytearray(1 << 24)
-        self._ascii_blank = regex.compile(r"[ \t\n\r]+")
-
-    def split(self, text: str | None) -> list[str]:
-        if not text:
-            return []
-        if self._odd.isdisjoint(text):
-            return text.split()
-        return [p for p in self._ascii_blank.split(text) if p]
-
-    def values(self, texts: list[str | None]) -> Iterator[list]:
-        """The forms of each text's pieces.
-
-        A piece is remembered from its second appearance on (by a table of hashes seen), and only while
-        there is room: most pieces of a corpus come once.
-        """
-        split = [self.split(t) for t in texts]
-        flat = list(chain.from_iterable(split))
-        got = list(map(self.known.get, flat))
-        new = {p for p, v in zip(flat, got) if v is None}
-        if new:
-            fresh = self._encode(new)
-            got = [fresh[p] if v is None else v for p, v in zip(flat, got)]
-            seen, known = self._seen, self.known
-            room = CACHE - len(known)
-            for p in new:
-                h = hash(p) & 0xFFFFFF
-                if not seen[h]:
-                    seen[h] = 1
-                elif room > 0:
-                    known[p] = fresh[p]
-                    room -= 1
-        at = 0
-        for ps in split:
-            yield got[at : at + len(ps)]
-            at += len(ps)
-
-    def _encode(self, new: set[str]) -> dict[str, object]:
-        plain = [p for p in new if "<|" not in p and "\n" not in p]
-        found = self.encoder.words("\n".join(plain)) if plain else []
-        # other pieces hold special tokens or blanks that the plain split leaves alone
-        rest = {p: list(self._with_specials(p)) for p in new.difference(plain)} if len(plain) < len(new) else {}
-        missing = {w for w in found if w not in self.word_known}
-        missing |= {w for ws in rest.values() for w in ws if isinstance(w, str) and w not in self.word_known}
-        missing.discard("\n")
-        todo = list(missing)
-        encoded = dict(zip(todo, self.encoder.encode_words(todo)))
-        words = self.word_known
-        if len(words) < CACHE:
-            words.update(encoded)
-        else:
-            words = ChainMap(encoded, words)
-        form, at, raw, out = self.form, 0, b"", {}
-        for w in found:
-            if w == "\n":
-                out[plain[at]] = form(raw)
-                at, raw = at + 1, b""
-            else:
-                raw += words[w]
-        if plain:
-            out[plain[at]] = form(raw)
-        for p, ws in rest.items():
-            out[p] = form(b"".join(words[w] if isinstance(w, str) else np.uint32(w).tobytes() for w in ws))
-        return out
+class Texts:
+    """Texts of a batch, as runs of distinct pieces between blanks.
 
-    def _with_specials(self, piece: str) -> Iterator[str | int]:
-        enc = self.encoder
-        for k, part in enumerate(enc._special.split(piece) if enc._special else [piece]):
-            if k % 2:
-                yield enc.specials[part]
-            else:
-                yield from (w for w in enc.words(part) if w != "\n")
+    ``ids`` and ``counts`` are the tokens of the distinct pieces, ``which`` the piece at each place, in order,
+    and ``cuts`` the places where texts begin. No word spans a blank, so a text's ids are its pieces' ids in a row.
+    """
+
+    def __init__(self, enc: Encoder, texts: pa.Array):
+        texts = texts.fill_null("")
+        starts, raw = _laid_out(texts)
+        blank = _BLANK[raw]
+        first = ~blank
+        first[1:] &= blank[:-1]
+        begin = starts[:-1][np.diff(starts) > 0]
+        first[begin] = ~blank[begin]
+        self.cuts = np.searchsorted(np.flatnonzero(first), starts)
+        flat = raw[~blank]
+        offsets = np.r_[np.flatnonzero(first[~blank]), len(flat)].astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(flat)]).dictionary_encode()
+        self.which = pieces.indices.to_numpy()
+        self.ids, self.counts = enc.encode_pieces(pieces.dictionary)
+        self.starts = np.cumsum(self.counts) - self.counts
+
+    def tokens(self) -> tuple[np.ndarray, np.ndarray]:
+        """All token ids in order, and where each text's begin (with the end of the last)."""
+        counts = self.counts[self.which]
+        ends = np.r_[0, np.cumsum(counts)]
+        return self.ids[_ranges(self.starts[self.which], counts)], ends[self.cuts]
+
+    def spelled(self, form: list[str]) -> Iterator[str]:
+        """Each text as the forms of its tokens, with blanks between."""
+        ids, ends = list(map(form.__getitem__, self.ids.tolist())), np.r_[self.starts, len(self.ids)].tolist()
+        pieces = [" ".join(ids[x:y]) for x, y in zip(ends, ends[1:])]
+        for x, y in zip(self.cuts[:-1].tolist(), self.cuts[1:].tolist()):
+            which = self.which[x:y]
+            yield " ".join(map(pieces.__getitem__, which[self.counts[which] > 0].tolist()))
 
 
 def batches_of(batches: Iterator[pa.RecordBatch], chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
@@ -302,22 +324,6 @@ def batches_of(batches: Iterator[pa.RecordBatch], chars: int = 4_000_000) -> Ite
             yield b.slice(i, step)
 
 
-_pieces: dict = {}
-
-
-def pieces_for(path: str, kind: str, form) -> Pieces:
-    """This worker's memory of pieces; it outlives a task."""
-    if (path, kind) not in _pieces:
-        enc = load(path)
-        _pieces[path, kind] = Pieces(enc, lambda raw: form(enc, raw))
-    return _pieces[path, kind]
-
-
-def _spelled(enc: Encoder, raw: bytes) -> tuple[int, str, str]:
-    ids = np.frombuffer(raw, np.uint32).tolist()
-    return len(ids), " ".join(map(str, ids)), " ".join([enc.names[i] for i in ids])
-
-
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     """Ids and decoded text of every whole text: doc_id, ids array<int>, decoded string.
 
@@ -327,13 +333,12 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
     def run(batches):
-        known = pieces_for(path, "ids", lambda enc, raw: (raw, " ".join([enc.names[i] for i in np.frombuffer(raw, np.uint32).tolist()])))
-        for b in batches_of(batches):
-            rows = list(known.values(b.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([np.frombuffer(b"".join(r[0] for r in x), np.int32) for x in rows], pa.list_(pa.int32())), pa.array([" ".join(r[1] for r in x if r[0]) for x in rows])],
-                schema=schema,
-            )
+        enc = load(path)
+        for b in batches_of(batches, CHUNK):
+            texts = Texts(enc, b.column(1))
+            ids, ends = texts.tokens()
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view(np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(list(texts.spelled(enc.names)), pa.string())], schema=schema)
 
     return _texts(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
@@ -343,15 +348,12 @@ def encode_digest(docs: DataFrame, path: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches):
-        known = pieces_for(path, "digest", _spelled)
-        for b in batches_of(batches):
-            out = []
-            for got in known.values(b.column(1).to_pylist()):
-                got = [g for g in got if g[0]]
-                n, ids, names = zip(*got) if got else ((), (), ())
-                out.append((sum(n), hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(" ".join(names).encode()).hexdigest()))
-            n, ids, names = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(names, pa.string())], schema=schema)
+        enc = load(path)
+        numbers = list(map(str, range(len(enc.names))))
+        for b in batches_of(batches, CHUNK):
+            texts = Texts(enc, b.column(1))
+            sha = [pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts.spelled(form)], pa.string()) for form in (numbers, enc.names)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(texts.tokens()[1])), *sha], schema=schema)
 
     return _texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
