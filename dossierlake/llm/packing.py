@@ -1,14 +1,17 @@
 """Best-fit packing of token sequences, by hierarchical residual packing.
 
-Every partition packs its own pieces best-fit, longest first, and sends on nearly full bins as done.
-Underfull bins become items of the next round, in which ``FAN_IN`` partitions' bins meet and are packed
-best-fit again, up a tree, until they meet in one place or a round no longer saves bins.
+Pieces are spread over parts by a hash; every part packs its own best-fit, longest first, and sends on full
+bins as done. Underfull bins become items of the next round, in which ``FAN_IN`` parts' bins meet and are
+packed best-fit again, up a tree, until they meet in one place.
+
+After best-fit a part has at most one bin that is half empty or more, as two would have been put together,
+so all later rounds together save at most a bin a part. A part sends on its ``RESIDUE`` roomiest bins, so
+that no task of the tree holds more than ``FAN_IN * RESIDUE`` of them; the rest stand as they are.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,42 +20,42 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossierlake.llm.bpe import batches_of, pieces_for
+from dossierlake.llm.bpe import CHUNK, Texts, batches_of, load
 from dossierlake.llm.common import materialize
 
 CAPACITY = 4096
 FAN_IN = 8
+PART = 50_000  # pieces that a part packs at first, about
+RESIDUE = 2_000
 SLACK = 4  # a bin with so few free places counts as full
 END_ID = 1
 _BINS = "part long, done boolean, total int, uids array<long>, offsets array<int>"
 
 
-def _raw(enc, raw: bytes) -> bytes:
-    return raw
-
-
-def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
     """Pieces of every document's ids (its text's ids, then END_ID), of ``capacity`` tokens at most.
 
-    uid (any distinct numbers), doc_id, piece, start, length, ids_crc32, ids (binary, unsigned 32-bit).
+    uid (any distinct numbers), doc_id, piece, start, length, ids_crc32 and, if ``with_ids``, ids (binary, unsigned 32-bit).
     """
-    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
+    fields = [("uid", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
+    schema = pa.schema(fields + [("ids", pa.binary())] * with_ids)
     end = np.uint32(END_ID).astype("<u4").tobytes()
 
     def run(batches):
-        known, uid = pieces_for(path, "raw", _raw), TaskContext.get().partitionId() << 34
-        for b in batches_of(batches):
-            out = []
-            for doc_id, got in zip(b.column(0).to_pylist(), known.values(b.column(1).to_pylist())):
-                ids = b"".join(got) + end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    out.append((uid, doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), part))
+        enc, uid = load(path), TaskContext.get().partitionId() << 34
+        for b in batches_of(batches, CHUNK):
+            ids, cuts = Texts(enc, b.column(1)).tokens()
+            ids, cuts, out = memoryview(ids.astype("<u4")).cast("B"), (4 * cuts).tolist(), []
+            for doc_id, x, y in zip(b.column(0).to_pylist(), cuts, cuts[1:]):
+                own = bytes(ids[x:y]) + end
+                for k, at in enumerate(range(0, len(own), 4 * capacity)):
+                    part = own[at : at + 4 * capacity]
+                    out.append((uid, doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), *[part] * with_ids))
                     uid += 1
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)] if out else [pa.array([], f.type) for f in schema], schema=schema)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, "uid long, doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+    return texts.mapInArrow(run, "uid long, doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def best_fit(totals: list[int], capacity: int) -> list[list[int]]:
@@ -89,15 +92,16 @@ def _as_bins(part: int, items: list[tuple[int, list[int], list[int]]], capacity:
             uids += u
             offsets += [x + at for x in o]
             at += total
-        rows.append((part, at >= capacity - SLACK, at, uids, offsets))
-    return pd.DataFrame(rows, columns=["part", "done", "total", "uids", "offsets"])
+        rows.append((part, False, at, uids, offsets))
+    bins = pd.DataFrame(rows, columns=["part", "done", "total", "uids", "offsets"]).sort_values("total", kind="stable")
+    bins["done"] = (bins["total"] >= capacity - SLACK) | (np.arange(len(bins)) >= RESIDUE)
+    return bins
 
 
 def _first(capacity: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items = [(int(n), int(u)) for f in frames for u, n in zip(f["uid"], f["length"])]
-        items.sort(key=lambda x: (-x[0], x[1]))
-        yield _as_bins(TaskContext.get().partitionId(), [(n, [u], [0]) for n, u in items], capacity)
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        items = sorted(zip(f["length"].tolist(), f["uid"].tolist()), key=lambda x: (-x[0], x[1]))
+        return _as_bins(int(f["part"].iloc[0]), [(n, [u], [0]) for n, u in items], capacity)
 
     return run
 
@@ -112,27 +116,17 @@ def _again(capacity: int):
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Place pieces (uid, length of 1..capacity): uid, sequence_id, offset.
-
-    Lengths alone travel. The rounds end where all underfull bins have met, or saved less than a
-    hundredth of them: whatever is left then is mostly more than half full and cannot be combined.
-    """
-    bins = materialize(pieces.select("uid", "length").mapInPandas(_first(capacity), _BINS), "bins")
-    full, left = [bins.filter("done")], bins.filter("not done")
-    seen = left.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("part").alias("p"), F.max("part").alias("top")).first()
-    while seen["n"] > 1 and seen["p"] > 1:
+    """Place pieces (uid, length of 1..capacity): uid, sequence_id, offset. Lengths alone travel."""
+    parts = max(1, -(-pieces.count() // PART))
+    spread = pieces.select("uid", "length", F.pmod(F.xxhash64("uid"), F.lit(parts)).alias("part"))
+    bins = materialize(spread.groupBy("part").applyInPandas(_first(capacity), _BINS), "bins")
+    placed, left = bins.filter("done"), bins.filter("not done")
+    while parts > 1:
         merged = materialize(left.groupBy(F.expr(f"part div {FAN_IN}").alias("g")).applyInPandas(_again(capacity), _BINS), "bins")
-        before = seen["n"]
-        full.append(merged.filter("done"))
-        left = merged.filter("not done")
-        seen = left.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("part").alias("p"), F.max("part").alias("top")).first()
-        if merged.count() > 0.99 * before:
-            break
-    placed = left
-    for f in full:
-        placed = placed.unionByName(f)
+        placed, left = placed.unionByName(merged.filter("done")), merged.filter("not done")
+        parts = -(-parts // FAN_IN)
     # a bin is named by its first piece, which no other bin has
-    one = placed.select(F.element_at("uids", 1).alias("sequence_id"), F.explode(F.arrays_zip("uids", "offsets")).alias("x"))
+    one = placed.unionByName(left).select(F.element_at("uids", 1).alias("sequence_id"), F.explode(F.arrays_zip("uids", "offsets")).alias("x"))
     return one.select(F.col("x.uids").alias("uid"), "sequence_id", F.col("x.offsets").cast("long").alias("offset"))
 
 
@@ -144,6 +138,5 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, with_id
     texts are the end id alone. Repeated rows are packed each; null doc_ids stay null; an empty table
     gives no rows.
     """
-    pieces = cut_pieces(docs, path, capacity)
-    pieces = materialize(pieces if with_ids else pieces.drop("ids"), "pieces")
+    pieces = materialize(cut_pieces(docs, path, capacity, with_ids), "pieces")
     return pieces.join(pack(pieces, capacity), "uid").drop("uid")
