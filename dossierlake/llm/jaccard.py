@@ -5,12 +5,15 @@
    hashed counts). Two sets that reach the threshold ``t`` share ``l`` shingles among the first
    ``n - ceil(t * n) + l`` of both, for any ``l`` up to their overlap. Those are posted; classes with too
    few shared postings leave, and what they leave unshared leaves with them.
-3. Classes are compared with one or two pivots of their postings, and those links are merged, so that
-   large families of near copies cost a comparison or two each instead of all pairs.
+3. Classes are compared with two pivots of their postings: the one that shares most of its own, as the
+   original of a family does, and another. Those links are merged, so that large families of near copies
+   cost a comparison or two each instead of all pairs.
 4. What the pivots left apart is settled by the matrix: classes are partitioned into groups of similar
-   ones (at most ``GROUP`` rows), the union of a group's shingles is stored, a class queries the groups
-   with whose union it shares enough postings, its overlap with the whole union bounds its overlap with
-   every member, and only groups whose bound reaches the threshold are opened and compared exactly.
+   ones (a merged family, or singles with the same least posting). Groups meet where they share a posting,
+   once a pair of groups, whatever their sizes; a group meets all the smaller ones that it must meet
+   together. Large groups are cut into blocks of bounded size; of each pair of blocks, the union of either's
+   shingles bounds the overlap of every row of the other, and only rows whose bound reaches the threshold
+   are opened and compared exactly.
 """
 
 from __future__ import annotations
@@ -29,8 +32,8 @@ from pyspark.sql import functions as F
 
 from dossierlake.llm.common import components, materialize
 
-GROUP = 64  # rows of a group of similar classes
-QUERIES = 256  # query rows that meet one group in one task
+BLOCK = 250_000  # shingles of a block of a group (2 MB); one longer text stands alone
+TASK = 2_000_000  # shingles that meet in one call
 FAN_IN = 64  # partial count tables summed at a time
 SKETCH_BITS = 22  # hashed shingle counts: 16 MB, whatever the corpus
 SLICES = 16
@@ -68,7 +71,7 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     return out
 
 
-def _small_batches(batches: Iterator[pa.RecordBatch], chars: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def _small_batches(batches: Iterator[pa.RecordBatch], chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that one holds about ``chars`` bytes (a very long text stands alone)."""
     for b in batches:
         step = max(1, int(b.num_rows * chars / max(b.nbytes, 1)))
@@ -161,53 +164,89 @@ def _token_sets(width: int):
     return run
 
 
-def _shared(a: np.ndarray, b: np.ndarray) -> int:
-    """Values that two sorted distinct arrays have in common."""
-    both = np.concatenate((a, b))
-    both.sort()
-    return int(np.count_nonzero(both[1:] == both[:-1]))
+class _Rows:
+    """Rows of token sets: labels, sizes, and the tokens laid end to end."""
+
+    def __init__(self, node: np.ndarray, label: np.ndarray, sizes: np.ndarray, flat: np.ndarray):
+        self.node, self.label, self.sizes, self.flat = node, label, sizes, flat
+
+    def take(self, keep: np.ndarray) -> _Rows:
+        return _Rows(self.node[keep], self.label[keep], self.sizes[keep], self.flat[np.repeat(keep, self.sizes)])
+
+    def within(self, union: np.ndarray) -> np.ndarray:
+        """How many tokens of each row a sorted union has."""
+        at = np.minimum(np.searchsorted(union, self.flat), len(union) - 1)
+        return np.add.reduceat(union[at] == self.flat, self.starts(), dtype=np.int64)
+
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.sizes) - self.sizes
+
+
+def _bounded(rows: _Rows, others: _Rows, num: int, den: int) -> _Rows:
+    """Rows that may link with some row of ``others``, by what they share with the union of all of them."""
+    if not len(rows.node) or not len(others.node):
+        return rows.take(np.zeros(len(rows.node), bool))
+    least = np.maximum(rows.sizes, others.sizes.min())
+    return rows.take(rows.within(_distinct(others.flat)) * den >= num * least)
+
+
+def _links(a: _Rows, b: _Rows | None, num: int, den: int) -> list[tuple[int, int]]:
+    """Links that join labels between rows of ``a`` and ``b`` (or among ``a``); rows joined before are not compared."""
+    if b is not None:
+        a = _bounded(a, b, num, den)
+        b = _bounded(b, a, num, den)
+    other = a if b is None else b
+    if not len(a.node) or not len(other.node):
+        return []
+    seen, codes = np.unique(np.concatenate((a.flat, other.flat)), return_inverse=True)
+    mine, theirs, starts, sizes = codes[: len(a.flat)], codes[len(a.flat) :], other.starts(), other.sizes
+    marked = np.zeros(len(seen), bool)
+    labels, root = np.unique(np.concatenate((a.label, other.label)), return_inverse=True)
+    own, root = root[: len(a.label)], root[len(a.label) :]
+    top = np.arange(len(labels))  # where each label stands now
+    found, at = [], 0
+    for i, n in enumerate(a.sizes.tolist()):
+        tokens = mine[at : at + n]
+        at += n
+        here = top[own[i]]
+        near = (top[root] != here) & (np.minimum(sizes, n) * den >= np.maximum(sizes, n) * num)
+        if b is None:
+            near[: i + 1] = False
+        if not near.any():
+            continue
+        marked[tokens] = True
+        if 4 * np.count_nonzero(near) < len(near):
+            which = np.flatnonzero(near)
+            both = np.add.reduceat(marked[theirs[np.repeat(near, sizes)]], np.cumsum(sizes[which]) - sizes[which], dtype=np.int64)
+        else:
+            which = np.arange(len(near))
+            both = np.where(near, np.add.reduceat(marked[theirs], starts, dtype=np.int64), 0)
+        marked[tokens] = False
+        for j in which[both * den >= num * (sizes[which] + n - both)].tolist():
+            if top[root[j]] != here:
+                found.append((int(a.node[i]), int(other.node[j])))
+                top[top == top[root[j]]] = here
+    return found
 
 
 def _open_groups(num: int, den: int):
-    """Links between query rows and the members of the groups they reach; a call has some hundred groups.
-
-    Rows whose labels earlier links of the call have joined are not compared: they are in one component.
-    """
-
-    def run(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple] = []
-        root: dict = {}
-
-        def top(x):
-            while root.get(x, x) != x:
-                root[x] = x = root.get(root[x], root[x])
-            return x
-
-        asked: dict = {}
-        for row in zip(queries["qg"], queries["qnode"], queries["qlabel"], queries["qtokens"]):
-            asked.setdefault(row[0], []).append(row[1:])
-        held: dict = {}
-        for row in zip(members["g"], members["node"], members["label"], members["tokens"]):
-            held.setdefault(row[0], []).append(row[1:])
-        for g, asks in asked.items():
-            rows = [(node, label, np.sort(np.asarray(t))) for node, label, t in held.get(g, [])]
-            if not rows:
-                continue
-            union = _distinct(np.concatenate([t for _, _, t in rows]))
-            least = min(len(t) for _, _, t in rows)
-            for node, label, tokens in asks:
-                q = np.sort(np.asarray(tokens))
-                if len(rows) > 1 and _shared(q, union) * den < num * max(len(q), least):
-                    continue  # no member can share enough
-                for other, own, s in rows:
-                    n = len(s)
-                    if top(own) == top(label) or min(n, len(q)) * den < num * max(n, len(q)):
-                        continue
-                    both = _shared(q, s)
-                    if both * den >= num * (n + len(q) - both):
-                        found.append((node, other))
-                        root[top(own)] = top(label)
-        return pd.DataFrame(found, columns=["a", "b"])
+    """Links between the rows of pairs of blocks; a call has pairs of some millions of tokens."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("pair", "ascending"), ("side", "ascending")]).combine_chunks()
+        pair, side, node, label = (table.column(c).to_numpy() for c in ("pair", "side", "node", "label"))
+        lists = table.column("tokens").chunk(0)
+        flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
+        begins = np.r_[0, ends]
+        cuts = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (side[1:] != side[:-1]), True])
+        found, held = [], None
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            rows = _Rows(node[x:y], label[x:y], np.diff(begins[x : y + 1]), flat[begins[x] : begins[y]])
+            if side[x] == 0:
+                held = rows
+            found += _links(rows, None, num, den) if side[x] == 2 else _links(held, rows, num, den) if side[x] == 1 else []
+        a, b = zip(*found) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -223,6 +262,14 @@ def link_components(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10
     Equal texts, and repeated rows, are linked. Null doc_ids stay as rows and never name a component
     that has any other id. Empty table: no rows.
     """
+    named = labelled(docs, width, num, den)
+    least = named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    return named.join(least, "label", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def labelled(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """As ``link_components``, but doc_id, text_key (hash of the text), n_shingles and label: rows of one label, and
+    no others, are linked, by whatever doc_id; null where a text has no word."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
     counts = spark.sparkContext.broadcast(shingle_counts(rows.select("text"), width))
@@ -236,12 +283,40 @@ def link_components(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10
     posted = unique.select("node", F.explode("prefix").alias("token"))
     shared = posted.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token")
     first = materialize(posted.join(shared, "token"), "postings")
-    postings = _enough(first, unique.select("node", "need"))
+    postings = _enough(first, unique.select("node", "need", F.size("prefix").alias("posted")))
     labels = _settle(rows, signed.withColumn("node", F.when(F.col("cls").isNotNull(), ids)), postings, width, num, den)
-    named = signed.select("doc_id", "n_shingles", F.when(F.col("cls").isNotNull(), ids).alias("node")).join(labels, "node", "left")
-    named = named.withColumn("label", F.coalesce("label", "node"))
-    least = named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "label", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = signed.select("doc_id", "text_key", "n_shingles", F.when(F.col("cls").isNotNull(), ids).alias("node")).join(labels, "node", "left")
+    return named.select("doc_id", "text_key", "n_shingles", F.coalesce("label", "node").alias("label"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """``docs`` with one row of each group of linked rows: the least doc_id, a null one only where there is no other.
+
+    Texts without words are linked with nothing, so all of them stay. Rows of one doc_id whose texts differ
+    are different rows; of rows that repeat a doc_id with its text one stays. All columns stay, of whatever
+    name; an empty table gives no rows. Keys of the rows that go are sent to every task where they are few,
+    and texts then stay in place.
+    """
+    key = "text key"
+    while key in docs.columns:
+        key += "_"
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_key")
+    rows = materialize(labelled(docs, width, num, den).filter("label is not null").groupBy("label", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")), "rows-of-labels")
+    ranked = rows.join(rows.groupBy("label").agg(F.min(order).alias("first")), "label").withColumn("stays", order == F.col("first"))
+    gone = materialize(ranked.filter("not stays").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")), "gone")
+    twice = ranked.filter("stays and n > 1").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"))
+    keyed = docs.withColumn(key, F.xxhash64(F.col("text").cast("string")))
+    same = lambda other: keyed["doc_id"].eqNullSafe(other["gone_id"]) & (keyed[key] == other["gone_key"])
+    kept = keyed.join(_small(gone), same(gone), "left_anti")
+    if not twice.limit(1).count():
+        return kept.drop(key)
+    twice = materialize(twice, "twice")
+    once = keyed.join(_small(twice), same(twice), "left_semi").dropDuplicates(["doc_id", key])
+    return kept.join(_small(twice), same(twice), "left_anti").unionByName(once).drop(key)
+
+
+def _small(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
 
 def _numbered(classes: DataFrame):
@@ -254,66 +329,73 @@ def _numbered(classes: DataFrame):
     raise RuntimeError("no seed keeps the classes apart")
 
 
-def _enough(postings: DataFrame, needs: DataFrame, rounds: int = 2) -> DataFrame:
-    """Postings of nodes that share as many as any partner needs; repeated, as leaving unshares others'."""
-    for _ in range(rounds):
-        kept = postings.groupBy("node").agg(F.count(F.lit(1)).alias("n")).join(needs, "node").filter("n >= need").select("node", "need")
-        left = postings.select("node", "token").join(kept, "node")
-        shared = left.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("low"), F.max("node").alias("high")).filter("c > 1").drop("c")
-        postings = materialize(left.join(shared, "token"), "postings")
-    return postings
+def _enough(postings: DataFrame, needs: DataFrame) -> DataFrame:
+    """Postings of nodes that share as many as any partner needs: node, token, alone (share of them that is not shared)."""
+    kept = postings.groupBy("node").agg(F.count(F.lit(1)).alias("n")).join(needs, "node").filter("n >= need")
+    left = postings.join(kept.select("node", (1 - F.col("n") / F.col("posted")).alias("alone")), "node")
+    # what they leave unshared leaves with them; of a posting's nodes, low shares most of its own
+    shared = left.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("alone", "node")).alias("low"), F.max("node").alias("high")).filter("c > 1").drop("c")
+    return materialize(left.join(shared, "token"), "postings")
 
 
 def _settle(rows: DataFrame, signed: DataFrame, postings: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """(node, label) of the classes that link with another class."""
     sets = _sets_of(rows, signed, postings.select("node").distinct(), width)
+    linked = materialize(_pivot_links(postings, sets, num, den), "star-links")
+    merged = components(linked).withColumn("merged", F.lit(True))
+    labelled = postings.select("token", "node").join(merged, "node", "left")
+    labelled = materialize(labelled.select("token", "node", F.coalesce("label", "node").alias("label"), F.coalesce("merged", F.lit(False)).alias("merged")), "labelled-postings")
+    open_tokens = labelled.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("token")
+    apart = labelled.join(open_tokens, "token")
+    group = F.when(F.col("merged"), F.xxhash64("label", F.lit(1))).otherwise(F.xxhash64("t", F.lit(0)))
+    members = apart.groupBy("node", "label", "merged").agg(F.min("token").alias("t")).join(sets.select("node", "n"), "node")
+    members = materialize(members.select("node", "label", "n", group.alias("g")), "groups")
+    sizes = members.groupBy("g").agg(
+        F.sum("n").alias("size"), F.ceil(F.sum("n") / BLOCK).alias("cuts"), F.min("n").alias("lo"), F.max("n").alias("hi"), (F.min("label") == F.max("label")).alias("one")
+    )
+    members = members.join(sizes.select("g", "cuts"), "g").withColumn("block", F.pmod(F.xxhash64("node"), F.col("cuts"))).drop("cuts")
+    # the matrix: which group has which posting, and the pairs of groups that have one in common
+    matrix = materialize(apart.select("token", "node").join(members.select("node", "g"), "node").select("token", "g").distinct(), "matrix")
+    # the larger group of a pair is the host, and meets all its smaller guests together, in blocks
+    facts = F.struct("size", "g", "lo", "hi", "cuts")
+    known, other = sizes.select("g", facts.alias("x")), sizes.select(F.col("g").alias("h"), facts.alias("y"))
+    met = matrix.join(matrix.withColumnRenamed("g", "h"), "token").filter("g < h").select("g", "h").distinct().join(known, "g").join(other, "h")
+    met = met.filter((F.col("x.hi") * den >= F.col("y.lo") * num) & (F.col("y.hi") * den >= F.col("x.lo") * num))
+    met = met.select(F.greatest("x", "y").alias("host"), F.least("x", "y").alias("guest"))
+    shares = met.groupBy("host.g").agg(F.ceil(F.sum("guest.size") / BLOCK).alias("shares"))
+    met = met.select(F.col("host.g").alias("host"), F.col("host.cuts").alias("cuts"), F.col("guest.g").alias("g")).join(shares.withColumnRenamed("g", "host"), "host")
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    pair = lambda kind, g, i, j: F.xxhash64(F.lit(kind), g, i, j).alias("pair")
+    hosts = members.join(shares, "g").withColumn("share", upto("shares")).select("node", "label", "n", pair(0, "g", "block", "share"), F.lit(0).alias("side"))
+    guests = members.select("node", "label", "n", "g").join(met, "g").withColumn("share", F.pmod(F.xxhash64("node"), F.col("shares"))).withColumn("block", upto("cuts"))
+    guests = guests.select("node", "label", "n", pair(0, "host", "block", "share"), F.lit(1).alias("side"))
+    # a group with several labels also meets itself; side 2: a block that meets itself
+    own = members.join(sizes.filter("not one").select("g", "cuts"), "g").withColumn("o", upto("cuts"))
+    own = own.select(
+        "node", "label", "n", pair(1, "g", F.least("block", "o"), F.greatest("block", "o")), F.when(F.col("o") == F.col("block"), 2).when(F.col("o") > F.col("block"), 0).otherwise(1).alias("side")
+    )
+    meeting = materialize(hosts.unionByName(guests).unionByName(own), "meetings")
+    load = meeting.agg(F.sum("n")).first()[0] or 0
+    task = F.pmod(F.xxhash64("pair"), F.lit(max(1, -(-load // TASK))))
+    meeting = meeting.join(sets.select("node", "tokens"), "node").select(task.alias("task"), "pair", "side", "node", "label", "tokens")
+    more = meeting.groupBy("task").applyInArrow(_open_groups(num, den), "a long, b long")
+    return components(materialize(linked.unionByName(more), "links"))
+
+
+def _pivot_links(postings: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) of nodes with the pivots of their postings."""
     left, right = sets.toDF("a", "na", "ta"), sets.toDF("b", "nb", "tb")
     stars = postings.groupBy("node").agg(F.min("low").alias("p"), F.max("high").alias("q"))
-    pairs = stars.select(F.col("node").alias("a"), F.explode(F.array("p", "q")).alias("b")).filter("a != b")
+    pairs = stars.select(F.col("node").alias("a"), F.explode(F.array("p.node", "q")).alias("b")).filter("a != b")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     both = F.size(F.array_intersect("ta", "tb")).cast("long")
-    linked = (
+    return (
         pairs.join(left, "a").join(right, "b")
         .filter(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
         .withColumn("both", both)
         .filter(F.col("both") * den >= (F.col("na") + F.col("nb") - F.col("both")) * num)
         .select("a", "b")
     )
-    linked = materialize(linked, "star-links")
-    merged = components(linked)
-    labelled = postings.select("token", "node", "need").join(merged, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    labelled = materialize(labelled, "labelled-postings")
-    open_tokens = labelled.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("token")
-    apart = labelled.join(open_tokens, "token")
-    # groups: a merged family, or what is single with the same first posting; cut to GROUP rows
-    family = apart.groupBy("node", "label", "need").agg(F.min("token").alias("t")).join(sets.select("node", "n"), "node")
-    family = family.withColumn("key", F.when(F.col("node") == F.col("label"), F.xxhash64("t")).otherwise(F.xxhash64("label")))
-    cut = family.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("cuts"))
-    groups = materialize(
-        family.join(cut, "key").select("node", "label", "n", "need", F.xxhash64("key", F.pmod(F.xxhash64("node"), F.col("cuts"))).alias("grp")), "groups"
-    )
-    spread = groups.groupBy(F.col("grp").alias("g")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    placed = apart.select("token", "node").join(groups.select("node", "grp", "n", "need"), "node")
-    reached = placed.select("token", F.col("grp").alias("g")).distinct().join(spread, "g")
-    queries = placed.join(reached, "token").filter("g >= grp").filter((F.col("n") * den >= F.col("lo") * num) & (F.col("hi") * den >= F.col("n") * num))
-    # a posting counts once per group, so this count is a bound for every member
-    queries = queries.groupBy("g", "node").agg(F.count(F.lit(1)).alias("hits"), F.first("need").alias("need")).filter("hits >= need")
-    queries = materialize(queries.select("g", "node"), "queries")
-    loads = queries.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("shares"))
-    tasks = max(1, -(-queries.count() // (8 * QUERIES)))
-    with_sets = groups.join(sets.select("node", "tokens"), "node")
-    task = F.pmod(F.xxhash64("g", "share"), F.lit(tasks))
-    asks = (
-        queries.join(loads, "g")
-        .withColumn("share", F.pmod(F.xxhash64("node"), F.col("shares")))
-        .join(with_sets.select("node", "label", "tokens"), "node")
-        .select(task.alias("qt"), F.col("g").alias("qg"), F.col("node").alias("qnode"), F.col("label").alias("qlabel"), F.col("tokens").alias("qtokens"))
-    )
-    opened = with_sets.join(loads, with_sets["grp"] == loads["g"])
-    opened = opened.select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), "node", "label", "tokens")
-    opened = opened.select(task.alias("t"), "g", "node", "label", "tokens")
-    more = asks.groupBy("qt").cogroup(opened.groupBy("t")).applyInPandas(_open_groups(num, den), "a long, b long")
-    return components(materialize(linked.unionByName(more), "links"))
 
 
 def _sets_of(rows: DataFrame, signed: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
