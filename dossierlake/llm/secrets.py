@@ -4,15 +4,23 @@ Each rule's regex gives a Boolean trigram query: an OR of alternatives, each an
 match must contain. Postings (text, trigram) of the trigrams in use are intersected per alternative;
 texts that satisfy one are candidates and verified by the regex itself. A rule without mandatory
 trigrams scans every text.
+
+Candidates are keys alone: where they are few enough to be sent to every task, texts stay where they were
+read; otherwise texts and candidates meet by key.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossierlake.llm.common import materialize
+
+BROADCAST_ROWS = 1_000_000  # rows of candidates, some 40 bytes each, that may be sent to every task
 MAX_STRINGS = 64  # alternatives that a stretch of a regex may spell
 
 
@@ -118,27 +126,53 @@ def candidates(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> tuple[DataF
 _NONE = "array<struct<start:int,order:int,kind:string,end:int,size:int>>"
 
 
-def _lengths(text: Column, rule: Rule) -> Column:
-    """Lengths of the text between the rule's matches, of the matches, and of the group that must be long enough."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), F.length)
-    size = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), F.length) if rule.group else found
-    return F.struct(F.transform(F.split(text, rule.pattern, -1), F.length).alias("between"), found.alias("found"), size.alias("size"))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
+def _running(steps: Column, combine: Callable[[Column, Column], Column] = lambda a, b: a + b) -> Column:
+    """Running sums (or maxima) of an array of int, by chunks of the root of its size: few steps a row even for many matches."""
+    total = lambda xs: F.aggregate(xs, F.lit(0), combine)
+    upto = lambda xs: F.transform(xs, lambda _, i: total(F.slice(xs, F.lit(1), i + 1)))
+
+    def chunked(xs: Column) -> Column:
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(xs))).cast("int"))
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / width).cast("int")), lambda c: F.slice(xs, c * width + 1, width))
+        return _let(chunks, lambda cs: _let(_shifted(_let(F.transform(cs, total), upto)), lambda before: F.flatten(
+            F.zip_with(cs, before, lambda c, b: F.transform(upto(c), lambda x: combine(x, b)))
+        )))
+
+    return F.when(F.size(steps) == 0, steps).otherwise(_let(steps, chunked))
 
 
-def _ends(m: Column) -> Column:
-    """The lengths and every match's end, from running sums."""
-    steps = F.zip_with(F.slice(m["between"], F.lit(1), F.size(m["found"])), m["found"], lambda a, b: a + b)
-    return F.struct(m["found"].alias("found"), m["size"].alias("size"), steps.alias("steps"))
+def _shifted(xs: Column) -> Column:
+    """Zero, then all values but the last."""
+    return _let(xs, lambda v: F.concat(F.array(F.lit(0)), F.slice(v, F.lit(1), F.size(v) - 1)))
 
 
-def _spans(m: Column, rule: Rule, order: int) -> Column:
+def _matched(rule: Rule) -> str:
+    """The rule's regex; a run of one class is asked for with its least length, so shorter runs are not listed."""
+    plain = re.fullmatch(r"\[[^\]]+\]\+", rule.pattern) and not rule.group
+    return f"{rule.pattern[:-1]}{{{rule.least},}}" if plain else rule.pattern
+
+
+def _spans(text: Column, rule: Rule, order: int) -> Column:
     """array<struct<start,order,kind,end,size>> of the matches, left to right, that are long enough."""
-    ends = F.transform(m["steps"], lambda _, i: F.aggregate(F.slice(m["steps"], F.lit(1), i + 1), F.lit(0), lambda s, x: s + x))
-    rows = F.transform(
-        F.arrays_zip(ends.alias("ends"), m["found"].alias("found"), m["size"].alias("size")),
-        lambda x: F.struct((x["ends"] - x["found"]).alias("start"), F.lit(order).alias("order"), F.lit(rule.kind).alias("kind"), x["ends"].alias("end"), x["size"].alias("size")),
-    )
-    return F.filter(rows, lambda x: x["size"] >= rule.least)
+    pattern = _matched(rule)
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
+    between = F.transform(F.split(text, pattern, -1), F.length)
+
+    def spans(found: Column) -> Column:
+        size = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group)), F.length) if rule.group else found
+        steps = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda a, b: a + b)
+        rows = F.transform(
+            F.arrays_zip(_let(steps, _running).alias("ends"), found.alias("found"), size.alias("size")),
+            lambda x: F.struct((x["ends"] - x["found"]).alias("start"), F.lit(order).alias("order"), F.lit(rule.kind).alias("kind"), x["ends"].alias("end"), x["size"].alias("size")),
+        )
+        return F.filter(rows, lambda x: x["size"] >= rule.least)
+
+    return _let(found, lambda f: F.when(F.size(f) > 0, spans(f)).otherwise(F.array().cast(_NONE)))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -150,40 +184,45 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     Texts meet their candidates by a hash: texts that share it by accident are verified needlessly, no
     more. Equal texts share one row of candidates, and the larger side of that join may be split.
     """
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return _scanned(rows, rules)
+
+
+def _scanned(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """``rows`` (doc_id of any type, text) with their ``spans``."""
+    rows = rows.withColumn("text_key", F.xxhash64("text"))
     kinds, scans = candidates(rows.select("text_key", "text"), rules)
+    kinds = materialize(kinds, "candidates")
+    if kinds.count() <= BROADCAST_ROWS:
+        kinds = F.broadcast(kinds)
     joined = rows.join(kinds, "text_key", "left")
-    # one step a column: a step is then evaluated once, however often the next refers to it
-    may = {}
-    for rule in rules:
-        least = f"{rule.pattern[:-1]}{{{rule.least},}}" if rule.pattern.endswith("]+") and not rule.group else rule.pattern
-        may[rule.kind] = F.col("text").rlike(least) if rule.kind in scans else F.array_contains("kinds", rule.kind)
-    steps = joined.select("doc_id", "text", *[F.when(may[r.kind], _lengths(F.col("text"), r)).alias(f"m_{r.kind}") for r in rules])
-    steps = steps.select("doc_id", "text", *[F.when(F.size(F.col(f"m_{r.kind}")["found"]) > 0, _ends(F.col(f"m_{r.kind}"))).alias(f"e_{r.kind}") for r in rules])
-    each = [F.when(F.col(f"e_{r.kind}").isNotNull(), _spans(F.col(f"e_{r.kind}"), r, k)).otherwise(F.array().cast(_NONE)) for k, r in enumerate(rules)]
-    return steps.select("doc_id", "text", F.array_sort(F.concat(*each)).alias("spans"))
+    each = []
+    for k, rule in enumerate(rules):
+        may = F.col("text").rlike(_matched(rule)) if rule.kind in scans else F.array_contains("kinds", rule.kind)
+        each.append(F.when(may, _spans(F.col("text"), rule, k)).otherwise(F.array().cast(_NONE)))
+    return joined.select("doc_id", "text", F.array_sort(F.concat(*each)).alias("spans"))
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with every secret's span blanked out as [SECRET]; all columns stay, null texts stay null.
 
-    Overlapping spans are blanked once. Column order stays; n_chars is left as it was read.
+    Overlapping spans are blanked once. Column order stays; where there is a column n_chars, a text that
+    changed has its new length there. Columns of any name may come along.
     """
-    keep = docs.withColumn("_row", F.struct(*docs.columns))
-    found = scan(keep.select(F.col("_row").alias("doc_id"), "text"), rules)
-    # walk the spans in order: text up to a span that starts after the last end, then the mark
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    walked = F.aggregate(
-        "spans",
-        start,
-        lambda acc, s: F.when(
-            s["end"] > acc["at"],
-            F.struct(
-                s["end"].alias("at"),
-                F.when(s["start"] >= acc["at"], F.concat(acc["parts"], F.array(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("[SECRET]")))).otherwise(acc["parts"]).alias("parts"),
-            ),
-        ).otherwise(acc),
-        lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))),
-    )
-    text = F.when(F.col("doc_id.text").isNull(), None).when(F.size("spans") == 0, F.col("text")).otherwise(walked)
-    return found.select(*[text.alias(c) if c == "text" else F.col("doc_id")[c].alias(c) for c in docs.columns])
+    rest = [c for c in docs.columns if c != "text"]
+    packed = F.struct(F.col("text").isNull().alias("null"), F.struct(*rest, F.lit(0).alias("last of all columns")).alias("rest"))
+    found = _scanned(docs.select(packed.alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), rules)
+    # a span that starts after all earlier ones ended is the text since then and the mark; others add nothing
+    ended = _running(F.transform("spans", lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+    walked = _let(ended, lambda ends: F.concat(
+        F.array_join(F.zip_with("spans", _shifted(ends), lambda s, at: F.when(
+            s["start"] >= at, F.concat(F.substring(F.col("text"), at + 1, s["start"] - at), F.lit("[SECRET]"))
+        ).otherwise("")), ""),
+        F.substring(F.col("text"), F.element_at(ends, -1) + 1, F.length("text")),
+    ))
+    text = F.when(F.col("doc_id.null"), None).when(F.size("spans") == 0, F.col("text")).otherwise(walked)
+    found = found.select("doc_id", (F.size("spans") > 0).alias("changed"), text.alias("text"))
+    columns = {c: F.col("doc_id.rest")[c] for c in rest} | {"text": F.col("text")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("changed"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
+    return found.select(*[columns[c].alias(c) for c in docs.columns])
