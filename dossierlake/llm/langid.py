@@ -24,17 +24,15 @@ HASHES = 2
 SLOT_BITS = 18
 PER_LANGUAGE = 4000  # n-grams of each order that a language keeps
 SAMPLE_PER_LANGUAGE = 3000  # documents of a language that its n-grams are learnt from, in hash order
-MAX_LANGUAGES = 64
+PARTS = 64  # parts of a language's n-grams that are ranked by themselves first
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _letters() -> np.ndarray:
-    """Code point -> folded letter number; 0 for all that is no letter. Above U+FFFF letters fold to one."""
-    table = np.zeros(0x10000, np.uint32)
-    for c in range(0x10000):
-        if 0xD800 <= c < 0xE000:
-            continue
+    """Code point -> lower-case letter; 0 for all that is no letter."""
+    table = np.zeros(0x110000, np.uint32)
+    for c in range(0x110000):
         ch = chr(c)
         if unicodedata.category(ch)[0] == "L":
             low = ch.lower()
@@ -51,10 +49,7 @@ def _codes(text: str) -> np.ndarray:
         _table.append(_letters())
     raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     codes = np.zeros(len(raw) + 2, np.uint32)
-    if len(raw) and raw.max() > 0xFFFF:
-        codes[1:-1] = np.where(raw > 0xFFFF, np.uint32(0x10000), _table[0][np.minimum(raw, 0xFFFF)])
-    else:
-        np.take(_table[0], raw, out=codes[1:-1])
+    np.take(_table[0], raw, out=codes[1:-1])
     keep = np.ones(len(codes), bool)
     keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0)
     return codes[keep]
@@ -68,7 +63,7 @@ def _grams(codes: np.ndarray, n: int) -> np.ndarray:
     m = len(c) - n + 1
     out = c[:m].copy()
     for j in range(1, n):
-        out = out * np.uint64(0x20001) + c[j : j + m]
+        out = out * np.uint64(0x110001) + c[j : j + m]
     inner = np.ones(m, bool)
     for j in range(1, n - 1):
         inner &= codes[j : j + m] != 0
@@ -102,12 +97,14 @@ class Filters:
     def __init__(self, languages: list[str], grams: dict[str, np.ndarray]):
         self.languages = languages
         self._small: np.ndarray | None = None  # masks of one byte, for few languages
-        self.masks = np.zeros(1 << SLOT_BITS, np.uint64)
-        for bit, lang in enumerate(languages):
+        self.masks = np.zeros((-(-len(languages) // 64), 1 << SLOT_BITS), np.uint64)  # 64 languages a row
+        rates = []
+        for k, lang in enumerate(languages):
+            bit = np.uint64(1) << np.uint64(k % 64)
             for s in _slots(grams[lang]):
-                self.masks[s] |= np.uint64(1) << np.uint64(bit)
-        bits = [np.uint64(1) << np.uint64(b) for b in range(len(languages))]
-        self.false_rate = np.array([((self.masks & b) != 0).mean() ** HASHES for b in bits])
+                self.masks[k // 64, s] |= bit
+            rates.append(((self.masks[k // 64] & bit) != 0).mean() ** HASHES)
+        self.false_rate = np.array(rates)
 
     def shares(self, text: str) -> np.ndarray | None:
         """Corrected share of the text's n-grams that each language contains; None without a letter."""
@@ -115,9 +112,8 @@ class Filters:
         if not codes.any():
             return None
         small = len(self.languages) <= 8
-        masks = self.masks.astype(np.uint8) if small and self._small is None else self._small if small else self.masks
         if small and self._small is None:
-            self._small = masks
+            self._small = self.masks.astype(np.uint8)
             self._bit = np.array([[m >> b & 1 for b in range(len(self.languages))] for m in range(256)], np.int64)
         hits, total = np.zeros(len(self.languages)), 0
         step = 1 << 20
@@ -126,14 +122,16 @@ class Filters:
             for n in ORDERS:
                 g = _grams(window[: step + n - 1], n)
                 slots = _slots(g)
-                mask = masks[slots[0]]
-                for s in slots[1:]:
-                    mask = mask & masks[s]
                 total += len(g)
-                if small:
-                    hits += np.bincount(mask, minlength=256) @ self._bit
-                else:
-                    hits += [np.count_nonzero((mask >> np.uint64(b)) & np.uint64(1)) for b in range(len(self.languages))]
+                for k, row in enumerate(self._small if small else self.masks):
+                    mask = row[slots[0]]
+                    for s in slots[1:]:
+                        mask = mask & row[s]
+                    if small:
+                        hits += np.bincount(mask, minlength=256) @ self._bit
+                    else:
+                        counts = np.unpackbits(mask.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+                        hits[64 * k : 64 * k + 64] += counts[: len(hits) - 64 * k]
         return (hits / max(total, 1) - self.false_rate) / (1 - self.false_rate)
 
 
@@ -142,17 +140,15 @@ def learn(examples: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> Filters:
 
     N-grams are counted over about ``sample`` documents of each language, by a hash of text and id; a
     language keeps its ``PER_LANGUAGE`` most frequent n-grams of each order. The driver receives those
-    n-grams alone. Languages beyond ``MAX_LANGUAGES`` raise an error.
+    n-grams alone. There may be any number of languages: a mask takes another 64 bits for each 64 of them.
     """
     rows = examples.filter("text is not null and lang is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
     chosen = bounded_sample(rows, "lang", sample).select("lang", "text")
     counted = chosen.mapInPandas(_count, "lang string, n int, gram long, k long")
     total = counted.groupBy("lang", "n", "gram").agg(F.sum("k").alias("k"))
-    best = Window.partitionBy("lang", "n").orderBy(F.desc("k"), "gram")
-    kept = total.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= PER_LANGUAGE).select("lang", "gram").toPandas()
+    first = lambda rows, *by: rows.withColumn("r", F.row_number().over(Window.partitionBy("lang", "n", *by).orderBy(F.desc("k"), "gram"))).filter(F.col("r") <= PER_LANGUAGE)
+    kept = first(first(total.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(PARTS))), "part")).select("lang", "gram").toPandas()
     languages = sorted(kept["lang"].unique())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; a mask has {MAX_LANGUAGES} bits")
     return Filters(languages, {x: kept.loc[kept["lang"] == x, "gram"].to_numpy(np.int64).view(np.uint64) for x in languages})
 
 
