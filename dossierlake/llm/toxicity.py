@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -40,7 +40,7 @@ _KINDS = np.array([1 if chr(c).isalpha() else (2 if chr(c) in " .-_*" else 0) |
 #: a sign before a letter within a word or after a letter at its end; one letter at a time, four or more; a letter three times or more
 _SWAPPED = regex.compile(r"(?<!\S)[^\s]*?(?:(?:(?<=[^\W\d_])[0-9@$!|+(*]++|(?<!\S)[0-9@$!|+(]++)(?=[^\W\d_])|(?<=[^\W\d_])[0-9@$+]++(?![^\W_]))\S*")
 _APART = regex.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*][\p{L}0-9@$!]){3,}(?![^\W_])")
-_LONG = regex.compile(r"[^\W\d_]*([^\W\d_])\1\1+[^\W\d_]*")
+_TRIPLE = regex.compile(r"([^\W\d_])\1\1+")
 _WORD = regex.compile(r"[^\W\d_]+")
 AROUND = 3  # tokens on both sides that tell a term's places apart
 
@@ -57,6 +57,19 @@ def _suspect(low: str) -> tuple[bool, bool, bool]:
     return apart, swapped, bool((letter[2:] & (codes[2:] == codes[1:-1]) & (codes[2:] == codes[:-2])).any())
 
 
+def _stretched(low: str, read: Callable[[str], str]) -> str:
+    """The text with every word that has a letter three times in a row read anew; each letter is looked at once or twice."""
+    out, at = [], 0
+    while m := _TRIPLE.search(low, at):
+        a = m.start()
+        while a > at and _WORD.match(low, a - 1, a):
+            a -= 1
+        b = _WORD.match(low, m.start()).end()
+        out += low[at:a], read(low[a:b])
+        at = b
+    return "".join(out) + low[at:]
+
+
 def _lattice(span: str, apart: bool) -> list[tuple[str, int, str]]:
     """Letter choices of each place, how often they stood there, and what stands there if it ends a word.
 
@@ -231,17 +244,17 @@ class Model:
             self._prepare()
         low = text.lower()
 
-        def read(m, apart: bool = False) -> str:
-            span = m.group().strip(".,;:?\"'()[]|#%&*!")
-            return self.restore(span, apart) if len(span) >= 3 else m.group()
+        def read(whole: str, apart: bool = False) -> str:
+            span = whole.strip(".,;:?\"'()[]|#%&*!")
+            return self.restore(span, apart) if len(span) >= 3 else whole
 
         apart, swapped, long = _suspect(low)
         if apart:
-            low = _APART.sub(lambda m: read(m, True), low)
+            low = _APART.sub(lambda m: read(m.group(), True), low)
         if swapped:
-            low = _SWAPPED.sub(read, low)
+            low = _SWAPPED.sub(lambda m: read(m.group()), low)
         if long:
-            low = _LONG.sub(read, low)
+            low = _stretched(low, read)
         return low
 
     def features(self, text: str | None) -> tuple[float, float, float]:
