@@ -1,10 +1,13 @@
 """The operators against brute force, exact round trips and planted cases."""
 
+import random
 import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -36,7 +39,22 @@ def test_bpe_is_the_library(spark):
 def test_tree_concatenation(leaf):
     enc, library = bpe.load(PATH), Tokenizer.from_file(PATH)
     for word in ("thenationingand" * 40, "a" * 999, "antidisestablishment" * 7 + "e"):
-        assert enc.merge_long(enc.symbols(word), leaf).tolist() == library.encode(word, add_special_tokens=False).ids
+        raw = np.frombuffer(word.encode(), np.uint8)
+        symbols = np.r_[enc.inner[raw[:-1]], enc.final[raw[-1:]]]
+        ids, counts = enc.tree(np.r_[symbols, symbols[-3:]], np.array([len(word), 3]), leaf)
+        assert ids[: counts[0]].tolist() == library.encode(word, add_special_tokens=False).ids
+        assert ids.tolist() == enc.merge(np.r_[symbols, symbols[-3:]], np.array([len(word), 3]))[0].tolist()
+
+
+def test_encoding_of_odd_strings():
+    enc, library, rnd = bpe.load(PATH), Tokenizer.from_file(PATH), random.Random(3)
+    alphabet = [*"abcdeé'ñ ßΣσÉ漢0 1\t\n\x1c\x0b\xa0.,<|>'st", "<|endoftext|>", "'re", "e\u0301", "\U0001f600", "\U0001d400", "İ", "ǅ", "\u200b", "²", "Ⅷ"]
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(60))) for _ in range(3000)] + ["", None, "x" * 100_000, "thenationingand" * 20_000]
+    held = bpe.Texts(enc, pa.array(["sliced off", *texts], pa.string()).slice(1))
+    ids, ends = held.tokens()
+    for i, (t, decoded) in enumerate(zip(texts, held.spelled(enc.names))):
+        want = library.encode(t or "", add_special_tokens=False).ids
+        assert ids[ends[i] : ends[i + 1]].tolist() == want and decoded == library.decode(want, skip_special_tokens=False)
 
 
 def test_media_round_trip(spark):
@@ -118,8 +136,6 @@ def test_licenses(spark):
 
 
 def test_topk(spark):
-    import random
-
     rnd = random.Random(5)
     vecs = [[rnd.uniform(-1, 1) for _ in range(6)] for _ in range(300)] + [[0.5] * 6] * 4 + [None, [None] * 6, [float("nan")] * 6]
     frame = spark.createDataFrame(list(enumerate(vecs)), "vec_id long, embedding array<float>")
@@ -136,8 +152,6 @@ def test_topk(spark):
 
 
 def test_topk_repeated_rows(spark):
-    import random
-
     rnd = random.Random(7)
     once = spark.createDataFrame([(i, [rnd.randint(-9, 9) for _ in range(4)]) for i in range(60)], "vec_id long, v array<long>")
     again = once.unionByName(once.filter("vec_id % 20 = 0 or vec_id < 30")).unionByName(once.filter("vec_id = 20"))
@@ -162,6 +176,28 @@ def test_packing(spark):
     assert packing.pack_documents(empty(spark), PATH).count() == 0
 
 
+def test_packing_rounds(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART", 30)
+    monkeypatch.setattr(packing, "FAN_IN", 2)
+    sizes = [2500] * 100 + [1400] * 300 + [7] * 50  # 200 bins of 2500 + 1400, or one of 2500 and one of 1400
+    frame = spark.createDataFrame(list(enumerate(sizes)), "uid long, length long")
+    for residue in (2000, 3):
+        monkeypatch.setattr(packing, "RESIDUE", residue)
+        got = packing.pack(frame).toPandas().sort_values("uid")
+        assert got.uid.tolist() == list(range(len(sizes)))
+        ends = got.offset + np.array(sizes)
+        for _, s in got.assign(end=ends).sort_values("offset").groupby("sequence_id"):
+            assert s.end.tolist()[:-1] == s.offset.tolist()[1:] and s.offset.iloc[0] == 0 and s.end.max() <= 4096
+        # longest first in one place gives 100 + 100 bins; a part costs one more at most
+        assert 200 <= got.sequence_id.nunique() <= 200 + 15
+
+
+def test_packing_repeated_rows(spark):
+    frame = spark.createDataFrame([(1, "a b c")] * 3 + [(None, None)], "doc_id long, text string")
+    got = packing.pack_documents(frame, PATH).toPandas().sort_values("offset")
+    assert got.length.tolist().count(1) == 1 and len(got) == 4 and got.sequence_id.nunique() == 1 and got.offset.is_unique
+
+
 def labelled(spark, good, bad, column):
     rows = [(i, f"{good} {i} {chr(97 + i % 26)}ord", 1) for i in range(120)] + [(500 + i, f"{bad} {i} {chr(97 + i % 26)}ord", 0) for i in range(120)]
     return spark.createDataFrame(rows, f"doc_id long, text string, {column} int")
@@ -223,3 +259,135 @@ def test_labelled_sample(spark):
     assert sorted((r["doc_id"], r["text"], r["quality"]) for r in got.collect()) == [(1, "a", 1), (4, "d", 0)]
     assert labelled_sample(texts.limit(0), labels, "quality", 100).count() == 0
     assert labelled_sample(texts, labels.limit(0), "quality", 100).count() == 0
+
+
+def test_languages_letters_and_many(spark):
+    rows = [(100 * k + i, f"{chr(97 + k % 26)}{chr(97 + k // 26)}x" * 4 + f" {chr(97 + k % 26)}{chr(98 + k // 26)}yz", f"l{k:02d}") for k in range(70) for i in range(3)]
+    f = langid.learn(spark.createDataFrame(rows + rows[:5], "doc_id long, text string, lang string"))
+    assert len(f.languages) == 70 and f.masks.shape[0] == 2
+    texts = [rows[3 * 68][1], rows[0][1], "\U0001f600 12", "\U0001d400\U0001d401", "\U00010330\U00010331", rows[0][1] * 30_000]
+    got = [r["lang_pred"] for r in sorted(langid.identify(docs(spark, texts).drop("doc_id").selectExpr("monotonically_increasing_id() doc_id", "text", "node as lang").coalesce(1), f).collect())]
+    # an emoji is no letter; astral letters are, even if no language has them
+    assert sorted(got) == sorted(["l68", "l00", "und", got[3], got[4], "l00"]) and got.count("und") == 1
+
+
+def test_languages_against_sets(spark):
+    rows = [(i, f"the cat and the dog run over there {i}", "en") for i in range(40)] + [(100 + i, f"der hund und die katze laufen dort {i}", "de") for i in range(40)]
+    f = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    grams = {x: {g for _, t, lang in rows if lang == x for n in langid.ORDERS for g in langid._grams(langid._codes(t), n).tolist()} for x in f.languages}
+    for text in ("the dog", "die katze and the cat", "xyz xyz", "a b"):
+        own = [g for n in langid.ORDERS for g in langid._grams(langid._codes(text), n).tolist()]
+        exact = np.array([sum(g in grams[x] for g in own) / max(len(own), 1) for x in f.languages])
+        assert np.abs(np.maximum(f.shares(text), 0) - exact).max() < 0.02
+
+
+def test_toxicity_long_words():
+    model = toxicity.Model({"^^s": 5, "^st": 5, "stu": 5, "tup": 5, "upi": 5, "pid": 5, "id$": 5}, {"=stupid": 3.0})
+    text = "a" * 300_000 + " " + "abab" * 100_000 + " s" + "t" * 50_000 + "upid " + "x-" * 50_000
+    import time
+
+    begun = time.time()
+    assert model.features(text)[2] == 1.0 and time.time() - begun < 30
+    assert toxicity._stretched("xx aaab_bccc 1ddd", str.upper) == "xx AAAB_BCCC 1DDD"
+
+
+def all_paths(model, span):
+    """The cheapest reading of a short stretch of letters and signs without separators, over all spellings."""
+    from itertools import product
+
+    best = None
+    for spelling in product(*[toxicity.SIGNS.get(c, c) for c in span]):
+        w = "^^" + "".join(spelling) + "$"
+        cost = sum(model._cost(w[i : i + 2], w[i + 2]) for i in range(len(w) - 2))
+        best = min(best, (cost, "".join(spelling))) if best else (cost, "".join(spelling))
+    return best[1]
+
+
+def test_toxicity_against_all_paths():
+    words = "shade state stone glass close level signal bottle little".split()
+    letters = Counter(("^^" + w + "$")[i : i + 3] for w in words for i in range(len(w) + 1))
+    model = toxicity.Model({g: 50 * n for g, n in letters.items()}, {})
+    model._prepare()
+    for span in ("sh4de", "st0ne", "cl0se", "5igna1", "b0ttle", "l1ttle"):
+        assert model.restore(span) == all_paths(model, span)
+
+
+def test_secrets_very_long_text(spark):
+    import time
+
+    text = " ".join(f"token: abcdef{i}" for i in range(20_000)) + " " + "deadbeef" * 5 + " be fed a dad " * 30_000
+    begun = time.time()
+    got = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["spans"]
+    assert [(s["start"], s["order"], s["kind"], s["end"]) for s in got] == brute_spans(text) and time.time() - begun < 60
+
+
+def test_redact_keeps_columns(spark):
+    text = "x token=abcdef1 y"
+    frame = spark.createDataFrame([(7, text, len(text), "a", "b", "c"), (None, None, None, None, None, None), (8, "plain", 99, "a", "b", "c")], "doc_id long, text string, n_chars int, kinds string, spans string, text_key string")
+    got = {r["doc_id"]: r for r in secrets.redact(frame).collect()}
+    assert secrets.redact(frame).columns == frame.columns
+    assert got[7]["text"] == "x [SECRET] y" and got[7]["n_chars"] == 12 and got[7]["spans"] == "b"
+    assert got[None]["text"] is None and got[8]["n_chars"] == 99
+
+
+def test_media_digest_against_plain(spark):
+    import hashlib
+
+    texts = [None, "", "same", "same", "é" * 5000, "x" * 70_000]
+    got = {r["doc_id"]: r for r in media.digest(media.encode_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        padded = raw + bytes(64 - len(raw) % 64 if len(raw) % 64 or not raw else 0)
+        r = got[i]
+        assert (r["n_bytes"], r["payload_bytes"]) == (len(raw), len(padded))
+        assert r["payload_sha256"] == hashlib.sha256(padded).hexdigest() and r["tail_crc32"] == zlib.crc32(padded[-64:])
+    assert got[2]["feature"] == got[3]["feature"]
+
+
+def test_quality_against_plain(spark):
+    import zstandard
+
+    model = quality.learn(labelled(spark, "the river runs along the valley and the fields", "$$$ %%% buy now ### click ***", "quality"))
+    for text in ("the river and the valley fields", "$$$ click", "x" * 500):
+        sizes = [len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False).compress(text.encode())) for d in (model.good, model.bad)]
+        assert abs(model.features(text)[0] - (sizes[1] - sizes[0]) / sum(sizes)) < 0.05
+    again = quality.learn(labelled(spark, "the river runs along the valley and the fields", "$$$ %%% buy now ### click ***", "quality").repartition(5))
+    assert again.good == model.good and np.allclose(again.weights, model.weights)
+    twice = labelled(spark, "a b c", "d e f", "quality")
+    assert quality.learn(twice.unionByName(twice.selectExpr("cast(null as long) doc_id", "text", "quality"))).weights is not None
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline as pipe
+
+    good = [f"the river runs along the valley and the fields number {i} with water stones and trees {i * 7}" for i in range(60)]
+    bad = [f"$$$ %%% buy now ### click *** {i} $$$ ### %%% &&& {i}" for i in range(60)]
+    rude = [f"you stupid idiot go away now from river {i} and the valley fields stay there please {i * 3}" for i in range(60)]
+    rows = [(i, t, "en", "s", len(t), "x") for i, t in enumerate(good + bad + rude)] + [(0, good[0], "en", "s", 1, "x"), (300, None, None, None, None, None), (301, "", "en", "s", 0, "x"), (302, "  ", "en", "s", 2, "x"), (None, "river valley fields token=abcdef99", "en", "s", 3, "x")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, spans string"
+    labels = [(i, int(i < 60 or i >= 120), int(i >= 120)) for i in range(180)]
+    docs = spark.createDataFrame(rows, schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert [n for n, _ in pipe.STAGES] == ["quality", "toxicity", "near_duplicates", "secrets", "packing"]
+    for frame in (docs, docs.limit(0), docs.unionByName(docs)):
+        for name, stage in pipe.STAGES:
+            out = stage(spark, frame, str(tmp_path))
+            assert name == "packing" or out.columns == docs.columns
+            out = out.toPandas()
+            assert len(out) <= len(frame.toPandas()) or name == "packing"
+    kept = lambda k: set(pipe.STAGES[k][1](spark, docs, str(tmp_path)).toPandas().doc_id.dropna().astype(int))
+    assert not kept(0) & set(range(60, 120)) and set(range(60)) <= kept(0)
+    assert not kept(1) & set(range(120, 180)) and set(range(60)) <= kept(1)
+    one = pipe.STAGES[2][1](spark, docs, str(tmp_path)).toPandas()
+    assert (one.doc_id == 0).sum() == 1 and {300, 301, 302} <= set(one.doc_id.dropna()) and one.doc_id.isna().sum() == 1
+    assert pipe.run(spark, str(tmp_path)).count() > 0
+
+
+def test_one_of_each_group_keeps_other_texts_of_an_id(spark):
+    import corpus_pipeline as pipe
+
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    frame = spark.createDataFrame([(1, a), (1, b), (1, a), (2, a), (3, a + " tail")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["text"]) for r in pipe.one_of_each_group(spark, frame, "").collect())
+    assert got == [(1, a), (1, b)]
