@@ -17,12 +17,15 @@ GOOD, TOXIC = 0.3, 0.7
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score reaches ``GOOD``."""
+    """Documents whose quality score reaches ``GOOD``, repeated rows and null ids alike.
+
+    Null and empty texts have the base score of the calibration, which decides for all of them.
+    """
     return _kept(docs, quality.filter_texts(docs, queries.quality_model(spark, sf_dir), lambda score: score >= GOOD))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score stays under ``TOXIC``."""
+    """Documents whose toxicity score stays under ``TOXIC``; null and empty texts have no toxic term and stay."""
     return _kept(docs, quality.filter_texts(docs, queries.toxicity_model(spark, sf_dir), lambda score: score < TOXIC))
 
 
@@ -31,23 +34,21 @@ def _kept(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of near copies (five words, similarity 0.8).
+    """One document of each group of near copies (five words, similarity 0.8), the least doc_id.
 
-    Of rows that share that doc_id one stays; documents without a doc_id stay as they are.
+    Documents without words are copies of nothing and stay; of rows that repeat an id with its text one
+    stays; rows of one id whose texts differ are judged by themselves. No rows from no rows.
     """
-    named = jaccard.link_components(docs, width=5, num=8, den=10)
-    firsts = named.filter("doc_id = component_id").select("doc_id").distinct()
-    once = docs.filter("doc_id is not null").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    return jaccard.one_of_each(docs, width=5, num=8, den=10)
 
 
 def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets blanked out."""
+    """All documents, their secrets blanked out; null and empty texts stay as they are. No rows from no rows."""
     return secrets.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents placed in sequences of 4096 tokens."""
+    """Pieces of all documents placed in sequences of 4096 tokens; a null or empty text is its end id alone."""
     return packing.pack_documents(docs, queries.vocabulary())
 
 
