@@ -6,6 +6,7 @@ import html as entities
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,79 +15,79 @@ from pyspark.sql import types as T
 MOST_ACROSS, MOST_DOWN = 1000, 65534  # fixed values: the spans that HTML allows
 LEAST_BOXES, LEAST_ROWS, LEAST_COLUMNS, LEAST_IN_COLUMN = 6, 3, 2, 3  # fixed values: what makes boxes look like a table
 
-_TAG = re.compile(r"<!--.*?-->|<(/?)([a-zA-Z][a-zA-Z0-9]*)\b([^>]*)>", re.S)
-
-
-def _tables(page: str) -> Iterator[list[list[tuple[str, int, int]]]]:
-    """Rows of (text, rows down, columns across) of each outermost table; unclosed cells and rows are left out."""
-    depth, at, rows, row, cell = 0, 0, [], None, None
-    down = across = 1
-    for tag in _TAG.finditer(page):
-        if depth == 1 and cell is not None:
-            cell.append(entities.unescape(page[at : tag.start()]))
-        at, closing, name = tag.end(), tag[1] == "/", (tag[2] or "").lower()
-        if name == "table":
-            if closing and depth == 1 and rows:
-                yield rows
-            depth = max(0, depth - 1) if closing else depth + 1
-            if depth == 1 and not closing:
-                rows, row, cell = [], None, None
-        elif depth != 1:
-            continue
-        elif name == "tr":
-            if closing and row is not None:
-                rows.append(row)
-            row = None if closing else []
-        elif name in ("td", "th") and not closing:
-            down, across, cell = _span(tag[3], "rowspan", MOST_DOWN), _span(tag[3], "colspan", MOST_ACROSS), []
-        elif name in ("td", "th") and cell is not None:
-            if row is not None:
-                row.append((" ".join("".join(cell).split()), down, across))
-            cell = None
-        elif name == "br" and cell is not None:
-            cell.append("\n")
-
-
-def _span(attributes: str, name: str, most: int) -> int:
-    found = re.search(rf"\b{name}\s*=\s*[\"']?\s*(\d+)", attributes, re.I)
-    return min(max(int(found[1]), 1), most) if found else 1
+_TAG = re.compile(r"<!--.*?-->|<(/?)(table|tr|td|th|br)\b([^>]*)>|<[/a-zA-Z][^>]*>", re.S | re.I)
+
+
+class _Element:
+    """A part of a page: its kind, its attributes, texts and elements in it, and whether it was closed."""
+
+    def __init__(self, kind: str, attributes: str = ""):
+        self.kind, self.attributes, self.closed = kind, attributes, False
+        self.content: list[str | _Element] = []
+
+    def within(self, kinds: set[str]) -> Iterator[_Element]:
+        """Closed elements of ``kinds`` in it, in order, but none inside a table that it holds."""
+        for x in self.content:
+            if isinstance(x, _Element):
+                if x.kind in kinds and x.closed:
+                    yield x
+                if x.kind != "table":
+                    yield from x.within(kinds)
+
+    def text(self) -> str:
+        return "".join(x if isinstance(x, str) else "" if x.kind == "table" else x.text() for x in self.content)
+
+    def number(self, name: str, most: int) -> int:
+        found = re.search(rf"\b{name}\s*=\s*[\"']?\s*(\d+)", self.attributes, re.I)
+        return min(max(int(found[1]), 1), most) if found else 1
+
+
+def _tree(page: str) -> _Element:
+    """The page as a tree of tables, rows and cells. A closing tag closes the nearest open element of its kind in its table."""
+    root = _Element("page")
+    open_ones, at = [root], 0
+    for tag in [*_TAG.finditer(page), None]:
+        open_ones[-1].content.append(entities.unescape(page[at : tag.start() if tag else len(page)]))
+        at = tag.end() if tag else at
+        kind = tag[2].lower() if tag and tag[2] else ""
+        if kind == "br":
+            open_ones[-1].content.append("\n")
+        elif kind and not tag[1]:
+            new = _Element(kind, tag[3])
+            open_ones[-1].content.append(new)
+            open_ones.append(new)
+        elif kind:
+            inside = max((k for k, e in enumerate(open_ones) if e.kind == "table"), default=0)
+            k = max((k for k, e in enumerate(open_ones) if e.kind == kind and k >= inside), default=0)
+            if k:
+                open_ones[k].closed = True
+                del open_ones[k:]
+    return root
+
+
+def _tables(page: str) -> list[list[list[tuple[str, int, int]]]]:
+    """Rows of (text, rows down, columns across) of each outermost table; what was never closed is left out."""
+    cells = lambda row: [(" ".join(c.text().split()), c.number("rowspan", MOST_DOWN), c.number("colspan", MOST_ACROSS)) for c in row.within({"td", "th"})]
+    tables = [[cells(row) for row in table.within({"tr"})] for table in _tree(page).within({"table"})]
+    return [rows for rows in tables if rows]
 
 
 def place(rows: list[list[tuple[str, int, int]]]) -> list[list[str]]:
-    """The grid of cells. A cell's text stands in its first column, in every row it reaches down to; its other columns are blank."""
-    due: dict[int, tuple[int, str]] = {}  # column: rows still to fill, text
-    grid = []
-
-    def take(line: dict[int, str], col: int) -> None:
-        left, line[col] = due.pop(col)
-        if left > 1:
-            due[col] = (left - 1, line[col])
-
-    def skip(line: dict[int, str], col: int) -> int:
-        while col in due:
-            take(line, col)
-            col += 1
-        return col
-
-    for k in range(len(rows) + MOST_DOWN):
-        line: dict[int, str] = {}
-        if k < len(rows):
-            col = 0
-            for text, down, across in rows[k]:
-                col = skip(line, col)
-                for c in range(col, col + across):
-                    line[c] = text if c == col else ""
-                    if down > 1:
-                        due[c] = (down - 1, line[c])
-                col += across
-            skip(line, col)
-        elif due:
-            for c in sorted(due):
-                take(line, c)
-        else:
-            break
-        grid.append([line.get(c, "").strip() for c in range(max(line, default=-1) + 1)])
-    return grid
+    """The grid of cells: each takes the first free place of its row and all places that it spans.
+
+    A cell's text stands in its first column, in every row it reaches down to; its other columns are blank.
+    """
+    grid: list[dict[int, str]] = [{} for _ in rows]
+    for r, cells in enumerate(rows):
+        free = 0
+        for text, down, across in cells:
+            while free in grid[r]:
+                free += 1
+            grid += [{} for _ in range(r + down - len(grid))]
+            for line in grid[r : r + down]:
+                line |= dict.fromkeys(range(free, free + across), "") | {free: text.strip()}
+            free += across
+    return [[line.get(c, "") for c in range(max(line, default=-1) + 1)] for line in grid]
 
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.ArrayType(T.StringType()))))
@@ -95,33 +96,35 @@ def html_grids(pages: pd.Series) -> pd.Series:
     return pd.Series([[place(rows) for rows in _tables(page)] if page else [] for page in pages])
 
 
+def _runs(values: np.ndarray, near: float) -> np.ndarray:
+    """Run numbers of sorted values; a run ends before the value that is further than ``near`` from the mean of the run so far."""
+    sums, cuts = np.r_[0.0, np.cumsum(values)], []
+    start = 0
+    while start < len(values):
+        cuts.append(start)
+        k = np.arange(start + 1, len(values))
+        far = values[k] - (sums[k] - sums[start]) / (k - start) > near
+        start = int(k[far][0]) if far.any() else len(values)
+    return np.searchsorted(cuts, np.arange(len(values)), "right") - 1
+
+
 def _clusters(boxes: pd.DataFrame) -> tuple[int, int, int]:
-    """Rows, rows of two boxes or more, and columns that three of their boxes or more share."""
-    height = (boxes.y1 - boxes.y0).clip(lower=1.0).sort_values().iloc[len(boxes) // 2]
-    near_y, near_x = max(6.0, 0.75 * height), max(12.0, 2.0 * height)
-    centre = (boxes.y0 + boxes.y1) / 2
-    rows: list[list] = []  # sum of centres, left edges
-    for y, x in sorted(zip(centre, boxes.x0)):
-        row = next((r for r in rows if abs(y - r[0] / len(r[1])) <= near_y), None)
-        if row is None:
-            rows.append(row := [0.0, []])
-        row[0] += y
-        row[1].append(x)
-    columns: list[list] = []  # mean left edge, boxes
-    for x in (x for r in rows if len(r[1]) > 1 for x in r[1]):
-        column = next((c for c in columns if abs(x - c[0]) <= near_x), None)
-        if column is None:
-            columns.append(column := [x, 0])
-        column[0] = (column[0] * column[1] + x) / (column[1] + 1)
-        column[1] += 1
-    return len(rows), sum(len(r[1]) > 1 for r in rows), sum(n >= LEAST_IN_COLUMN for _, n in columns)
+    """Rows, rows of two boxes or more, and columns that three of the boxes in such rows, or more, share."""
+    x, y0, y1 = (boxes[c].to_numpy(float) for c in ("x0", "y0", "y1"))
+    height = np.sort(np.maximum(y1 - y0, 1.0))[len(boxes) // 2]
+    order = np.argsort((y0 + y1) / 2, kind="stable")
+    row = _runs(((y0 + y1) / 2)[order], max(6.0, 0.75 * height))
+    boxes_in = np.bincount(row)
+    edges = np.sort(x[order][boxes_in[row] > 1])
+    column = _runs(edges, max(12.0, 2.0 * height))
+    return len(boxes_in), int((boxes_in > 1).sum()), int((np.bincount(column) >= LEAST_IN_COLUMN).sum()) if len(edges) else 0
 
 
 def aligned_boxes(boxes: DataFrame) -> DataFrame:
     """(page, boxes, rows, multi, stable, table) of boxes (page, x0, y0, x1, y1): does repeated alignment hint at a table?
 
-    A row's or column's place is the running mean of what joined it, so a page is read in order, by one task;
-    pages side by side. Boxes without an extent or with nulls are left out, and with them pages that have no other.
+    Rows are runs of sorted box centres, columns runs of sorted left edges, each around its running mean, so a
+    page is read by one task; pages side by side. Boxes without an extent or with nulls are left out, and with them pages that have no other.
     """
 
     def one(page: pd.DataFrame) -> pd.DataFrame:
@@ -144,9 +147,12 @@ def continued_headers(tables: DataFrame) -> DataFrame:
     filled = F.coalesce(F.col("n_rows") > 0, F.lit(False))
     own = F.col("header").isNotNull() & filled
     counts = F.col("page").isNotNull() | own
-    w = Window.partitionBy("doc_id", "counts").orderBy("table_index")
+    w = Window.partitionBy("doc_id", counts).orderBy("table_index")
     follows = F.coalesce(F.col("page") == F.lag("page").over(w) + 1, F.lit(False))
-    marked = tables.withColumn("counts", counts).withColumn("starts", F.col("header").isNotNull() | ~filled | ~follows)
-    chained = marked.withColumn("chain", F.sum(F.col("starts").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    first = F.first(F.when(own, F.col("header"))).over(Window.partitionBy("doc_id", "counts", "chain").orderBy("table_index").rowsBetween(Window.unboundedPreceding, 0))
-    return chained.withColumn("used_header", F.when(F.col("counts") & filled, first)).drop("counts", "starts", "chain")
+    starts = (F.col("header").isNotNull() | ~filled | ~follows).cast("int")
+    marked = tables.select(F.struct(*tables.columns).alias("row"), "doc_id", "table_index", counts.alias("counts"), F.when(own, F.col("header")).alias("own"), starts.alias("starts"), filled.alias("filled"))
+    so_far = Window.partitionBy("doc_id", "counts").orderBy("table_index").rowsBetween(Window.unboundedPreceding, 0)
+    chained = marked.withColumn("chain", F.sum("starts").over(so_far))
+    first = F.first("own").over(Window.partitionBy("doc_id", "counts", "chain").orderBy("table_index").rowsBetween(Window.unboundedPreceding, 0))
+    kept = [F.col("row")[c].alias(c) for c in tables.columns if c != "used_header"]
+    return chained.withColumn("used", F.when(F.col("counts") & F.col("filled"), first)).select(*kept, F.col("used").alias("used_header"))
