@@ -9,6 +9,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dossierlake.functions import text as T
+from dossierlake.functions.similarity import name_similarity
 from dossierlake.operators import resolve
 
 FEATURES = ("fuzzy", "margin", "bm25", "semantic")
@@ -17,7 +19,11 @@ TRAIN_PERCENT, FUZZY_WEIGHT, BM25_WEIGHT, ACCEPT = 70, 0.8, 0.2, 0.90  # fixed v
 
 def match_features(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """Best candidate of each query (q_id, name) among docs (d_id, name): q_id, d_id and the features, 0 to 1."""
-    rows = resolve.fuzzy_pairs(queries, docs).join(resolve.bm25(queries, docs), ["q_id", "d_id"], "left").fillna(0.0, ["bm25"])
+    worded = resolve.bm25(queries, docs)
+    shared = worded.select("q_id", "d_id").join(queries.select("q_id", T.normalize_text(F.col("name")).alias("qk")), "q_id").join(docs.select("d_id", T.normalize_text(F.col("name")).alias("dk")), "d_id")
+    scored = shared.select("qk", "dk").distinct().select("qk", "dk", name_similarity("qk", "dk").alias("fuzzy"))
+    rows = shared.join(scored, ["qk", "dk"]).select("q_id", "d_id", "fuzzy").union(resolve.nearest_names(queries, docs, 2)).groupBy("q_id", "d_id").agg(F.max("fuzzy").alias("fuzzy"))
+    rows = rows.join(worded, ["q_id", "d_id"], "left").fillna(0.0, ["bm25"])
     rows = rows.withColumn("fuzzy", F.col("fuzzy") / 100).withColumn("combined", FUZZY_WEIGHT * F.col("fuzzy") + BM25_WEIGHT * F.col("bm25"))
     order = Window.partitionBy("q_id").orderBy(F.desc("combined"), "d_id")
     best = rows.withColumn("next", F.lead("combined").over(order)).withColumn("rank", F.row_number().over(order)).filter("rank = 1")
@@ -28,10 +34,12 @@ def match_features(queries: DataFrame, docs: DataFrame) -> DataFrame:
 def fit(rows: DataFrame, key: str) -> DataFrame:
     """One row: coefficients of a balanced logistic regression of ``label`` (0, 1) on the features, and its validation.
 
-    A hash of ``key`` puts 70 of 100 rows in training. Both labels must occur there; else the error says so.
+    Of either label, the 70 of 100 rows with the least hashes of ``key`` are training. Both labels must occur there; else the error says so.
     """
-    parts = rows.select(*FEATURES, F.col("label").cast("double").alias("label"), (F.pmod(F.xxhash64(key), F.lit(100)) < TRAIN_PERCENT).alias("train"))
-    parts = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(parts.dropna()).persist()  # read by every pass below; lost blocks are worked out anew
+    parts = rows.select(*FEATURES, F.col("label").cast("double").alias("label"), F.xxhash64(key).alias("hash")).dropna()
+    cuts = parts.groupBy("label").agg(F.percentile_approx("hash", TRAIN_PERCENT / 100, 10_000).alias("cut"))
+    parts = parts.join(F.broadcast(cuts), "label").select(*FEATURES, "label", (F.col("hash") <= F.col("cut")).alias("train"))  # a row a label
+    parts = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(parts).persist()  # read by every pass below; lost blocks are worked out anew
     try:
         return _fit(parts)
     finally:

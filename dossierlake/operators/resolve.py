@@ -1,17 +1,21 @@
 """Resolution of unit and person mentions in bulk: exact tiers, hybrid ranking, gates that rather abstain.
 
 Every mention of a batch is resolved in one plan. Exact tiers are one equi-join on a table of surface
-forms; only mentions that no tier settles meet the ranking, and only over candidates that share a token
-with them, so that no plan compares every mention with every unit.
+forms; only spellings that no tier settles meet the ranking, each once. Those spellings are the query set:
+they meet all names of the registry in blocks of bounded size, where each keeps its best candidates, so no
+candidate is lost for want of a shared word and no task holds more than two blocks.
 """
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossierlake.functions import text as T
-from dossierlake.functions.similarity import name_similarity
+from dossierlake.functions.similarity import name_similarity, weighted_ratio
 
 # Thresholds, weights and tier scores of the resolver.
 FUZZY, MARGIN, TOP_K, ACCEPT = 91.0, 6.0, 10, 0.90
@@ -19,7 +23,9 @@ STRONG_FUZZY, STRONG_MARGIN = 97.0, 10.0
 WEIGHTS = (0.65, 0.20, 0.15)
 K1, B = 1.5, 0.75
 TIER_SCORES = (100.0, 99.0, 97.0, 96.0)
+DECISIVE_FUZZY, DECISIVE_GAP = FUZZY + 3, MARGIN + 4  # from there on no semantic score is asked for
 TIER_METHODS = ("CANONICAL_EXACT", "APPROVED_ALIAS", "ASCII_FOLDED", "ASCII_FOLDED_ALIAS")
+QUERY_BLOCK, NAME_BLOCK = 100, 1000  # spellings and registry rows that meet in one call
 
 
 def surface_forms(units: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
@@ -76,19 +82,63 @@ def bm25(queries: DataFrame, docs: DataFrame) -> DataFrame:
     return scored.join(best, "q_id").select("q_id", "d_id", F.when(F.col("best") > 0, F.col("raw") / F.col("best")).otherwise(0.0).alias("bm25"))
 
 
-def fuzzy_pairs(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(q_id, d_id, fuzzy) of pairs whose names share a token: the weighted ratio of their folded names."""
-    q = queries.select("q_id", T.normalize_text(F.col("name")).alias("qk"))
-    d = docs.select("d_id", T.normalize_text(F.col("name")).alias("dk"))
-    qt, dt = q.select("qk", F.explode(F.array_distinct(F.split("qk", " "))).alias("t")).distinct(), d.select("dk", F.explode(F.array_distinct(F.split("dk", " "))).alias("t")).distinct()
-    keys = qt.join(dt, "t").select("qk", "dk").distinct()  # distinct spellings are compared once
-    scored = keys.select("qk", "dk", name_similarity("qk", "dk").alias("fuzzy"))
-    return q.join(scored, "qk").join(d, "dk").select("q_id", "d_id", "fuzzy")
+def _best_of_block(k: int):
+    """The ``k`` best rows of a block of the registry for each spelling of a block; equal names are compared once."""
+
+    def run(queries: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        names = sorted({n for ns in docs["names"] for n in ns}) if len(docs) else []
+        rows = list(zip(docs["d_id"], docs["names"])) if len(docs) else []
+        for q in queries["qk"] if len(queries) else []:
+            scores = {n: weighted_ratio(q, n) for n in names}
+            best = heapq.nsmallest(k, ((-max(scores[n] for n in ns), d) for d, ns in rows))
+            found += [(q, d, -x) for x, d in best]
+        return pd.DataFrame(found, columns=["qk", "d_id", "fuzzy"])
+
+    return run
+
+
+def nearest_names(queries: DataFrame, docs: DataFrame, k: int = TOP_K) -> DataFrame:
+    """(q_id, d_id, fuzzy): the ``k`` rows of ``docs`` (d_id, name; several names a row of the registry are allowed)
+    whose best name has the highest weighted ratio with the query's (q_id, name), and others of their blocks.
+
+    Exact: every spelling meets every name. A null name counts as empty.
+    """
+    q = queries.select("q_id", T.normalize_text(F.coalesce("name", F.lit(""))).alias("qk"))
+    d = docs.groupBy("d_id").agg(F.array_sort(F.collect_set(T.normalize_text(F.coalesce("name", F.lit(""))))).alias("names"))
+    spellings = q.select("qk").distinct()
+    shares, blocks = (max(1, -(-n // size)) for n, size in ((spellings.count(), QUERY_BLOCK), (d.count(), NAME_BLOCK)))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    asked = spellings.select("qk", F.pmod(F.xxhash64("qk"), F.lit(shares)).alias("share"), upto(blocks).alias("block"))
+    held = d.select("d_id", "names", F.pmod(F.xxhash64("d_id"), F.lit(blocks)).alias("b"), upto(shares).alias("s"))
+    kind = docs.schema["d_id"].dataType.simpleString()
+    best = asked.groupBy("share", "block").cogroup(held.groupBy("s", "b")).applyInPandas(_best_of_block(k), f"qk string, d_id {kind}, fuzzy double")
+    return q.join(best, "qk").select("q_id", "d_id", "fuzzy")
 
 
 def hybrid_rank(queries: DataFrame, docs: DataFrame, semantic: DataFrame | None = None, k: int = TOP_K) -> DataFrame:
-    """Top ``k`` candidates per query by the weighted sum of fuzzy, BM25 and, if given, semantic scores (q_id, d_id, semantic)."""
-    rows = fuzzy_pairs(queries, docs).join(bm25(queries, docs), ["q_id", "d_id"], "left")
+    """Top ``k`` candidates per query by the weighted sum of fuzzy, BM25 and, if given, semantic scores (q_id, d_id, semantic).
+
+    A query whose best name is close and far ahead of the next takes no semantic score. Candidates are the
+    nearest names, rows that share a word (others have BM25 0) and rows with a semantic score: no other
+    can be among the best ``k``.
+    """
+    near = nearest_names(queries, docs, max(k, 2))
+    place = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("fuzzy"), "d_id"))
+    near = near.withColumn("place", place).filter(F.col("place") <= max(k, 2))
+    texts = docs.groupBy("d_id").agg(F.array_join(F.array_sort(F.collect_list("name")), " ").alias("name"))
+    worded = bm25(queries, texts)
+    pairs = worded.select("q_id", "d_id")
+    if semantic is not None:
+        decisive = near.groupBy("q_id").agg(F.max(F.when(F.col("place") == 1, F.col("fuzzy"))).alias("first"), F.max(F.when(F.col("place") == 2, F.col("fuzzy"))).alias("second"))
+        decisive = decisive.filter((F.col("first") >= DECISIVE_FUZZY) & (F.col("first") - F.coalesce("second", F.lit(0.0)) >= DECISIVE_GAP)).select("q_id")
+        semantic = semantic.select("q_id", "d_id", "semantic").join(decisive, "q_id", "left_anti")
+        pairs = pairs.unionByName(semantic.select("q_id", "d_id")).distinct()
+    rest = pairs.join(near.select("q_id", "d_id"), ["q_id", "d_id"], "left_anti")
+    spelled = rest.join(queries.select("q_id", T.normalize_text(F.col("name")).alias("qk")), "q_id").join(docs.select("d_id", T.normalize_text(F.col("name")).alias("dk")), "d_id")
+    scored = spelled.select("qk", "dk").distinct().select("qk", "dk", name_similarity("qk", "dk").alias("fuzzy"))
+    rest = spelled.join(scored, ["qk", "dk"]).groupBy("q_id", "d_id").agg(F.max("fuzzy").alias("fuzzy"))
+    rows = near.select("q_id", "d_id", "fuzzy").unionByName(rest).join(worded, ["q_id", "d_id"], "left")
     rows = rows.join(semantic, ["q_id", "d_id"], "left") if semantic is not None else rows.withColumn("semantic", F.lit(0.0))
     wf, wb, ws = WEIGHTS
     rows = rows.fillna(0.0, ["bm25", "semantic"]).withColumn("combined", wf * F.col("fuzzy") / 100 + wb * F.col("bm25") + ws * F.col("semantic"))
@@ -97,9 +147,10 @@ def hybrid_rank(queries: DataFrame, docs: DataFrame, semantic: DataFrame | None
 
 
 def top_and_margin(ranked: DataFrame) -> DataFrame:
-    """Best candidate of each query, with the gap of its fuzzy score to the runner-up's (to 0 if alone)."""
+    """Best candidate of each query, with the gap of its combined score to the runner-up's (to 0 if alone), in hundredths."""
     order = Window.partitionBy("q_id").orderBy("rank")
-    return ranked.withColumn("second", F.lead("fuzzy").over(order)).filter("rank = 1").withColumn("margin", F.col("fuzzy") - F.coalesce("second", F.lit(0.0))).drop("second")
+    second = F.coalesce(F.lead("combined").over(order), F.lit(0.0))
+    return ranked.select("*", ((F.col("combined") - second) * 100).alias("margin")).filter("rank = 1")
 
 
 def display_probability(fuzzy: Column, margin: Column) -> Column:
@@ -116,44 +167,75 @@ def accept(fuzzy: Column, margin: Column, probability: Column, combined: Column,
     return F.when(sure, "MATCHED").when(combined * 100 >= max(50.0, FUZZY - 15), "AMBIGUOUS").otherwise("NOT_FOUND")
 
 
+_CANDIDATE = "array<struct<unit_id:{0},score:double,fuzzy:double,bm25:double,semantic:double>>"
+
+
+def resolve_units(mentions: DataFrame, units: DataFrame, aliases: DataFrame, codes: DataFrame, semantic: DataFrame | None = None, probability=None) -> DataFrame:
+    """Resolve mentions (mention_id, name, code, as_of) against units (unit_id, name), aliases (unit_id, name) and codes
+    (code, unit_id, valid_from, valid_to), all trusted and, but for codes, valid on the day of the batch.
+
+    A row per mention: mention_id, status, method, unit_id, score, margin, confidence, candidates. The order of
+    decision: a name of several units without a code abstains; a code and an exact name of another unit are
+    a conflict, so are a code and a name that strongly suggests another; a code decides; an exact name
+    decides; an empty name is not found; the ranking decides, or abstains. ``semantic`` has (name, unit_id, semantic)
+    for spellings, ``probability`` is a function of fuzzy, margin, bm25 and semantic.
+    Mentions that share a name and lack an exact match are ranked once. Null names and codes count as absent.
+    """
+    probability = probability or (lambda fuzzy, margin, bm25, semantic: display_probability(fuzzy, margin))
+    kind = units.schema["unit_id"].dataType.simpleString()
+    forms = surface_forms(units, aliases)
+    rows = exact_tiers(mentions, forms).join(by_code(mentions, codes).select("mention_id", "code_unit"), "mention_id", "left")
+    blank = F.coalesce(F.trim("name"), F.lit("")) == ""
+    spellings = rows.filter(F.col("n_units").isNull() & ~blank).select(F.col("name").alias("q_id"), "name").distinct()
+    names = units.select(F.col("unit_id").alias("d_id"), "name").unionByName(aliases.select(F.col("unit_id").alias("d_id"), "name"))
+    ranked = hybrid_rank(spellings, names, None if semantic is None else semantic.select(F.col("name").alias("q_id"), F.col("unit_id").alias("d_id"), "semantic"))
+    shown = F.struct("rank", F.struct(F.col("d_id").alias("unit_id"), F.bround(F.col("combined") * 100, 2).alias("score"), F.bround("fuzzy", 2).alias("fuzzy"), F.bround("bm25", 4).alias("bm25"), F.bround("semantic", 4).alias("semantic")).alias("c"))
+    listed = ranked.groupBy("q_id").agg(F.transform(F.array_sort(F.collect_list(shown)), lambda x: x["c"]).alias("ranked"))
+    top = top_and_margin(ranked).select("q_id", F.col("d_id").alias("top_unit"), "fuzzy", "bm25", "semantic", "combined", "margin").join(listed, "q_id")
+    rows = rows.join(top.withColumnRenamed("q_id", "name"), "name", "left")
+    chance = probability(F.col("fuzzy"), F.col("margin"), F.col("bm25"), F.col("semantic"))
+    rows = rows.withColumn("chance", chance).withColumn("ranked_status", accept(F.col("fuzzy"), F.col("margin"), F.col("chance"), F.col("combined")))
+    decided = decide_unit(rows)
+    # a tie lists the units of all tiers that the name answers to
+    keys = decided.filter("status = 'AMBIGUOUS' and n_units > 1").select("mention_id", F.explode(F.array(T.normalize_text(F.col("name")), T.ascii_key(F.col("name")))).alias("key"))
+    tied = keys.join(forms, "key").groupBy("mention_id").agg(F.array_sort(F.collect_set("unit_id")).alias("tied"))
+    plain = lambda u: F.struct(u.alias("unit_id"), F.lit(100.0).alias("score"), *[F.lit(None).cast("double").alias(c) for c in ("fuzzy", "bm25", "semantic")])
+    exact = F.col("status").isin("AMBIGUOUS", "CONFLICT") & F.col("n_units").isNotNull()
+    candidates = (
+        F.when(F.col("tied").isNotNull(), F.transform("tied", plain))
+        .when(exact, F.array(plain(F.col("code_unit")), plain(F.col("unit_id"))))
+        .when(F.col("method").isin("HYBRID_FUZZY_BM25_SEMANTIC", "HYBRID_RANKING", "CODE_STRONG_NAME_CONFLICT"), F.col("ranked"))
+    )
+    by_tier = F.element_at(F.array(*map(F.lit, TIER_SCORES)), F.col("tier"))
+    code, ranking = F.col("method") == "TRUSTED_CODE", F.col("method").isin("HYBRID_FUZZY_BM25_SEMANTIC", "HYBRID_RANKING", "CODE_STRONG_NAME_CONFLICT")
+    score = F.when(code | exact, 100.0).when(ranking, F.col("combined") * 100).when(F.col("n_units") == 1, by_tier)
+    margin = F.when(code, 100.0).when(exact, 0.0).when(ranking, F.col("margin")).when(F.col("n_units") == 1, by_tier)
+    sure = F.when(F.col("method").isin("HYBRID_FUZZY_BM25_SEMANTIC", "HYBRID_RANKING"), F.col("chance")).when(F.col("status") == "MATCHED", 1.0).otherwise(0.0)
+    return decided.join(tied, "mention_id", "left").select(
+        "mention_id", "status", "method", F.col("resolved_unit").alias("unit_id"), score.alias("score"), margin.alias("margin"), sure.alias("confidence"), F.coalesce(candidates.cast(_CANDIDATE.format(kind)), F.array().cast(_CANDIDATE.format(kind))).alias("candidates")
+    )
+
+
 def decide_unit(resolved: DataFrame) -> DataFrame:
-    """Status and method of rows (name, code_unit, n_units, tier, unit_id, top_unit, fuzzy, margin, ranked_status)."""
+    """Status, method and resolved_unit of rows (name, code_unit, n_units, tier, unit_id, top_unit, fuzzy, margin, ranked_status)."""
     named = F.col("n_units").isNotNull()
     many = F.col("n_units") > 1
     code = F.col("code_unit").isNotNull()
+    blank = F.coalesce(F.trim("name"), F.lit("")) == ""
     against = ~named & (F.col("top_unit") != F.col("code_unit")) & (F.col("fuzzy") >= STRONG_FUZZY) & (F.col("margin") >= STRONG_MARGIN)
-    status = (
-        F.when(many & ~code, "AMBIGUOUS")
-        .when(code & (F.col("n_units") == 1) & (F.col("unit_id") != F.col("code_unit")), "CONFLICT")
-        .when(code & F.coalesce(against, F.lit(False)), "CONFLICT")
-        .when(code | (F.col("n_units") == 1), "MATCHED")
-        .when(F.coalesce(F.trim("name"), F.lit("")) == "", "NOT_FOUND")
-        .otherwise(F.coalesce("ranked_status", F.lit("NOT_FOUND")))
-    )
+    other = code & (F.col("n_units") == 1) & (F.col("unit_id") != F.col("code_unit"))
     tier = F.element_at(F.array(*map(F.lit, TIER_METHODS)), F.col("tier"))
-    method = F.when(status == "CONFLICT", "CODE_NAME_CONFLICT").when((status == "MATCHED") & code, "TRUSTED_CODE").when((status == "MATCHED") & named, tier).when(status == "MATCHED", "HYBRID")
-    unit = F.when(status == "MATCHED", F.coalesce("code_unit", "unit_id", "top_unit"))
-    return resolved.withColumn("status", status).withColumn("method", method).withColumn("resolved_unit", unit)
-
-
-def decide_person(rows: DataFrame) -> DataFrame:
-    """Status of person mentions (n_codes, code_person, n_names, name_person, n_narrowed, narrowed_person, narrowing,
-    one_letter, fuzzy, margin, top_person). Below the gates there are no candidates."""
-    col = F.col
-    status = (
-        F.when(col("n_codes") > 1, "AMBIGUOUS")
-        .when((col("n_codes") == 1) & (col("n_names") == 1) & (col("code_person") != col("name_person")), "CONFLICT")
-        .when(col("n_codes") == 1, "MATCHED")
-        .when((col("n_names") >= 1) & (col("n_narrowed") == 1), "MATCHED")
-        .when((col("n_names") >= 1) & (col("n_narrowed") == 0), "CONFLICT")
-        .when(col("n_names") >= 1, "AMBIGUOUS")
-        .when(col("one_letter"), "NOT_FOUND")
-        .when((col("fuzzy") >= FUZZY) & (col("margin") >= MARGIN), "MATCHED")
-        .when(col("fuzzy") >= FUZZY, "AMBIGUOUS")
-        .otherwise("NOT_FOUND")
-    )
-    person = F.when(col("n_codes") == 1, col("code_person")).when(col("n_names") >= 1, col("narrowed_person")).otherwise(col("top_person"))
-    method = (
-        F.when(col("n_codes") == 1, "TRUSTED_PERSON_CODE").when((col("n_names") >= 1) & col("narrowing"), "NAME_EXACT_NARROWED").when(col("n_names") >= 1, "NAME_EXACT").otherwise("NAME_FUZZY")
+    ranked = F.coalesce("ranked_status", F.lit("NOT_FOUND"))
+    verdict = lambda status, method: F.struct(F.lit(status).alias("status") if isinstance(status, str) else status.alias("status"), method.alias("method"))
+    decision = (
+        F.when(many & ~code, verdict("AMBIGUOUS", F.lit("EXACT_NAME_AMBIGUOUS")))
+        .when(F.coalesce(other, F.lit(False)), verdict("CONFLICT", F.lit("CODE_NAME_CONFLICT")))
+        .when(code & F.coalesce(against, F.lit(False)), verdict("CONFLICT", F.lit("CODE_STRONG_NAME_CONFLICT")))
+        .when(code, verdict("MATCHED", F.lit("TRUSTED_CODE")))
+        .when(F.col("n_units") == 1, verdict("MATCHED", tier))
+        .when(blank | F.col("top_unit").isNull(), verdict("NOT_FOUND", F.lit(None).cast("string")))
+        .otherwise(verdict(ranked, F.when(ranked == "MATCHED", "HYBRID_FUZZY_BM25_SEMANTIC").otherwise("HYBRID_RANKING")))
     )
-    return rows.withColumn("status", status).withColumn("person_id", F.when(col("status") == "MATCHED", person)).withColumn("method", F.when(col("status") == "MATCHED", method))
+    rows = resolved.withColumn("decision", decision)
+    unit = F.when(F.col("decision.status") == "MATCHED", F.coalesce("code_unit", "unit_id", "top_unit"))
+    return rows.select("*", F.col("decision.status").alias("status"), F.col("decision.method").alias("method"), unit.alias("resolved_unit")).drop("decision")

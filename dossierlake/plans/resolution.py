@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dossierlake.functions import text as T
-from dossierlake.operators import decide, resolve
+from dossierlake.operators import decide, persons, resolve
 from dossierlake.plans.base import query
 
 _UNIT_NAME = "p_name || ' ' || p_brand || ' ' || p_type || ' ' || p_size"
@@ -55,9 +55,9 @@ def entry_resolution_totals(t):
 
 
 @query("""SELECT m.o_orderkey AS mention_id, min(p_partkey) AS code_unit, count(DISTINCT p_partkey)::bigint AS n_code_units FROM orders m JOIN part ON lower(trim(p_brand)) = lower(trim('  brand#' || (10 + o_custkey % 45) || ' '))
-          WHERE o_orderkey % 3 = 0 AND (p_size > 20 OR DATE '1995-01-01' <= o_orderdate::date) GROUP BY 1""")
+          WHERE (p_size > 20 OR DATE '1995-01-01' <= o_orderdate::date) GROUP BY 1""")
 def j8_code_lookup(t):
-    mentions = t.orders.filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("mention_id"), F.concat(F.lit("  brand#"), (10 + F.col("o_custkey") % 45).cast("string"), F.lit(" ")).alias("code"), F.col("o_orderdate").cast("date").alias("as_of"))
+    mentions = t.orders.select(F.col("o_orderkey").alias("mention_id"), F.concat(F.lit("  brand#"), (10 + F.col("o_custkey") % 45).cast("string"), F.lit(" ")).alias("code"), F.col("o_orderdate").cast("date").alias("as_of"))
     codes = t.part.select(F.col("p_brand").alias("code"), F.col("p_partkey").alias("unit_id"), F.when(F.col("p_size") <= 20, F.lit("1995-01-01").cast("date")).alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
     return resolve.by_code(mentions, codes)
 
@@ -133,18 +133,96 @@ def b7_unit_decision(t):
     return resolve.decide_unit(rows).select("mention_id", "status")
 
 
-@query("""WITH n AS (SELECT c_nationkey AS nat, c_mktsegment AS seg, count(*) AS n FROM customer GROUP BY 1, 2), x AS (SELECT o_orderkey AS mention_id, c_custkey AS code, o_custkey % 5 AS k, n.n FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN n ON nat = c_nationkey AND seg = c_mktsegment)
-  SELECT mention_id, CASE WHEN k = 0 THEN 'MATCHED' WHEN k = 1 THEN 'CONFLICT' WHEN n = 1 THEN 'MATCHED' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'NOT_FOUND' END AS status FROM x""")
-def b9_person_decision(t):
-    names = t.customer.groupBy(F.col("c_nationkey").alias("nat"), F.col("c_mktsegment").alias("seg")).agg(F.count(F.lit(1)).alias("n_names"), F.min("c_custkey").alias("first"))
-    x = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey"), "left").join(names, (F.col("nat") == F.col("c_nationkey")) & (F.col("seg") == F.col("c_mktsegment")), "left")
-    k = F.col("o_custkey") % 5
-    rows = x.select(
-        F.col("o_orderkey").alias("mention_id"), F.when(k <= 1, 1).otherwise(0).alias("n_codes"), F.col("o_custkey").alias("code_person"), F.when(k == 0, 0).when(k == 1, 1).otherwise(F.coalesce("n_names", F.lit(0))).alias("n_names"),
-        F.when(k == 1, -1).otherwise(F.col("first")).alias("name_person"), F.coalesce("n_names", F.lit(0)).alias("n_narrowed"), F.col("first").alias("narrowed_person"), F.lit(False).alias("narrowing"),
-        F.lit(False).alias("one_letter"), F.lit(0.0).alias("fuzzy"), F.lit(0.0).alias("margin"), F.lit(None).cast("long").alias("top_person"),
+def _people(t):
+    """Customers as people, named by segment and nation, so that names are shared."""
+    born = (1950 + F.col("c_custkey") % 40).cast("int")
+    start = F.when(F.col("c_custkey") % 9 == 0, F.lit("1996-01-01").cast("date"))
+    kind = F.when(F.col("c_nationkey") < 5, "SYNTHETIC_DEMO").otherwise(F.when(F.col("c_custkey") % 2 == 0, "ROSTER").otherwise("CURATED"))
+    return t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select(  # 25 nations
+        F.col("c_custkey").alias("person_id"), F.concat_ws(" ", F.lower("c_mktsegment"), F.lower(F.replace("n_name", F.lit(" "), F.lit("")))).alias("name"), born.alias("birth_year"),
+        (F.col("c_custkey") % 60).alias("unit_id"), kind.alias("source_kind"), start.alias("valid_from"), F.lit(None).cast("date").alias("valid_to"),
     )
-    return resolve.decide_person(rows).select("mention_id", "status")
+
+
+def _person_mentions(t):
+    """Orders as mentions of their customers: by code, by name with a year or a unit, or by an unfinished name."""
+    k = F.col("o_orderkey")
+    rows = t.orders.join(_people(t).select("person_id", "name", F.col("birth_year").alias("year"), F.col("unit_id").alias("unit")), F.col("person_id") == F.col("o_custkey"))
+    name = F.when(k % 11 == 0, F.concat("name", F.lit(" x"))).when(k % 13 == 0, None).when(k % 2 == 0, F.upper("name")).otherwise(F.col("name"))
+    return rows.select(
+        k.alias("mention_id"), name.alias("name"), F.when(k % 5 == 0, F.concat(F.lit(" p"), (F.col("o_custkey") + F.when(k % 3 == 0, 1).otherwise(0)).cast("string"))).alias("code"),
+        F.when(k % 4 == 0, F.col("year") + F.when(k % 28 == 0, 100).otherwise(0)).cast("int").alias("birth_year"), F.when(k % 6 == 1, F.col("unit")).alias("unit_id"),
+        F.when(k % 6 == 2, F.concat(F.lit("unit "), (F.col("unit") + F.when(k % 7 == 0, 90).otherwise(0)).cast("string"))).alias("unit_name"), F.col("o_orderdate").cast("date").alias("as_of"),
+    )
+
+
+def _codes(t):
+    return _people(t).select("person_id", F.concat(F.lit("P"), F.col("person_id").cast("string")).alias("code"))
+
+
+def _unit_names(t):
+    return t.spark.range(60).select(F.concat(F.lit("unit "), F.col("id").cast("string")).alias("name"), F.col("id").alias("unit_id"))
+
+
+_PEOPLE = """p AS (SELECT c_custkey AS person_id, lower(c_mktsegment) || ' ' || lower(replace(n_name, ' ', '')) AS name, (1950 + c_custkey % 40)::int AS birth_year, c_custkey % 60 AS unit_id,
+    CASE WHEN c_nationkey < 5 THEN 'SYNTHETIC_DEMO' WHEN c_custkey % 2 = 0 THEN 'ROSTER' ELSE 'CURATED' END AS source_kind, CASE WHEN c_custkey % 9 = 0 THEN DATE '1996-01-01' END AS valid_from FROM customer JOIN nation ON c_nationkey = n_nationkey),
+  m AS (SELECT o_orderkey AS mention_id, CASE WHEN o_orderkey % 11 = 0 THEN name || ' x' WHEN o_orderkey % 13 <> 0 THEN name END AS name, CASE WHEN o_orderkey % 5 = 0 THEN o_custkey + (o_orderkey % 3 = 0)::int END AS code,
+    CASE WHEN o_orderkey % 4 = 0 THEN birth_year + CASE WHEN o_orderkey % 28 = 0 THEN 100 ELSE 0 END END AS year, CASE WHEN o_orderkey % 6 IN (1, 2) THEN CASE WHEN o_orderkey % 6 = 2 AND o_orderkey % 7 = 0 THEN -1 ELSE unit_id END END AS unit, o_orderdate::date AS as_of FROM orders JOIN p ON person_id = o_custkey),
+  c AS (SELECT mention_id, person_id AS code_person FROM m JOIN p ON person_id = code AND (valid_from IS NULL OR valid_from <= as_of)),
+  x AS (SELECT mention_id, person_id, (year IS NULL OR year = birth_year) AND (unit IS NULL OR unit = unit_id) AS fits, year IS NOT NULL OR unit IS NOT NULL AS narrowing FROM m JOIN p USING (name) WHERE valid_from IS NULL OR valid_from <= as_of)"""
+
+
+@query(f"WITH {_PEOPLE} SELECT mention_id, person_id, 1 AS tier FROM x")
+def j11_person_names(t):
+    people = _people(t)
+    return persons.name_candidates(_person_mentions(t), people, people.select("person_id", "name").limit(0)).select("mention_id", "person_id", "tier")
+
+
+@query(f"WITH {_PEOPLE} SELECT mention_id, person_id, narrowing, fits FROM x")
+def j12_narrowing(t):
+    people, mentions = _people(t), _person_mentions(t)
+    found = persons.name_candidates(mentions, people, people.select("person_id", "name").limit(0))
+    return persons.narrow(found, mentions, people, _unit_names(t)).select("mention_id", "person_id", "narrowing", "fits")
+
+
+_DECIDED = f"""WITH {_PEOPLE}, n AS (SELECT mention_id, count(*) AS n, min(person_id) AS one, bool_or(narrowing) AS narrowing, count(*) FILTER (fits) AS f, min(person_id) FILTER (fits) AS fit, list_sort(list(person_id)) AS ns, list_sort(list(person_id) FILTER (fits)) AS fs FROM x GROUP BY 1),
+  d AS (SELECT m.mention_id, CASE WHEN code_person IS NOT NULL AND n = 1 AND one <> code_person THEN 'CONFLICT' WHEN code_person IS NOT NULL OR f = 1 THEN 'MATCHED' WHEN f = 0 THEN 'CONFLICT' WHEN n > 0 THEN 'AMBIGUOUS' ELSE 'NOT_FOUND' END AS status,
+    CASE WHEN code_person IS NOT NULL AND n = 1 AND one <> code_person THEN 'PERSON_CODE_NAME_CONFLICT' WHEN code_person IS NOT NULL THEN 'TRUSTED_PERSON_CODE' WHEN f = 1 THEN 'CANONICAL_EXACT' || CASE WHEN narrowing THEN '_NARROWED' ELSE '' END
+      WHEN f = 0 THEN 'PERSON_NARROWING_CONFLICT' WHEN n > 0 THEN 'PERSON_EXACT_NAME_AMBIGUOUS' WHEN name IS NOT NULL THEN 'INCOMPLETE_NAME_QUERY' END AS method,
+    CASE WHEN code_person IS NOT NULL AND n = 1 AND one <> code_person THEN NULL WHEN code_person IS NOT NULL THEN code_person WHEN f = 1 THEN fit END AS person_id,
+    CASE WHEN code_person IS NOT NULL AND n = 1 AND one <> code_person THEN [code_person, one] WHEN code_person IS NOT NULL OR f = 1 THEN [] WHEN f = 0 THEN ns WHEN n > 0 THEN fs ELSE [] END AS cs FROM m LEFT JOIN c USING (mention_id) LEFT JOIN n USING (mention_id))"""
+
+
+@query(_DECIDED + """, k AS (SELECT mention_id, count(DISTINCT source_kind) AS n, min(source_kind) AS kind FROM (SELECT mention_id, unnest(CASE WHEN person_id IS NOT NULL THEN [person_id] ELSE cs END) AS person_id FROM d) JOIN p USING (person_id) GROUP BY 1)
+  SELECT mention_id, status, method, person_id, CASE WHEN k.n = 1 THEN kind ELSE 'PROVIDED' END AS source_kind, array_to_string(cs, ',') AS candidates FROM d LEFT JOIN k USING (mention_id)""")
+def b9_person_resolution(t):
+    people = _people(t)
+    got = persons.resolve_persons(_person_mentions(t), people, people.select("person_id", "name").limit(0), _codes(t), _unit_names(t))
+    return got.select("mention_id", "status", "method", "person_id", "source_kind", F.array_join(F.transform("candidates", lambda x: x.cast("string")), ",").alias("candidates"))
+
+
+@query(_DECIDED + """ SELECT mention_id, string_agg(person_id || ':unit ' || unit_id, ',' ORDER BY place) AS candidates FROM (SELECT mention_id, unnest(cs) AS person_id, generate_subscripts(cs, 1) AS place FROM d) JOIN p USING (person_id) GROUP BY 1""")
+def j13_candidate_units(t):
+    people = _people(t)
+    got = persons.resolve_persons(_person_mentions(t), people, people.select("person_id", "name").limit(0), _codes(t), _unit_names(t))
+    shown = lambda x: F.concat(x["person_id"].cast("string"), F.lit(":"), x["unit_name"])
+    return persons.with_units(got, people, _unit_names(t)).select("mention_id", F.array_join(F.transform("candidates", shown), ",").alias("candidates"))
+
+
+@query()
+def b4_unit_resolution(t):
+    """Orders as mentions of parts' names: spelled as they are, by alias, without marks, with a slip, unknown; some with a code."""
+    units = t.part.select(F.concat_ws(" ", "p_name", "p_brand").alias("name"), "p_partkey").groupBy("name").agg(F.min("p_partkey").alias("unit_id"))
+    units = units.withColumn("name", F.when(F.col("unit_id") % 5 == 0, F.translate("name", "aeo", "àéô")).otherwise(F.col("name")))
+    aliases = units.filter("unit_id % 3 = 0").select("unit_id", F.regexp_replace("name", " .*#", " no ").alias("name"))
+    codes = units.select(F.concat(F.lit("U-"), F.col("unit_id").cast("string")).alias("code"), "unit_id", F.lit(None).cast("date").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
+    k = F.col("o_orderkey")
+    rows = t.orders.join(units, F.pmod(F.col("o_custkey"), F.lit(97)) == F.pmod(F.col("unit_id"), F.lit(97))).filter(F.pmod(F.xxhash64("o_orderkey"), F.lit(16)) == F.pmod(F.xxhash64("unit_id"), F.lit(16)))
+    spelled = F.when(k % 7 == 0, resolve.T.strip_marks(F.col("name"))).when(k % 7 == 1, F.regexp_replace("name", " .*#", " no ")).when((k % 7 == 2) & (F.col("unit_id") < 60), F.regexp_replace("name", "[rn]", "")).when(k % 7 == 3, F.lit("nowhere at all")).when(k % 7 == 4, "").otherwise(F.upper("name"))
+    code = F.when(k % 6 == 0, F.concat(F.lit("u-"), (F.col("unit_id") + F.when(k % 12 == 0, 1).otherwise(0)).cast("string")))
+    mentions = rows.select(F.concat_ws("/", k.cast("string"), F.col("unit_id").cast("string")).alias("mention_id"), spelled.alias("name"), code.alias("code"), F.col("o_orderdate").cast("date").alias("as_of"))
+    got = resolve.resolve_units(mentions, units, aliases, codes)
+    return got.select("mention_id", "status", "method", "unit_id", F.bround("score", 4).alias("score"), F.bround("margin", 4).alias("margin"), F.bround("confidence", 4).alias("confidence"), F.size("candidates").alias("n_candidates"))
 
 
 @query(f"SELECT doc_id, md5({KEY.format('text')}) AS key_md5 FROM documents")
