@@ -26,7 +26,8 @@ from dossierlake.llm.quality import logistic, score_with
 SAMPLE = 6_000  # labelled rows of each class, by hash
 STEMS = (4, 5, 6)  # lengths of word beginnings that may be terms
 PRECISION = 0.8  # toxic share of a term's rows
-WORDS = 200_000  # distinct words whose counts a task holds before it passes their trigrams on
+COSTS, READINGS = 200_000, 50_000  # costs of letters, and readings of short stretches, that a worker remembers
+WORDS = 100_000  # distinct words whose counts a task holds before it passes their trigrams on
 # Letters that a sign may stand for.
 SIGNS = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -173,7 +174,7 @@ class Model:
         if known is None:
             three, two = (self.trigrams.count(g) + more.get(g, 0) for g, more in ((context + letter, self._three), (context, self._two)))
             known = -math.log((three + 0.05) / (two + 2.0))
-            if len(self._costs) < 1_000_000:
+            if len(self._costs) < COSTS:
                 self._costs[context + letter] = known
         return known
 
@@ -182,7 +183,7 @@ class Model:
         known = self._seen.get((span, apart))
         if known is None:
             known = self._viterbi(span, apart)
-            if len(self._seen) < 200_000:
+            if len(self._seen) < READINGS and len(span) <= 64:
                 self._seen[span, apart] = known
         return known
 
