@@ -117,18 +117,20 @@ def case_code(identifier: Column, created: Column) -> Column:
 
 
 def mention_variants(name: Column) -> Column:
-    """Spellings of a name that mentions may use, in order, each once: as is, lower, upper, without marks, squeezed,
-    hyphenated, padded, initials, without its first or last word, with two words swapped, with a letter missing."""
-    words = F.split(name, " ")
+    """Spellings of a name that mentions may use, in order, each once: as is, without marks, in lower case, without
+    hyphens, parts of its words, without its last two letters, with short forms, and with its middle letter lost."""
+    words = F.filter(F.split(name, r"\s+"), lambda w: w != "")
+    part = lambda first, n: F.array_join(F.slice(words, F.lit(first), n), " ")
+    last = lambda n: F.array_join(F.slice(words, F.greatest(F.size(words) - n + 1, F.lit(1)), F.lit(n)), " ")
+    squeezed = F.regexp_replace(name, r"\s+", " ")
+    middle = F.floor(F.length(squeezed) / 2).cast("int")
     options = F.array(
-        name, F.lower(name), F.upper(name), strip_marks(name), F.lower(strip_marks(name)), F.regexp_replace(name, " ", "-"), F.concat(F.lit("  "), name, F.lit(" ")),
-        F.upper(F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")),
-        F.array_join(F.slice(words, F.lit(2), F.size(words)), " "),
-        F.array_join(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), " "),
-        F.array_join(F.concat(F.slice(words, 2, 1), F.slice(words, 1, 1), F.slice(words, F.lit(3), F.size(words))), " "),
-        F.concat(F.substring(name, 1, 2), F.substring(name, F.lit(4), F.length(name))),
+        name, strip_marks(name), F.lower(name), F.replace(name, F.lit("-"), F.lit(" ")), F.when(F.size(words) >= 2, last(2)).otherwise(name), last(1),
+        F.when(F.size(words) > 1, part(1, F.size(words) - 1)).otherwise(name), part(1, F.lit(2)), part(1, F.lit(3)),
+        F.when(F.length(name) > 5, F.substring(name, F.lit(1), F.length(name) - 2)).otherwise(name), F.replace(F.replace(name, F.lit("tỉnh"), F.lit("tinh")), F.lit("thành phố"), F.lit("tp")),
+        F.when(F.length(squeezed) > 8, F.concat(F.substring(squeezed, F.lit(1), middle), F.substring(squeezed, middle + 2, F.length(squeezed)))),
     )
-    return F.array_distinct(F.filter(options, lambda v: F.trim(v) != ""))
+    return F.array_distinct(F.filter(F.transform(options, lambda v: F.trim(v)), lambda v: v != ""))
 
 
 def username(name: Column) -> Column:

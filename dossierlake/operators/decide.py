@@ -16,7 +16,7 @@ def evaluate_policies(cases: DataFrame, rules: DataFrame) -> DataFrame:
     """
     col = F.col
     day_ok = (col("effective_from").isNull() | (col("day") >= col("effective_from"))) & (col("effective_to").isNull() | (col("day") <= col("effective_to")))
-    j = cases.join(F.broadcast(rules.filter("active").limit(10_000)), day_ok)  # a configured list, bounded here
+    j = cases.join(F.broadcast(rules.filter("active")), day_ok)  # a configured list of rules
     missing = F.filter("required", lambda f: F.nullif(F.try_element_at(col("facts"), f), F.lit("")).isNull())
     status = (
         F.when(F.size("groups") == 0, "NOT_APPLICABLE")
@@ -79,3 +79,46 @@ def subject_group(text: Column, groups: dict[str, tuple[list[str], float]]) -> C
             hit = hit | affirmed(w)
         out = F.when(hit, F.struct(F.lit(name).alias("subject_group"), F.lit(confidence).alias("confidence"))).otherwise(out)
     return out
+
+
+SCOPE_CANDIDATES = 5  # fixed value: candidates that a review's scope is taken from
+#: What a decision makes of an open review.
+DECISIONS = {"CONFIRM": "RESOLVED", "UNKNOWN": "RESOLVED", "INSUFFICIENT": "RESOLVED", "DISMISS": "DISMISSED"}
+
+
+def in_scope(me: int | str, admin: bool, groups: list, view_all: bool) -> Column:
+    """Rows (coverage_group, assigned_to) that a user may see: administrators and the group * all; without groups all or none;
+    else those of the groups that are assigned to nobody else."""
+    if admin or "*" in groups or (not groups and view_all):
+        return F.lit(True)
+    if not groups:
+        return F.lit(False)
+    return F.col("coverage_group").isin(*groups) & (F.col("assigned_to").isNull() | (F.col("assigned_to") == me))
+
+
+def review_scope(groups: Column) -> Column:
+    """The one group of an array, nulls aside, or UNASSIGNED."""
+    found = F.array_distinct(F.array_compact(groups))
+    return F.when(F.size(found) == 1, found[0]).otherwise("UNASSIGNED")
+
+
+def siblings(asked: DataFrame, cases: DataFrame) -> DataFrame:
+    """(case_id, sibling, block): other cases of the group of each case asked for, of the same owner.
+
+    Both (case_id, owner, key): key is the group and the place in it, with a colon between.
+    """
+    group = F.substring_index("key", ":", 1)
+    a = asked.filter(F.contains("key", F.lit(":"))).select("case_id", "owner", group.alias("grp"))
+    b = cases.filter(F.contains("key", F.lit(":"))).select(F.col("case_id").alias("sibling"), "owner", group.alias("grp"), F.substring_index("key", ":", -1).try_cast("int").alias("block"))
+    return a.join(b, ["owner", "grp"]).filter("case_id <> sibling").select("case_id", "sibling", F.coalesce("block", F.lit(0)).alias("block"))
+
+
+def apply_decisions(reviews: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Reviews (review_id, version_no, status) after decisions (review_id, expected_version, decision), with ``error`` where one was
+    refused: an unknown decision, a review that is not open, or one that has changed since. One decision a review."""
+    table = F.create_map(*[F.lit(x) for p in DECISIONS.items() for x in p])
+    rows = reviews.join(decisions, "review_id", "left")
+    to = table[F.col("decision")]
+    error = F.when(F.col("decision").isNull(), None).when(to.isNull(), "UNKNOWN_DECISION").when(F.col("status") != "OPEN", "NOT_OPEN").when(~F.col("version_no").eqNullSafe(F.col("expected_version")), "STALE_VERSION")
+    done = F.col("decision").isNotNull() & error.isNull()
+    return rows.select("review_id", error.alias("error"), F.when(done, to).otherwise(F.col("status")).alias("status"), (F.col("version_no") + done.cast("int")).alias("version_no"))

@@ -91,3 +91,53 @@ def taxonomy(name: Column, rules: list[tuple[str, str]], default: str = "OTHER")
     for pattern, label in rules:
         out = F.when(name.rlike(f"^(?:{pattern})"), label) if out is None else out.when(name.rlike(f"^(?:{pattern})"), label)
     return out.otherwise(default)
+
+
+#: What a version may become, and by which step.
+STEPS = {"validate": ("DRAFT", "VALIDATED"), "approve": ("VALIDATED", "APPROVED"), "publish": ("APPROVED", "PUBLISHED")}
+
+
+def advance(versions: DataFrame, requests: DataFrame, snapshot_errors: DataFrame, at: Column) -> DataFrame:
+    """Versions (version, status, published_at) after requests (version, step), with ``error`` where one was refused.
+
+    A step needs the status before it; a version with errors (version, error) is not validated. Of the versions
+    that one batch publishes the greatest name stays published, and every other published one is deprecated.
+    """
+    table = F.create_map(*[F.lit(x) for step, (a, b) in STEPS.items() for x in (step, F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")))])
+    asked = versions.join(requests, "version", "left").join(snapshot_errors.select("version").distinct().withColumn("bad", F.lit(True)), "version", "left")
+    move = table[F.col("step")]
+    error = F.when(F.col("step").isNull(), None).when(move.isNull(), "UNKNOWN_STEP").when(move["a"] != F.col("status"), "WRONG_STATUS").when((F.col("step") == "validate") & F.col("bad"), "INVALID_SNAPSHOT")
+    moved = asked.select("version", "published_at", "status", error.alias("error"), F.when(error.isNull() & F.col("step").isNotNull(), move["b"]).alias("to"))
+    newest = moved.filter("to = 'PUBLISHED'").agg(F.max("version").alias("newest"))  # one row
+    rows = moved.join(F.broadcast(newest))
+    now = F.coalesce("to", "status")
+    status = F.when((now == "PUBLISHED") & F.col("newest").isNotNull() & (F.col("version") != F.col("newest")), "DEPRECATED").otherwise(now)
+    return rows.select("version", status.alias("status"), F.when((F.col("to") == "PUBLISHED") & (F.col("version") == F.col("newest")), at).otherwise(F.col("published_at")).alias("published_at"), "error")
+
+
+def snapshot_errors(snapshot: DataFrame, units: DataFrame) -> DataFrame:
+    """(version, error) of a snapshot's rows (version, unit_id, org, key, source_id, valid_from, valid_to) against units (unit_id, qa_status):
+    equal keys of different units, units not approved, without a source, or with validity upside down."""
+    twice = snapshot.groupBy("version", "org", "key").agg(F.count_distinct("unit_id").alias("n")).filter("n > 1").select("version", F.concat_ws(":", F.lit("duplicate_normalized_unit"), "org", "key").alias("error"))
+    known = snapshot.join(units.select("unit_id", "qa_status"), "unit_id", "left")
+    one = lambda what, test: known.filter(test).select("version", F.concat_ws(":", F.lit(what), F.col("unit_id").cast("string")).alias("error"))
+    bad = one("unit_not_approved", "qa_status is null or qa_status <> 'APPROVED'").unionByName(one("unit_missing_source", "coalesce(source_id, '') = ''")).unionByName(one("invalid_validity", "valid_from > valid_to"))
+    return twice.unionByName(bad).distinct()
+
+
+def copy_snapshot(snapshot: DataFrame, base: str, version: str) -> DataFrame:
+    """The rows of version ``base`` as a new version; folded keys are not copied and are worked out when read."""
+    return snapshot.filter(F.col("version") == base).drop("ascii_key").withColumn("version", F.lit(version))
+
+
+def rollback(versions: DataFrame, snapshot: DataFrame, target: str, version: str, at: Column) -> tuple[DataFrame, DataFrame]:
+    """(versions, snapshot) after a copy of ``target`` is published as ``version``; nothing changes if there is no such target."""
+    fresh = versions.filter(F.col("version") == target).select(F.lit(version).alias("version"), F.lit("PUBLISHED").alias("status"), at.alias("published_at"))
+    done = versions.join(F.broadcast(fresh.select(F.lit(True).alias("found"))), how="left")  # one row at most
+    kept = done.select("version", F.when(F.col("found") & (F.col("status") == "PUBLISHED"), "DEPRECATED").otherwise(F.col("status")).alias("status"), "published_at")
+    return kept.unionByName(fresh), snapshot.unionByName(copy_snapshot(snapshot, target, version), allowMissingColumns=True)
+
+
+def latest_published(versions: DataFrame) -> DataFrame:
+    """The version (version, status, published_at) published last, as one row; none if none is published."""
+    return versions.filter("status = 'PUBLISHED'").orderBy(F.desc("published_at"), F.desc("version")).limit(1)

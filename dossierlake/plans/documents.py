@@ -78,14 +78,6 @@ def b16_profile(t):
     return g.select("doc_id", "lines", "cells", F.when(F.col("share") >= 0.7, "TABULAR_LIST").otherwise("TEXT").alias("kind"))
 
 
-@query()
-def b17_header_mapping(t):
-    headers = t.spark.createDataFrame([(h,) for h in ("Full name", "personal_code", "Birth-year", "Current unit", "remark")], "header string")
-    fields = {"subject_name": ["full name", "ho va ten"], "subject_code": ["personal code", "cccd"], "birth_year": ["birth year", "nam sinh"], "current_unit": ["current unit", "don vi cong tac"]}
-    best = D.header_scores(headers, fields).groupBy("header").agg(F.max(F.struct("score", "field")).alias("b"))
-    return best.select("header", F.when(F.col("b.score") >= 0.6, F.col("b.field")).alias("field"), F.round("b.score", 6).alias("score"))
-
-
 def _bulk(t):
     code = F.when(F.col("c_custkey") % 3 == 0, F.lpad((F.col("c_custkey") % 400).cast("string"), 9, "1")).when(F.col("c_custkey") % 3 == 1, F.lit("12-3")).otherwise(F.lit(""))
     day = F.when(F.col("c_custkey") % 13 == 0, F.lit("2026-99-01")).otherwise(F.lit("2026-01-02"))
@@ -108,12 +100,6 @@ def b20_finalise(t):
     return D.finalise(D.validate_rows(_bulk(t)))
 
 
-@query()
-def b22_labels(t):
-    docs = t.customer.select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("Ho va ten: "), F.col("c_name"), F.lit("\nDon vi\t"), F.col("c_mktsegment"), F.lit("\nnote without label")).alias("text"))
-    return D.labelled_values(docs, {"subject_name": ["ho va ten", "full name"], "current_unit": ["don vi", "unit"]})
-
-
 @query("SELECT conv_id, turn, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn)::bigint AS block FROM conversations")
 def w5_blocks(t):
     return D.blocks(t.conversations, F.col("role") == "user", ["conv_id"], "turn").select("conv_id", "turn", "block")
@@ -136,12 +122,6 @@ def j15_spatial(t):
     return D.spatial_values(b.filter("id % 2 = 1"), b.filter("id % 2 = 0")).select("page", "label_id", "value_id", "kind")
 
 
-@query("SELECT item_id, round(levenshtein(left(a, 200), left(lower(a), 190))::double / length(left(a, 200)), 6) AS cer FROM (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS a FROM benchmark)")
-def f7_cer(t):
-    plain = F.regexp_replace("text", "[^ -~]", "")  # edit distance counts bytes in the other engine
-    return t.benchmark.select("item_id", F.round(T.error_rate(F.substring(plain, 1, 200), F.substring(F.lower(plain), 1, 190)), 6).alias("cer"))
-
-
 _PRED = "SELECT doc_id, quality AS y, (contains(text, '$$$') OR contains(text, ' | '))::int AS flagged, length(text) % 97 / 97.0::double AS p FROM labels JOIN documents USING (doc_id)"
 
 

@@ -268,10 +268,3 @@ def b12_review_reason(t):
     no = F.lit(False)
     flags = [F.col("o_orderstatus") == "P", F.col("l_returnflag") == "R", no, F.col("l_linestatus") == "O", no, F.col("l_discount") < 0.03, no, no, no, F.col("o_totalprice") < 50000]
     return j.select("o_orderkey", decide.review_reason(flags).alias("reason"), decide.least_confidence(F.col("l_discount") * 10, F.col("l_tax") * 10, F.col("o_totalprice") / 500000).alias("confidence"))
-
-
-@query("""SELECT unit, i AS n, CASE WHEN substr(sha256(unit || '-' || i), 1, 1) < '2' THEN 'typo' WHEN substr(sha256(unit || '-' || i), 1, 1) < '5' THEN 'lower' ELSE 'clean' END AS noise FROM (SELECT p_partkey::varchar AS unit, unnest(range(1, 6))::int AS i FROM part)""")
-def b28_synthesise(t):
-    rows = t.part.select(F.col("p_partkey").cast("string").alias("unit"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("n"))
-    pick = F.substring(F.sha2(F.concat_ws("-", "unit", F.col("n").cast("string")).cast("binary"), 256), 1, 1)
-    return rows.withColumn("noise", F.when(pick < "2", "typo").when(pick < "5", "lower").otherwise("clean"))

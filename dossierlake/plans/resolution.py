@@ -240,11 +240,6 @@ def f13_ids(t):
     return t.part.select("p_partkey", T.stable_id(F.col("p_brand"), F.col("p_name")).alias("unit_id"), F.sha2(F.concat_ws("|", "p_name", "p_type").cast("binary"), 256).alias("row_hash"))
 
 
-@query()
-def f24_variants(t):
-    return t.part.select(F.col("p_name").alias("name")).distinct().select("name", F.explode(T.mention_variants(F.col("name"))).alias("variant"))
-
-
 @query("""SELECT c_custkey, base || CASE WHEN r = 1 THEN '' ELSE r::varchar END AS username FROM (SELECT c_custkey, base, row_number() OVER (PARTITION BY base ORDER BY c_custkey) AS r FROM (SELECT c_custkey, lower(n_name) || lower(left(c_mktsegment, 1)) AS base FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE position(' ' IN n_name) = 0 AND position('_' IN n_name) = 0))""")
 def f25_username(t):
     rows = t.customer.join(t.nation.filter(~F.col("n_name").rlike("[ _]")), F.col("c_nationkey") == F.col("n_nationkey"))

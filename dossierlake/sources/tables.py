@@ -3,14 +3,23 @@
 from __future__ import annotations
 
 import io
+import json
+import posixpath
 import re
 import zipfile
+from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+SNIFFED, SEPARATORS = 4096, ",;\t|"  # fixed values: characters that are looked at, and what may separate columns
+MAX_SHEETS, MAX_ROWS = 50, 100_000  # fixed values: limits of a workbook
+_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+_WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """CSV with a header, all columns text, blanks for nulls; a byte-order mark is dropped."""
@@ -19,47 +28,163 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
 
 
 def sniff_separator(spark: SparkSession, path: str) -> str:
-    """Comma, semicolon, tab or pipe, whichever the first line has most of; comma if none."""
-    line = spark.read.text(path).limit(1).select(*[F.regexp_count("value", F.lit(re.escape(s))).alias(n) for n, s in (("c", ","), ("s", ";"), ("t", "\t"), ("p", "|"))]).first()
-    if line is None:
+    """Of comma, semicolon, tab and bar the one that the first ``SNIFFED`` characters have most of in every line; comma if none.
+
+    A separator that all lines (the last may be cut) have equally often goes before others.
+    """
+    head = spark.read.text(path, wholetext=True).select(F.substring("value", 1, SNIFFED).alias("head")).limit(1)
+    lines = F.filter(F.split("head", "\r\n|\r|\n"), lambda x: F.trim(x) != "")
+    whole = F.when(F.size(lines) > 1, F.slice(lines, F.lit(1), F.greatest(F.size(lines) - F.when(F.length("head") >= SNIFFED, 1).otherwise(0), F.lit(1)))).otherwise(lines)
+    held = lambda sign: F.transform(whole, lambda x: F.length(x) - F.length(F.replace(x, F.lit(sign), F.lit(""))))
+    counts = [held(sign).alias(f"n{k}") for k, sign in enumerate(SEPARATORS)]
+    row = head.select(*counts).first()  # a row
+    if row is None:
         return ","
-    return max(zip((line["c"], line["s"], line["t"], line["p"]), (3, 2, 1, 0), ",;\t|"))[2]
+    judged = [(min(n, default=0) > 0 and min(n) == max(n), sum(n), -k) for k, n in enumerate(row)]
+    best = max(judged)
+    return SEPARATORS[-best[2]] if best[1] else ","
+
+
+def read_sniffed(spark: SparkSession, path: str, rows: int = MAX_ROWS) -> DataFrame:
+    """CSV of an unknown separator; a file of more than ``rows`` rows raises an error when it is read, none is cut."""
+    table = read_csv(spark, path, sniff_separator(spark, path))
+    n = table.count()
+    if n > rows:
+        raise ValueError(f"{n} rows; a sheet has {rows} at most")
+    return table
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text) of text files."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.regexp_replace("value", "^﻿", "").alias("text"))
-
-
-def _cells(frames):
-    """Cells of XLSX files: (path, sheet, row, col, value)."""
-    ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
-    for f in frames:
-        out = []
-        for path, content in zip(f["path"], f["content"]):
-            with zipfile.ZipFile(io.BytesIO(content)) as z:
-                shared = []
-                if "xl/sharedStrings.xml" in z.namelist():
-                    shared = ["".join(t.text or "" for t in s.iter(f"{{{ns['m']}}}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", ns)]
-                names = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{{{ns['m']}}}sheet")]
-                for k, name in enumerate(names, 1):
-                    for c in ElementTree.fromstring(z.read(f"xl/worksheets/sheet{k}.xml")).iter(f"{{{ns['m']}}}c"):
-                        letters, row = re.match(r"([A-Z]+)(\d+)", c.get("r")).groups()
-                        col = 0
-                        for ch in letters:
-                            col = col * 26 + ord(ch) - 64
-                        v = c.find("m:v", ns)
-                        value = "".join(t.text or "" for t in c.iter(f"{{{ns['m']}}}t")) if c.get("t") == "inlineStr" else v.text if v is not None else None
-                        if c.get("t") == "s" and value is not None:
-                            value = shared[int(value)]
-                        out.append((path, name, int(row), col, value))
-        yield pd.DataFrame(out, columns=["path", "sheet", "row", "col", "value"])
+    """(path, text) of text files; what is no UTF-8 is replaced, a byte-order mark dropped."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "^﻿", "").alias("text"))
+
+
+def read_config(spark: SparkSession, path: str) -> dict:
+    """A JSON configuration as a dictionary of literals for plans; some kilobytes."""
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
+def _workbook(content: bytes) -> Iterator[tuple[str, int, int, str | None, bool]]:
+    """(sheet, row, col, value, is_text) of the filled cells, rows and columns from 0; sheets by the workbook's own order and links."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        names = set(z.namelist())
+        tree = lambda name: ElementTree.fromstring(z.read(name))
+        spoken = lambda e: "".join(t.text or "" for t in e.iter(f"{_SHEET}t"))
+        shared = [spoken(s) for s in tree("xl/sharedStrings.xml").findall(f"{_SHEET}si")] if "xl/sharedStrings.xml" in names else []
+        links = {r.get("Id"): posixpath.normpath(posixpath.join("xl", r.get("Target"))).lstrip("/") for r in tree("xl/_rels/workbook.xml.rels")}
+        for sheet in list(tree("xl/workbook.xml").iter(f"{_SHEET}sheet"))[:MAX_SHEETS]:
+            target = links.get(sheet.get(_LINK), "")
+            target = target if target in names else target.removeprefix("xl/")
+            for c in tree(target).iter(f"{_SHEET}c"):
+                letters, row = re.match(r"([A-Z]+)(\d+)", c.get("r")).groups()
+                col = 0
+                for ch in letters:
+                    col = col * 26 + ord(ch) - 64
+                v, kind = c.find(f"{_SHEET}v"), c.get("t")
+                value = spoken(c) if kind == "inlineStr" else None if v is None else shared[int(v.text)] if kind == "s" else v.text
+                if value not in (None, ""):
+                    yield sheet.get("name"), int(row) - 1, col - 1, value, kind in ("s", "str", "inlineStr")
 
 
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
-    """Cells of workbooks in long form, one file a task at most."""
+    """(path, sheet, row, col, value, is_text) of workbooks, a file a task at most; what is no workbook gives no row."""
+
+    def cells(frames):
+        for f in frames:
+            for file, content in zip(f["path"], f["content"]):
+                try:
+                    rows = [(file, *x) for x in _workbook(bytes(content))]
+                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+                    rows = []
+                yield pd.DataFrame(rows, columns=["path", "sheet", "row", "col", "value", "is_text"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(cells, "path string, sheet string, row int, col int, value string, is_text boolean")
+
+
+def list_sheets(cells: DataFrame, recognised: Column) -> DataFrame:
+    """Cells (path, sheet, row, col, value) of the sheets to read: those where a cell of the first 20 rows is ``recognised``; if a
+    workbook has none, all of its sheets. A workbook with a sheet of more than ``MAX_ROWS`` rows raises an error."""
+    per = cells.groupBy("path", "sheet").agg(F.bool_or(recognised & (F.col("row") < 20)).alias("known"), F.max("row").alias("last"))
+    big = F.when(F.col("last") >= MAX_ROWS, F.raise_error(F.concat(F.col("sheet"), F.lit(f" has more than {MAX_ROWS} rows"))).cast("boolean")).otherwise(F.lit(True))
+    any_known = F.bool_or("known").over(Window.partitionBy("path"))
+    chosen = per.withColumn("any", any_known).filter((F.col("known") | ~F.col("any")) & big).select("path", "sheet")
+    return cells.join(chosen, ["path", "sheet"], "left_semi")
+
+
+def read_docx(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Paragraphs (path, nth, text) outside tables, and table cells (path, table, row, col, content), of DOCX files."""
+
+    def parts(frames):
+        for f in frames:
+            out = []
+            for file, content in zip(f["path"], f["content"]):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
+                        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_WORD}body")
+                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+                    continue
+                said = lambda e: "".join(t.text or "" for t in e.iter(f"{_WORD}t"))
+                out += [(file, k, None, None, None, said(p)) for k, p in enumerate(body.findall(f"{_WORD}p"))]
+                for k, table in enumerate(body.findall(f"{_WORD}tbl")):
+                    for r, row in enumerate(table.findall(f"{_WORD}tr")):
+                        out += [(file, None, k, r, c, "\n".join(said(p) for p in cell.findall(f"{_WORD}p"))) for c, cell in enumerate(row.findall(f"{_WORD}tc"))]
+            frame = pd.DataFrame(out, columns=["path", "nth", "table", "row", "col", "text"])
+            yield frame.astype({c: "Int32" for c in ("nth", "table", "row", "col")})
+
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(_cells, "path string, sheet string, row int, col int, value string")
+    rows = files.mapInPandas(parts, "path string, nth int, table int, row int, col int, text string")
+    return rows.filter("table is null").select("path", "nth", "text"), rows.filter("table is not null").select("path", "table", "row", "col", F.col("text").alias("content"))
+
+
+def read_roster(spark: SparkSession, path: str, name: str = "canonical_name") -> DataFrame:
+    """A roster's rows with a name, with the file's SHA-256 and the status that waits for approval; without a name column an error."""
+    rows = read_csv(spark, path)
+    if name not in rows.columns:
+        raise ValueError(f"a roster needs the column {name}")
+    digest = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("source_sha256"))
+    kept = rows.filter(F.trim(name) != "").withColumn(name, F.trim(name))
+    return kept.drop("source_sha256", "qa_status").join(F.broadcast(digest)).withColumn("qa_status", F.lit("PENDING_QA"))  # a row a file
+
+
+def read_saved_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages saved as JSON files, in the order of their names: the columns of the files, path and nth."""
+    pages = spark.read.option("multiLine", True).json(folder).withColumn("path", F.input_file_name())
+    return pages.withColumn("nth", F.regexp_extract("path", r"(\d+)[^/]*$", 1).try_cast("long"))
+
+
+def seed_counters(people: DataFrame, units: DataFrame) -> DataFrame:
+    """One row: what becomes of the rows of a roster of persons (source_kind, unit_id, name): seeded, or skipped and why, first reason counts."""
+    rows = people.join(units.select("unit_id", F.lit(True).alias("known")), "unit_id", "left")
+    why = F.when(F.col("source_kind") != "SYNTHETIC_DEMO", "not_synthetic").when(F.coalesce(F.trim("name"), F.lit("")) == "", "no_name").when(F.col("known").isNull(), "unknown_unit").otherwise("seeded")
+    return rows.select(why.alias("why")).agg(*[F.count_if(F.col("why") == w).alias(w) for w in ("seeded", "not_synthetic", "no_name", "unknown_unit")])
+
+
+def publish_csv(existing: DataFrame, fresh: DataFrame, keys: list[str], order: str, path: str) -> None:
+    """Write both as one CSV to a new folder: of rows that share ``keys`` an existing one stays, else the first by ``order``."""
+    both = existing.withColumn("rank of source", F.lit(0)).unionByName(fresh.withColumn("rank of source", F.lit(1)), allowMissingColumns=True)
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("rank of source", order))
+    both.withColumn("nth of key", nth).filter(F.col("nth of key") == 1).drop("nth of key", "rank of source").write.csv(path, header=True, escape='"')
+
+
+def write_records(records: DataFrame, entities: DataFrame, relations: DataFrame, folder: str) -> None:
+    """Records as CSV, their entities and relations as JSON lines, in folders of ``folder``."""
+    records.write.csv(f"{folder}/records", header=True, escape='"')
+    entities.write.json(f"{folder}/entities")
+    relations.write.json(f"{folder}/relations")
+
+
+def write_report(row: DataFrame, folder: str, name: str) -> None:
+    """A report of a row as one JSON file in ``folder``/``name``; nulls are kept."""
+    row.limit(1).coalesce(1).write.option("ignoreNullFields", False).json(f"{folder}/{name}")
+
+
+def write_texts(docs: DataFrame, folder: str) -> None:
+    """Documents (doc_id, text) as text files, a folder a document, and a manifest (doc_id, sha256, characters) as JSON lines."""
+    docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("value")).write.partitionBy("doc_id").text(f"{folder}/documents")
+    text = F.coalesce("text", F.lit(""))
+    docs.select("doc_id", F.sha2(text.cast("binary"), 256).alias("sha256"), F.length(text).alias("characters")).write.json(f"{folder}/manifest")
 
 
 def latest_wins(existing: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
@@ -77,6 +202,12 @@ def append_only(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-def safe_key(c):
+def split_failures(rows: DataFrame, error: str, path: str) -> DataFrame:
+    """Rows without ``error``; the others are added to the dead-letter table at ``path``."""
+    append_only(rows.filter(F.col(error).isNotNull()), path)
+    return rows.filter(F.col(error).isNull()).drop(error)
+
+
+def safe_key(c: Column) -> Column:
     """Object key without what may leave its folder or clash with the store."""
     return F.regexp_replace(F.regexp_replace(c, r"\.\.+", "."), r"[^A-Za-z0-9._/\-]", "_")
