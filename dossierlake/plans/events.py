@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from dossierlake.plans.base import QUERIES, query, same_sql
+from dossierlake.operators import events as E
+from dossierlake.plans.base import QUERIES, SQL, query, same_sql
 from dossierlake.streaming import events as S
 
 same_sql(
@@ -54,19 +55,77 @@ def t11_alert(t):
 
 @query("SELECT event_id, ts + (least(300, 2 ** least(event_id % 12, 8)))::int * INTERVAL 1 SECOND AS retry_at FROM events")
 def f28_backoff(t):
-    wait = F.least(F.lit(300), F.pow(F.lit(2), F.least(F.col("event_id") % 12, F.lit(8))).cast("int"))
+    wait = E.wait_seconds(F.col("event_id") % 12)
     return t.events.select("event_id", (F.col("ts") + F.make_interval(secs=wait)).alias("retry_at"))
 
 
-def _stream(name, build):
+def _stream(name, build, sql=None):
     def run(spark, sf_dir):
-        folder = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/dossierlake-streams"
-        key = f"{name}_{uuid.uuid4().hex}"
-        return S.drain(build(S.read_events(spark, sf_dir)), key, f"{folder}/{key}")
+        events = S.read_events(spark, sf_dir)
+        drained = lambda stream: S.drain(stream, f"{S.shared_folder(spark)}/stream-{name}-{uuid.uuid4().hex}")
+        return build(events, drained, lambda: spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")))
 
     QUERIES[name] = run
+    if sql:
+        SQL[name] = sql
 
 
-_stream("t1_stream_rate", lambda e: S.rate_windows(e, 60))
-_stream("t8_stream_intake", lambda e: S.first_of_key(e, ["event_id"]).select("event_id", "user_id", "event_type"))
-_stream("t4_stream_lockout", S.lockouts)
+_stream(
+    "t1_stream_rate",
+    lambda e, drained, batch: S.with_open_windows(drained(S.rate_windows(e, 60)), batch(), 60).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n"),
+    "SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*)::bigint AS n FROM events GROUP BY 1, 2",
+)
+_stream("t8_stream_intake", lambda e, drained, _: drained(S.first_of_key(e, ["event_id"]).select("event_id", "user_id", "event_type")), "SELECT event_id, user_id, event_type FROM events")
+_stream("t4_stream_lockout", lambda e, drained, _: drained(S.lockouts(e)))
+
+
+@query("SELECT event_id AS id, coalesce(sum((event_type = 'error')::int) OVER (PARTITION BY user_id, time_bucket(INTERVAL 1 DAY, ts) ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 2 AS rejected FROM events")
+def t2_throttled(t):
+    calls = t.events.select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("failed"))
+    return E.throttled(calls, 2, "1 day").select("id", "rejected")
+
+
+@query("""WITH o AS (SELECT event_id AS id, event_type IN ('click', 'error') AS pending, event_id % 6 AS attempts, ts AS due, ts + event_id % 3 * INTERVAL 1 HOUR AS available FROM events),
+  s AS (SELECT id FROM o WHERE pending AND available <= TIMESTAMP '2024-01-15 00:00:00' ORDER BY due, id LIMIT 500)
+  SELECT o.id, CASE WHEN s.id IS NOT NULL AND o.id % 4 = 0 THEN 'SENT' WHEN pending THEN 'PENDING' ELSE 'SENT' END AS status, (attempts + (s.id IS NOT NULL)::int)::int AS attempts,
+    CASE WHEN s.id IS NOT NULL AND o.id % 4 <> 0 THEN TIMESTAMP '2024-01-15 00:00:00' + least(300, 2 ** least(attempts + 1, 8))::int * INTERVAL 1 SECOND ELSE available END AS available_at FROM o LEFT JOIN s USING (id)""")
+def t7_outbox_sweep(t):
+    ts = F.col("ts").cast("timestamp")
+    outbox = t.events.select(
+        F.col("event_id").alias("id"), F.when(F.col("event_type").isin("click", "error"), "PENDING").otherwise("SENT").alias("status"), (F.col("event_id") % 6).cast("int").alias("attempts"),
+        (ts + F.make_interval(hours=(F.col("event_id") % 3).cast("int"))).alias("available_at"), ts.alias("created_at"),
+    )
+    outcomes = t.events.select(F.col("event_id").alias("id"), (F.col("event_id") % 4 == 0).alias("delivered"))
+    got = E.sweep(outbox, outcomes, F.lit("2024-01-15 00:00:00").cast("timestamp"), 900)
+    return got.select("id", "status", "attempts", F.col("available_at").cast("timestamp_ntz").alias("available_at"))
+
+
+@query("SELECT event_id, CASE WHEN event_type <> 'error' THEN 'PARSED' WHEN event_id % 6 <= 3 THEN 'PENDING' ELSE 'FAILED' END AS state FROM events")
+def t7_document_state(t):
+    return t.events.select("event_id", E.document_state((F.col("event_id") % 6).cast("int"), F.when(F.col("event_type") == "error", F.lit("x"))).alias("state"))
+
+
+@query("""WITH b AS (SELECT conv_id AS doc_id, turn AS block, count(*) OVER (PARTITION BY conv_id) AS n, min(turn) OVER (PARTITION BY conv_id) AS first FROM conversations)
+  SELECT 'case_' || left(sha256(doc_id || ':' || block), 12) AS case_id, doc_id, block, doc_id || ':' || block AS key FROM b WHERE n > 1 AND doc_id % 3 <> 0 AND block > 0 AND (doc_id + block) % 5 <> 0""")
+def t9_fan_out(t):
+    blocks = t.conversations.select(F.col("conv_id").alias("doc_id"), F.lit("x").alias("case_id"), F.col("turn").alias("block"), (F.col("conv_id") % 3 == 0).alias("ambiguous"))
+    known = t.conversations.filter("(conv_id + turn) % 5 = 0").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key"))
+    return E.fan_out(blocks, known)
+
+
+@query("""WITH r AS (SELECT o_custkey % 200 AS job_id, count(*)::bigint AS total, count(*) FILTER (o_orderstatus = 'P')::bigint AS open, count(*) FILTER (o_orderpriority = '5-LOW' AND o_orderstatus <> 'P')::bigint AS failed FROM orders WHERE o_custkey % 7 = 0 GROUP BY 1)
+  SELECT j.id AS job_id, CASE WHEN j.id % 4 <> 0 AND open = 0 THEN CASE WHEN failed = total THEN 'FAILED' WHEN failed > 0 THEN 'COMPLETED_WITH_ERRORS' ELSE 'COMPLETED' END WHEN j.id % 4 <> 0 THEN 'RUNNING' ELSE 'CANCELLED' END AS status, coalesce(total, 0)::bigint AS total FROM range(200) j(id) LEFT JOIN r ON r.job_id = j.id""")
+def t10_reconcile(t):
+    status = F.when(F.col("o_orderstatus") == "P", "RUNNING").when(F.col("o_orderpriority") == "5-LOW", "FAILED").otherwise("COMPLETED")
+    rows = t.orders.filter("o_custkey % 7 = 0").select((F.col("o_custkey") % 200).alias("job_id"), status.alias("status"))
+    jobs = t.spark.range(200).select(F.col("id").alias("job_id"), F.when(F.col("id") % 4 != 0, "RUNNING").otherwise("CANCELLED").alias("status"))
+    return E.reconcile(jobs, rows)
+
+
+@query("""WITH v AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, list_filter([10.0, 50.0, 100.0, 500.0], lambda x: x >= value)[1]::double AS le FROM events), b AS (SELECT start, le, count(*) AS n FROM v GROUP BY 1, 2),
+  c AS (SELECT *, sum(n) OVER w AS c, coalesce(lag(le) OVER w, 0) AS low, sum(n) OVER (PARTITION BY start) AS total FROM b WINDOW w AS (PARTITION BY start ORDER BY le NULLS LAST))
+  SELECT start, round(CASE WHEN le IS NULL THEN low ELSE low + (le - low) * (0.95::double * total - (c - n)) / n END, 6) AS p95 FROM c WHERE c >= 0.95::double * total AND c - n < 0.95::double * total""")
+def t11_p95(t):
+    le = F.get(F.filter(F.array(*[F.lit(x) for x in (10.0, 50.0, 100.0, 500.0)]), lambda x: x >= F.col("value")), 0)
+    buckets = t.events.groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("start"), le.alias("le")).agg(F.count(F.lit(1)).alias("n"))
+    return E.histogram_quantile(buckets, ["start"], 0.95).select("start", F.round("value", 6).alias("p95"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -36,6 +37,7 @@ def lockouts(events: DataFrame, failure: str = "error", success: str = "signup")
         fails, until = state.get if state.exists else (0, 0)
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
         out = []
+        now = 0
         for ts, kind in zip(rows["ts"], rows["event_type"]):
             now = int(ts.timestamp())
             if now < until:
@@ -44,14 +46,38 @@ def lockouts(events: DataFrame, failure: str = "error", success: str = "signup")
             if fails >= LOCK_AFTER:
                 fails, until = 0, now + 60 * LOCK_MINUTES
                 out.append((key[0], ts))
-        state.update((fails, until))
+        if fails or len(rows) and now < until:
+            state.update((fails, until))
+        elif state.exists:
+            state.remove()  # nothing to remember: users without failures keep no state
         yield pd.DataFrame(out, columns=["user_id", "locked_at"])
 
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, locked_at timestamp", "fails int, until long", "append", "NoTimeout")
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there and return its rows."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; where it is unset and everything runs on one machine, a folder of it."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("streams need spark.checkpoint.dir, a folder that all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='dossierlake-')}"
+    return found
+
+
+def drain(stream: DataFrame, folder: str) -> DataFrame:
+    """Run a stream over what is there into a table under ``folder``, and read that table. A second run adds what is new."""
+    out = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/table")
+    out.trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/table")
+
+
+def with_open_windows(closed: DataFrame, events: DataFrame, minutes: int) -> DataFrame:
+    """``closed`` windows (user_id, start, n) of a stream, and those of events (ts, user_id) that its watermark has not passed.
+
+    Windows close in order of time, so whatever starts after the last closed one is open; its events alone are counted.
+    """
+    last = closed.agg(F.max("start").alias("last"))  # one row
+    later = events.join(F.broadcast(last)).filter(F.col("last").isNull() | (F.col("ts") >= F.col("last") + F.make_interval(mins=F.lit(minutes))))
+    g = later.groupBy(F.window("ts", f"{minutes} minutes"), "user_id").agg(F.count(F.lit(1)).alias("n"))
+    return closed.unionByName(g.select("user_id", F.col("window.start").alias("start"), "n"))
