@@ -62,23 +62,91 @@ def status_category(workflow: Column, resolution: Column, organization: Column)
     )
 
 
-def subject_group(text: Column, groups: dict[str, tuple[list[str], float]]) -> Column:
-    """struct<subject_group,confidence>: first group with a keyword that no negation stands before (40 characters)."""
-    folded = T.strip_marks(F.lower(text))
-    negation = r"(khong phai|khong|chua|not|never|no)\W+(\w+\W+){0,3}$"
-
-    def affirmed(word: str) -> Column:
-        parts = F.split(folded, rf"(?<!\w){word}(?!\w)", -1)
-        before = F.slice(parts, F.lit(1), F.size(parts) - 1)
-        return F.exists(before, lambda p: ~F.substring(p, -40, 40).rlike(negation))
-
-    out = F.lit(None)
-    for name, (words, confidence) in reversed(list(groups.items())):
-        hit = affirmed(words[0])
-        for w in words[1:]:
-            hit = hit | affirmed(w)
-        out = F.when(hit, F.struct(F.lit(name).alias("subject_group"), F.lit(confidence).alias("confidence"))).otherwise(out)
-    return out
+# Groups of subjects, their keywords by organisation, and what says that a keyword does not hold.
+KNOWN_GROUPS = ("CAND", "QUAN_NHAN", "CO_YEU_HUONG_LUONG_NHU_QUAN_NHAN")
+GROUP_RULES = {
+    "BCA": [("CAND", 0.95, ["si quan cong an", "ha si quan cong an", "chien si cong an", "cong an nhan dan", "cand"])],
+    "BQP": [("CO_YEU_HUONG_LUONG_NHU_QUAN_NHAN", 0.90, ["co yeu"]), ("QUAN_NHAN", 0.92, ["quan nhan", "si quan", "ha si quan", "binh si", "quan doi nhan dan"])],
+}
+NEGATED = r"(?:khong phai|khong thuoc|khong la|chua phai|chua la|khong con|thoi khong con)(?: +(?:la|mot|dang|hien|thuoc|trong|bien che)){0,3} +$"
+PAST_ROLE = r"(?:(?:da )?tung la +$|truoc day (?:la +)?$|nguyen la +$)"
+HAS_LEFT = r"\b(?:nhung )?(?:nay|hien nay|hien tai) (?:da )?(?:khong con|khong) (?:cong tac|phuc vu|thuoc|trong bien che)\b|\b(?:da )?(?:thoi cong tac|xuat ngu|chuyen nganh)\b"
+BEFORE, AFTER = 40, 140
+
+
+def _affirmed(folded: Column, word: str) -> Column:
+    """Whether a word stands somewhere in a folded text neither negated just before nor as a past role that was left just after."""
+    parts = F.split(folded, word, -1)
+    # before and after a place: what came up to it, and what follows it, occurrences included
+    upto = lambda n: F.array_join(F.slice(parts, F.lit(1), n), word)
+    rest = lambda n: F.array_join(F.slice(parts, n + 1, F.size(parts)), word)
+
+    def holds(n: Column) -> Column:
+        before = F.regexp_extract(upto(n), rf"(?s).{{0,{BEFORE}}}$", 0)
+        after = F.substring(rest(n), 1, AFTER)
+        return ~before.rlike(NEGATED) & ~(before.rlike(PAST_ROLE) & after.rlike(HAS_LEFT))
+
+    return (F.size(parts) > 1) & F.exists(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), holds)
+
+
+def subject_group(organization: Column, position: Column, text: Column, explicit: Column) -> Column:
+    """struct<subject_group,confidence,method> of a subject: the group that was entered, if it is known; else the first whose
+    keyword its organisation's rules find in position and text, affirmed."""
+    def found(name: str | None, confidence: float, how: str) -> Column:
+        return F.struct(F.lit(name).cast("string").alias("subject_group"), F.lit(confidence).alias("confidence"), F.lit(how).alias("method"))
+
+    given = F.upper(F.trim(explicit))
+    folded = T.ascii_key(F.concat_ws(" ", F.coalesce(position, F.lit("")), F.coalesce(text, F.lit(""))))
+    out = F.when(given.isin(*KNOWN_GROUPS), F.struct(given.alias("subject_group"), F.lit(1.0).alias("confidence"), F.lit("EXPLICIT_FIELD").alias("method")))
+    out = out.when(F.coalesce(explicit, F.lit("")) != "", found(None, 0.0, "INVALID_EXPLICIT_GROUP"))
+    for org, rules in GROUP_RULES.items():
+        for name, confidence, words in rules:
+            hit = F.lit(False)
+            for w in words:
+                hit = hit | _affirmed(folded, w)
+            out = out.when((organization == org) & hit, found(name, confidence, "RULE_TEXT"))
+    return out.otherwise(found(None, 0.0, "INSUFFICIENT_EVIDENCE"))
+
+
+# Thresholds of a case's decision.
+LEAST_EXTRACTION, LEAST_RELATION, LEAST_PARSE = 0.60, 0.70, 0.80
+
+
+def case_reason(c: dict[str, Column]) -> Column:
+    """Why a case goes to review, the first reason that holds; null if none does and its policies have the facts they need.
+
+    ``c`` has warning (code of the first warning of its batch), conflict (person and unit disagree), person and unit (statuses; a null
+    person was not asked for), organization, parse, extraction and relation (confidences), lookup (a bare name or
+    unit was asked for, so that no relation is due), group and insufficient (a policy lacks facts).
+    """
+    low = lambda x, least: F.coalesce(x, F.lit(0.0)) < least
+    return (
+        F.when(F.coalesce(c["warning"], F.lit("")) != "", c["warning"])
+        .when(F.coalesce(c["conflict"], F.lit(False)), "PERSON_UNIT_CONFLICT")
+        .when(c["person"].isNotNull() & (c["person"] != "MATCHED"), F.concat(F.lit("PERSON_"), c["person"]))
+        .when(~c["unit"].eqNullSafe("MATCHED"), F.coalesce(c["unit"], F.lit("NOT_FOUND")))
+        .when(F.coalesce(c["organization"], F.lit("UNKNOWN")) == "UNKNOWN", "ORGANIZATION_TYPE_UNKNOWN")
+        .when(low(c["parse"], LEAST_PARSE), "DOCUMENT_PARSE_LOW_CONFIDENCE")
+        .when(low(c["extraction"], LEAST_EXTRACTION), "DOCUMENT_EXTRACTION_LOW_CONFIDENCE")
+        .when(~F.coalesce(c["lookup"], F.lit(False)) & low(c["relation"], LEAST_RELATION), "CURRENT_WORK_UNIT_UNCERTAIN")
+        .when(c["group"].isNull(), "SUBJECT_GROUP_INSUFFICIENT")
+        .when(F.coalesce(c["insufficient"], F.lit(False)), "POLICY_INSUFFICIENT_DATA")
+    )
+
+
+def request_reviews(requests: DataFrame, cases: DataFrame, reviews: DataFrame) -> DataFrame:
+    """(case_id, outcome) of requests (case_id) for a review of cases (case_id, workflow, concluded), given reviews (case_id, status).
+
+    Refused: a case that is not there, still in flight, or concluded. A case with an open review keeps that one; repeated
+    requests make one.
+    """
+    open_ones = reviews.filter("status = 'OPEN'").select("case_id", F.lit(True).alias("open")).distinct()
+    rows = requests.select("case_id").distinct().join(cases, "case_id", "left").join(open_ones, "case_id", "left")
+    outcome = (
+        F.when(F.col("workflow").isNull(), "NOT_FOUND").when(F.col("open"), "ALREADY_OPEN").when(~F.col("workflow").isin("COMPLETED", "NEED_REVIEW", "FAILED"), "IN_FLIGHT")
+        .when(F.col("concluded"), "CONCLUDED").otherwise("CREATED")
+    )
+    return rows.select("case_id", outcome.alias("outcome"))
 
 
 SCOPE_CANDIDATES = 5  # fixed value: candidates that a review's scope is taken from

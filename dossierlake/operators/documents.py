@@ -2,44 +2,159 @@
 
 from __future__ import annotations
 
+import html as entities
+from urllib.parse import urldefrag, urljoin
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
+from dossierlake.functions import records
 from dossierlake.functions import text as T
+from dossierlake.operators import extract
+
+
+@F.pandas_udf(StringType())
+def unescaped(texts: pd.Series) -> pd.Series:
+    """Text with its HTML entities as the signs they stand for."""
+    return texts.map(lambda x: entities.unescape(x) if x and "&" in x else x)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def absolute(urls: pd.Series, links: pd.Series) -> pd.Series:
+    """Links of a page at ``url`` as absolute http(s) addresses without fragments, in order, each as often as it comes."""
+
+    def one(url: str, link: str) -> str | None:
+        try:
+            target = urldefrag(urljoin(url or "", entities.unescape(link)))[0]
+        except ValueError:  # no address at all
+            return None
+        return target if target.startswith(("http://", "https://")) else None
+
+    return pd.Series([None if ls is None else [t for t in (one(u, x) for x in ls) if t] for u, ls in zip(urls, links)])
+
+
+def html_title(html: Column) -> Column:
+    """The page's title, blanks single; empty where there is none."""
+    return F.trim(F.regexp_replace(unescaped(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)), r"\s+", " "))
 
 
 def html_text(html: Column) -> Column:
-    """Visible text of a page: no scripts, styles, tags or runs of blanks."""
-    c = F.regexp_replace(html, r"(?is)<(script|style|noscript)\b.*?</\1\s*>", " ")
-    c = F.regexp_replace(c, "(?s)<[^>]*>", " ")
-    for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(sign))
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    """Visible text of a page: no comments, scripts, styles, tags or runs of blanks."""
+    c = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|noscript)\b.*?</\1\s*>", " ")
+    return F.trim(F.regexp_replace(unescaped(F.regexp_replace(c, "(?s)<[^>]*>", " ")), r"\s+", " "))
 
 
-def html_links(html: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(html, F.lit(r"""href=["']([^"'#]+)"""), F.lit(1)), lambda u: F.regexp_replace(u, "#.*$", "")))
+def html_links(html: Column, url: Column) -> Column:
+    """Distinct absolute links of a page's anchors, in order."""
+    return F.array_distinct(absolute(url, F.regexp_extract_all(html, F.lit(r"""(?is)<a\b[^>]*?\shref\s*=\s*["']([^"']*)["']"""), F.lit(1))))
 
 
-def crawl(pages: DataFrame, links: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(url, depth) reached from ``seeds`` (url) within ``depth`` links: a level is a join and an anti-join."""
-    level = seeds.select("url").distinct().join(pages.select("url"), "url", "left_semi").withColumn("depth", F.lit(0))
-    seen = level
-    for d in range(1, depth + 1):
-        level = level.join(links, "url").select(F.col("target").alias("url")).distinct().join(pages.select("url"), "url", "left_semi").join(seen, "url", "left_anti").withColumn("depth", F.lit(d))
-        seen = seen.unionByName(level)
-    return seen
+def sitemap_urls(content: Column) -> Column:
+    """Addresses that a sitemap lists."""
+    return F.regexp_extract_all(content, F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1))
 
 
-def labelled_values(docs: DataFrame, labels: dict[str, list[str]], least: float = 75.0) -> DataFrame:
-    """First value of each field from ``Label: value`` lines of docs (doc_id, text), by similarity of the label."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    pairs = lines.select("doc_id", "line", F.regexp_extract("content", r"^\s*([^:\t]{1,40})[:\t]\s*(.+)$", 1).alias("label"), F.trim(F.regexp_extract("content", r"^\s*([^:\t]{1,40})[:\t]\s*(.+)$", 2)).alias("value"))
-    key = T.ascii_key(F.col("label"))
-    scored = [F.struct(F.greatest(*[T.ratio(F.col("key"), F.lit(a)) for a in names]).alias("score"), F.lit(field).alias("field")) for field, names in labels.items()]
-    best = F.array_max(F.array(*scored))
-    found = pairs.filter("label <> '' and value <> ''").withColumn("key", key).withColumn("best", best).filter(F.col("best.score") >= least)
-    return found.groupBy("doc_id", F.col("best.field").alias("field")).agg(F.min_by("value", "line").alias("value"), F.min("line").alias("line"))
+def crawl(pages: DataFrame, links: DataFrame, seeds: DataFrame, hosts: list[str], folder: str, depth: int = 4, most: int = 4000, seen: DataFrame | None = None) -> DataFrame:
+    """(url, depth) of pages (url, relevant) that a crawl reads from ``seeds`` (url), nearest first, ``most`` at most.
+
+    Only ``hosts`` and what is under them are read. Links (url, target) of a page are followed if it is relevant or at most a link
+    from a seed. Of a level that does not fit whole the first addresses in order are read. ``seen`` (url, depth) are pages
+    of an earlier run: they are not read again, but their links are followed. Each level is written under ``folder``, which all
+    executors share, and read again.
+    """
+    allowed = pages.filter(records.host_allowed(F.col("url"), hosts)).select("url", "relevant")
+    done = seen.select("url", F.col("depth").cast("int").alias("depth"), F.lit(True).alias("old")) if seen is not None else seeds.select("url").limit(0).select("url", F.lit(0).alias("depth"), F.lit(True).alias("old"))
+    spark, left = pages.sparkSession, most - done.count()
+
+    def kept(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
+
+    for d in range(depth + 1):
+        fresh = seeds.select("url") if d == 0 else links.join(done.filter(F.col("depth") == d - 1).join(allowed, "url").filter(F.col("relevant") | (F.col("depth") <= 1)), "url").select(F.col("target").alias("url"))
+        level = fresh.distinct().join(allowed.select("url"), "url", "left_semi").join(done.select("url"), "url", "left_anti")
+        if left <= 0:
+            break
+        level = kept(level.orderBy("url").limit(left).select("url", F.lit(d).alias("depth"), F.lit(False).alias("old")), f"level-{d}")
+        left -= level.count()
+        done = done.unionByName(level)
+    return done.filter("not old").select("url", "depth")
+
+
+def entropy_of(text: Column) -> Column:
+    """Shannon entropy, in bits, of a text's characters, counted in its own row; 0 of an empty text."""
+    runs = F.transform(F.regexp_extract_all(F.array_join(F.sort_array(F.split(text, "")), ""), F.lit(r"(?s)(.)\1*"), F.lit(0)), lambda r: F.length(r).cast("double"))
+    n = F.length(text)
+    held = F.element_at(F.transform(F.array(runs), lambda ks: F.aggregate(ks, F.lit(0.0), lambda s, k: s + k * F.log2(k))), 1)
+    return F.when(n == 0, 0.0).otherwise(F.log2(n) - held / n)
+
+
+def route_pages(pages: DataFrame) -> DataFrame:
+    """Pages (doc_id, page, text, coverage, fonts) with chars, replaced, entropy, score and route, TEXT or OCR."""
+    text = F.coalesce("text", F.lit(""))
+    lost = F.length(text) - F.length(F.replace(text, F.lit("�"), F.lit("")))
+    rows = pages.withColumn("chars", F.length(F.regexp_replace(text, r"^\s+|\s+$", ""))).withColumn("replaced", lost / F.greatest(F.length(text), F.lit(1))).withColumn("entropy", entropy_of(text))
+    score = route_page(F.col("chars"), F.col("coverage"), F.col("fonts"), F.col("entropy"), F.col("replaced"))
+    paths = (F.col("chars") < 50) & (F.col("coverage") < 0.1) & (F.col("fonts") == 0)  # letters drawn as lines
+    return rows.withColumn("score", score).withColumn("route", F.when((F.col("score") >= 2) | paths, "OCR").otherwise("TEXT"))
+
+
+def document_kinds(routed: DataFrame) -> DataFrame:
+    """(doc_id, kind): PDF_TEXT if all pages go to text, PDF_SCAN if all go to OCR, else PDF_HYBRID."""
+    text = F.col("route") == "TEXT"
+    return routed.groupBy("doc_id").agg(F.when(F.bool_and(text), "PDF_TEXT").when(~F.bool_or(text), "PDF_SCAN").otherwise("PDF_HYBRID").alias("kind"))
+
+
+def profile_sheets(cells: DataFrame) -> DataFrame:
+    """(sheet, kind, header, columns, rectangularity) of cells (sheet, row, col, value, is_text): TABULAR_LIST or KEY_VALUE_SHEET.
+
+    The header is the first of 20 filled rows with three filled cells or more, four fifths of them text. At most two columns, three
+    tenths of rows that begin with a label, or no header make a sheet of keys and values; so does less than two rows
+    below the header, or fewer than seven tenths of them about as long as it.
+    """
+    filled = cells.filter(F.coalesce("value", F.lit("")) != "")
+    spoken = F.coalesce(F.col("is_text"), F.lit(False))
+    first = F.min_by(F.struct("value", spoken.alias("text"), "col"), "col")
+    rows = filled.groupBy("sheet", "row").agg(
+        (F.max("col") + 1).alias("width"), F.count(F.lit(1)).alias("n"), F.avg((spoken & (F.trim("value") != "")).cast("int")).alias("text"), first.alias("first")
+    )
+    label = (F.col("first.col") == 0) & F.col("first.text") & F.trim("first.value").endswith(":")
+    place = F.row_number().over(Window.partitionBy("sheet").orderBy("row"))
+    rows = rows.withColumn("place", place)
+    head = (F.col("place") <= 20) & (F.col("n") >= 3) & (F.col("text") >= 0.8)
+    per = rows.groupBy("sheet").agg(F.min(F.when(head, F.struct("row", "width"))).alias("h"), F.max("width").alias("columns"), F.avg(label.cast("int")).alias("labels"))
+    below = rows.join(per.select("sheet", "h"), "sheet").filter(F.col("row") > F.col("h.row"))
+    near = below.groupBy("sheet").agg(F.count(F.lit(1)).alias("data"), F.avg((F.abs(F.col("width") - F.col("h.width")) <= 1).cast("int")).alias("rectangularity"))
+    listed = ~((F.col("columns") <= 2) | (F.col("labels") >= 0.3) | F.col("h").isNull()) & (F.coalesce("data", F.lit(0)) >= 2) & (F.coalesce("rectangularity", F.lit(0.0)) >= 0.7)
+    return per.join(near, "sheet", "left").select("sheet", F.when(listed, "TABULAR_LIST").otherwise("KEY_VALUE_SHEET").alias("kind"), F.col("h.row").alias("header"), "columns", F.coalesce("rectangularity", F.lit(0.0)).alias("rectangularity"))
+
+
+READ_BY_OCR = ("OCR", "PADDLE_OCR", "PDF_HYBRID")  # fixed values: ways of reading that give no sure lines
+
+
+def split_subjects(docs: DataFrame) -> DataFrame:
+    """Blocks (doc_id, block, text, ambiguous, reason) of docs (doc_id, text, method): one from each line with a label of a name to the next.
+
+    A text with at most one such line is one block. So is a text read by OCR, which is not split, but left to review; a
+    block of its label line alone is left to review too. What stands before the first label is dropped.
+    """
+    lines = docs.select("doc_id", "text", "method", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\r\n|\r|\n")).alias("line", "content"))
+    said = extract.label_of(F.rtrim(T.ascii_key(F.substring_index("content", ":", 1))))
+    lines = lines.withColumn("l", said)
+    starts = (F.col("l.field") == "subject_name") & (F.col("l.score") >= extract.LEAST_LABEL)
+    w = Window.partitionBy("doc_id").orderBy("line")
+    lines = lines.withColumn("starts", F.coalesce(starts, F.lit(False)).cast("int")).withColumn("n", F.sum("starts").over(Window.partitionBy("doc_id"))).withColumn("nth", F.sum("starts").over(w))
+    one = lines.filter("line = 0 and (n <= 1 or method in {0})".format(READ_BY_OCR)).select(
+        "doc_id", F.lit(0).cast("long").alias("block"), F.coalesce("text", F.lit("")).alias("text"), (F.col("n") > 1).alias("ambiguous"), F.when(F.col("n") > 1, "MULTIPLE_SUBJECTS_OCR_UNSUPPORTED").alias("reason")
+    )
+    parts = lines.filter("n > 1 and nth > 0 and not coalesce(method in {0}, false)".format(READ_BY_OCR)).groupBy("doc_id", "nth").agg(F.array_sort(F.collect_list(F.struct("line", "content"))).alias("ls"))
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    whole = lambda ls: bare(F.array_join(F.transform(ls, lambda x: x["content"]), "\n"))
+    empty = whole(F.slice("ls", F.lit(2), F.size("ls"))) == ""
+    several = parts.select("doc_id", (F.col("nth") - 1).alias("block"), whole(F.col("ls")).alias("text"), empty.alias("ambiguous"), F.when(empty, "MULTIPLE_SUBJECTS_AMBIGUOUS_BOUNDARY").alias("reason"))
+    return one.unionByName(several)
 
 
 def blocks(lines: DataFrame, marker: Column, keys: list[str], order: str) -> DataFrame:
@@ -76,12 +191,12 @@ def validate_rows(rows: DataFrame) -> DataFrame:
     no_name = T.first_present(F.trim("name")).isNull()
     bad_code = (digits != "") & ~F.length(digits).isin(9, 12)
     eligible = ~no_name & ~F.coalesce(bad_code, F.lit(False)) & T.first_present(F.col("code")).isNotNull()
-    w = Window.partitionBy("job_id", "code_key", "eligible").orderBy("row_index")
-    marked = rows.withColumn("code_key", key).withColumn("eligible", F.coalesce(eligible, F.lit(False))).withColumn("nth", F.row_number().over(w))
+    usable = F.coalesce(eligible, F.lit(False))
+    nth = F.row_number().over(Window.partitionBy("job_id", key, usable).orderBy("row_index"))
     bad_day = T.first_present(F.col("day")).isNotNull() & F.try_to_timestamp("day", F.lit("yyyy-MM-dd")).isNull()
-    error = F.when(no_name, "MISSING_NAME").when(bad_code, "BAD_FORMAT_CODE").when(F.col("eligible") & (F.col("nth") > 1), "DUPLICATE").when(bad_day, "BAD_FORMAT_DATE")
-    status = F.when(error == "DUPLICATE", "SKIPPED").when(error.isNotNull(), "FAILED").otherwise("READY")
-    return marked.withColumn("error", error).withColumn("status", status).drop("code_key", "eligible", "nth")
+    error = F.when(no_name, "MISSING_NAME").when(bad_code, "BAD_FORMAT_CODE").when(usable & (nth > 1), "DUPLICATE").when(bad_day, "BAD_FORMAT_DATE")
+    status = F.when(F.col("error") == "DUPLICATE", "SKIPPED").when(F.col("error").isNotNull(), "FAILED").otherwise("READY")
+    return rows.withColumn("error", error).withColumn("status", status)
 
 
 def finalise(rows: DataFrame) -> DataFrame:
@@ -91,12 +206,6 @@ def finalise(rows: DataFrame) -> DataFrame:
     return g.withColumn("job_status", F.when(F.col("failed") == F.col("total"), "FAILED").when(F.col("failed") > 0, "COMPLETED_WITH_ERRORS").otherwise("COMPLETED"))
 
 
-def header_scores(headers: DataFrame, fields: dict[str, list[str]]) -> DataFrame:
-    """(header, field, score): similarity of each header to each field's aliases."""
-    table = [F.struct(F.lit(f).alias("field"), (F.greatest(*[T.ratio(T.ascii_key(F.col("header")), F.lit(a)) for a in names]) / 100).alias("score")) for f, names in fields.items()]
-    return headers.select("header", F.explode(F.array(*table)).alias("s")).select("header", "s.field", "s.score")
-
-
 def nearest_rank(values: Column, q: float) -> Column:
     """Value number ceil(q * n) of an array in order; null of none."""
     s = F.sort_array(values)
@@ -110,18 +219,19 @@ def floor_rank(values: Column, q: float) -> Column:
 
 
 def text_quality(docs: DataFrame) -> DataFrame:
-    """Letter statistics of docs (doc_id, text): characters, index of coincidence (times 26) and entropy of letters."""
-    chars = docs.select("doc_id", F.explode(F.split(F.lower(F.regexp_replace("text", r"[^\p{L}]", "")), "")).alias("ch")).filter("ch <> ''")
-    per = chars.groupBy("doc_id", "ch").agg(F.count(F.lit(1)).alias("k"))
-    n = F.sum("k")
-    return per.groupBy("doc_id").agg(
-        n.alias("letters"),
-        F.when(n > 1, F.sum(F.col("k") * (F.col("k") - 1)) / (n * (n - 1)) * 26).alias("ioc"),
-        (F.log2(n) - F.sum(F.col("k") * F.log2("k")) / n).alias("entropy"),
-    )
+    """Letter statistics of docs (doc_id, text): letters, index of coincidence (times 26) and entropy, counted in each row."""
+    letters = F.lower(F.regexp_replace("text", r"[^\p{L}]", ""))
+    # equal letters stand together once they are sorted
+    runs = F.regexp_extract_all(F.array_join(F.sort_array(F.split(letters, "")), ""), F.lit(r"(.)\1*"), F.lit(0))
+    counted = docs.select("doc_id", F.transform(runs, lambda r: F.length(r).cast("double")).alias("ks")).filter("size(ks) > 0")
+    total = lambda f: F.aggregate("ks", F.lit(0.0), lambda s, k: s + f(k))
+    n = total(lambda k: k)
+    sums = counted.select("doc_id", n.alias("n"), total(lambda k: k * (k - 1)).alias("pairs"), total(lambda k: k * F.log2(k)).alias("bits"))
+    m = F.col("n")
+    return sums.select("doc_id", m.cast("long").alias("letters"), F.when(m > 1, F.col("pairs") / (m * (m - 1)) * 26).alias("ioc"), (F.log2(m) - F.col("bits") / m).alias("entropy"))
 
 
 def route_page(chars: Column, coverage: Column, fonts: Column, entropy: Column, replaced: Column) -> Column:
     """Scan score of a page; two or more send it to OCR."""
     one = lambda c, w: F.when(c, w).otherwise(0)
-    return one(chars < 50, 1) + one(coverage > 0.75, 2) + one(fonts == 0, 1) + one(entropy < 2.5, 2) + one(replaced > 0.02, 2)
+    return one(chars < 50, 1) + one(coverage > 0.75, 2) + one(fonts == 0, 1) + one((chars >= 50) & (entropy < 3.5), 2) + one(replaced > 0.02, 2)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -116,6 +117,29 @@ def nearest_names(queries: DataFrame, docs: DataFrame, k: int = TOP_K) -> DataFr
     return q.join(best, "qk").select("q_id", "d_id", "fuzzy")
 
 
+def nearest_vectors(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(q_id, d_id, cosine, rank): the ``k`` other rows of docs (d_id, v) with the highest cosine, clipped to 0..1 and to six places, of
+    queries (q_id, v) of vectors of length one; ties to the least d_id. Blocks of both meet; each keeps its best."""
+
+    def best(qs: pd.DataFrame, ds: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(qs) and len(ds):
+            ids = ds["d_id"].to_numpy()
+            scores = np.round(np.clip(np.array(qs["v"].tolist(), float) @ np.array(ds["v"].tolist(), float).T, 0.0, 1.0), 6)
+            for q, row in zip(qs["q_id"], scores):
+                order = [j for j in np.lexsort((ids, -row))[: k + 1].tolist() if ids[j] != q][:k]
+                out += [(q, ids[j], row[j]) for j in order]
+        return pd.DataFrame(out, columns=["q_id", "d_id", "cosine"])
+
+    shares, blocks = (max(1, -(-df.count() // size)) for df, size in ((queries, 256), (docs, 8192)))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    asked = queries.select("q_id", "v", F.pmod(F.xxhash64("q_id"), F.lit(shares)).alias("share"), upto(blocks).alias("block"))
+    held = docs.select("d_id", "v", F.pmod(F.xxhash64("d_id"), F.lit(blocks)).alias("b"), upto(shares).alias("s"))
+    found = asked.groupBy("share", "block").cogroup(held.groupBy("s", "b")).applyInPandas(best, "q_id long, d_id long, cosine double")
+    order = Window.partitionBy("q_id").orderBy(F.desc("cosine"), "d_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 def hybrid_rank(queries: DataFrame, docs: DataFrame, semantic: DataFrame | None = None, k: int = TOP_K) -> DataFrame:
     """Top ``k`` candidates per query by the weighted sum of fuzzy, BM25 and, if given, semantic scores (q_id, d_id, semantic).
 

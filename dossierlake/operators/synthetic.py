@@ -104,6 +104,27 @@ def policy(facts: dict[str, Column], start: Column, end: Column) -> Column:
     )
 
 
+BUCKETS = 4096  # of a hash, by its first three digits
+
+
+def ranked_split(rows: DataFrame, key: str, upto: dict[str, float]) -> DataFrame:
+    """Rows with ``split``: the first name whose bound their rank reaches at most, 0 to 1, in the order of a hash of a unique ``key``.
+
+    Ranks come from counts a bucket of the hash and ranks within buckets, so no task orders all rows.
+    """
+    text = F.col(key).cast("string")
+    hashed = rows.withColumn("hash of key", F.sha2(text.cast("binary"), 256)).withColumn("bucket of hash", F.substring("hash of key", 1, 3))
+    counts = hashed.groupBy("bucket of hash").agg(F.count(F.lit(1)).alias("n of bucket"))
+    order = registry.Window.orderBy("bucket of hash")  # a row a bucket
+    counts = counts.withColumn("before bucket", F.sum("n of bucket").over(order) - F.col("n of bucket")).withColumn("n of all", F.sum("n of bucket").over(registry.Window.partitionBy()))
+    place = F.row_number().over(registry.Window.partitionBy("bucket of hash").orderBy("hash of key", key)) - 1
+    ranked = hashed.join(F.broadcast(counts), "bucket of hash").withColumn("split", (F.col("before bucket") + place) / F.greatest(F.col("n of all") - 1, F.lit(1)))
+    out = None
+    for name, bound in upto.items():
+        out = F.when(F.col("split") <= bound, name) if out is None else out.when(F.col("split") <= bound, name)
+    return ranked.withColumn("split", out).select(*[c for c in rows.columns if c != "split"], "split")
+
+
 def generate(units: DataFrame, per_unit: int, noises: dict[str, float], history: float, start: str, end: str | None) -> DataFrame:
     """``per_unit`` dossiers of every unit of units (unit_id, name, org): names, noise, history, facts, policy, text, split.
 

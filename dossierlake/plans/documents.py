@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dossierlake.functions import text as T
 from dossierlake.operators import documents as D
 from dossierlake.operators import registry
-from dossierlake.plans.base import query, same_sql
+from dossierlake.plans.base import query
 
-same_sql(
-    "s11_page_links",
-    "SELECT page_id, CAST(count(*) AS BIGINT) AS links FROM (SELECT page_id, explode(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS u FROM {pages}) x GROUP BY page_id",
-    "SELECT page_id, count(*)::bigint AS links FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS u FROM pages) GROUP BY page_id",
-)
+from dossierlake.streaming.events import shared_folder
 
 
 @query("SELECT page_id, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host, regexp_replace(url, '#.*$', '') AS bare, lower(url) LIKE '%.pdf' AS pdf FROM pages")
@@ -28,17 +26,6 @@ def p20_page_relevance(t):
     return t.pages.select("page_id", (words("url", ["page", "7"]) | words("html", ["cookie", "the "])).alias("relevant"))
 
 
-@query()
-def s9_html_text(t):
-    return t.pages.select("page_id", D.html_text(F.col("html")).alias("text"))
-
-
-@query("""WITH RECURSIVE p AS (SELECT page_id, '/p' || page_id AS url FROM pages), l AS (SELECT url, '/p' || (page_id * 2 + 1) AS target FROM p UNION ALL SELECT url, '/p' || (page_id * 2 + 2) FROM p),
-  r(url, depth) AS (SELECT '/p0', 0 UNION ALL SELECT l.target, r.depth + 1 FROM r JOIN l USING (url) JOIN p ON p.url = l.target WHERE r.depth < 4) SELECT url, min(depth)::int AS depth FROM r GROUP BY url""")
-def s10_crawl(t):
-    p = t.pages.select("page_id", F.concat(F.lit("/p"), F.col("page_id").cast("string")).alias("url"))
-    links = p.select("url", F.explode(F.array(F.col("page_id") * 2 + 1, F.col("page_id") * 2 + 2)).alias("n")).select("url", F.concat(F.lit("/p"), F.col("n").cast("string")).alias("target"))
-    return D.crawl(p, links, p.filter("page_id = 0"), 4)
 
 
 @query("""SELECT page_id, org, name FROM (SELECT doc_id AS page_id, 'EN' AS org, unnest(regexp_extract_all(text, 'The [a-z]+ [a-z]+')) AS name FROM documents UNION ALL SELECT doc_id, 'LIC', unnest(regexp_extract_all(text, '[Ll]icensed under [A-Za-z ]+')) FROM documents)
@@ -64,18 +51,6 @@ def f26_ratios(t):
     return t.documents.filter("length(text) > 0").select("doc_id", F.round(T.char_profile(F.col("text"))["charset_violation"], 6).alias("charset_violation"))
 
 
-@query("""SELECT doc_id, score, score >= 2 AS to_ocr FROM (SELECT doc_id, (CASE WHEN n_chars < 50 THEN 1 ELSE 0 END + CASE WHEN doc_id % 10 > 7 THEN 2 ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN contains(text, '$$$') THEN 2 ELSE 0 END)::int AS score FROM documents)""")
-def b15_page_route(t):
-    cover, fonts = F.when(F.col("doc_id") % 10 > 7, 0.9).otherwise(0.1), F.when(F.col("doc_id") % 3 == 0, 0).otherwise(2)
-    score = D.route_page(F.col("n_chars"), cover, fonts, F.lit(4.0), F.when(F.contains("text", F.lit("$$$")), 0.5).otherwise(0.0))
-    return t.documents.select("doc_id", score.alias("score"), (score >= 2).alias("to_ocr"))
-
-
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, count(*)::bigint AS lines, count(*) FILTER (contains(line, ' | '))::bigint AS cells, CASE WHEN avg(CASE WHEN contains(line, ' | ') THEN 1.0 ELSE 0 END) >= 0.7 THEN 'TABULAR_LIST' ELSE 'TEXT' END AS kind FROM l GROUP BY doc_id""")
-def b16_profile(t):
-    lines = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).withColumn("cell", F.contains("line", F.lit(" | ")))
-    g = lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if("cell").alias("cells"), F.avg(F.col("cell").cast("int")).alias("share"))
-    return g.select("doc_id", "lines", "cells", F.when(F.col("share") >= 0.7, "TABULAR_LIST").otherwise("TEXT").alias("kind"))
 
 
 def _bulk(t):
@@ -105,11 +80,6 @@ def w5_blocks(t):
     return D.blocks(t.conversations, F.col("role") == "user", ["conv_id"], "turn").select("conv_id", "turn", "block")
 
 
-@query("""SELECT conv_id, block, count(*)::bigint AS lines, count(*) = 1 AS ambiguous FROM (SELECT conv_id, turn, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn)::bigint AS block FROM conversations) WHERE block > 0 GROUP BY conv_id, block""")
-def b24_split(t):
-    b = D.blocks(t.conversations, F.col("role") == "user", ["conv_id"], "turn").filter("block > 0")
-    return b.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("lines")).withColumn("ambiguous", F.col("lines") == 1)
-
 
 _BOXES = "SELECT l_orderkey AS page, l_linenumber AS id, l_quantity AS x0, l_discount * 100 AS y0, l_quantity + 8 AS x1, l_discount * 100 + 4 AS y1 FROM lineitem"
 
@@ -151,3 +121,83 @@ def a18_auc(t):
 @query("SELECT source, count(*)::bigint AS n, round(avg(CASE WHEN n_chars >= 500 THEN 1.0 ELSE 0 END), 6) AS pass_rate FROM documents GROUP BY source")
 def a17_pass_rate(t):
     return t.documents.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("n_chars") >= 500).cast("int")), 6).alias("pass_rate"))
+
+
+_TITLE = "trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&'), '\\s+', ' ', 'g'))"
+
+
+@query(f"SELECT page_id, {_TITLE} AS title, list_count(list_distinct(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)))::int AS links, regexp_extract(url, '^(https?://[^/]+)', 1) || regexp_extract(html, '<a href=\"([^\"]*)\"', 1) AS first_link FROM pages")
+def s9_html_page(t):
+    """Title, number of links and first link of every page; the text is compared in tests."""
+    links = D.html_links(F.col("html"), F.col("url"))
+    rows = t.pages.select("page_id", D.html_title(F.col("html")).alias("title"), D.html_text(F.col("html")).alias("text"), links.alias("links"))
+    return rows.select("page_id", "title", F.size("links").alias("links"), F.get("links", 0).alias("first_link"))
+
+
+@query("""SELECT page_id, regexp_extract(url, '^(https?://[^/]+)', 1) || '/' || lower(h) || '.xml' AS url FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="/([A-Za-z]+)"', 1)) AS h FROM pages)""")
+def s11_sitemap(t):
+    """Sitemaps made of the pages' own links, and the addresses that they list."""
+    origin = F.regexp_extract("url", "^(https?://[^/]+)", 1)
+    entry = F.transform(F.regexp_extract_all("html", F.lit('<a href="/([A-Za-z]+)"'), F.lit(1)), lambda h: F.concat(F.lit("<url><LOC> "), origin, F.lit("/"), F.lower(h), F.lit(".xml\n</loc></url>")))
+    maps = t.pages.select("page_id", F.concat(F.lit("<urlset>"), F.array_join(entry, ""), F.lit("</urlset>")).alias("content"))
+    return maps.select("page_id", F.explode(D.sitemap_urls(F.col("content"))).alias("url"))
+
+
+@query("""WITH RECURSIVE w AS (SELECT page_id, page_id % 7 <> 3 AS relevant, unnest(list_distinct(regexp_extract_all(html, '<a href="/([A-Za-z]+)"', 1))) AS h FROM pages), p AS (SELECT DISTINCT page_id, relevant FROM w), l AS (SELECT DISTINCT a.page_id AS src, (a.page_id * 31 + length(h) * 7 + ascii(h)) % 250 AS dst FROM w a),
+  r(page_id, depth) AS (SELECT page_id, 0 FROM p WHERE page_id < 2 UNION SELECT dst, depth + 1 FROM r JOIN l ON src = r.page_id JOIN p q ON q.page_id = r.page_id JOIN p d ON d.page_id = dst WHERE depth < 3 AND (q.relevant OR depth <= 1))
+  SELECT 'http://a.example.org/' || page_id AS url, min(depth)::int AS depth FROM r GROUP BY page_id""")
+def s10_crawl(t):
+    """A crawl over the pages' own links, three deep; a link leads to the page that its text's letters name, as no link of theirs
+    leads to another page of the table."""
+    words = F.array_distinct(F.regexp_extract_all("html", F.lit('<a href="/([A-Za-z]+)"'), F.lit(1)))
+    own = t.pages.select("page_id", words.alias("hs")).filter("size(hs) > 0")
+    url = lambda c: F.concat(F.lit("http://a.example.org/"), c.cast("string"))
+    pages = own.select(url(F.col("page_id")).alias("url"), (F.col("page_id") % 7 != 3).alias("relevant"))
+    links = own.select("page_id", F.explode("hs").alias("h")).select(url(F.col("page_id")).alias("url"), url((F.col("page_id") * 31 + F.length("h") * 7 + F.ascii("h")) % 250).alias("target")).distinct()
+    folder = f"{shared_folder(t.spark)}/crawl-{uuid.uuid4().hex}"
+    return D.crawl(pages, links, own.filter("page_id < 2").select(url(F.col("page_id")).alias("url")), ["example.org"], folder, depth=3)
+
+
+_ENTROPY = """h AS (SELECT doc_id, log2(sum(k)) - sum(k * log2(k)) / sum(k) AS e FROM (SELECT doc_id, ch, count(*)::double AS k FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents WHERE text <> '') GROUP BY 1, 2) GROUP BY 1)"""
+
+
+@query(f"""WITH {_ENTROPY}, c AS (SELECT doc_id, coalesce(e, 0) AS e, length(trim(text, ' ' || chr(10) || chr(9) || chr(13))) AS chars, (doc_id % 10)::int AS m FROM documents LEFT JOIN h USING (doc_id)),
+  s AS (SELECT doc_id, chars, m, ((chars < 50)::int + CASE WHEN m > 7 THEN 2 ELSE 0 END + (m % 3 = 0)::int + CASE WHEN chars >= 50 AND e < 3.5 THEN 2 ELSE 0 END)::int AS score FROM c)
+  SELECT doc_id, score, CASE WHEN score >= 2 OR (chars < 50 AND m <= 7 AND m % 3 = 0) THEN 'OCR' ELSE 'TEXT' END AS route FROM s""")
+def b15_page_route(t):
+    m = F.col("doc_id") % 10
+    pages = t.documents.select("doc_id", F.lit(1).alias("page"), "text", F.when(m > 7, 0.9).otherwise(0.05).alias("coverage"), F.when(m % 3 == 0, 0).otherwise(2).alias("fonts"))
+    return D.route_pages(pages).select("doc_id", "score", "route")
+
+
+@query("SELECT l_orderkey AS doc_id, CASE WHEN bool_and(l_linenumber % 2 = 1) THEN 'PDF_TEXT' WHEN bool_and(l_linenumber % 2 = 0) THEN 'PDF_SCAN' ELSE 'PDF_HYBRID' END AS kind FROM lineitem GROUP BY 1")
+def b15_document_kind(t):
+    text = F.when(F.col("l_linenumber") % 2 == 1, F.repeat(F.lit("các chữ khác nhau abcdefghijk "), 4)).otherwise(F.lit(""))
+    pages = t.lineitem.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page"), text.alias("text"), F.lit(0.5).alias("coverage"), F.when(F.col("l_linenumber") % 2 == 1, 1).otherwise(0).alias("fonts"))
+    return D.document_kinds(D.route_pages(pages))
+
+
+@query("""SELECT l_orderkey AS sheet, CASE WHEN l_orderkey % 4 = 0 OR l_orderkey % 4 = 1 OR count(*) < 2 THEN 'KEY_VALUE_SHEET' ELSE 'TABULAR_LIST' END AS kind, CASE WHEN l_orderkey % 4 <> 0 THEN 0 END::int AS header, CASE WHEN l_orderkey % 4 = 0 THEN 2 ELSE 4 END::int AS columns FROM lineitem GROUP BY l_orderkey""")
+def b16_profile(t):
+    """Orders as sheets of their lines: two columns, rows that begin with a label, or lists."""
+    k = F.col("l_orderkey") % 4
+    label = F.when(k == 1, F.lit("nhãn:")).otherwise(F.lit("x"))
+    row = lambda r, vs: [F.struct(r.alias("row"), F.lit(c).alias("col"), v.alias("value"), F.lit(is_text).alias("is_text")) for c, (v, is_text) in enumerate(vs)]
+    number = lambda c: (F.col(c).cast("string"), False)
+    lines = t.lineitem.withColumn("r", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")))
+    cells = F.array(*row(F.col("r"), [(label, True), number("l_quantity"), number("l_tax"), number("l_discount")]))
+    rows = lines.select(F.col("l_orderkey").alias("sheet"), F.explode(F.filter(cells, lambda c: (k != 0) | (c["col"] < 2))).alias("c"))
+    heads = t.lineitem.select(F.col("l_orderkey").alias("sheet")).distinct()
+    head = F.array(*row(F.lit(0), [(F.lit(w), True) for w in ("a", "b", "c", "d")]))
+    heads = heads.select("sheet", F.explode(F.filter(head, lambda c: (F.col("sheet") % 4 != 0) | (c["col"] < 2))).alias("c"))
+    return D.profile_sheets(rows.unionByName(heads).select("sheet", "c.*")).select("sheet", "kind", "header", "columns")
+
+
+@query("""SELECT c_custkey AS doc_id, 0::bigint AS block, CASE WHEN c_custkey % 4 IN (1, 3) THEN false WHEN c_custkey % 4 = 2 THEN true ELSE c_custkey % 8 = 0 END AS ambiguous, CASE WHEN c_custkey % 4 = 2 THEN 'MULTIPLE_SUBJECTS_OCR_UNSUPPORTED' WHEN c_custkey % 8 = 0 THEN 'MULTIPLE_SUBJECTS_AMBIGUOUS_BOUNDARY' END AS reason FROM customer
+  UNION ALL SELECT c_custkey, 1, false, NULL FROM customer WHERE c_custkey % 4 = 0""")
+def b24_split(t):
+    k = F.col("c_custkey")
+    one = F.concat(F.lit("Họ và tên: "), F.col("c_name"), F.when(k % 8 == 0, F.lit("\n\n")).otherwise(F.lit("\nNăm sinh: 1990\n")))
+    text = F.when(k % 4 == 1, F.lit("nothing here\nat all")).when(k % 4 == 3, F.concat(F.lit("title\nHọ và tên: "), F.col("c_name"))).otherwise(F.concat(F.lit("Danh sách\n"), one, F.lit("Ho ten: B\nChức vụ: x")))
+    docs = t.customer.select(k.alias("doc_id"), text.alias("text"), F.when(k % 4 == 2, "OCR").otherwise("TEXT").alias("method"))
+    return D.split_subjects(docs).select("doc_id", "block", "ambiguous", "reason")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dossierlake.functions import text as T
-from dossierlake.operators import decide, registry
+from dossierlake.operators import decide, registry, synthetic
 from dossierlake.plans.base import query, same_sql
 
 same_sql("p3_trusted_rows", "SELECT p_partkey, p_brand FROM {part} WHERE p_size >= 10 AND p_type = 'ECONOMY' OR p_size = 5")
@@ -72,7 +72,7 @@ same_sql(
     """SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY coalesce(l_linenumber, 1000000000),
        CASE WHEN l_linestatus = 'F' THEN 0 ELSE 1 END, l_partkey, l_suppkey) AS BIGINT) AS pos FROM {lineitem}""",
 )
-same_sql("o8_admin_listing", "SELECT s_suppkey, s_name, CAST(count(*) OVER () AS BIGINT) AS total FROM {supplier} ORDER BY s_name, s_suppkey LIMIT 20")
+same_sql("o8_admin_listing", "SELECT s_suppkey, s_name, CAST((SELECT count(*) FROM {supplier}) AS BIGINT) AS total FROM {supplier} ORDER BY s_name, s_suppkey LIMIT 20")
 same_sql("u1_union", "SELECT 'c' AS kind, c_custkey AS id, c_name AS name FROM {customer} UNION ALL SELECT 's', s_suppkey, s_name FROM {supplier}")
 same_sql("u2_except", "SELECT c_custkey AS id FROM {customer} EXCEPT SELECT o_custkey FROM {orders}")
 same_sql("u3_intersect", "SELECT c_custkey AS id FROM {customer} INTERSECT SELECT o_custkey FROM {orders} WHERE o_totalprice > 100000")
@@ -101,20 +101,6 @@ same_sql("a8_value_counts", "SELECT p_brand, CAST(count(*) AS BIGINT) AS n FROM
 same_sql("a9_leakage", "SELECT p_name, CAST(count(DISTINCT p_brand) AS BIGINT) AS brands FROM {part} GROUP BY p_name HAVING count(DISTINCT p_brand) > 1")
 same_sql("a19_duplicates", "SELECT p_name, p_brand, CAST(count(*) AS BIGINT) AS n FROM {part} GROUP BY p_name, p_brand HAVING count(*) > 1")
 same_sql("w11_latest_per_key", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM {orders}) x WHERE r = 1")
-same_sql(
-    "w10_split",
-    "SELECT p_partkey, CASE WHEN pr <= 0.7 THEN 'train' WHEN pr <= 0.85 THEN 'valid' ELSE 'test' END AS split FROM (SELECT p_partkey, percent_rank() OVER (ORDER BY sha2(CAST(p_partkey AS STRING), 256), p_partkey) AS pr FROM {part}) x",
-    "SELECT p_partkey, CASE WHEN pr <= 0.7 THEN 'train' WHEN pr <= 0.85 THEN 'valid' ELSE 'test' END AS split FROM (SELECT p_partkey, percent_rank() OVER (ORDER BY sha256(CAST(p_partkey AS VARCHAR)), p_partkey) AS pr FROM part) x",
-)
-same_sql(
-    "b31_review_decision",
-    """SELECT o.o_orderkey, CASE WHEN o.o_orderstatus <> 'O' THEN 'STALE' WHEN d.l_returnflag = 'N' THEN 'CONFIRMED' WHEN d.l_returnflag = 'R' THEN 'DISMISSED' ELSE 'UNKNOWN' END AS outcome
-       FROM {orders} o JOIN {lineitem} d ON d.l_orderkey = o.o_orderkey AND d.l_linenumber = 1""",
-)
-same_sql(
-    "b32_review_request",
-    """SELECT o_orderkey FROM {orders} o WHERE o_orderstatus <> 'F' AND NOT EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'A')""",
-)
 same_sql(
     "b33_seed_counters",
     """SELECT CAST(sum(CASE WHEN n_nationkey IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS no_unit, CAST(sum(CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END) AS BIGINT) AS untrusted,
@@ -260,11 +246,26 @@ def p15_status_fold(t):
     return decide.fold_statuses(_assessed(t))
 
 
-@query("""SELECT o_orderkey, coalesce(CASE WHEN o_orderstatus = 'P' THEN 'BATCH_WARNING' END, CASE WHEN l_returnflag = 'R' THEN 'PERSON_UNIT_CONFLICT' END, CASE WHEN l_linestatus = 'O' THEN 'UNIT_STATUS' END,
-          CASE WHEN l_discount < 0.03 THEN 'DOCUMENT_PARSE_LOW_CONFIDENCE' END, CASE WHEN o_totalprice < 50000 THEN 'POLICY_INSUFFICIENT_DATA' END) AS reason, least(l_discount * 10, l_tax * 10, o_totalprice / 500000) AS confidence
-          FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = 1""")
-def b12_review_reason(t):
-    j = t.orders.join(t.lineitem.filter("l_linenumber = 1"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    no = F.lit(False)
-    flags = [F.col("o_orderstatus") == "P", F.col("l_returnflag") == "R", no, F.col("l_linestatus") == "O", no, F.col("l_discount") < 0.03, no, no, no, F.col("o_totalprice") < 50000]
-    return j.select("o_orderkey", decide.review_reason(flags).alias("reason"), decide.least_confidence(F.col("l_discount") * 10, F.col("l_tax") * 10, F.col("o_totalprice") / 500000).alias("confidence"))
+@query("SELECT p_partkey, CASE WHEN pr <= 0.7 THEN 'train' WHEN pr <= 0.85 THEN 'valid' ELSE 'test' END AS split FROM (SELECT p_partkey, percent_rank() OVER (ORDER BY sha256(p_partkey::varchar), p_partkey) AS pr FROM part)")
+def w10_split(t):
+    return synthetic.ranked_split(t.part, "p_partkey", {"train": 0.7, "valid": 0.85, "test": 1.0}).select("p_partkey", "split")
+
+
+@query("""SELECT o_orderkey, CASE WHEN k = 0 THEN 'MULTI_UNIT' WHEN k = 1 THEN 'PERSON_UNIT_CONFLICT' WHEN k = 2 THEN 'PERSON_AMBIGUOUS' WHEN k = 3 THEN 'CONFLICT' WHEN k = 4 THEN 'ORGANIZATION_TYPE_UNKNOWN' WHEN k = 5 THEN 'DOCUMENT_PARSE_LOW_CONFIDENCE' WHEN k = 6 THEN 'DOCUMENT_EXTRACTION_LOW_CONFIDENCE'
+  WHEN k = 7 AND o_orderkey % 2 = 0 THEN 'CURRENT_WORK_UNIT_UNCERTAIN' WHEN k = 8 THEN 'SUBJECT_GROUP_INSUFFICIENT' WHEN k = 9 THEN 'POLICY_INSUFFICIENT_DATA' END AS reason FROM (SELECT o_orderkey, o_custkey % 11 AS k FROM orders)""")
+def b12_case_reason(t):
+    k = F.col("o_custkey") % 11
+    at = lambda n, yes, no: F.when(k == n, yes).otherwise(no)
+    c = {
+        "warning": F.when(k == 0, "MULTI_UNIT"), "conflict": k == 1, "person": at(2, "AMBIGUOUS", "MATCHED"), "unit": at(3, "CONFLICT", "MATCHED"), "organization": at(4, "UNKNOWN", "BCA"), "parse": at(5, F.lit(0.5), F.lit(0.95)),
+        "extraction": at(6, F.lit(0.2), F.lit(0.9)), "relation": at(7, F.lit(0.3), F.lit(0.9)), "lookup": F.col("o_orderkey") % 2 == 1, "group": F.when(k != 8, "CAND"), "insufficient": k == 9,
+    }
+    return t.orders.select("o_orderkey", decide.case_reason(c).alias("reason"))
+
+
+@query("""SELECT o_orderkey AS case_id, CASE WHEN o_orderkey % 9 = 0 THEN 'NOT_FOUND' WHEN o_custkey % 6 = 0 THEN 'ALREADY_OPEN' WHEN o_orderstatus = 'P' THEN 'IN_FLIGHT' WHEN o_custkey % 4 = 1 THEN 'CONCLUDED' ELSE 'CREATED' END AS outcome FROM orders""")
+def b32_review_request(t):
+    cases = t.orders.filter("o_orderkey % 9 <> 0").select(F.col("o_orderkey").alias("case_id"), F.when(F.col("o_orderstatus") == "P", "RUNNING").otherwise("COMPLETED").alias("workflow"), (F.col("o_custkey") % 4 == 1).alias("concluded"))
+    reviews = t.orders.select(F.col("o_orderkey").alias("case_id"), F.when(F.col("o_custkey") % 6 == 0, "OPEN").otherwise("RESOLVED").alias("status"))
+    asked = t.orders.select(F.col("o_orderkey").alias("case_id"))
+    return decide.request_reviews(asked.unionByName(asked.limit(5)), cases, reviews)

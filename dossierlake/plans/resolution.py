@@ -62,18 +62,6 @@ def j8_code_lookup(t):
     return resolve.by_code(mentions, codes)
 
 
-_LCS = """WITH RECURSIVE n AS (SELECT DISTINCT p_name AS s FROM part), p AS (SELECT a.s AS a, b.s AS b FROM n a JOIN n b ON a.s < b.s),
-  r(a, b, i, row) AS (SELECT a, b, 0, list_transform(range(0, length(b) + 1), lambda x: 0) FROM p
-    UNION ALL SELECT a, b, i + 1, list_transform(range(1, length(b) + 2), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(row[k], CASE WHEN k > 1 AND substr(b, (k - 1)::int, 1) = substr(a, i + 1, 1) THEN row[k - 1] + 1 ELSE 0 END)))) FROM r WHERE i < length(a))"""
-
-
-@query(_LCS + " SELECT a, b, row[length(b) + 1]::int AS lcs, round(200.0::double * row[length(b) + 1] / (length(a) + length(b)), 6) AS ratio FROM r WHERE i = length(a)")
-def f5_lcs_ratio(t):
-    n = t.part.select(F.col("p_name").alias("a")).distinct()
-    p = n.join(n.withColumnRenamed("a", "b"), F.col("a") < F.col("b"))  # name pairs of a closed word list
-    return p.select("a", "b", T.lcs_length(F.col("a"), F.col("b")).alias("lcs"), F.round(T.ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
-
-
 _BM = f"""WITH d AS (SELECT DISTINCT p_name || ' ' || p_brand AS name FROM part), dt AS (SELECT name AS d_id, string_split({KEY.format('name')}, ' ') AS ts FROM d),
   tf AS (SELECT d_id, len(ts) AS len, t, count(*) AS tf FROM (SELECT d_id, ts, unnest(ts) AS t FROM dt) GROUP BY ALL), df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
   st AS (SELECT count(*) AS n, avg(len(ts)) AS al FROM dt), q AS (SELECT DISTINCT p_name AS q_id FROM part), qt AS (SELECT q_id, t, count(*) AS qn FROM (SELECT q_id, unnest(string_split({KEY.format('q_id')}, ' ')) AS t FROM q) GROUP BY ALL),
@@ -106,16 +94,6 @@ def b6_accept_gate(t):
     return top.select("q_id", "d_id", F.round("margin", 6).alias("margin"), F.round(p, 6).alias("probability"), resolve.accept(F.col("fuzzy"), F.col("margin"), p, F.col("combined")).alias("status"))
 
 
-@query("""WITH e AS (SELECT vec_id, unnest(embedding)::double AS x, generate_subscripts(embedding, 1) AS d FROM embeddings), s AS (SELECT a.vec_id AS q_id, b.vec_id AS d_id, round(greatest(0, least(1, sum(a.x * b.x))), 6) AS cosine
-          FROM e a JOIN e b USING (d) WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY cosine DESC, d_id) AS rank FROM s) SELECT q_id, d_id, cosine, rank::int AS rank FROM r WHERE rank <= 5""")
-def f10_cosine_topk(t):
-    q = t.embeddings.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("a"))
-    blocks = q.groupBy(F.expr("q_id div 3200").alias("blk")).agg(F.collect_list(F.struct("q_id", "a")).alias("qs"))  # at most 64 queries a block
-    pairs = t.embeddings.select(F.col("vec_id").alias("d_id"), F.col("embedding").alias("b")).join(blocks).select("d_id", "b", F.explode("qs").alias("q")).select("q.q_id", "q.a", "d_id", "b").filter("q_id <> d_id")
-    scored = pairs.select("q_id", "d_id", F.round(T.cosine(F.col("a"), F.col("b")), 6).alias("cosine"))
-    w = Window.partitionBy("q_id").orderBy(F.desc("cosine"), "d_id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter("rank <= 5")
-
 
 @query("SELECT l_orderkey, l_linenumber, round(1 / (1 + exp(-(l_discount * 40 - 2 + l_tax * 10))), 6) AS p FROM lineitem")
 def f11_calibrate(t):
@@ -248,8 +226,32 @@ def f25_username(t):
     return base.withColumn("r", r).select("c_custkey", F.concat("base", F.when(F.col("r") == 1, "").otherwise(F.col("r").cast("string"))).alias("username"))
 
 
-@query()
+_LCS = """WITH RECURSIVE p AS (SELECT DISTINCT p_name AS a, p_type AS b FROM part),
+  r(a, b, i, row) AS (SELECT a, b, 0, list_transform(range(0, length(b) + 1), lambda x: 0) FROM p
+    UNION ALL SELECT a, b, i + 1, list_transform(range(1, length(b) + 2), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(row[k], CASE WHEN k > 1 AND substr(b, (k - 1)::int, 1) = substr(a, i + 1, 1) THEN row[k - 1] + 1 ELSE 0 END)))) FROM r WHERE i < length(a))"""
+
+
+@query(_LCS + " SELECT a, b, row[length(b) + 1]::int AS lcs, round(200.0::double * row[length(b) + 1] / (length(a) + length(b)), 6) AS ratio FROM r WHERE i = length(a)")
+def f5_lcs_ratio(t):
+    p = t.part.select(F.col("p_name").alias("a"), F.col("p_type").alias("b")).distinct()
+    return p.select("a", "b", T.lcs_length(F.col("a"), F.col("b")).alias("lcs"), F.round(T.ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
+
+
+@query("""WITH e AS (SELECT vec_id, unnest(embedding)::double AS x, generate_subscripts(embedding, 1) AS d FROM embeddings), s AS (SELECT a.vec_id AS q_id, b.vec_id AS d_id, round(greatest(0, least(1, sum(a.x * b.x))), 6) AS cosine
+          FROM e a JOIN e b USING (d) WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY cosine DESC, d_id) AS rank FROM s) SELECT q_id, d_id, cosine, rank::int AS rank FROM r WHERE rank <= 5""")
+def f10_cosine_topk(t):
+    q = t.embeddings.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("v"))
+    return resolve.nearest_vectors(q, t.embeddings.select(F.col("vec_id").alias("d_id"), F.col("embedding").alias("v")), 5)
+
+
+@query("""SELECT o_orderkey, CASE o_custkey % 8 WHEN 0 THEN 'CAND' WHEN 2 THEN 'CAND' WHEN 4 THEN 'QUAN_NHAN' WHEN 6 THEN 'CO_YEU_HUONG_LUONG_NHU_QUAN_NHAN' END AS subject_group, [1.0, 0.0, 0.95, 0.0, 0.92, 0.0, 0.9, 0.0][(o_custkey % 8)::int + 1]::double AS confidence,
+  ['EXPLICIT_FIELD', 'INVALID_EXPLICIT_GROUP', 'RULE_TEXT', 'INSUFFICIENT_EVIDENCE', 'RULE_TEXT', 'INSUFFICIENT_EVIDENCE', 'RULE_TEXT', 'INSUFFICIENT_EVIDENCE'][(o_custkey % 8)::int + 1] AS method FROM orders""")
 def b10_subject_group(t):
-    groups = {"LEADER": (["the", "der"], 0.95), "STAFF": (["que", "de"], 0.90)}
-    got = t.documents.select("doc_id", decide.subject_group(F.col("text"), groups).alias("g"))
-    return got.select("doc_id", "g.subject_group", "g.confidence")
+    """Orders as subjects: a known and an unknown group, keywords affirmed and negated, a role that was left, another organisation."""
+    k = F.col("o_custkey") % 8
+    explicit = F.when(k == 0, " cand ").when(k == 1, "other")
+    text = F.element_at(F.array(*map(F.lit, (
+        "", "", "Không phải là chiến sĩ công an, nhưng bố là chiến sĩ Công an", "không còn là sĩ quan công an", "là quân nhân", "từng là sĩ quan, nay đã thôi công tác", "ngành cơ yếu và quân nhân", "là quân nhân",
+    ))), (k + 1).cast("int"))
+    org = F.when(k.isin(4, 5, 6), "BQP").otherwise("BCA")
+    return t.orders.select("o_orderkey", decide.subject_group(org, F.lit(None).cast("string"), F.concat(text, F.lit(" "), F.col("o_orderpriority")), explicit).alias("g")).select("o_orderkey", "g.*")

@@ -57,10 +57,15 @@ def test_policies(spark):
     assert got[1, 1] == "ELIGIBLE" and got[2, 1] == "INSUFFICIENT_DATA" and (3, 1) not in got and got[4, 1] == "INSUFFICIENT_DATA" and got[1, 2] == "NOT_APPLICABLE"
 
 
-def test_subject_group_negation(spark):
-    df = spark.createDataFrame([("Ông A là công an",), ("Ông A không phải là công an",), ("",), (None,)], "s string")
-    got = df.select(decide.subject_group(F.col("s"), {"CAND": (["cong an"], 0.9)}).alias("g")).select("g.subject_group")
-    assert [r[0] for r in rows(got)] == ["CAND", None, None, None]
+def test_subject_groups(spark):
+    cases = [
+        ("BCA", "Sĩ quan công an", None, None, "CAND", 0.95), ("BCA", None, "không còn là sĩ quan công an", None, None, 0.0), ("BCA", None, "không phải một chiến sĩ công an; em là chiến sĩ công an", None, "CAND", 0.95),
+        ("BQP", None, "đã từng là sĩ quan nhưng nay không còn công tác", None, None, 0.0), ("BQP", None, "từng là sĩ quan, nay là quân nhân", None, "QUAN_NHAN", 0.92), ("BQP", None, "cơ yếu", None, "CO_YEU_HUONG_LUONG_NHU_QUAN_NHAN", 0.9),
+        ("OTHER", None, "quân nhân", None, None, 0.0), ("BCA", None, "x", "quan_nhan", "QUAN_NHAN", 1.0), ("BCA", None, "công an nhân dân", "??", None, 0.0), (None, None, None, None, None, 0.0),
+    ]
+    frame = spark.createDataFrame([(i, *c[:4]) for i, c in enumerate(cases)], "i int, org string, position string, text string, explicit string")
+    got = frame.select("i", decide.subject_group(*[F.col(c) for c in ("org", "position", "text", "explicit")]).alias("g")).orderBy("i").collect()
+    assert [(r["g"]["subject_group"], r["g"]["confidence"]) for r in got] == [c[4:] for c in cases]
 
 
 def test_bulk_rows(spark):
