@@ -141,11 +141,16 @@ def _op1_sql() -> str:
 def _op2_sql() -> str:
     """Every unit against every template by joined bigrams, without size bounds or anchors."""
     rows = ", ".join(f"('{k}', '{g}', {len(grams)})" for k, v in sorted(licenses.TEMPLATES.items()) for grams in [licenses.bigrams_of(v)] for g in sorted(grams))
+    places = ", ".join(f"('{a}', {i}, {n})" for v in licenses.TEMPLATES.values() for a, i, n in licenses.places(v))
     return f"""
-      with t(license, gram, size) as (values {rows}),
+      with t(license, gram, size) as (values {rows}), a(word, place, size) as (values {places}),
       d as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),
-      u as (select rid, unnest(list_distinct(list_concat([text], string_split(text, chr(10))))) as unit from d),
-      w as (select rid, unit, list_filter(string_split(regexp_replace(lower(unit), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') as ws from u),
+      p as (select rid, text, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') as ws from d),
+      h as (select rid, ws, unnest(ws) as word, generate_subscripts(ws, 1) as i from p),
+      u as (select rid, array_to_string(ws, ' ') as unit from p
+        union select rid, trim(regexp_replace(lower(unnest(string_split(text, chr(10)))), '[^a-z0-9]+', ' ', 'g')) from p
+        union select rid, array_to_string(ws[greatest(i - place, 1) : greatest(i - place, 1) + size - 1], ' ') from h join a using (word)),
+      w as (select rid, unit, string_split(unit, ' ') as ws from u),
       b as (select rid, unit, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) as grams from w where len(ws) > 1),
       e as (select rid, unit, len(grams) as n, unnest(grams) as gram from b),
       m as (select rid, unit, license, 2.0::double * count(*) / (any_value(n) + any_value(size)) as dice from e join t using (gram) group by rid, unit, license),

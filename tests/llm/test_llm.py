@@ -391,3 +391,12 @@ def test_one_of_each_group_keeps_other_texts_of_an_id(spark):
     frame = spark.createDataFrame([(1, a), (1, b), (1, a), (2, a), (3, a + " tail")], "doc_id long, text string")
     got = sorted((r["doc_id"], r["text"]) for r in pipe.one_of_each_group(spark, frame, "").collect())
     assert got == [(1, a), (1, b)]
+
+
+def test_licenses_in_other_text(spark):
+    grant = licenses.TEMPLATES["MIT-grant"].split()
+    wrapped = "\n".join(" ".join(grant[i : i + 9]) for i in range(0, len(grant), 9))
+    texts = ["some prose here\n" + wrapped + "\nand more prose", "In a paragraph, released under the MIT license, it stands among other words.", "/* " + wrapped.replace("\n", "\n * ") + " */ int main", "software without restriction following", "x " * 50_000 + licenses.TEMPLATES["ISC"] + " y" * 50_000]
+    frame = spark.createDataFrame([(i, t, "m") for i, t in enumerate(texts)] + [(None, texts[1], "m")] * 2, "doc_id long, text string, license string")
+    got = [(r["doc_id"], r["license"]) for r in licenses.scan(frame).collect()]
+    assert sorted(got, key=str) == sorted([(0, "MIT-grant"), (1, "MIT"), (2, "MIT-grant"), (3, None), (4, "ISC"), (None, "MIT"), (None, "MIT")], key=str)
