@@ -25,7 +25,8 @@ def db():
 
 def normal(frame):
     frame = frame[sorted(frame.columns)]
-    cell = lambda x: None if x is None or x is pd.NA or x != x else round(float(x), 5) if isinstance(x, float) else str(x)
+    # whole numbers alike, whether a null beside them made the column one of floats or not
+    cell = lambda x: None if x is None or x is pd.NA or x is pd.NaT or x != x else str(x) if not isinstance(x, float) else str(int(x)) if x.is_integer() else round(x, 5)
     return sorted(([cell(x) for x in row] for row in frame.astype(object).values.tolist()), key=str)
 
 
