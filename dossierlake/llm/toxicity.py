@@ -27,7 +27,7 @@ SAMPLE = 6_000  # labelled rows of each class, by hash
 STEMS = (4, 5, 6)  # lengths of word beginnings that may be terms
 PRECISION = 0.8  # toxic share of a term's rows
 COSTS, READINGS = 200_000, 50_000  # costs of letters, and readings of short stretches, that a worker remembers
-WORDS = 100_000  # distinct words whose counts a task holds before it passes their trigrams on
+WORDS = 200_000  # distinct words whose counts a task holds before it passes their trigrams on
 # Letters that a sign may stand for.
 SIGNS = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -302,13 +302,15 @@ def _letters(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     words: Counter = Counter()
 
     def passed_on() -> pd.DataFrame:
-        letters: Counter = Counter()
-        for w, n in words.items():
-            w = "^^" + w + "$"
-            for i in range(len(w) - 2):
-                letters[w[i : i + 3]] += n
+        n, sizes = np.fromiter(words.values(), np.int64), np.fromiter(map(len, words), np.int64) + 3
+        codes = np.frombuffer("".join(f"^^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         words.clear()
-        return pd.DataFrame({"what": list(letters), "n": list(letters.values())})
+        grams, inside = codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:], np.ones(len(codes), bool)
+        ends = np.cumsum(sizes)
+        inside[ends - 1] = inside[ends - 2] = False  # a trigram does not go on into the next word
+        found, at = np.unique(grams[inside[:-2]], return_inverse=True)
+        counts = np.bincount(at, np.repeat(n, sizes - 2)).astype(np.int64)
+        return pd.DataFrame({"what": [chr(g >> 42) + chr(g >> 21 & 0x1FFFFF) + chr(g & 0x1FFFFF) for g in found.tolist()], "n": counts})
 
     for f in frames:
         for text in f["text"]:
