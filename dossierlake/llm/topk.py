@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from dossierlake.llm.common import materialize
 
 CELLS = 256
-CHUNK = 8192  # candidates scanned at once
-BLOCK = 256  # queries scanned at once
+CHUNK = 16384  # candidates scanned at once
+BLOCK = 2048  # queries that meet a chunk in one task
+STEP = 64  # queries scanned at once
 
 
 def integer_vectors(embeddings: DataFrame, scale: int = 1024) -> DataFrame:
@@ -55,18 +56,21 @@ def _scan(low: np.ndarray, width: np.ndarray, k: int):
             q = np.zeros((len(queries), dims))
             for i, v in enumerate(queries["v"]):
                 q[i, : len(v)] = v
-            up, down = np.maximum(q, 0), np.minimum(q, 0)
-            upper, lower = up @ hi.T + down @ lo.T, up @ lo.T + down @ hi.T
-            slack = 1e-12 * (np.abs(q) @ np.maximum(np.abs(lo), np.abs(hi)).max(0))
-            for i, qid in enumerate(queries["query_id"].to_numpy(np.int64)):
-                own = ids == qid
-                lower[i, own] = upper[i, own] = -np.inf
-                m = int((~own).sum())
-                if not m:
-                    continue
-                kth = np.partition(lower[i], -k)[-k] if m > k else -np.inf
-                keep = np.flatnonzero((upper[i] + slack[i] >= kth - slack[i]) & ~own)
-                out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[keep], "low": lower[i, keep] - slack[i], "high": upper[i, keep] + slack[i]}))
+            largest, names = np.maximum(np.abs(lo), np.abs(hi)).max(0), queries["query_id"].to_numpy(np.int64)
+            for at in range(0, len(q), STEP):  # a bound of both sides for some queries at a time
+                part = q[at : at + STEP]
+                up, down = np.maximum(part, 0), np.minimum(part, 0)
+                upper, lower = up @ hi.T + down @ lo.T, up @ lo.T + down @ hi.T
+                slack = 1e-12 * (np.abs(part) @ largest)
+                for i, qid in enumerate(names[at : at + STEP]):
+                    own = ids == qid
+                    lower[i, own] = upper[i, own] = -np.inf
+                    m = int((~own).sum())
+                    if not m:
+                        continue
+                    kth = np.partition(lower[i], -k)[-k] if m > k else -np.inf
+                    keep = np.flatnonzero((upper[i] + slack[i] >= kth - slack[i]) & ~own)
+                    out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[keep], "low": lower[i, keep] - slack[i], "high": upper[i, keep] + slack[i]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "low": [], "high": []})
 
     return run

@@ -400,3 +400,15 @@ def test_licenses_in_other_text(spark):
     frame = spark.createDataFrame([(i, t, "m") for i, t in enumerate(texts)] + [(None, texts[1], "m")] * 2, "doc_id long, text string, license string")
     got = [(r["doc_id"], r["license"]) for r in licenses.scan(frame).collect()]
     assert sorted(got, key=str) == sorted([(0, "MIT-grant"), (1, "MIT"), (2, "MIT-grant"), (3, None), (4, "ISC"), (None, "MIT"), (None, "MIT")], key=str)
+
+
+def test_topk_few_rows_and_other_columns(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CHUNK", 3)
+    monkeypatch.setattr(topk, "BLOCK", 2)
+    monkeypatch.setattr(topk, "STEP", 1)
+    frame = spark.createDataFrame([(i, [float(i), 1.0], "x", i) for i in range(7)] + [(None, [1.0, 1.0], "x", 1)], "vec_id long, embedding array<float>, score string, rank int")
+    v = topk.integer_vectors(frame)
+    got: dict = {}
+    for r in topk.top_k(v, v.withColumnRenamed("vec_id", "query_id"), 10).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == {q: ([c for c in range(6, -1, -1) if c != q] if q else [1, 2, 3, 4, 5, 6]) for q in range(7)}
