@@ -3,12 +3,21 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def free_names(rows: DataFrame) -> Callable[[str], str]:
+    """Names for columns of a step's own that no column of ``rows`` has."""
+    mark = "_"
+    while any(c.startswith(mark) for c in rows.columns):
+        mark += "_"
+    return lambda name: mark + name
+
+
 def normalize_text(c: Column) -> Column:
     """Comparison key: dashes alike, case folded, blanks, hyphens and underscores one blank, other signs gone.
 

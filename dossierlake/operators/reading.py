@@ -70,8 +70,9 @@ def with_gate(rows: DataFrame, text: str, scores: str, ocr: Column, out: str, le
     known = F.size(F.filter(F.regexp_extract_all(F.lower(t), F.lit(WORD), F.lit(0)), lambda w: w.isin(*(lexicon or [""])))) / words
     scored, read = F.size(s) > 0, prose & F.coalesce(ocr, F.lit(False))
 
-    rows = rows.withColumn("_prose", prose).withColumn("_ocr", read)
-    prose, read = F.col("_prose"), F.col("_ocr")
+    own = T.free_names(rows)
+    rows = rows.withColumn(own("prose"), prose).withColumn(own("ocr"), read)
+    prose, read = F.col(own("prose")), F.col(own("ocr"))
     at_least = lambda least: lambda v: v >= least
     rules = {
         "conf_p10": (scored, nearest_rank(s, 0.10), at_least(CONF_P10)),
@@ -83,20 +84,20 @@ def with_gate(rows: DataFrame, text: str, scores: str, ocr: Column, out: str, le
         "index_of_coincidence": (prose, coincidence(t), at_least(COINCIDENCE)),
         "char_entropy": (prose, char_entropy(t), at_least(ENTROPY)),
     }
-    rows = rows.withColumn("_values", F.struct(*[F.when(applies, value).cast("double").alias(name) for name, (applies, value, _) in rules.items()]))
-    metrics = F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"_values.{n}").alias("value"), passes(F.col(f"_values.{n}")).alias("passed")) for n, (_, _, passes) in rules.items()])
-    rows = rows.withColumn("_metrics", metrics).drop("_prose", "_ocr", "_values")
-    failed = F.transform(F.filter("_metrics", lambda m: ~m["passed"]), lambda m: m["name"])
-    rows = rows.withColumn("_failed", failed)
+    rows = rows.withColumn(own("values"), F.struct(*[F.when(applies, value).cast("double").alias(name) for name, (applies, value, _) in rules.items()]))
+    metrics = F.array(*[F.struct(F.lit(n).alias("name"), F.col(own("values"))[n].alias("value"), passes(F.col(own("values"))[n]).alias("passed")) for n, (_, _, passes) in rules.items()])
+    rows = rows.withColumn(own("metrics"), metrics).drop(own("prose"), own("ocr"), own("values"))
+    failed = F.transform(F.filter(own("metrics"), lambda m: ~m["passed"]), lambda m: m["name"])
+    rows = rows.withColumn(own("failed"), failed)
     up, down = ["conf_p10", "conf_min", "dict_hit_ratio", "diacritic_ratio"], ["low_conf_ratio", "charset_violation_ratio"]
-    bounded = F.filter("_metrics", lambda m: m["value"].isNotNull() & m["name"].isin(*up, *down))
+    bounded = F.filter(own("metrics"), lambda m: m["value"].isNotNull() & m["name"].isin(*up, *down))
     parts = F.transform(bounded, lambda m: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(m["name"].isin(*down), 1 - m["value"]).otherwise(m["value"]))))
-    rows = rows.withColumn("_parts", parts)
-    fails = F.size("_failed") > 0
-    mean = F.aggregate("_parts", F.lit(0.0), lambda a, x: a + x) / F.size("_parts")
-    sure = F.when(F.size("_parts") == 0, F.when(fails, 0.0).otherwise(0.75)).when(fails, F.least(mean, F.lit(0.5))).otherwise(mean)
-    gate = F.struct(F.when(fails, "FAIL").otherwise("PASS").alias("gate"), F.col("_failed").alias("failed"), sure.alias("confidence"), F.col("_metrics").alias("metrics"))
-    return rows.withColumn(out, gate).drop("_metrics", "_failed", "_parts")
+    rows = rows.withColumn(own("parts"), parts)
+    fails = F.size(own("failed")) > 0
+    mean = F.aggregate(own("parts"), F.lit(0.0), lambda a, x: a + x) / F.size(own("parts"))
+    sure = F.when(F.size(own("parts")) == 0, F.when(fails, 0.0).otherwise(0.75)).when(fails, F.least(mean, F.lit(0.5))).otherwise(mean)
+    gate = F.struct(F.when(fails, "FAIL").otherwise("PASS").alias("gate"), F.col(own("failed")).alias("failed"), sure.alias("confidence"), F.col(own("metrics")).alias("metrics"))
+    return rows.withColumn(out, gate).drop(own("metrics"), own("failed"), own("parts"))
 
 
 def critical_fields(lines: Column) -> Column:

@@ -36,7 +36,8 @@ def group_candidates(found: DataFrame) -> DataFrame:
 def dedupe(rows: DataFrame, keys: list[str], best: list[Column]) -> DataFrame:
     """First row of each key in the order ``best``, which must end in a unique column."""
     w = Window.partitionBy(*keys).orderBy(*best)
-    return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    nth = T.free_names(rows)("nth")
+    return rows.withColumn(nth, F.row_number().over(w)).filter(F.col(nth) == 1).drop(nth)
 
 
 def build(found: DataFrame, curated: DataFrame) -> DataFrame:
