@@ -6,8 +6,10 @@ import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def free_names(rows: DataFrame) -> Callable[[str], str]:
@@ -18,10 +20,16 @@ def free_names(rows: DataFrame) -> Callable[[str], str]:
     return lambda name: mark + name
 
 
+@F.pandas_udf(StringType())
+def composed(texts: pd.Series) -> pd.Series:
+    """Text with its letters and marks composed (NFC), as keys expect it; for intake, where a source may hold them apart."""
+    return texts.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
+
+
 def normalize_text(c: Column) -> Column:
     """Comparison key: dashes alike, case folded, blanks, hyphens and underscores one blank, other signs gone.
 
-    Expects composed (NFC) text; null stays null.
+    Expects composed (NFC) text (see ``composed``); null stays null.
     """
     c = F.regexp_replace(c, "[–—]", "-")
     c = F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))

@@ -21,6 +21,12 @@ def test_keys(spark):
     assert got == [("bệnh viện 108", "benh vien 108"), ("cục kỹ thuật", "cuc ky thuat"), ("strasse ost", "strasse ost"), (None, None), ("", "")]
 
 
+def test_composed_intake(spark):
+    apart = unicodedata.normalize("NFD", "Cục Kỹ thuật")
+    df = spark.createDataFrame([(apart,), ("a",), (None,)], "s string")
+    assert [r[0] for r in df.select(T.normalize_text(T.composed(F.col("s")))).collect()] == ["cục kỹ thuật", "a", None]
+
+
 def test_tiers(spark):
     units = spark.createDataFrame([(1, "Bệnh viện Trung ương"), (2, "Cục Kỹ thuật"), (3, "Công an xã Phú Hữu"), (4, "Công an xã Phú Hựu")], "unit_id long, name string")
     aliases = spark.createDataFrame([(1, "Bệnh viện 108")], "unit_id long, name string")
