@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dossierlake.plans import base, cases, documents, events, extraction, layout, relational, resolution  # noqa: F401  registers the queries
+from dossierlake.plans import base, cases, documents, events, extraction, files, layout, relational, resolution  # noqa: F401  registers the queries
 
 
 def queries() -> dict:
