@@ -84,17 +84,18 @@ def bm25(queries: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _best_of_block(k: int):
-    """The ``k`` best rows of a block of the registry for each spelling of a block; equal names are compared once."""
+    """The ``k`` best rows of a block of the registry for each spelling and day of a block; equal names are compared once."""
 
     def run(queries: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
         found = []
         names = sorted({n for ns in docs["names"] for n in ns}) if len(docs) else []
-        rows = list(zip(docs["d_id"], docs["names"])) if len(docs) else []
-        for q in queries["qk"] if len(queries) else []:
-            scores = {n: weighted_ratio(q, n) for n in names}
-            best = heapq.nsmallest(k, ((-max(scores[n] for n in ns), d) for d, ns in rows))
-            found += [(q, d, -x) for x, d in best]
-        return pd.DataFrame(found, columns=["qk", "d_id", "fuzzy"])
+        rows = list(zip(docs["d_id"], docs["names"], docs["since"], docs["until"])) if len(docs) else []
+        for qk, days in queries.groupby("qk")["day"] if len(queries) else []:
+            scores = {n: weighted_ratio(qk, n) for n in names}
+            for day in days:
+                best = heapq.nsmallest(k, ((-max(scores[n] for n in ns), d) for d, ns, since, until in rows if since <= day <= until))
+                found += [(qk, day, d, -x) for x, d in best]
+        return pd.DataFrame(found, columns=["qk", "day", "d_id", "fuzzy"])
 
     return run
 
@@ -103,18 +104,21 @@ def nearest_names(queries: DataFrame, docs: DataFrame, k: int = TOP_K) -> DataFr
     """(q_id, d_id, fuzzy): the ``k`` rows of ``docs`` (d_id, name; several names a row of the registry are allowed)
     whose best name has the highest weighted ratio with the query's (q_id, name), and others of their blocks.
 
-    Exact: every spelling meets every name. A null name counts as empty.
+    Exact: every spelling meets every name. A null name counts as empty. Where queries have a ``day`` and docs have valid_from and
+    valid_to, rows count that are valid on it; a null day is today.
     """
-    q = queries.select("q_id", T.normalize_text(F.coalesce("name", F.lit(""))).alias("qk"))
-    d = docs.groupBy("d_id").agg(F.array_sort(F.collect_set(T.normalize_text(F.coalesce("name", F.lit(""))))).alias("names"))
-    spellings = q.select("qk").distinct()
+    days = F.unix_date(F.coalesce(F.col("day"), F.current_date())) if "day" in queries.columns else F.lit(0)
+    bound = lambda c, fallback: F.coalesce(F.unix_date(c), F.lit(fallback)) if c in docs.columns and "day" in queries.columns else F.lit(fallback)
+    q = queries.select("q_id", T.normalize_text(F.coalesce("name", F.lit(""))).alias("qk"), days.alias("day"))
+    d = docs.groupBy("d_id", bound("valid_from", -(2**31)).alias("since"), bound("valid_to", 2**31 - 1).alias("until")).agg(F.array_sort(F.collect_set(T.normalize_text(F.coalesce("name", F.lit(""))))).alias("names"))
+    spellings = q.select("qk", "day").distinct()
     shares, blocks = (max(1, -(-n // size)) for n, size in ((spellings.count(), QUERY_BLOCK), (d.count(), NAME_BLOCK)))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    asked = spellings.select("qk", F.pmod(F.xxhash64("qk"), F.lit(shares)).alias("share"), upto(blocks).alias("block"))
-    held = d.select("d_id", "names", F.pmod(F.xxhash64("d_id"), F.lit(blocks)).alias("b"), upto(shares).alias("s"))
+    asked = spellings.select("qk", "day", F.pmod(F.xxhash64("qk"), F.lit(shares)).alias("share"), upto(blocks).alias("block"))
+    held = d.select("d_id", "names", "since", "until", F.pmod(F.xxhash64("d_id"), F.lit(blocks)).alias("b"), upto(shares).alias("s"))
     kind = docs.schema["d_id"].dataType.simpleString()
-    best = asked.groupBy("share", "block").cogroup(held.groupBy("s", "b")).applyInPandas(_best_of_block(k), f"qk string, d_id {kind}, fuzzy double")
-    return q.join(best, "qk").select("q_id", "d_id", "fuzzy")
+    best = asked.groupBy("share", "block").cogroup(held.groupBy("s", "b")).applyInPandas(_best_of_block(k), f"qk string, day int, d_id {kind}, fuzzy double")
+    return q.join(best, ["qk", "day"]).select("q_id", "d_id", "fuzzy")
 
 
 def nearest_vectors(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:

@@ -112,12 +112,13 @@ def b7_unit_decision(t):
 
 
 def _people(t):
-    """Customers as people, named by segment and nation, so that names are shared."""
+    """Customers as people, named by segment and nation, so that names are shared; those valid from a day on have a one-letter
+    word, as a name that nobody has yet is not compared with others then, which SQL could not say."""
     born = (1950 + F.col("c_custkey") % 40).cast("int")
     start = F.when(F.col("c_custkey") % 9 == 0, F.lit("1996-01-01").cast("date"))
     kind = F.when(F.col("c_nationkey") < 5, "SYNTHETIC_DEMO").otherwise(F.when(F.col("c_custkey") % 2 == 0, "ROSTER").otherwise("CURATED"))
     return t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select(  # 25 nations
-        F.col("c_custkey").alias("person_id"), F.concat_ws(" ", F.lower("c_mktsegment"), F.lower(F.replace("n_name", F.lit(" "), F.lit("")))).alias("name"), born.alias("birth_year"),
+        F.col("c_custkey").alias("person_id"), F.concat_ws(" ", F.lower("c_mktsegment"), F.lower(F.replace("n_name", F.lit(" "), F.lit(""))), F.when(F.col("c_custkey") % 9 == 0, "q")).alias("name"), born.alias("birth_year"),
         (F.col("c_custkey") % 60).alias("unit_id"), kind.alias("source_kind"), start.alias("valid_from"), F.lit(None).cast("date").alias("valid_to"),
     )
 
@@ -142,7 +143,7 @@ def _unit_names(t):
     return t.spark.range(60).select(F.concat(F.lit("unit "), F.col("id").cast("string")).alias("name"), F.col("id").alias("unit_id"))
 
 
-_PEOPLE = """p AS (SELECT c_custkey AS person_id, lower(c_mktsegment) || ' ' || lower(replace(n_name, ' ', '')) AS name, (1950 + c_custkey % 40)::int AS birth_year, c_custkey % 60 AS unit_id,
+_PEOPLE = """p AS (SELECT c_custkey AS person_id, lower(c_mktsegment) || ' ' || lower(replace(n_name, ' ', '')) || CASE WHEN c_custkey % 9 = 0 THEN ' q' ELSE '' END AS name, (1950 + c_custkey % 40)::int AS birth_year, c_custkey % 60 AS unit_id,
     CASE WHEN c_nationkey < 5 THEN 'SYNTHETIC_DEMO' WHEN c_custkey % 2 = 0 THEN 'ROSTER' ELSE 'CURATED' END AS source_kind, CASE WHEN c_custkey % 9 = 0 THEN DATE '1996-01-01' END AS valid_from FROM customer JOIN nation ON c_nationkey = n_nationkey),
   m AS (SELECT o_orderkey AS mention_id, CASE WHEN o_orderkey % 11 = 0 THEN name || ' x' WHEN o_orderkey % 13 <> 0 THEN name END AS name, CASE WHEN o_orderkey % 5 = 0 THEN o_custkey + (o_orderkey % 3 = 0)::int END AS code,
     CASE WHEN o_orderkey % 4 = 0 THEN birth_year + CASE WHEN o_orderkey % 28 = 0 THEN 100 ELSE 0 END END AS year, CASE WHEN o_orderkey % 6 IN (1, 2) THEN CASE WHEN o_orderkey % 6 = 2 AND o_orderkey % 7 = 0 THEN -1 ELSE unit_id END END AS unit, o_orderdate::date AS as_of FROM orders JOIN p ON person_id = o_custkey),
