@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossierlake.llm import bpe, jaccard, langid, licenses, media, packing, quality, secrets, topk, toxicity
+from dossierlake.llm import audit, bpe, jaccard, langid, licenses, media, middle, packing, quality, secrets, topk, toxicity
 from dossierlake.llm.common import labelled_sample, table
 
 
@@ -96,12 +96,24 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    back = middle.restored(F.col("form"), F.col("output"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(back).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_secret_scan, op2_license_scan, op3_exact_topk, op4_jaccard_join, op5_media_flac, op6_best_fit_packing,
             op7_quality_compression, op8_toxicity_deobfuscation, op9_language_id, op10_bpe_tree,
+            op11_filter_audit, op13_fill_in_middle,
         )
     }
 
@@ -179,5 +191,36 @@ _OP4_SQL = """
   select doc_id, any_value(n.n)::bigint as n_shingles, min(other) as component_id from r join n using (doc_id) group by doc_id"""
 
 
+_OP11_SQL = """
+  with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t from documents),
+  w as (select *, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws from d),
+  f as (select part, len(ws) < 200 as a, 100 * len(list_distinct(ws)) < 50 * len(ws) as b,
+               100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * len(t) as c, regexp_matches(t, '[#$%&*|]') as d,
+               coalesce(doc_id > min(doc_id) over (partition by t), false) as e,
+               exists (select 1 from labels l where l.doc_id = w.doc_id and quality = 1) as good, exists (select 1 from labels l where l.doc_id = w.doc_id and toxic = 1) as toxic from w),
+  m as (select part, map {'A': a, 'B': b, 'C': c, 'D': d, 'E': e} as fails, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from f group by all),
+  l(x) as (values ('A'), ('B'), ('C'), ('D'), ('E')),
+  o as (select a.x || b.x || c.x || d.x || e.x as filter_order from l a, l b, l c, l d, l e
+        where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+  s as (select filter_order, step, substr(filter_order, step, 1) as own, list_transform(range(1, step), lambda i: substr(filter_order, i, 1)) as earlier from o, range(1, 6) r(step)),
+  p as (select part, filter_order, step, own, n, good, toxic, fails[own] as hit, len(list_filter(earlier, lambda x: fails[x])) > 0 as gone,
+               len(list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: fails[x])) as many from m, s),
+  c as (select part, filter_order, step, own, coalesce(sum(n) filter (not hit and not gone), 0) as kept, coalesce(sum(n) filter (hit and not gone), 0) as removed,
+               coalesce(sum(n) filter (hit and gone), 0) as redundant, coalesce(sum(n) filter (hit and many = 1), 0) as unique_fails,
+               coalesce(sum(good) filter (hit and not gone), 0) as good_lost, coalesce(sum(toxic) filter (hit and not gone), 0) as toxic_lost from p group by all)
+  select part, filter_order, step::int as step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails,
+         good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost, sum(removed) over (partition by part, own)::bigint as shapley from c"""
+
+_OP13_SQL = """
+  with d as (select doc_id, coalesce(text, '') as t, sha256(concat('1:', doc_id)) as h from documents),
+  n as (select doc_id, t, len(t) as n, ('0x' || substr(h, 1, 8))::bigint as h1, ('0x' || substr(h, 9, 8))::bigint as h2, ('0x' || substr(h, 17, 8))::bigint as h3, ('0x' || substr(h, 25, 8))::bigint as h4 from d),
+  c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+               case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from n),
+  p as (select *, substr(t, 1, a) as head, substr(t, a + 1, b - a) as mid, substr(t, b + 1) as tail from c)
+  select doc_id, n::bigint as n, form, case when form <> 'plain' then a end::bigint as prefix_chars, case when form <> 'plain' then b - a end::bigint as middle_chars,
+         sha256(case form when 'plain' then t when 'psm' then '<P>' || head || '<S>' || tail || '<M>' || mid else '<S>' || tail || '<P>' || head || '<M>' || mid end) as output_sha256,
+         sha256(t) as restored_sha256 from p"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": _op1_sql(), "op2_license_scan": _op2_sql(), "op3_exact_topk": _OP3_SQL, "op4_jaccard_join": _OP4_SQL}
+    return {"op1_secret_scan": _op1_sql(), "op2_license_scan": _op2_sql(), "op3_exact_topk": _OP3_SQL, "op4_jaccard_join": _OP4_SQL, "op11_filter_audit": _OP11_SQL, "op13_fill_in_middle": _OP13_SQL}
