@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossierlake.llm import audit, bpe, jaccard, langid, licenses, media, middle, packing, quality, secrets, topk, toxicity
+from dossierlake.llm import audit, bpe, decontaminate, jaccard, langid, licenses, media, middle, packing, quality, secrets, topk, toxicity
 from dossierlake.llm.common import labelled_sample, table
 
 
@@ -100,6 +100,15 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = middle.fill_in_middle(table(spark, sf_dir, "documents"))
     sha = lambda c: F.sha2(c.cast("binary"), 256)
@@ -113,7 +122,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         for f in (
             op1_secret_scan, op2_license_scan, op3_exact_topk, op4_jaccard_join, op5_media_flac, op6_best_fit_packing,
             op7_quality_compression, op8_toxicity_deobfuscation, op9_language_id, op10_bpe_tree,
-            op11_filter_audit, op13_fill_in_middle,
+            op11_filter_audit, op12_decontaminate, op13_fill_in_middle,
         )
     }
 
@@ -211,6 +220,18 @@ _OP11_SQL = """
   select part, filter_order, step::int as step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails,
          good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost, sum(removed) over (partition by part, own)::bigint as shapley from c"""
 
+_OP12_SQL = r"""
+  with d as (select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+  i as (select item_id::varchar as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark),
+  k as (select item, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) as a from i where len(ws) > 0),
+  p as (select distinct item, array_to_string(ws[a : a + 9], ' ') as phrase, least(len(ws), 10) as size from k),
+  g as (select rid, a, size, array_to_string(ws[a : a + size - 1], ' ') as phrase from (select rid, ws, size, unnest(range(1, len(ws) - size + 2)) as a from d, (select distinct size from p))),
+  h as (select distinct rid, a, size, phrase from g semi join p using (phrase, size)),
+  n as (select rid, count(*) as n_hit from (select distinct rid, unnest(range(a, a + size)) as at from h) group by rid),
+  m as (select rid, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct rid, item from h join p using (phrase, size) where item is not null) group by rid)
+  select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+  from d left join n using (rid) left join m using (rid)"""
+
 _OP13_SQL = """
   with d as (select doc_id, coalesce(text, '') as t, sha256(concat('1:', doc_id)) as h from documents),
   n as (select doc_id, t, len(t) as n, ('0x' || substr(h, 1, 8))::bigint as h1, ('0x' || substr(h, 9, 8))::bigint as h2, ('0x' || substr(h, 17, 8))::bigint as h3, ('0x' || substr(h, 25, 8))::bigint as h4 from d),
@@ -223,4 +244,4 @@ _OP13_SQL = """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": _op1_sql(), "op2_license_scan": _op2_sql(), "op3_exact_topk": _OP3_SQL, "op4_jaccard_join": _OP4_SQL, "op11_filter_audit": _OP11_SQL, "op13_fill_in_middle": _OP13_SQL}
+    return {"op1_secret_scan": _op1_sql(), "op2_license_scan": _op2_sql(), "op3_exact_topk": _OP3_SQL, "op4_jaccard_join": _OP4_SQL, "op11_filter_audit": _OP11_SQL, "op12_decontaminate": _OP12_SQL, "op13_fill_in_middle": _OP13_SQL}
