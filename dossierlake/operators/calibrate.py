@@ -9,9 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossierlake.functions import text as T
-from dossierlake.functions.similarity import name_similarity
-from dossierlake.operators import resolve
+from dossierlake.operators import ranking, resolve
 
 FEATURES = ("fuzzy", "margin", "bm25", "semantic")
 TRAIN_PERCENT, FUZZY_WEIGHT, BM25_WEIGHT, ACCEPT = 70, 0.8, 0.2, 0.90  # fixed values: split, ranking weights, threshold
@@ -19,12 +17,7 @@ TRAIN_PERCENT, FUZZY_WEIGHT, BM25_WEIGHT, ACCEPT = 70, 0.8, 0.2, 0.90  # fixed v
 
 def match_features(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """Best candidate of each query (q_id, name) among docs (d_id, name): q_id, d_id and the features, 0 to 1."""
-    worded = resolve.bm25(queries, docs)
-    shared = worded.select("q_id", "d_id").join(queries.select("q_id", T.normalize_text(F.col("name")).alias("qk")), "q_id").join(docs.select("d_id", T.normalize_text(F.col("name")).alias("dk")), "d_id")
-    scored = shared.select("qk", "dk").distinct().select("qk", "dk", name_similarity("qk", "dk").alias("fuzzy"))
-    rows = shared.join(scored, ["qk", "dk"]).select("q_id", "d_id", "fuzzy").union(resolve.nearest_names(queries, docs, 2)).groupBy("q_id", "d_id").agg(F.max("fuzzy").alias("fuzzy"))
-    rows = rows.join(worded, ["q_id", "d_id"], "left").fillna(0.0, ["bm25"])
-    rows = rows.withColumn("fuzzy", F.col("fuzzy") / 100).withColumn("combined", FUZZY_WEIGHT * F.col("fuzzy") + BM25_WEIGHT * F.col("bm25"))
+    rows = ranking.hybrid_candidates(queries, docs, None, 2, (FUZZY_WEIGHT, BM25_WEIGHT, 0.0), (resolve.DECISIVE_FUZZY, resolve.DECISIVE_GAP)).withColumn("fuzzy", F.col("fuzzy") / 100)
     order = Window.partitionBy("q_id").orderBy(F.desc("combined"), "d_id")
     best = rows.withColumn("next", F.lead("combined").over(order)).withColumn("rank", F.row_number().over(order)).filter("rank = 1")
     gap = F.greatest(F.lit(0.0), F.col("combined") - F.coalesce("next", F.col("combined")))

@@ -1,32 +1,27 @@
 """Resolution of unit and person mentions in bulk: exact tiers, hybrid ranking, gates that rather abstain.
 
 Every mention of a batch is resolved in one plan. Exact tiers are one equi-join on a table of surface
-forms; only spellings that no tier settles meet the ranking, each once. Those spellings are the query set:
-they meet all names of the registry in blocks of bounded size, where each keeps its best candidates, so no
-candidate is lost for want of a shared word and no task holds more than two blocks.
+forms; only spellings that no tier settles meet the ranking (``ranking``), each once.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossierlake.functions import text as T
-from dossierlake.functions.similarity import name_similarity, weighted_ratio
+from dossierlake.operators import ranking
 
 # Thresholds, weights and tier scores of the resolver.
 FUZZY, MARGIN, TOP_K, ACCEPT = 91.0, 6.0, 10, 0.90
 STRONG_FUZZY, STRONG_MARGIN = 97.0, 10.0
 WEIGHTS = (0.65, 0.20, 0.15)
-K1, B = 1.5, 0.75
+K1, B = ranking.K1, ranking.B
 TIER_SCORES = (100.0, 99.0, 97.0, 96.0)
 DECISIVE_FUZZY, DECISIVE_GAP = FUZZY + 3, MARGIN + 4  # from there on no semantic score is asked for
 TIER_METHODS = ("CANONICAL_EXACT", "APPROVED_ALIAS", "ASCII_FOLDED", "ASCII_FOLDED_ALIAS")
-QUERY_BLOCK, NAME_BLOCK = 100, 1000  # spellings and registry rows that meet in one call
 
 
 def surface_forms(units: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
@@ -83,42 +78,9 @@ def bm25(queries: DataFrame, docs: DataFrame) -> DataFrame:
     return scored.join(best, "q_id").select("q_id", "d_id", F.when(F.col("best") > 0, F.col("raw") / F.col("best")).otherwise(0.0).alias("bm25"))
 
 
-def _best_of_block(k: int):
-    """The ``k`` best rows of a block of the registry for each spelling and day of a block; equal names are compared once."""
-
-    def run(queries: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        names = sorted({n for ns in docs["names"] for n in ns}) if len(docs) else []
-        rows = list(zip(docs["d_id"], docs["names"], docs["since"], docs["until"])) if len(docs) else []
-        for qk, days in queries.groupby("qk")["day"] if len(queries) else []:
-            scores = {n: weighted_ratio(qk, n) for n in names}
-            for day in days:
-                best = heapq.nsmallest(k, ((-max(scores[n] for n in ns), d) for d, ns, since, until in rows if since <= day <= until))
-                found += [(qk, day, d, -x) for x, d in best]
-        return pd.DataFrame(found, columns=["qk", "day", "d_id", "fuzzy"])
-
-    return run
-
-
 def nearest_names(queries: DataFrame, docs: DataFrame, k: int = TOP_K) -> DataFrame:
-    """(q_id, d_id, fuzzy): the ``k`` rows of ``docs`` (d_id, name; several names a row of the registry are allowed)
-    whose best name has the highest weighted ratio with the query's (q_id, name), and others of their blocks.
-
-    Exact: every spelling meets every name. A null name counts as empty. Where queries have a ``day`` and docs have valid_from and
-    valid_to, rows count that are valid on it; a null day is today.
-    """
-    days = F.unix_date(F.coalesce(F.col("day"), F.current_date())) if "day" in queries.columns else F.lit(0)
-    bound = lambda c, fallback: F.coalesce(F.unix_date(c), F.lit(fallback)) if c in docs.columns and "day" in queries.columns else F.lit(fallback)
-    q = queries.select("q_id", T.normalize_text(F.coalesce("name", F.lit(""))).alias("qk"), days.alias("day"))
-    d = docs.groupBy("d_id", bound("valid_from", -(2**31)).alias("since"), bound("valid_to", 2**31 - 1).alias("until")).agg(F.array_sort(F.collect_set(T.normalize_text(F.coalesce("name", F.lit(""))))).alias("names"))
-    spellings = q.select("qk", "day").distinct()
-    shares, blocks = (max(1, -(-n // size)) for n, size in ((spellings.count(), QUERY_BLOCK), (d.count(), NAME_BLOCK)))
-    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    asked = spellings.select("qk", "day", F.pmod(F.xxhash64("qk"), F.lit(shares)).alias("share"), upto(blocks).alias("block"))
-    held = d.select("d_id", "names", "since", "until", F.pmod(F.xxhash64("d_id"), F.lit(blocks)).alias("b"), upto(shares).alias("s"))
-    kind = docs.schema["d_id"].dataType.simpleString()
-    best = asked.groupBy("share", "block").cogroup(held.groupBy("s", "b")).applyInPandas(_best_of_block(k), f"qk string, day int, d_id {kind}, fuzzy double")
-    return q.join(best, ["qk", "day"]).select("q_id", "d_id", "fuzzy")
+    """(q_id, d_id, fuzzy): the ``k`` rows of ``docs`` with the nearest names, and some others; see ``ranking``."""
+    return ranking.nearest_names(queries, docs, k)
 
 
 def nearest_vectors(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -147,29 +109,10 @@ def nearest_vectors(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 def hybrid_rank(queries: DataFrame, docs: DataFrame, semantic: DataFrame | None = None, k: int = TOP_K) -> DataFrame:
     """Top ``k`` candidates per query by the weighted sum of fuzzy, BM25 and, if given, semantic scores (q_id, d_id, semantic).
 
-    A query whose best name is close and far ahead of the next takes no semantic score. Candidates are the
-    nearest names, rows that share a word (others have BM25 0) and rows with a semantic score: no other
-    can be among the best ``k``.
+    A query whose best name is close and far ahead of the next takes no semantic score. The ranking is that
+    of all pairs, though only those are weighed that can be among the best ``k``.
     """
-    near = nearest_names(queries, docs, max(k, 2))
-    place = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("fuzzy"), "d_id"))
-    near = near.withColumn("place", place).filter(F.col("place") <= max(k, 2))
-    texts = docs.groupBy("d_id").agg(F.array_join(F.array_sort(F.collect_list("name")), " ").alias("name"))
-    worded = bm25(queries, texts)
-    pairs = worded.select("q_id", "d_id")
-    if semantic is not None:
-        decisive = near.groupBy("q_id").agg(F.max(F.when(F.col("place") == 1, F.col("fuzzy"))).alias("first"), F.max(F.when(F.col("place") == 2, F.col("fuzzy"))).alias("second"))
-        decisive = decisive.filter((F.col("first") >= DECISIVE_FUZZY) & (F.col("first") - F.coalesce("second", F.lit(0.0)) >= DECISIVE_GAP)).select("q_id")
-        semantic = semantic.select("q_id", "d_id", "semantic").join(decisive, "q_id", "left_anti")
-        pairs = pairs.unionByName(semantic.select("q_id", "d_id")).distinct()
-    rest = pairs.join(near.select("q_id", "d_id"), ["q_id", "d_id"], "left_anti")
-    spelled = rest.join(queries.select("q_id", T.normalize_text(F.col("name")).alias("qk")), "q_id").join(docs.select("d_id", T.normalize_text(F.col("name")).alias("dk")), "d_id")
-    scored = spelled.select("qk", "dk").distinct().select("qk", "dk", name_similarity("qk", "dk").alias("fuzzy"))
-    rest = spelled.join(scored, ["qk", "dk"]).groupBy("q_id", "d_id").agg(F.max("fuzzy").alias("fuzzy"))
-    rows = near.select("q_id", "d_id", "fuzzy").unionByName(rest).join(worded, ["q_id", "d_id"], "left")
-    rows = rows.join(semantic, ["q_id", "d_id"], "left") if semantic is not None else rows.withColumn("semantic", F.lit(0.0))
-    wf, wb, ws = WEIGHTS
-    rows = rows.fillna(0.0, ["bm25", "semantic"]).withColumn("combined", wf * F.col("fuzzy") / 100 + wb * F.col("bm25") + ws * F.col("semantic"))
+    rows = ranking.hybrid_candidates(queries, docs, semantic, max(k, 2), WEIGHTS, (DECISIVE_FUZZY, DECISIVE_GAP))
     order = Window.partitionBy("q_id").orderBy(F.desc("combined"), F.desc("fuzzy"), "d_id")
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

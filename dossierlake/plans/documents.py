@@ -12,7 +12,7 @@ from dossierlake.operators import documents as D
 from dossierlake.operators import registry
 from dossierlake.plans.base import query
 
-from dossierlake.streaming.events import shared_folder
+from dossierlake.sources.shared import shared_folder
 
 
 @query("SELECT page_id, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host, regexp_replace(url, '#.*$', '') AS bare, lower(url) LIKE '%.pdf' AS pdf FROM pages")

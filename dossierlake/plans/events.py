@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dossierlake.operators import events as E
 from dossierlake.plans.base import QUERIES, SQL, query, same_sql
+from dossierlake.sources.shared import shared_folder
 from dossierlake.streaming import events as S
 
 same_sql(
@@ -62,7 +63,7 @@ def f28_backoff(t):
 def _stream(name, build, sql=None):
     def run(spark, sf_dir):
         events = S.read_events(spark, sf_dir)
-        drained = lambda stream: S.drain(stream, f"{S.shared_folder(spark)}/stream-{name}-{uuid.uuid4().hex}")
+        drained = lambda stream: S.drain(stream, f"{shared_folder(spark)}/stream-{name}-{uuid.uuid4().hex}")
         return build(events, drained, lambda: spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")))
 
     QUERIES[name] = run

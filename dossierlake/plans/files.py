@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from dossierlake.functions import text as T
 from dossierlake.plans.base import query
 from dossierlake.sources import tables as S
-from dossierlake.streaming.events import shared_folder
+from dossierlake.sources.shared import shared_folder
 
 
 def _folder(t, name: str) -> str:

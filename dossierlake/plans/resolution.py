@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dossierlake.functions import text as T
-from dossierlake.operators import decide, persons, resolve
+from dossierlake.operators import decide, persons, ranking, resolve
 from dossierlake.plans.base import query
 
 _UNIT_NAME = "p_name || ' ' || p_brand || ' ' || p_type || ' ' || p_size"
@@ -80,6 +80,28 @@ def f9_bm25(t):
     return resolve.bm25(*_name_queries(t)).select("q_id", "d_id", F.round("bm25", 6).alias("bm25"))
 
 
+@query(_BM + """, r AS (SELECT q_id, d_id, raw, row_number() OVER (PARTITION BY q_id ORDER BY round(raw, 9) DESC, d_id)::int AS rank FROM s)
+  SELECT q_id, d_id, rank, round(raw, 6) AS raw FROM r WHERE rank <= 10""")
+def a10_bm25_top(t):
+    """The ten best names by words, from the postings of essential terms."""
+    q, d = _name_queries(t)
+    return ranking.Postings(d).top(q, 10).select("q_id", "d_id", "rank", F.round("raw", 6).alias("raw"))
+
+
+@query()
+def b5_semantic_rank(t):
+    """Ranking that hears a semantic score: the cosine of vectors of names, for each name's fifty nearest."""
+    q, d = _name_queries(t)
+    first = lambda rows, name: t.part.groupBy(name.alias("name")).agg(F.min("p_partkey").alias("vec_id")).join(rows.select("q_id" if rows is q else "d_id", "name"), "name")
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    unit = lambda: t.embeddings.select("vec_id", F.transform("embedding", lambda x: x / length).alias("v"))
+    asked = first(q, F.col("p_name")).join(unit(), "vec_id").select(F.col("vec_id").alias("q_id"), "v", F.col("q_id").alias("said"))
+    held = first(d, F.concat_ws(" ", "p_name", "p_brand")).join(unit(), "vec_id").select(F.col("vec_id").alias("d_id"), "v", F.col("d_id").alias("named"))
+    near = resolve.nearest_vectors(asked.select("q_id", "v"), held.select("d_id", "v"), 50)
+    semantic = near.join(asked.select("q_id", "said"), "q_id").join(held.select("d_id", "named"), "d_id").select(F.col("said").alias("q_id"), F.col("named").alias("d_id"), F.col("cosine").alias("semantic"))
+    return resolve.hybrid_rank(q, d, semantic).select("q_id", "d_id", "rank", F.round("combined", 6).alias("combined"), F.round("semantic", 6).alias("semantic"))
+
+
 @query()
 def b5_hybrid_rank(t):
     q, d = _name_queries(t)
@@ -196,7 +218,10 @@ def b4_unit_resolution(t):
     aliases = units.filter("unit_id % 3 = 0").select("unit_id", F.regexp_replace("name", " .*#", " no ").alias("name"))
     codes = units.select(F.concat(F.lit("U-"), F.col("unit_id").cast("string")).alias("code"), "unit_id", F.lit(None).cast("date").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
     k = F.col("o_orderkey")
-    rows = t.orders.join(units, F.pmod(F.col("o_custkey"), F.lit(97)) == F.pmod(F.col("unit_id"), F.lit(97))).filter(F.pmod(F.xxhash64("o_orderkey"), F.lit(16)) == F.pmod(F.xxhash64("unit_id"), F.lit(16)))
+    named = t.part.select("p_partkey", F.concat_ws(" ", "p_name", "p_brand").alias("part_name"))
+    own = t.part.groupBy(F.concat_ws(" ", "p_name", "p_brand").alias("part_name")).agg(F.min("p_partkey").alias("unit_id"))
+    first = t.lineitem.filter("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")  # an order's first line names its unit
+    rows = t.orders.join(first, "o_orderkey").join(named, F.col("p_partkey") == F.col("l_partkey")).join(own, "part_name").join(units, "unit_id")
     spelled = F.when(k % 7 == 0, resolve.T.strip_marks(F.col("name"))).when(k % 7 == 1, F.regexp_replace("name", " .*#", " no ")).when((k % 7 == 2) & (F.col("unit_id") < 60), F.regexp_replace("name", "[rn]", "")).when(k % 7 == 3, F.lit("nowhere at all")).when(k % 7 == 4, "").otherwise(F.upper("name"))
     code = F.when(k % 6 == 0, F.concat(F.lit("u-"), (F.col("unit_id") + F.when(k % 12 == 0, 1).otherwise(0)).cast("string")))
     mentions = rows.select(F.concat_ws("/", k.cast("string"), F.col("unit_id").cast("string")).alias("mention_id"), spelled.alias("name"), code.alias("code"), F.col("o_orderdate").cast("date").alias("as_of"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -55,16 +54,6 @@ def lockouts(events: DataFrame, failure: str = "error", success: str = "signup")
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, locked_at timestamp", "fails int, until long", "append", "NoTimeout")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; where it is unset and everything runs on one machine, a folder of it."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("streams need spark.checkpoint.dir, a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='dossierlake-')}"
-    return found
-
-
 def drain(stream: DataFrame, folder: str) -> DataFrame:
     """Run a stream over what is there into a table under ``folder``, and read that table. A second run adds what is new."""
     out = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/table")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dossierlake.functions.similarity import weighted_ratio
-from dossierlake.operators import persons, resolve
+from dossierlake.operators import persons, ranking, resolve
 
 UNITS = [(1, "Bệnh viện Trung ương"), (2, "Cục Kỹ thuật"), (3, "Công an xã Phú Hữu"), (4, "Công an xã Phú Hựu"), (5, "Học viện Hậu cần"), (6, "Học viện Hậu cần"), (7, "Trung đoàn Thông tin Liên lạc 205")]
 ALIASES = [(1, "Bệnh viện 108"), (7, "Trung đoàn 205")]
@@ -62,8 +62,8 @@ def plain_rank(query, docs, semantic):
 
 
 def test_ranking_is_that_of_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(resolve, "QUERY_BLOCK", 3)
-    monkeypatch.setattr(resolve, "NAME_BLOCK", 7)
+    monkeypatch.setattr(ranking, "NAME_BLOCK", 7)
+    monkeypatch.setattr(ranking, "HOT_TERM", 4)
     rnd = random.Random(4)
     words = ["cong", "an", "xa", "phu", "huu", "vien", "quan", "y", "tinh", "ha", "nam", "so"]
     docs = {d: [" ".join(rnd.choices(words, k=rnd.randrange(1, 5))) for _ in range(rnd.choice((1, 1, 2)))] for d in range(40)}
