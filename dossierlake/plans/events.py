@@ -7,10 +7,14 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from dossierlake.operators import alerts as A
 from dossierlake.operators import events as E
 from dossierlake.plans.base import QUERIES, SQL, query, same_sql
 from dossierlake.sources.shared import shared_folder
 from dossierlake.streaming import events as S
+from dossierlake.sources.versions import VersionedTable
+from dossierlake.streaming import sinks
+from dossierlake.streaming import state as K
 
 same_sql(
     "t2_failure_rate",
@@ -130,3 +134,124 @@ def t11_p95(t):
     le = F.get(F.filter(F.array(*[F.lit(x) for x in (10.0, 50.0, 100.0, 500.0)]), lambda x: x >= F.col("value")), 0)
     buckets = t.events.groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("start"), le.alias("le")).agg(F.count(F.lit(1)).alias("n"))
     return E.histogram_quantile(buckets, ["start"], 0.95).select("start", F.round("value", 6).alias("p95"))
+
+
+def _stateful(name, build, sql):
+    """A query of a stream with keyed state over the events, drained into a table."""
+
+    def run(spark, sf_dir):
+        with K.keyed_state(spark):
+            return build(S.drain(build.stream(spark, sf_dir), f"{shared_folder(spark)}/stream-{name}-{uuid.uuid4().hex}"))
+
+    QUERIES[name] = run
+    SQL[name] = sql
+
+
+def _from(stream):
+    def mark(f):
+        f.stream = stream
+        return f
+
+    return mark
+
+
+@_from(lambda spark, sf_dir: K.admissions(S.read_events(spark, sf_dir), 4 * 3600, 3, 48 * 3600))
+def _gates(table):
+    return table.select("event_id", "gate")
+
+
+#: Admissions one after another: each user's next request meets the times of those admitted in the two days before
+_stateful("t3_stream_admissions", _gates, """
+  WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+  s AS (SELECT user_id, event_id, n, [us] AS admitted, 'OK' AS gate FROM e WHERE n = 1
+    UNION ALL SELECT user_id, event_id, n, CASE WHEN gate = 'OK' THEN list_append(live, us) ELSE live END, gate FROM (
+      SELECT user_id, event_id, n, us, live, CASE WHEN len(live) > 0 AND us - live[-1] < 14400000000 THEN 'COOLDOWN' WHEN len(live) >= 3 THEN 'BUDGET' ELSE 'OK' END AS gate
+      FROM (SELECT e.user_id, e.event_id, e.n, e.us, list_filter(s.admitted, lambda t: e.us - t <= 172800000000) AS live FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1)))
+  SELECT event_id, gate FROM s""")
+
+
+@_from(lambda spark, sf_dir: K.sessions(S.read_events(spark, sf_dir).filter("event_type = 'signup'")))
+def _session_rows(table):
+    return table.select("event_id", "what", F.timestamp_micros("us").cast("timestamp_ntz").alias("at"), "by")
+
+
+_stateful("t5_stream_sessions", _session_rows, """
+  WITH l AS (SELECT event_id, ts, lead(event_id) OVER w AS next, lead(ts) OVER w AS next_ts FROM events WHERE event_type = 'signup' WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+  e AS (SELECT *, ts + INTERVAL 12 HOUR AS ends FROM l), m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM l)
+  SELECT event_id, 'OPENED' AS what, ts AS "at", NULL::bigint AS "by" FROM e
+  UNION ALL SELECT event_id, 'REVOKED', next_ts, next FROM e WHERE next_ts < ends
+  UNION ALL SELECT event_id, 'EXPIRED', ends, NULL FROM e, m WHERE (next_ts IS NULL OR next_ts >= ends) AND (ends <= next_ts OR ends <= date_trunc('millisecond', mark))""")
+
+STEP = 3600
+RULES = [
+    A.Rule("errors", "event_type = 'error'", "true", 0.2, 6 * 3600, 3 * 3600),
+    A.Rule("refused", "event_type = 'error'", "event_type in ('error', 'purchase')", 0.55, 3 * 3600, 2 * 3600),
+    A.Rule("costly", "value > 60", "event_type <> 'view'", 0.3, 3600, 3600),
+]
+_RULES_SQL = "(VALUES ('errors', 0.2, 6, 10800), ('refused', 0.55, 3, 7200), ('costly', 0.3, 1, 3600)) AS r(rule, above, steps, hold)"
+_RATED = f"""WITH e AS (SELECT event_type, value, (epoch_us(ts) // 3600000000) AS h FROM events),
+  x AS (SELECT rule, hold, above, (h + 1 + k) * 3600 AS tick, CASE rule WHEN 'costly' THEN value > 60 ELSE event_type = 'error' END AS hit
+    FROM e, {_RULES_SQL}, range(0, 6) t(k) WHERE k < steps AND CASE rule WHEN 'errors' THEN true WHEN 'refused' THEN event_type IN ('error', 'purchase') ELSE event_type <> 'view' END),
+  g AS (SELECT rule, hold, above, tick, avg(hit::int::double) AS ratio FROM x GROUP BY ALL),
+  i AS (SELECT *, tick - 3600 * row_number() OVER (PARTITION BY rule ORDER BY tick) AS island FROM g WHERE ratio > above)"""
+_INTERVALS = _RATED + """ SELECT rule, min(tick)::bigint AS since, CASE WHEN max(tick) - min(tick) >= any_value(hold) THEN min(tick) + any_value(hold) END::bigint AS firing, (max(tick) + 3600)::bigint AS resolved, round(max(ratio), 6) AS peak FROM i GROUP BY rule, island"""
+
+
+@query(_INTERVALS)
+def t11_alert_intervals(t):
+    """Rules that must hold for some time before they fire."""
+    return A.intervals(A.evaluations(t.events, RULES, STEP), RULES, STEP).withColumn("peak", F.round("peak", 6))
+
+
+def _alert_stream(spark, sf_dir):
+    """Evaluations, written as a table by time, then read as a stream."""
+    folder = f"{shared_folder(spark)}/evaluations-{uuid.uuid4().hex}"
+    rated = A.evaluations(spark.read.parquet(f"{sf_dir}/events.parquet"), RULES, STEP)
+    rated.withColumn("ts", F.timestamp_seconds("at")).write.parquet(folder)
+    rows = spark.readStream.schema("rule string, at long, ratio double, held boolean, ts timestamp").parquet(folder)
+    return K.alert_intervals(rows, STEP, {r.name: r.hold for r in RULES})
+
+
+@_from(_alert_stream)
+def _intervals(table):
+    return table.withColumn("peak", F.round("peak", 6))
+
+
+#: Intervals that had ended when the stream's watermark, the last evaluation, was reached
+_stateful("t11_stream_alerts", _intervals, _INTERVALS.replace(_RATED, _RATED + ", z AS (SELECT max(tick) AS mark FROM g)") + " HAVING max(tick) + 7200 <= (SELECT mark FROM z) OR max(tick) < (SELECT max(tick) FROM g WHERE g.rule = i.rule)")
+
+
+def _sink(name, rows, keys, change, empty, sql, read=lambda table: table):
+    """A query of a stream that is folded into a versioned table, batch by batch."""
+
+    def run(spark, sf_dir):
+        folder = f"{shared_folder(spark)}/sink-{name}-{uuid.uuid4().hex}"
+        table = VersionedTable(spark, f"{folder}/table", keys, 16)
+        return read(sinks.run(rows(S.read_events(spark, sf_dir)), table, change, f"{folder}/checkpoint", empty))
+
+    QUERIES[name] = run
+    SQL[name] = sql
+
+
+_sink(
+    "t7_stream_outbox", lambda e: e.select(F.col("user_id").alias("id"), "ts", (F.col("event_id") % 40 == 0).alias("delivered")), ["id"], sinks.delivered, sinks.DELIVERY,
+    """WITH a AS (SELECT user_id AS id, ts, event_id % 40 = 0 AS ok FROM events), s AS (SELECT id, min(ts) FILTER (ok) AS sent FROM a GROUP BY 1),
+      n AS (SELECT id, sent, count(*) FILTER (sent IS NULL OR ts <= sent) AS n, max(ts) AS last FROM a JOIN s USING (id) GROUP BY ALL)
+      SELECT id, CASE WHEN sent IS NULL THEN 'PENDING' ELSE 'SENT' END AS status, n::int AS attempts, CASE WHEN sent IS NULL THEN last + least(300, 2 ** least(n, 8))::int * INTERVAL 1 SECOND END AS available_at FROM n""",
+    lambda table: table.withColumn("available_at", F.col("available_at").cast("timestamp_ntz")),
+)
+_sink(
+    "t10_stream_reconcile", lambda e: e.filter("event_type in ('purchase', 'error')").select((F.col("user_id") % 40).alias("job_id"), F.when(F.col("event_type") == "error", "FAILED").otherwise("COMPLETED").alias("status")),
+    ["job_id"], sinks.reconciled("job_id * 12"), sinks.JOB,
+    """WITH r AS (SELECT user_id % 40 AS job_id, count(*) FILTER (event_type = 'purchase') AS ok, count(*) FILTER (event_type = 'error') AS failed FROM events WHERE event_type IN ('purchase', 'error') GROUP BY 1)
+      SELECT job_id, job_id * 12 AS expected, ok, failed, CASE WHEN ok + failed < job_id * 12 THEN 'RUNNING' WHEN failed = job_id * 12 THEN 'FAILED' WHEN failed > 0 THEN 'COMPLETED_WITH_ERRORS' ELSE 'COMPLETED' END AS status FROM r""",
+)
+_sink(
+    "t12_stream_decisions",
+    lambda e: e.select(F.col("user_id").alias("item_id"), "ts", F.col("event_id").alias("seq"), (F.col("event_id") % 4).alias("expected_version"), F.concat("event_type", F.lit("-"), F.col("event_id").cast("string")).alias("decision")),
+    ["item_id"], sinks.decided, sinks.ITEM,
+    """WITH RECURSIVE e AS (SELECT user_id AS item_id, event_id % 4 AS expects, event_type || '-' || event_id AS decision, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+      s AS (SELECT DISTINCT item_id, 0::bigint AS n, 0::bigint AS version, NULL::varchar AS decision, 0::bigint AS refused FROM e
+        UNION ALL SELECT e.item_id, e.n, CASE WHEN expects = version THEN version + 1 ELSE version END, CASE WHEN expects = version THEN e.decision ELSE s.decision END, CASE WHEN expects = version THEN refused ELSE refused + 1 END FROM s JOIN e ON e.item_id = s.item_id AND e.n = s.n + 1)
+      SELECT item_id, version, decision, refused FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY n DESC) = 1""",
+)

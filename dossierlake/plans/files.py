@@ -10,6 +10,7 @@ from dossierlake.functions import text as T
 from dossierlake.plans.base import query
 from dossierlake.sources import tables as S
 from dossierlake.sources.shared import shared_folder
+from dossierlake.sources.versions import VersionedTable
 
 
 def _folder(t, name: str) -> str:
@@ -125,3 +126,38 @@ _WORDS = "list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')"
 def f26_token_ratios(t):
     profile = T.char_profile(F.col("text"))
     return t.documents.filter("length(trim(text)) > 0").select("doc_id", F.round(profile["alpha_tokens"], 6).alias("alpha_tokens"), F.round(profile["replacement"], 6).alias("replacement"))
+
+
+def _versions(t):
+    """Customers as version 0; version 1 has new balances for a twelfth of them, new rows, and none of a nation."""
+    columns = ("c_custkey", "c_name", "c_nationkey", "c_acctbal")
+    table = VersionedTable(t.spark, _folder(t, "versions"), ["c_custkey"], 32)
+    table.create(t.customer.select(*columns))
+    poorer = t.customer.filter("c_nationkey in (3, 5)").withColumn("c_acctbal", F.round(F.col("c_acctbal") - 100, 2)).select(*columns)
+    more = t.supplier.select((1_000_000_000 + F.col("s_suppkey")).alias("c_custkey"), F.col("s_name").alias("c_name"), F.col("s_nationkey").alias("c_nationkey"), F.col("s_acctbal").alias("c_acctbal"))
+    table.upsert(poorer.unionByName(more), t.customer.filter("c_nationkey = 7").select("c_custkey"))
+    return table
+
+
+_VERSION_1 = """SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_nationkey IN (3, 5) THEN round(c_acctbal - 100, 2) ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_nationkey <> 7
+  UNION ALL SELECT 1000000000 + s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier"""
+
+
+@query(_VERSION_1)
+def k4_versioned_upsert(t):
+    return _versions(t).read()
+
+
+@query("""SELECT c_custkey, CASE c_nationkey WHEN 7 THEN 'REMOVED' ELSE 'CHANGED' END AS change, CASE WHEN c_nationkey <> 7 THEN 'c_acctbal' END AS fields FROM customer WHERE c_nationkey IN (3, 5, 7)
+  UNION ALL SELECT 1000000000 + s_suppkey, 'ADDED', NULL FROM supplier""")
+def b27_version_diff(t):
+    return _versions(t).diff(0, 1)
+
+
+@query(f"SELECT 'present' AS which, c_custkey, c_acctbal FROM customer UNION ALL SELECT 'version 1', c_custkey, c_acctbal FROM ({_VERSION_1})")
+def b26_rollback(t):
+    """After a rollback the first version is present again, and the second is still there to be read."""
+    table = _versions(t)
+    table.rollback(0)
+    rows = lambda version, which: table.read(version).select(F.lit(which).alias("which"), "c_custkey", "c_acctbal")
+    return rows(None, "present").unionByName(rows(1, "version 1"))
