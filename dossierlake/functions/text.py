@@ -121,6 +121,16 @@ def active_on(day: Column, start: Column, end: Column) -> Column:
     return (start.isNull() | (start <= d)) & (end.isNull() | (d <= end))
 
 
+#: The first business day, and the days ahead that a day may lie.
+FIRST_DAY, DAYS_AHEAD = "1945-09-02", 366
+
+
+def plausible_day(day: Column, today: Column | None = None) -> Column:
+    """Whether a day can be a business day: not before ``FIRST_DAY``, not more than ``DAYS_AHEAD`` days ahead; a null day can."""
+    latest = F.date_add(F.current_date() if today is None else today, DAYS_AHEAD)
+    return F.coalesce(day.between(F.lit(FIRST_DAY).cast("date"), latest), F.lit(True))
+
+
 def iso_date(c: Column) -> Column:
     """dd/mm/yyyy or dd-mm-yyyy as ISO text; other text as it is."""
     found = F.coalesce(F.try_to_timestamp(c, F.lit("dd/MM/yyyy")), F.try_to_timestamp(c, F.lit("dd-MM-yyyy")))

@@ -180,23 +180,38 @@ def spatial_values(labels: DataFrame, values: DataFrame, overlap: float = 0.5) -
     return rows.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
 
 
-def validate_rows(rows: DataFrame) -> DataFrame:
-    """Status and error of bulk rows (job_id, row_index, name, code, day): the first test that fails decides.
+LEAST_TABLE_CONFIDENCE = 0.80  # fixed value
 
-    A code's key is its digits where it has any, else its folded text; only rows that passed the tests
-    before reserve their code, and the first of them keeps it.
+
+def validate_rows(rows: DataFrame, today: Column | None = None) -> DataFrame:
+    """Status, error and warnings of bulk rows (job_id, row_index, name, code, day and, if there, unit and confidence).
+
+    The first test that fails decides. A code of digits, blanks, dots and hyphens alone is a number and needs 9 or 12
+    digits; others may have any. A code's key is its digits where it has any, else its folded text; only rows that passed the
+    tests before reserve their code, and the first of them keeps it. A day must be one, and plausible. A table read with little
+    ``confidence`` (no number counts as 0) warns on every row; several units in one cell warn on rows that are ready.
     """
-    digits = F.regexp_replace("code", "[^0-9]", "")
-    key = F.when(digits != "", digits).otherwise(T.ascii_key(F.col("code")))
+    code = F.trim("code")
+    digits = F.regexp_replace(code, "[^0-9]", "")
+    key = F.when(digits != "", digits).otherwise(T.ascii_key(code))
     no_name = T.first_present(F.trim("name")).isNull()
-    bad_code = (digits != "") & ~F.length(digits).isin(9, 12)
-    eligible = ~no_name & ~F.coalesce(bad_code, F.lit(False)) & T.first_present(F.col("code")).isNotNull()
-    usable = F.coalesce(eligible, F.lit(False))
+    bad_code = F.coalesce(code.rlike(r"^[0-9\s.\-]+$") & ~F.length(digits).isin(9, 12), F.lit(False))
+    usable = F.coalesce(~no_name & ~bad_code & T.first_present(code).isNotNull(), F.lit(False))
     nth = F.row_number().over(Window.partitionBy("job_id", key, usable).orderBy("row_index"))
-    bad_day = T.first_present(F.col("day")).isNotNull() & F.try_to_timestamp("day", F.lit("yyyy-MM-dd")).isNull()
+    said = T.first_present(F.trim("day"))
+    day = F.try_to_timestamp(said, F.lit("yyyy-MM-dd")).cast("date")
+    bad_day = said.isNotNull() & (day.isNull() | ~T.plausible_day(day, today))
     error = F.when(no_name, "MISSING_NAME").when(bad_code, "BAD_FORMAT_CODE").when(usable & (nth > 1), "DUPLICATE").when(bad_day, "BAD_FORMAT_DATE")
     status = F.when(F.col("error") == "DUPLICATE", "SKIPPED").when(F.col("error").isNotNull(), "FAILED").otherwise("READY")
-    return rows.withColumn("error", error).withColumn("status", status)
+    none = F.lit(None).cast("string")
+    unsure, many = none, none
+    if "confidence" in rows.columns:
+        given = F.col("confidence").cast("string")
+        unsure = F.when(given.isNotNull() & (F.coalesce(given.try_cast("double"), F.lit(0.0)) < LEAST_TABLE_CONFIDENCE), "LOW_TABLE_CONFIDENCE")
+    if "unit" in rows.columns:
+        parts = F.filter(F.split("unit", r"\s*[|;]\s*"), lambda x: F.trim(x) != "")
+        many = F.when((F.col("status") == "READY") & (F.size(parts) > 1), "AMBIGUOUS_UNIT")
+    return rows.withColumn("error", error).withColumn("status", status).withColumn("warnings", F.array_compact(F.array(unsure, many)))
 
 
 def finalise(rows: DataFrame) -> DataFrame:

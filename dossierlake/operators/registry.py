@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dossierlake.functions import text as T
+from dossierlake.sources.shared import written
 
 MIN_CHARS, MAX_CHARS, CORROBORATION = 5, 180, 2
+# Words at which a name ends, signs around a name, and its most words.
+STOP_WORDS = ["đã", "đang", "sẽ", "và", "cùng", "tổ chức", "chủ trì", "tham dự", "phối hợp", "thực hiện", "triển khai", "cho biết", "tại", "theo", "trong"]
+AROUND, AT_END, MOST_WORDS = " \t\r\n,;:.–-()[]{}", " ,;:.-", 24
+
+
+def clean_candidate(raw: Column) -> Column:
+    """A matched name without signs around it and without what follows a stop word, of ``MOST_WORDS`` words at most."""
+    bare = F.btrim(F.regexp_replace(raw, r"\s+", " "), F.lit(AROUND))
+    cut = F.btrim(F.regexp_replace(bare, rf"(?iuU)\s+(?:{'|'.join(STOP_WORDS)})\b.*$", ""))
+    return F.btrim(F.array_join(F.slice(F.split(cut, " "), 1, MOST_WORDS), " "), F.lit(AT_END))
 
 
 def page_candidates(pages: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:
@@ -16,7 +27,7 @@ def page_candidates(pages: DataFrame, patterns: list[tuple[str, str]]) -> DataFr
     for org, pattern in patterns:
         found = pages.select("page_id", F.lit(org).alias("org"), F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("raw"))
         out = found if out is None else out.unionByName(found)
-    name = F.array_join(F.slice(F.split(F.trim(F.regexp_replace(F.regexp_replace("raw", r"\s+", " "), r"^[\s.,;:\-]+|[\s.,;:\-]+$", "")), " "), 1, 24), " ")
+    name = clean_candidate(F.col("raw"))
     return out.select("page_id", "org", name.alias("name")).filter(F.length("name").between(MIN_CHARS, MAX_CHARS))
 
 
@@ -48,12 +59,69 @@ def build(found: DataFrame, curated: DataFrame) -> DataFrame:
     return kept.withColumn("unit_id", T.stable_id(F.col("org"), F.col("key"))).drop("src")
 
 
-def publish(existing: DataFrame, fresh: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(published, pending): existing rows stay, approved fresh ones join, other fresh ones wait unless published."""
-    approved = fresh.filter("qa_status = 'APPROVED'").join(existing, keys, "left_anti")
+def publish(existing: DataFrame, fresh: DataFrame, keys: list[str], waiting: DataFrame | None = None, best: list[Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(published, pending): existing rows stay, approved fresh ones join, others wait unless their key is published.
+
+    Of fresh rows that share a key the first in the order ``best`` counts (of all columns, if none is given). Rows that were ``waiting``
+    before stay as they are, ahead of fresh ones of their key, until their key is published.
+    """
+    order = best or [F.col(c) for c in fresh.columns]
+    approved = dedupe(fresh.filter("qa_status = 'APPROVED'"), keys, order).join(existing, keys, "left_anti")
     published = existing.unionByName(approved, allowMissingColumns=True)
-    pending = fresh.filter("qa_status <> 'APPROVED'").join(published, keys, "left_anti")
-    return published, pending
+    pending = dedupe(fresh.filter("coalesce(qa_status, '') <> 'APPROVED'"), keys, order)
+    if waiting is not None:
+        pending = waiting.unionByName(pending.join(waiting, keys, "left_anti"), allowMissingColumns=True)
+    return published, pending.join(published, keys, "left_anti")
+
+
+def read_registries(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Rows of CSV files with headers, all text, empty for absent, with ``ordinal``: their place if the files stood one after another.
+
+    Every file is read in splits, side by side. A row's place within its split, the rows of the splits before it and of
+    the files before those add up to its ordinal; only the counts of splits are ordered. A folder is a file of parts by name.
+    """
+    parts = []
+    for k, path in enumerate(paths):
+        rows = spark.read.csv(path, header=True, inferSchema=False)
+        parts.append(rows.na.fill("").withColumns({"_file": F.lit(k), "_part": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_id": F.monotonically_increasing_id()}))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p, allowMissingColumns=True)
+    rows = written(rows, "registries")  # the ids are kept as they were given
+    where = ["_file", "_part", "_block"]
+    splits = rows.groupBy(*where).agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy("_file").orderBy("_part", "_block").rowsBetween(Window.unboundedPreceding, -1))
+    files = splits.groupBy("_file").agg(F.sum("_n").alias("_all"))
+    ahead = files.alias("a").join(files.alias("b"), F.col("b._file") < F.col("a._file"), "left").groupBy(F.col("a._file").alias("_file")).agg(F.coalesce(F.sum("b._all"), F.lit(0)).alias("_ahead"))  # a row for each listed path
+    placed = splits.withColumn("_before", F.coalesce(before, F.lit(0))).join(ahead, "_file").select(*where, "_first", (F.col("_before") + F.col("_ahead")).alias("_base"))
+    kept = rows.na.fill("").join(placed, where)
+    return kept.withColumn("ordinal", F.col("_base") + F.col("_id") - F.col("_first")).drop(*where, "_id", "_first", "_base")
+
+
+def merge_registries(rows: DataFrame) -> DataFrame:
+    """One row of each (organization_type, normalized_key) of registries (canonical_name, organization_type, qa_status, evidence_count, ordinal, ..).
+
+    Keys are worked out anew from the name. Approved rows win, then better evidenced ones (no number counts as 1), then the
+    first of the input; ``ordinal`` stays the input's. Each group is reduced before the shuffle, so
+    very many rows of one key meet as a row for each task.
+    """
+    keyed = rows.withColumns({"normalized_key": T.normalize_text(F.col("canonical_name")), "ascii_key": T.ascii_key(F.col("canonical_name"))})
+    evidence = F.coalesce(F.col("evidence_count").try_cast("double"), F.lit(1.0)) if "evidence_count" in rows.columns else F.lit(1.0)
+    rank = F.struct((F.col("qa_status") == "APPROVED").cast("int").alias("approved"), evidence.alias("evidence"), (-F.col("ordinal")).alias("early"))
+    keys = ["organization_type", "normalized_key"]
+    best = keyed.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in keyed.columns if c not in keys]), rank).alias("row"))
+    return best.select(*keys, "row.*")
+
+
+def numbered(rows: DataFrame, by: str, name: str = "place") -> DataFrame:
+    """``rows`` with their place, from 0, in the order of ``by``, whose values are unique: ranges are sorted side by side and their counts added up."""
+    marked = written(rows.repartitionByRange(by).sortWithinPartitions(by).withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_id", 33)
+    counts = marked.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    base = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    offsets = counts.select("_part", base.alias("_base"))
+    joined = marked.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return joined.withColumn(name, F.col("_base") + F.col("_id") - F.shiftleft("_part", 33)).drop("_part", "_base", "_id")
 
 
 def version_diff(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -> DataFrame:

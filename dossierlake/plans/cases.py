@@ -77,12 +77,13 @@ def p5_scope_rules(t):
     return out
 
 
-@query("""WITH c AS (SELECT event_id AS case_id, user_id AS owner, (user_id % 5) || ':' || (event_id % 4) AS key FROM events), a AS (SELECT * FROM c WHERE event_id_first) SELECT 1""".replace(", a AS (SELECT * FROM c WHERE event_id_first) SELECT 1", """ SELECT x.case_id, y.case_id AS sibling, split_part(y.key, ':', 2)::int AS block
-  FROM c x JOIN c y ON x.owner = y.owner AND split_part(x.key, ':', 1) = split_part(y.key, ':', 1) AND x.case_id <> y.case_id WHERE x.case_id < 500"""))
+@query("""WITH c AS (SELECT event_id AS case_id, user_id AS owner, event_type AS document, (event_id % 4)::int AS block FROM events), q AS (SELECT owner, max(case_id) AS case_id FROM c GROUP BY owner)
+  SELECT x.case_id, y.case_id AS sibling, y.block FROM q JOIN c x USING (case_id) JOIN c y ON x.owner = y.owner AND x.document = y.document AND x.case_id <> y.case_id""")
 def j16_siblings(t):
-    """The other cases of the document that a case was split from, of the same owner; asked for the first 500 cases."""
-    cases = t.events.select(F.col("event_id").alias("case_id"), F.col("user_id").alias("owner"), F.concat((F.col("user_id") % 5).cast("string"), F.lit(":"), (F.col("event_id") % 4).cast("string")).alias("key"))
-    return decide.siblings(cases.filter("case_id < 500"), cases)
+    """The other cases of the document that each owner's latest case was split from."""
+    cases = t.events.select(F.col("event_id").alias("case_id"), F.col("user_id").alias("owner"), F.concat("event_type", F.lit(":"), (F.col("event_id") % 4).cast("string")).alias("key"))
+    latest = cases.groupBy("owner").agg(F.max("case_id").alias("case_id")).select("case_id")
+    return decide.siblings(cases.join(latest, "case_id"), cases)
 
 
 @query("SELECT event_id, user_id, (event_id % 4)::int AS block FROM events ORDER BY block, event_id LIMIT 50")

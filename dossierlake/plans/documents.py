@@ -28,10 +28,16 @@ def p20_page_relevance(t):
 
 
 
-@query("""SELECT page_id, org, name FROM (SELECT doc_id AS page_id, 'EN' AS org, unnest(regexp_extract_all(text, 'The [a-z]+ [a-z]+')) AS name FROM documents UNION ALL SELECT doc_id, 'LIC', unnest(regexp_extract_all(text, '[Ll]icensed under [A-Za-z ]+')) FROM documents)
-  WHERE length(trim(regexp_replace(name, '\\s+', ' ', 'g'))) BETWEEN 5 AND 180""".replace("SELECT page_id, org, name FROM", "SELECT page_id, org, trim(regexp_replace(name, '\\s+', ' ', 'g')) AS name FROM", 1))
+_STOPS = "đã|đang|sẽ|và|cùng|tổ chức|chủ trì|tham dự|phối hợp|thực hiện|triển khai|cho biết|tại|theo|trong"
+
+
+@query(f"""WITH c AS (SELECT doc_id AS page_id, text || ' The Bureau đã họp và bàn. The Office of Trade, tại Huế.' AS text FROM documents),
+  f AS (SELECT page_id, 'EN' AS org, unnest(regexp_extract_all(text, 'The [A-Za-z]+ [^.\\n]+')) AS raw FROM c UNION ALL SELECT page_id, 'LIC', unnest(regexp_extract_all(text, '[Ll]icensed under [A-Za-z ]+')) FROM c),
+  b AS (SELECT page_id, org, trim(regexp_replace(trim(regexp_replace(raw, '\\s+', ' ', 'g'), ' ,;:.–-()[]{{}}'), '(?i) ({_STOPS})($|[^\\p{{L}}\\p{{N}}_].*$)', '')) AS cut FROM f),
+  n AS (SELECT page_id, org, trim(array_to_string(string_split(cut, ' ')[1:24], ' '), ' ,;:.-') AS name FROM b) SELECT page_id, org, name FROM n WHERE length(name) BETWEEN 5 AND 180""")
 def b25_candidates(t):
-    return registry.page_candidates(t.documents.select(F.col("doc_id").alias("page_id"), "text"), [("EN", "The [a-z]+ [a-z]+"), ("LIC", "[Ll]icensed under [A-Za-z ]+")])
+    pages = t.documents.select(F.col("doc_id").alias("page_id"), F.concat("text", F.lit(" The Bureau đã họp và bàn. The Office of Trade, tại Huế.")).alias("text"))
+    return registry.page_candidates(pages, [("EN", "The [A-Za-z]+ [^.\n]+"), ("LIC", "[Ll]icensed under [A-Za-z ]+")])
 
 
 @query("""SELECT o_orderkey, sorted[greatest(ceil(0.1 * len(sorted)), 1)::int] AS p10, sorted[floor((len(sorted) - 1) * 0.1)::int + 1] AS p10_floor FROM (SELECT l_orderkey AS o_orderkey, list_sort(list(l_quantity)) AS sorted FROM lineitem GROUP BY l_orderkey)""")
@@ -54,19 +60,30 @@ def f26_ratios(t):
 
 
 def _bulk(t):
-    code = F.when(F.col("c_custkey") % 3 == 0, F.lpad((F.col("c_custkey") % 400).cast("string"), 9, "1")).when(F.col("c_custkey") % 3 == 1, F.lit("12-3")).otherwise(F.lit(""))
-    day = F.when(F.col("c_custkey") % 13 == 0, F.lit("2026-99-01")).otherwise(F.lit("2026-01-02"))
-    return t.customer.select((F.col("c_custkey") % 20).alias("job_id"), F.col("c_custkey").alias("row_index"), F.when(F.col("c_custkey") % 17 == 0, F.lit(" ")).otherwise(F.col("c_name")).alias("name"), code.alias("code"), day.alias("day"))
-
-
-_BULK = """WITH b AS (SELECT c_custkey % 20 AS job_id, c_custkey AS row_index, c_custkey % 17 = 0 AS no_name, CASE c_custkey % 3 WHEN 0 THEN lpad((c_custkey % 400)::varchar, 9, '1') WHEN 1 THEN '123' ELSE '' END AS digits, c_custkey % 13 = 0 AS bad_day FROM customer),
-  e AS (SELECT *, digits <> '' AND length(digits) NOT IN (9, 12) AS bad, row_number() OVER (PARTITION BY job_id, digits, (NOT no_name AND length(digits) IN (9, 12)) ORDER BY row_index) AS nth FROM b),
-  v AS (SELECT job_id, row_index, CASE WHEN no_name THEN 'MISSING_NAME' WHEN bad THEN 'BAD_FORMAT_CODE' WHEN digits <> '' AND nth > 1 THEN 'DUPLICATE' WHEN bad_day THEN 'BAD_FORMAT_DATE' END AS error FROM e)"""
-
-
-@query(_BULK + " SELECT job_id, row_index, error, CASE WHEN error = 'DUPLICATE' THEN 'SKIPPED' WHEN error IS NOT NULL THEN 'FAILED' ELSE 'READY' END AS status FROM v")
+    """Customers as rows of bulk lists: codes of digits, of too few, spaced, with letters, or none; days that are none or implausible."""
+    k = F.col("c_custkey")
+    number = F.lpad((k % 400).cast("string"), 9, "1")
+    spaced = F.concat(F.substring(number, 1, 3), F.lit(" "), F.substring(number, 4, 3), F.lit("-"), F.substring(number, 7, 3))
+    code = F.element_at(F.array(number, F.lit("12-3"), F.lit(""), F.concat(F.lit("AB-"), (k % 50).cast("string")), F.lit("12 3456"), spaced, F.lit("Mã cũ"), F.lit(None).cast("string")), (k % 8 + 1).cast("int"))
+    day = F.element_at(F.array(*map(F.lit, ("2026-01-02", "2026-99-01", "1900-05-01", "2999-01-01", "", "1945-09-02"))), (k % 6 + 1).cast("int"))
+    unit = F.element_at(F.array(*map(F.lit, ("Cục A", "Cục A | Cục B", "Cục A ; ", "x;y", ""))), (k % 5 + 1).cast("int"))
+    confidence = F.element_at(F.array(F.lit("0.95"), F.lit("0.5"), F.lit("low"), F.lit(None).cast("string")), (k % 4 + 1).cast("int"))
+    return t.customer.select((k % 20).alias("job_id"), k.alias("row_index"), F.when(k % 17 == 0, F.lit(" ")).otherwise(F.col("c_name")).alias("name"), code.alias("code"), day.alias("day"), unit.alias("unit"), confidence.alias("confidence"))
+
+
+_BULK = """WITH b AS (SELECT c_custkey AS k, c_custkey % 20 AS job_id, c_custkey % 17 = 0 AS no_name, lpad((c_custkey % 400)::varchar, 9, '1') AS n FROM customer),
+  c AS (SELECT *, [n, '12-3', '', 'AB-' || (k % 50), '12 3456', n[1:3] || ' ' || n[4:6] || '-' || n[7:9], 'Mã cũ', NULL][(k % 8)::int + 1] AS code,
+    ['2026-01-02', '2026-99-01', '1900-05-01', '2999-01-01', '', '1945-09-02'][(k % 6)::int + 1] AS day FROM b),
+  d AS (SELECT *, regexp_replace(code, '[^0-9]', '', 'g') AS digits, regexp_full_match(code, '[0-9 .-]+') AS numeric FROM c),
+  e AS (SELECT *, numeric AND length(digits) NOT IN (9, 12) AS bad, coalesce(nullif(digits, ''), code) AS key, code <> '' AND NOT no_name AND NOT (numeric AND length(digits) NOT IN (9, 12)) AS usable FROM d),
+  f AS (SELECT *, usable AND row_number() OVER (PARTITION BY job_id, key, usable ORDER BY k) > 1 AS again FROM e),
+  v AS (SELECT job_id, k AS row_index, CASE WHEN no_name THEN 'MISSING_NAME' WHEN bad THEN 'BAD_FORMAT_CODE' WHEN again THEN 'DUPLICATE' WHEN k % 6 IN (1, 2, 3) THEN 'BAD_FORMAT_DATE' END AS error, k FROM f)"""
+
+
+@query(_BULK + """ SELECT job_id, row_index, error, CASE WHEN error = 'DUPLICATE' THEN 'SKIPPED' WHEN error IS NOT NULL THEN 'FAILED' ELSE 'READY' END AS status,
+  concat_ws(',', CASE WHEN k % 4 IN (1, 2) THEN 'LOW_TABLE_CONFIDENCE' END, CASE WHEN error IS NULL AND k % 5 IN (1, 3) THEN 'AMBIGUOUS_UNIT' END) AS warnings FROM v""")
 def b19_validate(t):
-    return D.validate_rows(_bulk(t)).select("job_id", "row_index", "error", "status")
+    return D.validate_rows(_bulk(t)).select("job_id", "row_index", "error", "status", F.array_join("warnings", ",").alias("warnings"))
 
 
 @query(_BULK + """ SELECT job_id, count(*)::bigint AS total, count(*) FILTER (error IS NULL)::bigint AS ok, count(*) FILTER (error <> 'DUPLICATE')::bigint AS failed, count(*) FILTER (error = 'DUPLICATE')::bigint AS skipped,

@@ -126,6 +126,19 @@ def b17_header_mapping(t):
     return got.filter("col < 2").select("sheet", "col", "field", "header_score", "value_score")
 
 
+@query("""WITH m AS (SELECT o_custkey AS sheet, o_orderpriority AS header, CASE o_orderkey % 5 WHEN 0 THEN 'position' WHEN 1 THEN 'unit_name' WHEN 2 THEN 'salary' WHEN 3 THEN '' ELSE 'birth_year' END AS field FROM orders),
+  h AS (SELECT c_custkey AS sheet, unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', c_mktsegment]) AS header FROM customer), d AS (SELECT DISTINCT sheet, header, field FROM m)
+  SELECT DISTINCT sheet, 'NO_SUCH_COLUMN' AS rule, header AS item FROM d WHERE (sheet, header) NOT IN (SELECT sheet, header FROM h)
+  UNION ALL SELECT DISTINCT sheet, 'NO_SUCH_FIELD', 'salary' FROM d WHERE field = 'salary' UNION ALL SELECT sheet, 'FIELD_TWICE', field FROM d WHERE field <> '' GROUP BY sheet, field HAVING count(*) > 1""")
+def u5_mapping_violations(t):
+    """Orders as mappings that operators gave: a sheet for each customer, columns by priority."""
+    fields = F.element_at(F.array(*map(F.lit, ("position", "unit_name", "salary", "", "birth_year"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    given = t.orders.select(F.col("o_custkey").alias("sheet"), F.col("o_orderpriority").alias("header"), fields.alias("field"))
+    names = F.array(*map(F.lit, ("1-URGENT", "2-HIGH", "3-MEDIUM")), F.col("c_mktsegment"))
+    headers = t.customer.select(F.col("c_custkey").alias("sheet"), F.posexplode(names).alias("col", "header"))
+    return bulk.mapping_violations(headers, given)
+
+
 @query("SELECT c_nationkey AS sheet, (c_custkey + 2)::int AS row, CASE WHEN c_custkey % 10 = 0 THEN 'N/A' ELSE 'Nguyễn Văn An' END AS subject_name, lpad(c_custkey::varchar, 9, '1') AS subject_code FROM customer")
 def b18_records(t):
     cells = _sheets(t)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dossierlake.functions import text as T
 from dossierlake.operators import decide, registry, synthetic
 from dossierlake.plans.base import query, same_sql
+from dossierlake.sources.shared import fresh_folder
 
 same_sql("p3_trusted_rows", "SELECT p_partkey, p_brand FROM {part} WHERE p_size >= 10 AND p_type = 'ECONOMY' OR p_size = 5")
 same_sql(
@@ -191,14 +192,37 @@ def b1_build(t):
     return registry.build(_found(t), curated).select("org", "key", "name", "qa_status", "evidence", "unit_id")
 
 
-@query("""WITH e AS (SELECT p_partkey AS id, 'PUBLISHED' AS qa_status FROM part WHERE p_partkey % 3 = 0), f AS (SELECT p_partkey AS id, CASE WHEN p_size > 20 THEN 'APPROVED' ELSE 'PENDING_QA' END AS qa_status FROM part WHERE p_partkey % 2 = 0),
-          p AS (SELECT * FROM e UNION ALL SELECT * FROM f WHERE qa_status = 'APPROVED' AND id NOT IN (SELECT id FROM e))
-          SELECT 'published' AS part, id, qa_status FROM p UNION ALL SELECT 'pending', id, qa_status FROM f WHERE qa_status <> 'APPROVED' AND id NOT IN (SELECT id FROM p)""")
+@query("""WITH e AS (SELECT p_partkey AS id, 'PUBLISHED' AS qa_status, 'old' AS note FROM part WHERE p_partkey % 3 = 0),
+  f AS (SELECT p_partkey AS id, CASE WHEN p_size > 20 THEN 'APPROVED' ELSE 'PENDING_QA' END AS qa_status, 'fresh' AS note FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 'APPROVED', 'twice' FROM part WHERE p_partkey % 2 = 0 AND p_size > 40),
+  w AS (SELECT p_partkey AS id, 'PENDING_QA' AS qa_status, 'waits' AS note FROM part WHERE p_partkey % 4 < 2),
+  p AS (SELECT * FROM e UNION ALL SELECT id, 'APPROVED', min(note) FROM f WHERE qa_status = 'APPROVED' AND id NOT IN (SELECT id FROM e) GROUP BY id),
+  q AS (SELECT * FROM w UNION ALL SELECT * FROM f WHERE qa_status <> 'APPROVED' AND id NOT IN (SELECT id FROM w))
+  SELECT 'published' AS part, id, qa_status, note FROM p UNION ALL SELECT 'pending', id, qa_status, note FROM q WHERE id NOT IN (SELECT id FROM p)""")
 def b2_publish(t):
-    old = t.part.filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("id"), F.lit("PUBLISHED").alias("qa_status"))
-    new = t.part.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") > 20, "APPROVED").otherwise("PENDING_QA").alias("qa_status"))
-    published, pending = registry.publish(old, new, ["id"])
-    return published.select(F.lit("published").alias("part"), "id", "qa_status").unionByName(pending.select(F.lit("pending").alias("part"), "id", "qa_status"))
+    row = lambda keep, status, note: t.part.filter(keep).select(F.col("p_partkey").alias("id"), status.alias("qa_status"), F.lit(note).alias("note"))
+    fresh = row("p_partkey % 2 = 0", F.when(F.col("p_size") > 20, "APPROVED").otherwise("PENDING_QA"), "fresh").unionByName(row("p_partkey % 2 = 0 and p_size > 40", F.lit("APPROVED"), "twice"))
+    published, pending = registry.publish(row("p_partkey % 3 = 0", F.lit("PUBLISHED"), "old"), fresh, ["id"], row("p_partkey % 4 < 2", F.lit("PENDING_QA"), "waits"))
+    return published.select(F.lit("published").alias("part"), "*").unionByName(pending.select(F.lit("pending").alias("part"), "*"))
+
+
+@query("""WITH a AS (SELECT 0 AS file, p_partkey AS k, p_name AS canonical_name, p_brand AS organization_type, CASE WHEN p_size > 25 THEN 'APPROVED' ELSE 'PENDING_QA' END AS qa_status, CASE WHEN p_size % 3 = 0 THEN 'some' ELSE (p_size % 5)::varchar END AS evidence FROM part
+    UNION ALL SELECT 1, p_partkey, upper(p_name), p_brand, CASE WHEN p_size > 45 THEN 'APPROVED' ELSE '' END, '9' FROM part UNION ALL SELECT 2, s_suppkey, s_name, 'Supplier', 'APPROVED', '' FROM supplier UNION ALL SELECT 3, s_suppkey, s_name, 'Supplier', 'APPROVED', '' FROM supplier),
+  o AS (SELECT *, row_number() OVER (ORDER BY file, k) - 1 AS ordinal FROM a),
+  r AS (SELECT *, row_number() OVER (PARTITION BY organization_type, lower(replace(canonical_name, '#', ' ')) ORDER BY qa_status = 'APPROVED' DESC, coalesce(try_cast(evidence AS double), 1) DESC, ordinal) AS nth FROM o)
+  SELECT canonical_name, organization_type, qa_status, ordinal, row_number() OVER (ORDER BY ordinal) - 1 AS place FROM r WHERE nth = 1""")
+def b3_merge_registries(t):
+    """Four registry files, each of parts in its order, in one: the first file wins ties, and the order of the input stays."""
+    folder = fresh_folder(t.spark, "registries")
+    row = lambda df, key, name, org, status, evidence: df.repartitionByRange(3, key).sortWithinPartitions(key).select(name.alias("canonical_name"), org.alias("organization_type"), status.alias("qa_status"), evidence.alias("evidence_count"))
+    approved = lambda least, other: F.when(F.col("p_size") > least, "APPROVED").otherwise(other)
+    counted = F.when(F.col("p_size") % 3 == 0, "some").otherwise((F.col("p_size") % 5).cast("string"))
+    suppliers = row(t.supplier, "s_suppkey", F.col("s_name"), F.lit("Supplier"), F.lit("APPROVED"), F.lit(""))
+    files = [row(t.part, "p_partkey", F.col("p_name"), F.col("p_brand"), approved(25, "PENDING_QA"), counted), row(t.part, "p_partkey", F.upper("p_name"), F.col("p_brand"), approved(45, ""), F.lit("9")), suppliers, suppliers]
+    paths = [f"{folder}/{k}" for k in range(len(files))]
+    for rows, path in zip(files, paths):
+        rows.write.option("header", True).csv(path)
+    merged = registry.merge_registries(registry.read_registries(t.spark, paths))
+    return registry.numbered(merged, "ordinal").select("canonical_name", "organization_type", "qa_status", "ordinal", "place")
 
 
 @query("""SELECT n_name, expected, n, CASE WHEN n = 0 THEN 'MISSING' WHEN roster THEN 'ROSTER_REQUIRED' WHEN n >= expected THEN 'COMPLETE' ELSE 'PARTIAL' END AS status FROM (SELECT n_name, (n_nationkey * 3)::int AS expected, n_regionkey = 1 AS roster,

@@ -1,7 +1,5 @@
 """Header rows, mappings and records of bulk lists against worked cases."""
 
-import pytest
-
 from dossierlake.operators import bulk
 
 
@@ -39,8 +37,11 @@ def test_mapping_and_records(spark):
     assert rows["d", 2]["subject_name"] == "Lê Ca"
 
 
-def test_check_mapping():
-    assert bulk.check_mapping(["a", "b"], {"a": "position"}) == {"a": "position", "b": None}
-    for bad in ({"c": "position"}, {"a": "nothing"}, {"a": "position", "b": "position"}):
-        with pytest.raises(ValueError):
-            bulk.check_mapping(["a", "b"], bad)
+def test_given_mappings(spark):
+    headers = spark.createDataFrame([("a", 0, "x"), ("a", 1, "y"), ("b", 0, "x"), ("c", 0, "x")], "sheet string, col int, header string")
+    given = spark.createDataFrame([("a", "x", "position"), ("a", "y", ""), ("b", "z", "nothing"), ("b", "x", "position"), ("b", "y", "position"), ("b", "y", "position")], "sheet string, header string, field string")
+    found = sorted(map(tuple, bulk.mapping_violations(headers, given).collect()))
+    assert found == [("b", "FIELD_TWICE", "position"), ("b", "NO_SUCH_COLUMN", "y"), ("b", "NO_SUCH_COLUMN", "z"), ("b", "NO_SUCH_FIELD", "nothing")]
+    whole = {(r["sheet"], r["header"]): r["field"] for r in bulk.given_mapping(headers, given.filter("sheet = 'a'")).collect()}
+    assert whole == {("a", "x"): "position", ("a", "y"): None, ("b", "x"): None, ("c", "x"): None}
+    assert bulk.mapping_violations(headers, given.limit(0)).count() == 0
