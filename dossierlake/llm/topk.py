@@ -37,7 +37,7 @@ def _cells(low: np.ndarray, width: np.ndarray):
             m = np.zeros((len(f), dims), np.int64)
             for i, v in enumerate(f["v"]):
                 m[i, : len(v)] = v
-            cells = ((m - low) // width).astype(np.uint8)
+            cells = np.minimum((m - low) // width, CELLS - 1).astype(np.uint8)
             yield pd.DataFrame({"vec_id": f["vec_id"], "chunk": f["chunk"], "cells": [c.tobytes() for c in cells]})
 
     return run
@@ -76,22 +76,29 @@ def _scan(low: np.ndarray, width: np.ndarray, k: int):
     return run
 
 
+def _clipped_dot(a: list, b: list) -> int:
+    """Inner product in whole numbers of any size, clipped to what a long holds."""
+    return max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(a, b))))
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` greatest inner products of each query over all other rows of ``vectors``.
 
     ``vectors`` (vec_id, v array<long>), ``queries`` (query_id, v). Returns query_id, rank from 1,
     vec_id, score; ties go to the smaller vec_id; fewer rows where there are fewer candidates. Vectors
-    of unequal length count as padded with zeros. Rows of either table equal in id and
-    vector count once. No rows from
-    empty tables.
+    of unequal length count as padded with zeros, so an empty one scores 0 with all. Rows of either table equal in id and
+    vector count once; different vectors of one id are candidates of their own. Components may be so large that a
+    score exceeds a long: it is worked out exactly and counts as the nearest long. No rows from empty tables.
     """
     vectors, queries = vectors.dropDuplicates(), queries.select("query_id", "v").dropDuplicates()
     spread = vectors.select(F.posexplode("v").alias("d", "x")).groupBy("d").agg(F.min("x").alias("a"), F.max("x").alias("b")).orderBy("d").collect()  # a row a dimension
     n, m = vectors.count(), queries.count()
     if not n or not m:
         return queries.select("query_id", F.lit(1).alias("rank"), F.lit(0).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("score")).limit(0)
-    low = np.array([min(0, r["a"]) for r in spread], np.int64)
-    width = np.array([max(1, -(-(max(0, r["b"]) - l + 1) // CELLS)) for r, l in zip(spread, low)], np.int64)
+    ranges = [(min(0, r["a"]), max(0, r["b"])) for r in spread] or [(0, 0)]  # empty vectors alone: one component, 0
+    fits = sum(max(-a, b) ** 2 for a, b in ranges) < 2**63  # no score can exceed a long
+    low = np.array([a for a, _ in ranges], float if not fits else np.int64)
+    width = np.array([max(1, -(-(b - a + 1) // CELLS)) for a, b in ranges], float if not fits else np.int64)
     chunks, blocks = -(-n // CHUNK), -(-m // BLOCK)
     placed = vectors.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).alias("chunk"))
     cells = materialize(placed.mapInPandas(_cells(low, width), "vec_id long, chunk long, cells binary"), "cells")
@@ -108,6 +115,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     def exact(pairs: DataFrame) -> DataFrame:
         dot = F.aggregate(F.zip_with("qv", "v", lambda a, b: F.coalesce(a * b, F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x)
+        dot = dot if fits else F.udf(_clipped_dot, "long", useArrow=True)("qv", "v")
         return pairs.join(vectors, "vec_id").join(queries.withColumnRenamed("v", "qv"), "query_id").select("query_id", "vec_id", dot.alias("score"))
 
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
