@@ -4,9 +4,11 @@ Pieces are spread over parts by a hash; every part packs its own best-fit, longe
 bins as done. Underfull bins become items of the next round, in which ``FAN_IN`` parts' bins meet and are
 packed best-fit again, up a tree, until they meet in one place.
 
-After best-fit a part has at most one bin that is half empty or more, as two would have been put together,
-so all later rounds together save at most a bin a part. A part sends on its ``RESIDUE`` roomiest bins, so
-that no task of the tree holds more than ``FAN_IN * RESIDUE`` of them; the rest stand as they are.
+After best-fit a part has at most one bin that is half empty or more, as two would have been put together.
+Bins are items of later rounds as they are, and two bins over half full never share one, so in a round only
+the ``FAN_IN`` small bins of its parts can be placed. A part sends on its ``RESIDUE`` roomiest bins, and as a bin
+that has room for an item is among the roomiest if there is any, the others could not save a sequence: they
+stand as they are, and no task of the tree holds more than ``FAN_IN * RESIDUE`` bins.
 """
 
 from __future__ import annotations
@@ -27,7 +29,6 @@ CAPACITY = 4096
 FAN_IN = 8
 PART = 50_000  # pieces that a part packs at first, about
 RESIDUE = 2_000
-SLACK = 4  # a bin with so few free places counts as full
 END_ID = 1
 _BINS = "part long, done boolean, total int, uids array<long>, offsets array<int>"
 
@@ -94,7 +95,7 @@ def _as_bins(part: int, items: list[tuple[int, list[int], list[int]]], capacity:
             at += total
         rows.append((part, False, at, uids, offsets))
     bins = pd.DataFrame(rows, columns=["part", "done", "total", "uids", "offsets"]).sort_values("total", kind="stable")
-    bins["done"] = (bins["total"] >= capacity - SLACK) | (np.arange(len(bins)) >= RESIDUE)
+    bins["done"] = (bins["total"] >= capacity) | (np.arange(len(bins)) >= RESIDUE)
     return bins
 
 
