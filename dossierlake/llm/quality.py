@@ -16,15 +16,16 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossierlake.llm.bpe import batches_of
 from dossierlake.llm.common import bounded_sample
 
 SAMPLE = 6000  # labelled rows of each class that dictionaries and calibration see, in hash order
-DICT_BYTES = 112 << 10
-EXCERPT = 2048  # characters that one labelled text gives to a dictionary, from a place that its hash decides
+DICT_BYTES = 48 << 10
+DICT_SAMPLE = 12_000_000  # characters of labelled texts of each class that a dictionary is trained on: whole rows, in hash order
+STRETCH = 2048
 LEVEL = 3
 
 
@@ -73,9 +74,9 @@ class Model:
         return 1 / (1 + math.exp(-min(30.0, max(-30.0, z))))
 
 
-def _dictionary(excerpts: list[str]) -> bytes:
-    """A dictionary from excerpts; the excerpts themselves where there are too few to train on."""
-    parts = [t.encode("utf-8", "surrogatepass") for t in excerpts]
+def _dictionary(texts: list[str]) -> bytes:
+    """A dictionary from texts, each seen whole in stretches of ``STRETCH``; the texts themselves where there are too few to train on."""
+    parts = [t[i : i + STRETCH].encode("utf-8", "surrogatepass") for t in texts for i in range(0, len(t), STRETCH)]
     total = sum(map(len, parts))
     try:
         return zstandard.train_dictionary(min(DICT_BYTES, max(1024, total // 8)), parts, k=200, d=8).as_bytes()
@@ -87,14 +88,16 @@ def learn(labelled: DataFrame, label: str = "quality", sample: int = SAMPLE) ->
     """Model from (text, label) rows. Null or empty texts and null labels do not count.
 
     About ``sample`` rows of each class count, by a hash of their text and id, each text once. Half of them
-    build the dictionaries, by an excerpt of ``EXCERPT`` characters each, which come to the driver; the
-    other half calibrate the score: their whole texts are measured where they are, and numbers alone return.
+    build the dictionaries: whole texts, in hash order, of ``DICT_SAMPLE`` characters in all a class (at least one text), which
+    come to the driver. The other half calibrate the score: their whole texts are measured where they are, and numbers alone return.
     """
     rows = labelled.filter(F.col(label).isin(0, 1) & (F.length("text") > 0)).select("doc_id", "text", F.col(label).cast("int").alias("y"))
     chosen = bounded_sample(rows, "y", sample).select("text", "y").distinct().withColumn("h", F.xxhash64("text"))
-    at = F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.lit(1), F.length("text") - EXCERPT + 1)).cast("int") + 1
-    seen = chosen.filter("pmod(h, 2) = 0").select("y", "h", F.substring(F.col("text"), at, F.lit(EXCERPT)).alias("excerpt")).toPandas().sort_values(["h", "excerpt"])
-    model = Model(*(_dictionary(seen.loc[seen["y"] == y, "excerpt"].tolist()) for y in (1, 0)))
+    mine = chosen.filter("pmod(h, 2) = 0")
+    upto = F.sum(F.length("text")).over(Window.partitionBy("y").orderBy("h").rowsBetween(Window.unboundedPreceding, -1))  # ``sample`` rows at most
+    cuts = mine.select("y", "h", F.coalesce(upto, F.lit(0)).alias("upto")).filter(F.col("upto") < DICT_SAMPLE).groupBy("y").agg(F.max("h").alias("last"))
+    seen = mine.join(F.broadcast(cuts), "y").filter("h <= last").select("y", "h", "text").toPandas().sort_values(["h", "text"])
+    model = Model(*(_dictionary(seen.loc[seen["y"] == y, "text"].tolist()) for y in (1, 0)))
 
     def measure(frames):
         for f in frames:
