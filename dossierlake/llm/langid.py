@@ -13,18 +13,18 @@ import unicodedata
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossierlake.llm.bpe import batches_of
-from dossierlake.llm.common import bounded_sample
+from dossierlake.llm.common import bounded_sample, materialize
 
 ORDERS = (3, 4)
 HASHES = 2
-SLOT_BITS = 18
-PER_LANGUAGE = 4000  # n-grams of each order that a language keeps
+LEAST_BITS = 18  # a filter has 2**18 slots at least
+LOAD = 8  # and this many for each n-gram of the language that has most
+LEAST_SHARE = 1 / 20_000  # an n-gram is a language's if it is that share of the language's n-grams of its order
 SAMPLE_PER_LANGUAGE = 3000  # documents of a language that its n-grams are learnt from, in hash order
-PARTS = 64  # parts of a language's n-grams that are ranked by themselves first
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -70,41 +70,31 @@ def _grams(codes: np.ndarray, n: int) -> np.ndarray:
     return (out[inner] * _MIX) ^ np.uint64(n)
 
 
-def _slots(grams: np.ndarray) -> list[np.ndarray]:
+def _slots(grams: np.ndarray, bits: int) -> list[np.ndarray]:
     a = (grams ^ (grams >> np.uint64(29))) * _MIX2
-    return [(a >> np.uint64(64 - SLOT_BITS)).astype(np.int64), ((a >> np.uint64(12)) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)][:HASHES]
+    b = (a ^ (a >> np.uint64(32))) * _MIX
+    return [(x >> np.uint64(64 - bits)).astype(np.int64) for x in (a, b)][:HASHES]
 
 
 def _count(frames):
-    """Partial n-gram counts of a partition, by language."""
-    counts: dict[tuple[str, int], dict] = {}
+    """Partial n-gram counts of a partition's texts, by language and order."""
     for f in frames:
         for lang, texts in f.groupby("lang")["text"]:
             codes = [_codes(t) for t in texts]
             for n in ORDERS:
                 found, k = np.unique(np.concatenate([_grams(c, n) for c in codes]), return_counts=True)
-                into = counts.setdefault((lang, n), {})
-                for g, x in zip(found.view(np.int64).tolist(), k.tolist()):
-                    into[g] = into.get(g, 0) + x
-    for (lang, n), into in counts.items():
-        if into:
-            yield pd.DataFrame({"lang": lang, "n": n, "gram": list(into), "k": list(into.values())})
+                if len(found):
+                    yield pd.DataFrame({"lang": lang, "n": n, "gram": found.view(np.int64), "k": k})
 
 
 class Filters:
     """The bit-sliced filter, its languages and each language's rate of false positives."""
 
-    def __init__(self, languages: list[str], grams: dict[str, np.ndarray]):
-        self.languages = languages
+    def __init__(self, languages: list[str], bits: int, masks: np.ndarray):
+        self.languages, self.bits, self.masks = languages, bits, masks  # masks: 64 languages a row, 2**bits slots
         self._small: np.ndarray | None = None  # masks of one byte, for few languages
-        self.masks = np.zeros((-(-len(languages) // 64), 1 << SLOT_BITS), np.uint64)  # 64 languages a row
-        rates = []
-        for k, lang in enumerate(languages):
-            bit = np.uint64(1) << np.uint64(k % 64)
-            for s in _slots(grams[lang]):
-                self.masks[k // 64, s] |= bit
-            rates.append(((self.masks[k // 64] & bit) != 0).mean() ** HASHES)
-        self.false_rate = np.array(rates)
+        full = [((masks[k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean() for k in range(len(languages))]
+        self.false_rate = np.array(full) ** HASHES
 
     def shares(self, text: str) -> np.ndarray | None:
         """Corrected share of the text's n-grams that each language contains; None without a letter."""
@@ -121,7 +111,7 @@ class Filters:
             window = codes[at : at + step + max(ORDERS) - 1]
             for n in ORDERS:
                 g = _grams(window[: step + n - 1], n)
-                slots = _slots(g)
+                slots = _slots(g, self.bits)
                 total += len(g)
                 for k, row in enumerate(self._small if small else self.masks):
                     mask = row[slots[0]]
@@ -138,18 +128,34 @@ class Filters:
 def learn(examples: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> Filters:
     """Filters from (doc_id, text, lang) rows; rows without text or lang do not count.
 
-    N-grams are counted over about ``sample`` documents of each language, by a hash of text and id; a
-    language keeps its ``PER_LANGUAGE`` most frequent n-grams of each order. The driver receives those
-    n-grams alone. There may be any number of languages: a mask takes another 64 bits for each 64 of them.
+    About ``sample`` documents of each language are learnt from, by a hash of text and id. The filter holds every n-gram
+    that is ``LEAST_SHARE`` of a language's n-grams of its order; what is rarer is noise, as texts quote other languages.
+    Its size follows the number of n-grams of the language that has most, 2 / ``LEAST_SHARE`` at most. Slots are set
+    where the n-grams are and met by a bitwise or: the driver receives slots with their masks alone. There
+    may be any number of languages: a mask takes another 64 bits for each 64 of them.
     """
     rows = examples.filter("text is not null and lang is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
     chosen = bounded_sample(rows, "lang", sample).select("lang", "text")
-    counted = chosen.mapInPandas(_count, "lang string, n int, gram long, k long")
-    total = counted.groupBy("lang", "n", "gram").agg(F.sum("k").alias("k"))
-    first = lambda rows, *by: rows.withColumn("r", F.row_number().over(Window.partitionBy("lang", "n", *by).orderBy(F.desc("k"), "gram"))).filter(F.col("r") <= PER_LANGUAGE)
-    kept = first(first(total.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(PARTS))), "part")).select("lang", "gram").toPandas()
-    languages = sorted(kept["lang"].unique())
-    return Filters(languages, {x: kept.loc[kept["lang"] == x, "gram"].to_numpy(np.int64).view(np.uint64) for x in languages})
+    counted = materialize(chosen.mapInPandas(_count, "lang string, n int, gram long, k long").groupBy("lang", "n", "gram").agg(F.sum("k").alias("k")), "grams")
+    sums = F.broadcast(counted.groupBy("lang", "n").agg(F.sum("k").alias("all")))  # a row a language and order
+    grams = counted.join(sums, ["lang", "n"]).filter(F.col("k") >= LEAST_SHARE * F.col("all")).select("lang", "gram")
+    counts = {r["lang"]: r["n"] for r in grams.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
+    languages = sorted(counts)
+    bits = max(LEAST_BITS, int(LOAD * max(counts.values(), default=1) - 1).bit_length())
+    number = {lang: k for k, lang in enumerate(languages)}
+
+    def place(frames):
+        for f in frames:
+            k = f["lang"].map(number).to_numpy(np.int64)
+            mask = np.left_shift(np.uint64(1), (k % 64).astype(np.uint64)).view(np.int64)
+            for slots in _slots(f["gram"].to_numpy(np.int64).view(np.uint64), bits):
+                yield pd.DataFrame({"part": k // 64, "slot": slots, "mask": mask})
+
+    masks = np.zeros((-(-len(languages) // 64), 1 << bits), np.uint64)
+    if languages:
+        found = grams.mapInPandas(place, "part long, slot long, mask long").groupBy("part", "slot").agg(F.bit_or("mask").alias("mask")).toPandas()
+        masks[found["part"], found["slot"]] = found["mask"].to_numpy(np.int64).view(np.uint64)
+    return Filters(languages, bits, masks)
 
 
 def identify(docs: DataFrame, filters: Filters) -> DataFrame:
