@@ -412,3 +412,31 @@ def test_topk_few_rows_and_other_columns(spark, monkeypatch):
     for r in topk.top_k(v, v.withColumnRenamed("vec_id", "query_id"), 10).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(r["vec_id"])
     assert got == {q: ([c for c in range(6, -1, -1) if c != q] if q else [1, 2, 3, 4, 5, 6]) for q in range(7)}
+
+
+def test_topk_empty_and_large_vectors(spark):
+    """Empty vectors score 0 with all; scores beyond a long are worked out whole and count as the nearest long."""
+    def nearest(rows, k):
+        v = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+        return sorted(map(tuple, topk.top_k(v, v.filter("vec_id = 0").withColumnRenamed("vec_id", "query_id"), k).collect()))
+
+    assert nearest([(0, []), (1, []), (2, [])], 5) == [(0, 1, 1, 0), (0, 2, 2, 0)]
+    assert nearest([(0, [1.0]), (1, []), (2, [2.0])], 5) == [(0, 1, 2, 2 * 1024**2), (0, 2, 1, 0)]
+    rows = [(0, [1e15, 1.0]), (1, [1e15, 2.0]), (2, [-1e15, 0.0]), (3, [0.5, 3.0]), (4, [1e13, 0.0])]
+    long = lambda x: max(-(2**63), min(2**63 - 1, x))
+    whole = {i: [int(1024 * x // 1) for x in v] for i, v in rows}
+    want = sorted((-long(sum(a * b for a, b in zip(whole[0], whole[i]))), i) for i in (1, 2, 3, 4))
+    assert nearest(rows, 4) == [(0, r + 1, i, -s) for r, (s, i) in enumerate(want)]
+
+
+def test_packing_residue_costs_nothing(spark, monkeypatch):
+    """Sending on the roomiest bins alone gives no more sequences than sending on all."""
+    rnd = random.Random(8)
+    frame = spark.createDataFrame([(i, rnd.choice([rnd.randrange(1, 9), rnd.randrange(1, 4097), 2049])) for i in range(900)], "uid long, length long")
+    monkeypatch.setattr(packing, "PART", 60)
+    monkeypatch.setattr(packing, "FAN_IN", 4)
+    found = []
+    for residue in (10**9, 4 * 4):
+        monkeypatch.setattr(packing, "RESIDUE", residue)
+        found.append(packing.pack(frame).select("sequence_id").distinct().count())
+    assert found[0] == found[1]
