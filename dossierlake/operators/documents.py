@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from dossierlake.functions import records
 from dossierlake.functions import text as T
-from dossierlake.operators import extract
+from dossierlake.operators import extract, robots
 
 
 @F.pandas_udf(StringType())
@@ -56,15 +56,17 @@ def sitemap_urls(content: Column) -> Column:
     return F.regexp_extract_all(content, F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1))
 
 
-def crawl(pages: DataFrame, links: DataFrame, seeds: DataFrame, hosts: list[str], folder: str, depth: int = 4, most: int = 4000, seen: DataFrame | None = None) -> DataFrame:
+def crawl(pages: DataFrame, links: DataFrame, seeds: DataFrame, hosts: list[str], folder: str, depth: int = 4, most: int = 4000, seen: DataFrame | None = None, rules: DataFrame | None = None, agent: str = "*") -> DataFrame:
     """(url, depth) of pages (url, relevant) that a crawl reads from ``seeds`` (url), nearest first, ``most`` at most.
 
-    Only ``hosts`` and what is under them are read. Links (url, target) of a page are followed if it is relevant or at most a link
+    Only ``hosts`` and what is under them are read, and of those what robots ``rules`` (see ``robots``) let ``agent`` read. Links (url, target) of a page are followed if it is relevant or at most a link
     from a seed. Of a level that does not fit whole the first addresses in order are read. ``seen`` (url, depth) are pages
     of an earlier run: they are not read again, but their links are followed. Each level is written under ``folder``, which all
     executors share, and read again.
     """
     allowed = pages.filter(records.host_allowed(F.col("url"), hosts)).select("url", "relevant")
+    if rules is not None:
+        allowed = allowed.join(robots.may_read(allowed, rules, agent).filter("allowed").select("url"), "url", "left_semi")
     done = seen.select("url", F.col("depth").cast("int").alias("depth"), F.lit(True).alias("old")) if seen is not None else seeds.select("url").limit(0).select("url", F.lit(0).alias("depth"), F.lit(True).alias("old"))
     spark, left = pages.sparkSession, most - done.count()
 

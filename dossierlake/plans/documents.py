@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dossierlake.functions import text as T
 from dossierlake.operators import documents as D
-from dossierlake.operators import registry
+from dossierlake.operators import registry, robots
 from dossierlake.plans.base import query
 
 from dossierlake.sources.shared import shared_folder
@@ -160,19 +160,37 @@ def s11_sitemap(t):
     return maps.select("page_id", F.explode(D.sitemap_urls(F.col("content"))).alias("url"))
 
 
-@query("""WITH RECURSIVE w AS (SELECT page_id, page_id % 7 <> 3 AS relevant, unnest(list_distinct(regexp_extract_all(html, '<a href="/([A-Za-z]+)"', 1))) AS h FROM pages), p AS (SELECT DISTINCT page_id, relevant FROM w), l AS (SELECT DISTINCT a.page_id AS src, (a.page_id * 31 + length(h) * 7 + ascii(h)) % 250 AS dst FROM w a),
-  r(page_id, depth) AS (SELECT page_id, 0 FROM p WHERE page_id < 2 UNION SELECT dst, depth + 1 FROM r JOIN l ON src = r.page_id JOIN p q ON q.page_id = r.page_id JOIN p d ON d.page_id = dst WHERE depth < 3 AND (q.relevant OR depth <= 1))
-  SELECT 'http://a.example.org/' || page_id AS url, min(depth)::int AS depth FROM r GROUP BY page_id""")
+#: robots files: the page's own host, and another whose rules are not asked for
+_ROBOTS = "# rules\nUser-agent: other\nDisallow: /\n\nUser-agent: *\nUser-Agent: reader\nDisallow: /th\nAllow: /the\nDisallow: /*a$\nDisallow:\nAllow: /la\n"
+_ADDRESSES = """w AS (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, '<a href="/([^"]+)"', 1))) AS h FROM pages),
+  p AS (SELECT lower(h) AS h, min(page_id) AS page_id, min(page_id) % 7 <> 3 AS relevant FROM w GROUP BY 1)"""
+_REFUSED = "NOT starts_with(h, 'the') AND (regexp_matches(h, '^[^#]*a(#|$)') OR starts_with(h, 'th'))"  # of two as long, the one that allows
+
+
+def _addressed(t):
+    """Addresses, each the page of least page_id that links to it, and that page's links."""
+    words = F.regexp_extract_all("html", F.lit('<a href="/([^"]+)"'), F.lit(1))
+    own = t.pages.select("page_id", F.explode(words).alias("h")).select("page_id", F.concat(F.lit("http://a.example.org/"), F.lower("h")).alias("target")).distinct()
+    pages = own.groupBy(F.col("target").alias("url")).agg(F.min("page_id").alias("page_id")).withColumn("relevant", F.col("page_id") % 7 != 3)
+    return pages, pages.select("url", "page_id").join(own, "page_id").select("url", "target")
+
+
+@query(f"WITH {_ADDRESSES} SELECT 'http://a.example.org/' || h AS url, NOT ({_REFUSED}) AS allowed FROM (SELECT DISTINCT lower(h) AS h FROM w)")
+def s10_robots(t):
+    """Which of the addresses that pages link to the rules of their host let a reader read."""
+    rules = robots.parse_rules(t.spark.createDataFrame([("http://a.example.org", _ROBOTS), ("http://b.example.org", "User-agent: *\nDisallow: /")], "origin string, content string"))
+    return robots.may_read(_addressed(t)[0], rules, "Reader/1.0")
+
+
+@query(f"""WITH RECURSIVE {_ADDRESSES}, q AS (SELECT * FROM p WHERE NOT ({_REFUSED})), l AS (SELECT DISTINCT q.h AS src, lower(w.h) AS dst FROM q JOIN w USING (page_id)),
+  r(h, depth) AS (SELECT h, 0 FROM q WHERE page_id < 5 UNION SELECT d.h, depth + 1 FROM r JOIN q s ON s.h = r.h JOIN l ON src = r.h JOIN q d ON d.h = dst WHERE depth < 3 AND (s.relevant OR depth <= 1))
+  SELECT 'http://a.example.org/' || h AS url, min(depth)::int AS depth FROM r GROUP BY h""")
 def s10_crawl(t):
-    """A crawl over the pages' own links, three deep; a link leads to the page that its text's letters name, as no link of theirs
-    leads to another page of the table."""
-    words = F.array_distinct(F.regexp_extract_all("html", F.lit('<a href="/([A-Za-z]+)"'), F.lit(1)))
-    own = t.pages.select("page_id", words.alias("hs")).filter("size(hs) > 0")
-    url = lambda c: F.concat(F.lit("http://a.example.org/"), c.cast("string"))
-    pages = own.select(url(F.col("page_id")).alias("url"), (F.col("page_id") % 7 != 3).alias("relevant"))
-    links = own.select("page_id", F.explode("hs").alias("h")).select(url(F.col("page_id")).alias("url"), url((F.col("page_id") * 31 + F.length("h") * 7 + F.ascii("h")) % 250).alias("target")).distinct()
+    """A crawl over the pages' own links, three deep, under the robots rules of their host."""
+    pages, links = _addressed(t)
+    rules = robots.parse_rules(t.spark.createDataFrame([("http://a.example.org", _ROBOTS)], "origin string, content string"))
     folder = f"{shared_folder(t.spark)}/crawl-{uuid.uuid4().hex}"
-    return D.crawl(pages, links, own.filter("page_id < 2").select(url(F.col("page_id")).alias("url")), ["example.org"], folder, depth=3)
+    return D.crawl(pages.select("url", "relevant"), links, pages.filter("page_id < 5").select("url"), ["example.org"], folder, depth=3, rules=rules, agent="Reader/1.0")
 
 
 _ENTROPY = """h AS (SELECT doc_id, log2(sum(k)) - sum(k * log2(k)) / sum(k) AS e FROM (SELECT doc_id, ch, count(*)::double AS k FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents WHERE text <> '') GROUP BY 1, 2) GROUP BY 1)"""
