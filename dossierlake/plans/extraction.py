@@ -118,12 +118,19 @@ def f16_value_scores(t):
     return got.select("sheet", "col", F.explode("scores").alias("field", "score")).filter("score > 0").select("sheet", "col", "field", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {_FIRST} SELECT sheet, 0 AS col, 'subject_name' AS field, 1.0::double AS header_score, round_even(names, 4) AS value_score FROM f UNION ALL SELECT sheet, 1, 'subject_code', 1, 1 FROM f""")
+@query(f"""WITH {_FIRST}, c AS (SELECT sheet, 0 AS col, 'subject_name' AS field, 1.0::double AS header_score, round_even(names, 4) AS value_score FROM f UNION ALL SELECT sheet, 1, 'subject_code', 1, 1 FROM f UNION ALL SELECT sheet, 2, 'unit_name', NULL, 1 FROM f UNION ALL SELECT sheet, 3, CASE WHEN 0.92 * days >= 0.6 THEN 'as_of_date' END, NULL, NULL FROM f
+    UNION ALL SELECT sheet, 4, NULL, 1, 0 FROM f UNION ALL SELECT sheet, 5, 'position', 1, 0 FROM f)
+  SELECT * FROM c""")
 def b17_header_mapping(t):
+    """All columns: named ones, one known by its values, one that is neither, a second name that is filled beside the first, and one never filled."""
     cells = _sheets(t)
+    again = cells.filter("col = 0 and row > 1").withColumn("col", F.lit(4)).withColumn("value", F.concat_ws(" ", F.lit("7"), F.col("row").cast("string")))
     heads = cells.filter("row = 1").select("sheet", "col", F.col("value").alias("header"))
-    got = bulk.infer_mapping(heads, cells.filter("row > 1").select("sheet", "row", "col", "value"))
-    return got.filter("col < 2").select("sheet", "col", "field", "header_score", "value_score")
+    more = t.nation.select(F.col("n_nationkey").alias("sheet"), F.explode(F.array(F.struct(F.lit(4).alias("col"), F.lit("Full name").alias("header")), F.struct(F.lit(5).alias("col"), F.lit("Chức vụ").alias("header")))).alias("x")).select("sheet", "x.*")
+    got = bulk.infer_mapping(heads.unionByName(more), cells.filter("row > 1").unionByName(again).select("sheet", "row", "col", "value"))
+    # how like a header is to unlike names is no SQL; such scores are tested against worked cases
+    named, known = F.col("col").isin(0, 1, 4, 5), F.col("col") != 3
+    return got.select("sheet", "col", "field", F.when(named, F.col("header_score")).alias("header_score"), F.when(known, F.col("value_score")).alias("value_score"))
 
 
 @query("""WITH m AS (SELECT o_custkey AS sheet, o_orderpriority AS header, CASE o_orderkey % 5 WHEN 0 THEN 'position' WHEN 1 THEN 'unit_name' WHEN 2 THEN 'salary' WHEN 3 THEN '' ELSE 'birth_year' END AS field FROM orders),
@@ -201,20 +208,19 @@ def a16_reading_scores(t):
     return metrics.reading_scores(rows)
 
 
-@query("SELECT item_id, round((length(a) - length(replace(a, 'e', '')))::double / length(a), 6) AS cer FROM (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS a FROM benchmark)")
+@query("SELECT item_id, round((length(text) - length(replace(text, 'e', '')))::double / length(text), 6) AS cer FROM benchmark WHERE length(text) > 0")
 def f7_cer(t):
     """Whole passages against readings that lost every e: as many letters are missing as there were."""
-    plain = F.regexp_replace("text", "[^ -~]", "")
-    return t.benchmark.select("item_id", F.round(T.error_rate(plain, F.replace(plain, F.lit("e"), F.lit(""))), 6).alias("cer"))
+    return t.benchmark.filter("length(text) > 0").select("item_id", F.round(T.error_rate(F.col("text"), F.replace("text", F.lit("e"), F.lit(""))), 6).alias("cer"))
 
 
-@query("SELECT item_id, round(1 - (length(a) - length(replace(a, 'the', '')))::double / 3 / len(string_split(a, ' ')), 6) AS kept FROM (SELECT item_id, trim(regexp_replace(regexp_replace(text, '[^a-z ]', '', 'g'), ' +', ' ', 'g')) AS a FROM benchmark) WHERE length(a) > 0 AND NOT regexp_matches(a, '[a-z]the|the[a-z]')")
+@query("""SELECT item_id, round(1 - len(list_filter(ws, lambda w: lower(w) IN ('the', 'der', 'la', 'de')))::double / len(ws), 6) AS kept FROM (SELECT item_id, list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda w: w <> '') AS ws FROM benchmark) WHERE len(ws) > 0""")
 def f7_wer(t):
-    """Whole passages against readings that lost the word the."""
-    plain = F.trim(F.regexp_replace(F.regexp_replace("text", "[^a-z ]", ""), " +", " "))
-    rows = t.benchmark.select("item_id", plain.alias("a")).filter("length(a) > 0 and not a rlike '[a-z]the|the[a-z]'")
-    lost = F.array_join(F.filter(F.split("a", " "), lambda w: w != "the"), " ")
-    return rows.select("item_id", F.round(1 - metrics.word_error_rate(F.col("a"), lost), 6).alias("kept"))
+    """Whole passages against readings that lost their articles."""
+    words = F.filter(F.split("text", r"[ \t\n\r]+"), lambda w: w != "")
+    rows = t.benchmark.select("item_id", words.alias("ws")).filter("size(ws) > 0")
+    lost = F.filter("ws", lambda w: ~F.lower(w).isin("the", "der", "la", "de"))
+    return rows.select("item_id", F.round(1 - metrics.word_error_rate(F.array_join("ws", " "), F.array_join(lost, " ")), 6).alias("kept"))
 
 
 @query("SELECT doc_id, CASE WHEN m = 0 THEN 1.0 ELSE 0.0 END::double AS accuracy FROM (SELECT doc_id, length(regexp_replace(text, '[^âăêôơưáàéèíìóòúùÂĂÊÔƠƯÁÀÉÈÍÌÓÒÚÙãõÃÕđĐýÝ]', '', 'g')) AS m FROM documents)")

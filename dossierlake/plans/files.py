@@ -66,10 +66,10 @@ def k1_publish_csv(t):
     return S.read_csv(t.spark, path).select("brand", "source", "part")
 
 
-@query("SELECT o_orderkey AS id, o_orderpriority AS text, length(o_orderpriority)::bigint AS n FROM orders WHERE o_custkey % 50 = 1")
+@query("SELECT o_orderkey AS id, o_orderpriority AS text, length(o_orderpriority)::bigint AS n FROM orders")
 def k2_records(t):
     path = _folder(t, "records")
-    some = t.orders.filter("o_custkey % 50 = 1").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("text"))
+    some = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("text"))
     S.write_records(some, some.select("id", F.length("text").alias("n")), some.select("id"), path)
     return S.read_csv(t.spark, f"{path}/records").select(F.col("id").cast("long").alias("id"), "text").join(t.spark.read.json(f"{path}/entities"), "id")
 
@@ -105,11 +105,14 @@ def k6_audit(t):
     return t.spark.read.parquet(path).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id, sha256(text) AS sha256, length(text)::bigint AS characters FROM documents WHERE lang = 'es' AND source = 'src1'")
+@query("SELECT doc_id, sha256(text) AS sha256, length(text)::bigint AS characters FROM documents")
 def k7_text_fixtures(t):
+    """Texts written a folder each, read again and held against the manifest."""
     path = _folder(t, "fixtures")
-    S.write_texts(t.documents.filter("lang = 'es' and source = 'src1'").select("doc_id", "text"), path)
-    return t.spark.read.json(f"{path}/manifest").select("doc_id", "sha256", "characters")
+    S.write_texts(t.documents.select("doc_id", "text"), path)
+    read = S.read_texts(t.spark, f"{path}/documents/doc_id=*")
+    texts = read.select(F.regexp_extract("path", "doc_id=([0-9]+)", 1).cast("long").alias("doc_id"), F.sha2(F.regexp_replace("text", "\n$", "").cast("binary"), 256).alias("sha256"))
+    return texts.join(t.spark.read.json(f"{path}/manifest").select("doc_id", "characters"), "doc_id")
 
 
 @query("SELECT event_id, event_type <> 'error' AS good FROM events")

@@ -244,9 +244,10 @@ def f13_ids(t):
     return t.part.select("p_partkey", T.stable_id(F.col("p_brand"), F.col("p_name")).alias("unit_id"), F.sha2(F.concat_ws("|", "p_name", "p_type").cast("binary"), 256).alias("row_hash"))
 
 
-@query("""SELECT c_custkey, base || CASE WHEN r = 1 THEN '' ELSE r::varchar END AS username FROM (SELECT c_custkey, base, row_number() OVER (PARTITION BY base ORDER BY c_custkey) AS r FROM (SELECT c_custkey, lower(n_name) || lower(left(c_mktsegment, 1)) AS base FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE position(' ' IN n_name) = 0 AND position('_' IN n_name) = 0))""")
+@query("""SELECT c_custkey, base || CASE WHEN r = 1 THEN '' ELSE r::varchar END AS username FROM (SELECT c_custkey, base, row_number() OVER (PARTITION BY base ORDER BY c_custkey) AS r FROM (
+  SELECT c_custkey, w[-1] || array_to_string(list_transform(w[1:len(w) - 1], lambda x: x[1]), '') AS base FROM (SELECT c_custkey, regexp_split_to_array(lower(c_mktsegment || ' ' || n_name), '[ _]+') AS w FROM customer JOIN nation ON c_nationkey = n_nationkey)))""")
 def f25_username(t):
-    rows = t.customer.join(t.nation.filter(~F.col("n_name").rlike("[ _]")), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     base = rows.select("c_custkey", T.username(F.concat_ws(" ", "c_mktsegment", "n_name")).alias("base"))
     r = F.row_number().over(Window.partitionBy("base").orderBy("c_custkey"))
     return base.withColumn("r", r).select("c_custkey", F.concat("base", F.when(F.col("r") == 1, "").otherwise(F.col("r").cast("string"))).alias("username"))
