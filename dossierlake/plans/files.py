@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
+from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from dossierlake.functions import text as T
@@ -24,13 +28,77 @@ def s1_csv(t):
     return S.read_csv(t.spark, path)
 
 
-@query("SELECT n_nationkey::varchar AS id, n_name || '; a, b' AS name FROM nation")
+@query("SELECT s_suppkey::varchar AS id, s_name || '; a, b' AS name, CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey::varchar ELSE '' END AS nation FROM supplier")
 def s2_sniffed_csv(t):
+    """Files of two separators in one folder, one with a column more."""
     path = _folder(t, "sniffed")
-    t.nation.select(F.col("n_nationkey").alias("id"), F.concat("n_name", F.lit("; a, b")).alias("name")).coalesce(1).write.csv(path, header=True, sep="|", quote='"')  # 25 rows
+    rows = t.supplier.select(F.col("s_suppkey").alias("id"), F.concat("s_name", F.lit("; a, b")).alias("name"), F.col("s_nationkey").alias("nation"))
+    rows.filter("id % 2 = 1").drop("nation").repartition(2).write.csv(path, header=True, sep="|", quote='"')
+    rows.filter("id % 2 = 0").repartition(2).write.mode("append").csv(path, header=True, sep="\t", quote='"')
     return S.read_sniffed(t.spark, path)
 
 
+def _zipped(parts):
+    """A file of named parts."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, content in parts.items():
+            z.writestr(name, content)
+    return out.getvalue()
+
+
+def _workbooks(t):
+    """A workbook for each nation with a sheet for each market segment: its customers as rows, made where they are."""
+    main, link = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+    def make(f):
+        sheets, parts = sorted(set(f["segment"])), {}
+        for k, name in enumerate(sheets):
+            rows = "".join(f'<row><c r="A{r}" t="inlineStr"><is><t>{n}</t></is></c><c r="C{r}"><v>{i}</v></c></row>' for r, (i, n) in enumerate(sorted(zip(f.loc[f["segment"] == name, "id"], f.loc[f["segment"] == name, "name"])), 1))
+            parts[f"xl/worksheets/s{k}.xml"] = f'<worksheet xmlns="{main}"><sheetData>{rows}</sheetData></worksheet>'
+        parts["xl/workbook.xml"] = f'<workbook xmlns="{main}" xmlns:r="{link}"><sheets>' + "".join(f'<sheet name="{n}" sheetId="{k + 1}" r:id="r{k}"/>' for k, n in enumerate(sheets)) + "</sheets></workbook>"
+        parts["xl/_rels/workbook.xml.rels"] = "<Relationships>" + "".join(f'<Relationship Id="r{k}" Target="worksheets/s{k}.xml"/>' for k in range(len(sheets))) + "</Relationships>"
+        return pd.DataFrame({"path": [str(f["nation"].iloc[0])], "content": [_zipped(parts)]})
+
+    rows = t.customer.select(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return rows.groupBy("nation").applyInPandas(make, "path string, content binary")
+
+
+_SHEETS = "(SELECT c_nationkey::varchar AS path, c_mktsegment AS sheet, (row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) - 1)::int AS row, c_name, c_custkey FROM customer)"
+
+
+@query(f"SELECT path, sheet, row, 0 AS col, c_name AS value, true AS is_text FROM {_SHEETS} UNION ALL SELECT path, sheet, row, 2, c_custkey::varchar, false FROM {_SHEETS}")
+def s3_workbook_cells(t):
+    return S.workbook_cells(_workbooks(t))
+
+
+@query(f"WITH c AS {_SHEETS}, k AS (SELECT path, sheet, bool_or(row < 20 AND c_custkey % 10 = 3) AS known FROM c GROUP BY 1, 2) SELECT path, sheet FROM k WHERE known OR path NOT IN (SELECT path FROM k WHERE known)")
+def s3_sheets(t):
+    """Sheets with a number that ends in 3 among their first rows, else all of a workbook."""
+    return S.list_sheets(S.workbook_cells(_workbooks(t)), F.col("value").rlike("^[0-9]*3$")).select("path", "sheet").distinct()
+
+
+_TALKS = "(SELECT conv_id::varchar AS path, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS nth, role, text FROM conversations)"
+
+
+@query(f"SELECT path, 'paragraph' AS part, nth::int AS nth, NULL::int AS col, md5(text) AS digest FROM {_TALKS} UNION ALL SELECT path, 'cell', nth::int, c.i::int, md5(CASE c.i WHEN 0 THEN role ELSE text END) FROM {_TALKS}, (VALUES (0), (1)) c(i)")
+def s6_docx(t):
+    """A document for each conversation, with its turns as paragraphs and as rows of a table."""
+    word = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+
+    def make(f):
+        f = f.sort_values("turn")
+        said = lambda x: f"<w:p><w:r><w:t>{escape(x)}</w:t></w:r></w:p>"
+        table = "".join(f"<w:tr><w:tc>{said(r)}</w:tc><w:tc>{said(x)}</w:tc></w:tr>" for r, x in zip(f["role"], f["text"]))
+        body = f'<w:document xmlns:w="{word}"><w:body>{"".join(map(said, f["text"]))}<w:tbl>{table}</w:tbl></w:body></w:document>'
+        return pd.DataFrame({"path": [str(f["conv_id"].iloc[0])], "content": [_zipped({"word/document.xml": body})]})
+
+    files = t.conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).groupBy("conv_id").applyInPandas(make, "path string, content binary")
+    paragraphs, cells = S.docx_parts(files)
+    shown = lambda rows, part, nth, col, text: rows.select("path", F.lit(part).alias("part"), F.col(nth).alias("nth"), col.alias("col"), F.md5(F.col(text).cast("binary")).alias("digest"))
+    return shown(paragraphs, "paragraph", "nth", F.lit(None).cast("int"), "text").unionByName(shown(cells, "cell", "row", F.col("col"), "content"))
+
+
 @query("SELECT item_id, sha256(regexp_replace(text, '[\r\n]+', ' ', 'g')) AS digest FROM benchmark")
 def s7_texts(t):
     path = _folder(t, "texts")
@@ -39,11 +107,17 @@ def s7_texts(t):
     return read.select(F.regexp_extract("path", "item_id=([0-9]+)", 1).cast("long").alias("item_id"), F.sha2(F.regexp_replace("text", "\n$", "").cast("binary"), 256).alias("digest"))
 
 
-@query("SELECT n_name AS canonical_name, 'PENDING_QA' AS qa_status FROM nation WHERE n_nationkey % 4 <> 0")
+@query("SELECT s_name AS canonical_name, 'PENDING_QA' AS qa_status, s_nationkey % 3 AS file FROM supplier WHERE s_suppkey % 4 <> 0")
 def s15_roster(t):
+    """Three roster files, whose rows keep the digest of their own file."""
     path = _folder(t, "roster")
-    t.nation.select(F.when(F.col("n_nationkey") % 4 != 0, F.concat(F.lit(" "), F.col("n_name"), F.lit(" "))).otherwise("  ").alias("canonical_name"), "n_nationkey").coalesce(1).write.csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)  # 25 rows
-    return S.read_roster(t.spark, path).select("canonical_name", "qa_status")
+    rows = t.supplier.select(F.when(F.col("s_suppkey") % 4 != 0, F.concat(F.lit(" "), F.col("s_name"), F.lit(" "))).otherwise("  ").alias("canonical_name"), (F.col("s_nationkey") % 3).alias("file"))
+    for k in range(3):
+        rows.filter(f"file = {k}").coalesce(1).write.mode("append").csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    got = S.read_roster(t.spark, path)
+    own = got.groupBy("source_sha256").agg(F.min("file").alias("least"), F.max("file").alias("most"))  # a row a file
+    alone = got.join(own, "source_sha256").filter("least = most")
+    return alone.select("canonical_name", "qa_status", F.col("file").cast("long").alias("file"))
 
 
 @query("SELECT event_id, 'a/.' || '/' || event_type || '_' || event_id || '_.txt' AS key FROM events")

@@ -21,37 +21,66 @@ _LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str], sep: str = ",") -> DataFrame:
     """CSV with a header, all columns text, blanks for nulls; a byte-order mark is dropped."""
     rows = spark.read.csv(path, header=True, inferSchema=False, sep=sep, multiLine=True, escape='"')
     return rows.toDF(*[c.lstrip("﻿") for c in rows.columns]).na.fill("")
 
 
-def sniff_separator(spark: SparkSession, path: str) -> str:
-    """Of comma, semicolon, tab and bar the one that the first ``SNIFFED`` characters have most of in every line; comma if none.
+def _heads(spark: SparkSession, path: str) -> DataFrame:
+    """(path, lines, whole): the first lines of every file, up to ``SNIFFED`` characters. Only the file's first split is looked at, line by line."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
 
-    A separator that all lines (the last may be cut) have equally often goes before others.
-    """
-    head = spark.read.text(path, wholetext=True).select(F.substring("value", 1, SNIFFED).alias("head")).limit(1)
-    lines = F.filter(F.split("head", "\r\n|\r|\n"), lambda x: F.trim(x) != "")
-    whole = F.when(F.size(lines) > 1, F.slice(lines, F.lit(1), F.greatest(F.size(lines) - F.when(F.length("head") >= SNIFFED, 1).otherwise(0), F.lit(1)))).otherwise(lines)
-    held = lambda sign: F.transform(whole, lambda x: F.length(x) - F.length(F.replace(x, F.lit(sign), F.lit(""))))
-    counts = [held(sign).alias(f"n{k}") for k, sign in enumerate(SEPARATORS)]
-    row = head.select(*counts).first()  # a row
-    if row is None:
-        return ","
-    judged = [(min(n, default=0) > 0 and min(n) == max(n), sum(n), -k) for k, n in enumerate(row)]
-    best = max(judged)
-    return SEPARATORS[-best[2]] if best[1] else ","
+    def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, list[str]] = {}
+        size: dict[str, int] = {}
+        for f in frames:
+            for file, value in zip(f["path"], f["value"]):
+                if size.get(file, 0) < SNIFFED:
+                    held.setdefault(file, []).append(value[: SNIFFED - size.get(file, 0)])
+                    size[file] = size.get(file, 0) + len(value) + 1
+        yield pd.DataFrame([(file, lines, size[file] < SNIFFED) for file, lines in held.items()], columns=["path", "lines", "whole"])
+
+    return rows.filter("block = 0").select("path", "value").mapInPandas(first, "path string, lines array<string>, whole boolean")
+
+
+def sniff_separators(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sep) of every file: of comma, semicolon, tab and bar the one that the first ``SNIFFED`` characters have most of in every
+    line; comma if none. A separator that all lines (but the last, where it may be cut) have equally often goes before others."""
+    filled = F.filter("lines", lambda x: F.trim(F.regexp_replace(x, "^\ufeff", "")) != "")
+    kept = F.when(F.col("whole") | (F.size(filled) < 2), filled).otherwise(F.slice(filled, 1, F.greatest(F.size(filled) - 1, F.lit(1))))
+    heads = _heads(spark, path).select("path", kept.alias("lines"))
+    held = lambda sign: F.transform("lines", lambda x: F.length(x) - F.length(F.replace(x, F.lit(sign), F.lit(""))))
+    judged = []
+    for k, sign in enumerate(SEPARATORS):
+        n = held(sign)
+        least, most, total = F.coalesce(F.array_min(n), F.lit(0)), F.coalesce(F.array_max(n), F.lit(0)), F.aggregate(n, F.lit(0), lambda a, x: a + x)
+        judged.append(F.struct(((least > 0) & (least == most)).alias("even"), total.alias("total"), F.lit(-k).alias("order"), F.lit(sign).alias("sep")))
+    best = F.array_max(F.array(*judged))
+    return heads.select("path", F.when(best["total"] > 0, best["sep"]).otherwise(",").alias("sep"))
+
+
+def sniff_separator(spark: SparkSession, path: str) -> str:
+    """The separator that all files under ``path`` have; an error where they differ; comma if there is none."""
+    found = {r["sep"] for r in sniff_separators(spark, path).select("sep").distinct().collect()}  # four at most
+    if len(found) > 1:
+        raise ValueError(f"files under {path} have different separators: {sorted(found)}")
+    return found.pop() if found else ","
 
 
 def read_sniffed(spark: SparkSession, path: str, rows: int = MAX_ROWS) -> DataFrame:
-    """CSV of an unknown separator; a file of more than ``rows`` rows raises an error when it is read, none is cut."""
-    table = read_csv(spark, path, sniff_separator(spark, path))
-    n = table.count()
-    if n > rows:
-        raise ValueError(f"{n} rows; a sheet has {rows} at most")
-    return table
+    """CSV files of unknown separators, each read with its own, columns by name; a file of more than ``rows`` rows raises an error, none is cut."""
+    by: dict[str, list[str]] = {}
+    for r in sniff_separators(spark, path).groupBy("sep").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect():  # names of files
+        by[r["sep"]] = r["paths"]
+    tables = [read_csv(spark, paths, sep) for sep, paths in sorted(by.items())] or [read_csv(spark, path)]
+    sizes = [t.groupBy(F.col("_metadata.file_path")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0 for t in tables] if by else [0]
+    if max(sizes) > rows:
+        raise ValueError(f"{max(sizes)} rows; a sheet has {rows} at most")
+    table = tables[0]
+    for t in tables[1:]:
+        table = table.unionByName(t, allowMissingColumns=True)
+    return table.na.fill("")
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -65,56 +94,96 @@ def read_config(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
-def _workbook(content: bytes) -> Iterator[tuple[str, int, int, str | None, bool]]:
-    """(sheet, row, col, value, is_text) of the filled cells, rows and columns from 0; sheets by the workbook's own order and links."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        names = set(z.namelist())
-        tree = lambda name: ElementTree.fromstring(z.read(name))
-        spoken = lambda e: "".join(t.text or "" for t in e.iter(f"{_SHEET}t"))
-        shared = [spoken(s) for s in tree("xl/sharedStrings.xml").findall(f"{_SHEET}si")] if "xl/sharedStrings.xml" in names else []
-        links = {r.get("Id"): posixpath.normpath(posixpath.join("xl", r.get("Target"))).lstrip("/") for r in tree("xl/_rels/workbook.xml.rels")}
-        for sheet in list(tree("xl/workbook.xml").iter(f"{_SHEET}sheet"))[:MAX_SHEETS]:
-            target = links.get(sheet.get(_LINK), "")
-            target = target if target in names else target.removeprefix("xl/")
-            for c in tree(target).iter(f"{_SHEET}c"):
-                letters, row = re.match(r"([A-Z]+)(\d+)", c.get("r")).groups()
-                col = 0
-                for ch in letters:
-                    col = col * 26 + ord(ch) - 64
-                v, kind = c.find(f"{_SHEET}v"), c.get("t")
-                value = spoken(c) if kind == "inlineStr" else None if v is None else shared[int(v.text)] if kind == "s" else v.text
-                if value not in (None, ""):
-                    yield sheet.get("name"), int(row) - 1, col - 1, value, kind in ("s", "str", "inlineStr")
+class WorkbookLimit(ValueError):
+    """A workbook has more sheets or rows than may be read."""
 
 
-def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sheet, row, col, value, is_text) of workbooks, a file a task at most; what is no workbook gives no row."""
+def _sheets(z: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """(name, part) of a workbook's sheets in its own order, by its links; too many are an error."""
+    names = set(z.namelist())
+    links = {r.get("Id"): posixpath.normpath(posixpath.join("xl", r.get("Target"))).lstrip("/") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+    found = [(s.get("name"), links.get(s.get(_LINK), "")) for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_SHEET}sheet")]
+    if len(found) > MAX_SHEETS:
+        raise WorkbookLimit(f"{len(found)} sheets; a workbook has {MAX_SHEETS} at most")
+    return [(name, part if part in names else part.removeprefix("xl/")) for name, part in found]
+
 
-    def cells(frames):
+def _workbook(content: bytes) -> Iterator[tuple[str, int, int, str | None, bool]]:
+    """(sheet, row, col, value, is_text) of the filled cells, rows and columns from 0. A sheet is read row by row, a row is let go once it is read."""
+    spoken = lambda e: "".join(t.text or "" for t in e.iter(f"{_SHEET}t"))
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        shared = []
+        if "xl/sharedStrings.xml" in z.namelist():
+            for _, e in ElementTree.iterparse(z.open("xl/sharedStrings.xml")):
+                if e.tag == f"{_SHEET}si":
+                    shared.append(spoken(e))
+                    e.clear()
+        rows = 0
+        for name, part in _sheets(z):
+            for _, e in ElementTree.iterparse(z.open(part)):
+                if e.tag != f"{_SHEET}row":
+                    continue
+                rows += 1
+                if rows > MAX_ROWS:
+                    raise WorkbookLimit(f"more than {MAX_ROWS} rows in all sheets of a workbook")
+                for c in e.iter(f"{_SHEET}c"):
+                    letters, row = re.match(r"([A-Z]+)(\d+)", c.get("r")).groups()
+                    col = 0
+                    for ch in letters:
+                        col = col * 26 + ord(ch) - 64
+                    v, kind = c.find(f"{_SHEET}v"), c.get("t")
+                    value = spoken(c) if kind == "inlineStr" else None if v is None else shared[int(v.text)] if kind == "s" else v.text
+                    if value not in (None, ""):
+                        yield name, int(row) - 1, col - 1, value, kind in ("s", "str", "inlineStr")
+                e.clear()
+
+
+def workbook_cells(files: DataFrame) -> DataFrame:
+    """(path, sheet, row, col, value, is_text) of workbooks (path, content), a file a task at most; what is no workbook gives no row.
+
+    A workbook of more than ``MAX_SHEETS`` sheets, or ``MAX_ROWS`` rows in all of them, raises an error. Cells come out in
+    batches, so a task holds one file and some of its cells.
+    """
+    names = ["path", "sheet", "row", "col", "value", "is_text"]
+
+    def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for file, content in zip(f["path"], f["content"]):
+                out = []
                 try:
-                    rows = [(file, *x) for x in _workbook(bytes(content))]
+                    for cell in _workbook(bytes(content)):
+                        out.append((file, *cell))
+                        if len(out) == 20_000:
+                            yield pd.DataFrame(out, columns=names)
+                            out = []
                 except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
-                    rows = []
-                yield pd.DataFrame(rows, columns=["path", "sheet", "row", "col", "value", "is_text"])
+                    out = []
+                yield pd.DataFrame(out, columns=names)
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(cells, "path string, sheet string, row int, col int, value string, is_text boolean")
+    return files.select("path", "content").mapInPandas(cells, "path string, sheet string, row int, col int, value string, is_text boolean")
+
+
+def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
+    """Cells of the workbooks under ``path``; see ``workbook_cells``."""
+    return workbook_cells(spark.read.format("binaryFile").load(path))
 
 
 def list_sheets(cells: DataFrame, recognised: Column) -> DataFrame:
     """Cells (path, sheet, row, col, value) of the sheets to read: those where a cell of the first 20 rows is ``recognised``; if a
-    workbook has none, all of its sheets. A workbook with a sheet of more than ``MAX_ROWS`` rows raises an error."""
-    per = cells.groupBy("path", "sheet").agg(F.bool_or(recognised & (F.col("row") < 20)).alias("known"), F.max("row").alias("last"))
-    big = F.when(F.col("last") >= MAX_ROWS, F.raise_error(F.concat(F.col("sheet"), F.lit(f" has more than {MAX_ROWS} rows"))).cast("boolean")).otherwise(F.lit(True))
+    workbook has none, all of its sheets."""
+    per = cells.groupBy("path", "sheet").agg(F.bool_or(recognised & (F.col("row") < 20)).alias("known"))
     any_known = F.bool_or("known").over(Window.partitionBy("path"))
-    chosen = per.withColumn("any", any_known).filter((F.col("known") | ~F.col("any")) & big).select("path", "sheet")
+    chosen = per.withColumn("any", any_known).filter(F.col("known") | ~F.col("any")).select("path", "sheet")
     return cells.join(chosen, ["path", "sheet"], "left_semi")
 
 
 def read_docx(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Paragraphs (path, nth, text) outside tables, and table cells (path, table, row, col, content), of DOCX files."""
+    """Paragraphs and table cells of the DOCX files under ``path``; see ``docx_parts``."""
+    return docx_parts(spark.read.format("binaryFile").load(path))
+
+
+def docx_parts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Paragraphs (path, nth, text) outside tables, and table cells (path, table, row, col, content), of DOCX files (path, content)."""
 
     def parts(frames):
         for f in frames:
@@ -133,8 +202,7 @@ def read_docx(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
             frame = pd.DataFrame(out, columns=["path", "nth", "table", "row", "col", "text"])
             yield frame.astype({c: "Int32" for c in ("nth", "table", "row", "col")})
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    rows = files.mapInPandas(parts, "path string, nth int, table int, row int, col int, text string")
+    rows = files.select("path", "content").mapInPandas(parts, "path string, nth int, table int, row int, col int, text string")
     return rows.filter("table is null").select("path", "nth", "text"), rows.filter("table is not null").select("path", "table", "row", "col", F.col("text").alias("content"))
 
 
@@ -143,9 +211,10 @@ def read_roster(spark: SparkSession, path: str, name: str = "canonical_name") ->
     rows = read_csv(spark, path)
     if name not in rows.columns:
         raise ValueError(f"a roster needs the column {name}")
-    digest = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("source_sha256"))
-    kept = rows.filter(F.trim(name) != "").withColumn(name, F.trim(name))
-    return kept.drop("source_sha256", "qa_status").join(F.broadcast(digest)).withColumn("qa_status", F.lit("PENDING_QA"))  # a row a file
+    file = "file of the row"
+    digest = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias(file), F.sha2("content", 256).alias("source_sha256"))
+    kept = rows.withColumn(file, F.col("_metadata.file_path")).filter(F.trim(name) != "").withColumn(name, F.trim(name))
+    return kept.drop("source_sha256", "qa_status").join(digest, file).drop(file).withColumn("qa_status", F.lit("PENDING_QA"))
 
 
 def read_saved_pages(spark: SparkSession, folder: str) -> DataFrame:

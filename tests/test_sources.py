@@ -34,6 +34,17 @@ def test_sniffed_limit(spark, tmp_path):
         S.read_sniffed(spark, str(tmp_path / "x.csv"), 4)
 
 
+def test_files_of_different_separators(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id;n\n1;x,y\n")
+    (tmp_path / "b.csv").write_text("id|m\n2|z\n" * 1)
+    (tmp_path / "c.csv").write_text("id;n\n" + "3;" + "w" * 3 * S.SNIFFED + "\n")
+    assert {r["path"][-5:]: r["sep"] for r in S.sniff_separators(spark, str(tmp_path)).collect()} == {"a.csv": ";", "b.csv": "|", "c.csv": ";"}
+    got = S.read_sniffed(spark, str(tmp_path))
+    assert rows(got.select("id", "n", "m").withColumn("n", F.substring("n", 1, 3))) == [("1", "x,y", ""), ("2", "", "z"), ("3", "www", "")]
+    with pytest.raises(ValueError):
+        S.sniff_separator(spark, str(tmp_path))
+
+
 def test_texts_and_config(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"\xef\xbb\xbfh\xc3\xa9\xff")
     assert [r["text"] for r in S.read_texts(spark, str(tmp_path / "a.txt")).collect()] == ["hé�"]
@@ -67,6 +78,21 @@ def test_workbooks(spark, tmp_path):
     assert rows(kept) == [("First",), ("Only",)]
 
 
+def test_workbook_limits(spark, tmp_path, monkeypatch):
+    row = "".join(f'<row><c r="A{k}"><v>{k}</v></c></row>' for k in range(1, 4))
+    with zipfile.ZipFile(io.BytesIO(workbook({"a": row, "b": row}))) as z:
+        assert [n for n, _ in S._sheets(z)] == ["a", "b"]
+        monkeypatch.setattr(S, "MAX_SHEETS", 1)
+        with pytest.raises(S.WorkbookLimit):
+            S._sheets(z)
+    monkeypatch.setattr(S, "MAX_SHEETS", 2)
+    monkeypatch.setattr(S, "MAX_ROWS", 5)  # rows count over all sheets
+    with pytest.raises(S.WorkbookLimit):
+        list(S._workbook(workbook({"a": row, "b": row})))
+    monkeypatch.setattr(S, "MAX_ROWS", 6)
+    assert len(list(S._workbook(workbook({"a": row, "b": row})))) == 6
+
+
 def test_docx(spark, tmp_path):
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
@@ -83,6 +109,10 @@ def test_roster(spark, tmp_path):
     assert rows(got.select("canonical_name", "qa_status", "source_sha256")) == [(n, "PENDING_QA", hashlib.sha256(raw).hexdigest()) for n in ("Cục A", "Cục B")]
     with pytest.raises(ValueError):
         S.read_roster(spark, str(tmp_path / "r.csv"), "nothing")
+    more = "canonical_name\nCục C\n".encode()
+    (tmp_path / "s t+%.csv").write_bytes(more)
+    both = S.read_roster(spark, str(tmp_path))
+    assert rows(both.select("canonical_name", "source_sha256")) == [("Cục A", hashlib.sha256(raw).hexdigest()), ("Cục B", hashlib.sha256(raw).hexdigest()), ("Cục C", hashlib.sha256(more).hexdigest())]
 
 
 def test_saved_pages_and_reports(spark, tmp_path):
