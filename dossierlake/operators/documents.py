@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from dossierlake.functions import records
 from dossierlake.functions import text as T
+from dossierlake.functions.letters import char_stats
 from dossierlake.operators import extract, robots
 
 
@@ -85,19 +86,11 @@ def crawl(pages: DataFrame, links: DataFrame, seeds: DataFrame, hosts: list[str]
     return done.filter("not old").select("url", "depth")
 
 
-def entropy_of(text: Column) -> Column:
-    """Shannon entropy, in bits, of a text's characters, counted in its own row; 0 of an empty text."""
-    runs = F.transform(F.regexp_extract_all(F.array_join(F.sort_array(F.split(text, "")), ""), F.lit(r"(?s)(.)\1*"), F.lit(0)), lambda r: F.length(r).cast("double"))
-    n = F.length(text)
-    held = F.element_at(F.transform(F.array(runs), lambda ks: F.aggregate(ks, F.lit(0.0), lambda s, k: s + k * F.log2(k))), 1)
-    return F.when(n == 0, 0.0).otherwise(F.log2(n) - held / n)
-
-
 def route_pages(pages: DataFrame) -> DataFrame:
     """Pages (doc_id, page, text, coverage, fonts) with chars, replaced, entropy, score and route, TEXT or OCR."""
     text = F.coalesce("text", F.lit(""))
     lost = F.length(text) - F.length(F.replace(text, F.lit("�"), F.lit("")))
-    rows = pages.withColumn("chars", F.length(F.regexp_replace(text, r"^\s+|\s+$", ""))).withColumn("replaced", lost / F.greatest(F.length(text), F.lit(1))).withColumn("entropy", entropy_of(text))
+    rows = pages.withColumn("chars", F.length(F.regexp_replace(text, r"^\s+|\s+$", ""))).withColumn("replaced", lost / F.greatest(F.length(text), F.lit(1))).withColumn("entropy", char_stats(text)["entropy"])
     score = route_page(F.col("chars"), F.col("coverage"), F.col("fonts"), F.col("entropy"), F.col("replaced"))
     paths = (F.col("chars") < 50) & (F.col("coverage") < 0.1) & (F.col("fonts") == 0)  # letters drawn as lines
     return rows.withColumn("score", score).withColumn("route", F.when((F.col("score") >= 2) | paths, "OCR").otherwise("TEXT"))
@@ -236,16 +229,9 @@ def floor_rank(values: Column, q: float) -> Column:
 
 
 def text_quality(docs: DataFrame) -> DataFrame:
-    """Letter statistics of docs (doc_id, text): letters, index of coincidence (times 26) and entropy, counted in each row."""
-    letters = F.lower(F.regexp_replace("text", r"[^\p{L}]", ""))
-    # equal letters stand together once they are sorted
-    runs = F.regexp_extract_all(F.array_join(F.sort_array(F.split(letters, "")), ""), F.lit(r"(.)\1*"), F.lit(0))
-    counted = docs.select("doc_id", F.transform(runs, lambda r: F.length(r).cast("double")).alias("ks")).filter("size(ks) > 0")
-    total = lambda f: F.aggregate("ks", F.lit(0.0), lambda s, k: s + f(k))
-    n = total(lambda k: k)
-    sums = counted.select("doc_id", n.alias("n"), total(lambda k: k * (k - 1)).alias("pairs"), total(lambda k: k * F.log2(k)).alias("bits"))
-    m = F.col("n")
-    return sums.select("doc_id", m.cast("long").alias("letters"), F.when(m > 1, F.col("pairs") / (m * (m - 1)) * 26).alias("ioc"), (F.log2(m) - F.col("bits") / m).alias("entropy"))
+    """Letter statistics of docs (doc_id, text): letters, index of coincidence (times 26) and entropy; texts without letters have no row."""
+    rows = docs.select("doc_id", char_stats(F.col("text")).alias("s")).filter("s.letters > 0")
+    return rows.select("doc_id", "s.letters", F.col("s.coincidence").alias("ioc"), F.col("s.letter_entropy").alias("entropy"))
 
 
 def route_page(chars: Column, coverage: Column, fonts: Column, entropy: Column, replaced: Column) -> Column:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossierlake.functions import text as T
+from dossierlake.functions.letters import char_stats
+from dossierlake.operators import metrics
 from dossierlake.operators.documents import nearest_rank
 
 # fixed values: thresholds of the metrics
@@ -18,47 +18,15 @@ BLUR, CONTRAST, UNSURE = 50.0, 12.0, 0.70
 CRITICAL = ("cccd", "cmnd", "ho ten", "ho va ten", "don vi", "co quan")
 WORD, ALLOWED = "[A-Za-zÀ-ỹĐđ]+", r"(?U)[A-Za-zÀ-ỹĐđ0-9\s.,/:\\\-()]"
 
-_PLAIN = "aăâeêioôơuưy"
-_TONES = "̣̀́̉̃"
-_MARKED = {unicodedata.normalize("NFC", v + t) for v in _PLAIN for t in _TONES} | set("ăâđêôơư")
-MARKED = "[" + "".join(sorted(_MARKED | {c.upper() for c in _MARKED})) + "]"
-
-
-def _char_counts(c: Column) -> Column:
-    """How often each distinct character occurs: no explosion, no shuffle."""
-    return F.transform(F.array_distinct(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))), lambda x: F.length(c) - F.length(F.replace(c, x, F.lit(""))))
-
-
-def _once(c: Column, f) -> Column:
-    """``f`` of ``c``, which is worked out once however often ``f`` names it."""
-    return F.transform(F.array(c), f)[0]
-
-
-def coincidence(text: Column) -> Column:
-    """Index of coincidence of the letters, in either case, times 26."""
-
-    def of(letters: Column) -> Column:
-        n = F.length(letters).cast("double")
-        return F.when(n > 1, 26.0 * F.aggregate(_char_counts(letters), F.lit(0.0), lambda s, k: s + k * (k - 1.0)) / (n * (n - 1)))
+MARKED = f"[{metrics.MARKED}{metrics.MARKED.upper()}]"
 
-    return _once(F.lower(F.regexp_replace(text, r"[^\p{L}]", "")), of)
 
-
-def char_entropy(text: Column) -> Column:
-    """Entropy, in bits, of the characters that are not blank."""
-
-    def of(dense: Column) -> Column:
-        n = F.length(dense).cast("double")
-        return F.when(n > 0, F.log2(n) - F.aggregate(_char_counts(dense), F.lit(0.0), lambda s, k: s + k * F.log2(k)) / n)
-
-    return _once(F.regexp_replace(text, r"(?U)\s+", ""), of)
-
-
-def with_gate(rows: DataFrame, text: str, scores: str, ocr: Column, out: str, lexicon: list[str] | None = None) -> DataFrame:
+def with_gate(rows: DataFrame, text: str, scores: str, ocr: Column, out: str, known: str | None = None) -> DataFrame:
     """``rows`` with ``out``: (gate, failed, confidence, metrics) of the columns ``text`` and ``scores`` (an array).
 
     A metric's ``passed`` is null where it does not apply: confidences without scores, letter statistics of texts that
-    are no long prose, diacritics of texts that are not from OCR, words without a lexicon. A null or empty text fails.
+    are no long prose, diacritics of texts that are not from OCR, words without a lexicon: ``known`` names the column that
+    counts those of ``words_of`` that one has (see ``lexicon``). A null or empty text fails.
     """
     t, s = F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(scores), F.array().cast("array<double>"))
     alpha = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
@@ -67,12 +35,12 @@ def with_gate(rows: DataFrame, text: str, scores: str, ocr: Column, out: str, le
     low = F.size(F.filter(s, lambda x: x < LOW_LINE)) / F.size(s)
     strange = F.length(F.regexp_replace(t, ALLOWED, "")) / F.length(t)
     marked = F.regexp_count(t, F.lit(MARKED)) / alpha
-    known = F.size(F.filter(F.regexp_extract_all(F.lower(t), F.lit(WORD), F.lit(0)), lambda w: w.isin(*(lexicon or [""])))) / words
+    share = F.col(known) / words if known else F.lit(None).cast("double")
     scored, read = F.size(s) > 0, prose & F.coalesce(ocr, F.lit(False))
 
     own = T.free_names(rows)
-    rows = rows.withColumn(own("prose"), prose).withColumn(own("ocr"), read)
-    prose, read = F.col(own("prose")), F.col(own("ocr"))
+    rows = rows.withColumn(own("prose"), prose).withColumn(own("ocr"), read).withColumn(own("stats"), char_stats(t))
+    prose, read, stats = F.col(own("prose")), F.col(own("ocr")), F.col(own("stats"))
     at_least = lambda least: lambda v: v >= least
     rules = {
         "conf_p10": (scored, nearest_rank(s, 0.10), at_least(CONF_P10)),
@@ -80,13 +48,13 @@ def with_gate(rows: DataFrame, text: str, scores: str, ocr: Column, out: str, le
         "low_conf_ratio": (scored, low, lambda v: v <= LOW_RATIO),
         "charset_violation_ratio": (t != "", strange, lambda v: F.coalesce(v <= CHARSET, F.lit(False))),
         "diacritic_ratio": (read, marked, at_least(DIACRITICS)),
-        "dict_hit_ratio": (prose & F.lit(lexicon is not None), known, at_least(LEXICON_HITS)),
-        "index_of_coincidence": (prose, coincidence(t), at_least(COINCIDENCE)),
-        "char_entropy": (prose, char_entropy(t), at_least(ENTROPY)),
+        "dict_hit_ratio": (prose & F.lit(known is not None), share, at_least(LEXICON_HITS)),
+        "index_of_coincidence": (prose, stats["coincidence"], at_least(COINCIDENCE)),
+        "char_entropy": (prose, stats["dense_entropy"], at_least(ENTROPY)),
     }
     rows = rows.withColumn(own("values"), F.struct(*[F.when(applies, value).cast("double").alias(name) for name, (applies, value, _) in rules.items()]))
-    metrics = F.array(*[F.struct(F.lit(n).alias("name"), F.col(own("values"))[n].alias("value"), passes(F.col(own("values"))[n]).alias("passed")) for n, (_, _, passes) in rules.items()])
-    rows = rows.withColumn(own("metrics"), metrics).drop(own("prose"), own("ocr"), own("values"))
+    listed = F.array(*[F.struct(F.lit(n).alias("name"), F.col(own("values"))[n].alias("value"), passes(F.col(own("values"))[n]).alias("passed")) for n, (_, _, passes) in rules.items()])
+    rows = rows.withColumn(own("metrics"), listed).drop(own("prose"), own("ocr"), own("stats"), own("values"))
     failed = F.transform(F.filter(own("metrics"), lambda m: ~m["passed"]), lambda m: m["name"])
     rows = rows.withColumn(own("failed"), failed)
     up, down = ["conf_p10", "conf_min", "dict_hit_ratio", "diacritic_ratio"], ["low_conf_ratio", "charset_violation_ratio"]
@@ -100,6 +68,11 @@ def with_gate(rows: DataFrame, text: str, scores: str, ocr: Column, out: str, le
     return rows.withColumn(out, gate).drop(own("metrics"), own("failed"), own("parts"))
 
 
+def words_of(text: Column) -> Column:
+    """Words of a text as the gate counts them, in lower case."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+
+
 def critical_fields(lines: Column) -> Column:
     """Identity numbers and labelled lines among the texts, sorted: what two readings must agree on."""
     ids = F.transform(F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(r"(?<!\d)(?:\d{9}|\d{12})(?!\d)"), F.lit(0)))), lambda x: F.concat(F.lit("id:"), x))

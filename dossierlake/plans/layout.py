@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from dossierlake.operators import calibrate, layout, reading
+from dossierlake.operators import calibrate, lattice, layout, lexicon, reading
 from dossierlake.plans.base import query
 
 
@@ -58,6 +59,44 @@ def b13_quality(t):
     return rows.select("doc_id", F.col("q.gate").alias("gate"), F.round("q.confidence", 6).alias("confidence"))
 
 
+_KNOWN = r"""w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[A-Za-zÀ-ỹĐđ]+')) AS word FROM documents), x AS (SELECT word FROM w GROUP BY word HAVING count(DISTINCT doc_id) > 2),
+  k AS (SELECT doc_id, count(*) AS words, count(x.word) AS known FROM w LEFT JOIN x USING (word) GROUP BY 1)"""
+
+
+def _corpus_words(t):
+    """A lexicon of the words that more than two documents have."""
+    words = t.documents.select("doc_id", F.explode(F.array_distinct(reading.words_of(F.col("text")))).alias("word"))
+    return words.distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter("n > 2").select("word")
+
+
+@query(f"WITH {_KNOWN} SELECT doc_id, coalesce(words, 0)::bigint AS words, coalesce(known, 0)::bigint AS known FROM documents LEFT JOIN k USING (doc_id)")
+def f26_dictionary_hits(t):
+    """Words of every document that a lexicon of the corpus knows."""
+    rows = lexicon.with_known_words(t.documents.select("doc_id", reading.words_of(F.col("text")).alias("ws")), F.col("ws"), _corpus_words(t))
+    return rows.select("doc_id", F.size("ws").cast("long").alias("words"), "known")
+
+
+@query(f"WITH {_KNOWN} SELECT doc_id, coalesce(words, 0)::bigint AS words, coalesce(known, 0)::bigint AS known FROM documents LEFT JOIN k USING (doc_id)")
+def f26_large_lexicon(t):
+    """The same with a lexicon that is too large to be sent."""
+    rows = lexicon.with_known_words(t.documents.select("doc_id", reading.words_of(F.col("text")).alias("ws")), F.col("ws"), _corpus_words(t), sent_words=0)
+    return rows.select("doc_id", F.size("ws").cast("long").alias("words"), "known")
+
+
+@query(rf"""WITH {_KNOWN}, d AS (SELECT doc_id, coalesce(words, 0) AS words, coalesce(known, 0) AS known, doc_id % 2 = 0 AS ocr, length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) AS alpha, len(regexp_extract_all(text, '\S+')) AS spans,
+    len(regexp_extract_all(text, '[ăâđêôơưĂÂĐÊÔƠƯáàảãạÁÀẢÃẠéèẻẽẹÉÈẺẼẸíìỉĩịÍÌỈĨỊóòỏõọÓÒỎÕỌúùủũụÚÙỦŨỤýỳỷỹỵÝỲỶỸỴấầẩẫậẤẦẨẪẬắằẳẵặẮẰẲẴẶếềểễệẾỀỂỄỆốồổỗộỐỒỔỖỘớờởỡợỚỜỞỠỢứừửữựỨỪỬỮỰ]')) AS marks FROM documents LEFT JOIN k USING (doc_id)),
+  p AS (SELECT *, alpha >= 200 AND words >= 30 AND words::double / greatest(spans, 1) >= 0.6 AS prose FROM d)
+  SELECT doc_id, CASE WHEN prose THEN round(known::double / words, 6) END AS dict_hit_ratio, CASE WHEN prose THEN known::double / words >= 0.35 END AS dict_passed,
+    CASE WHEN prose AND ocr THEN round(marks::double / alpha, 6) END AS diacritic_ratio, CASE WHEN prose AND ocr THEN marks::double / alpha >= 0.08 END AS diacritic_passed FROM p""")
+def b13_dictionary_gate(t):
+    """The gate's metrics for texts from OCR and with a lexicon."""
+    rows = lexicon.with_known_words(t.documents, reading.words_of(F.col("text")), _corpus_words(t), "hits")
+    gated = reading.with_gate(rows.withColumn("none", F.array().cast("array<double>")), "text", "none", F.col("doc_id") % 2 == 0, "q", "hits")
+    metric = lambda name: F.filter("q.metrics", lambda m: m["name"] == name)[0]
+    shown = lambda name, short: [F.round(metric(name)["value"], 6).alias(name), metric(name)["passed"].alias(f"{short}_passed")]
+    return gated.select("doc_id", *shown("dict_hit_ratio", "dict"), *shown("diacritic_ratio", "diacritic"))
+
+
 @query()
 def b14_select_reading(t):
     text = F.when(F.col("l_discount") > 0.08, F.concat(F.lit("CCCD: "), F.lpad((F.col("l_partkey") % 3).cast("string"), 9, "1"))).otherwise(F.col("l_returnflag"))
@@ -74,3 +113,22 @@ def b30_calibration_fit(t):
     rows = calibrate.match_features(noisy, names).withColumn("label", (F.col("q_id") == F.col("d_id")).cast("int"))
     fitted = calibrate.fit(rows, "q_id")
     return fitted.select(*[F.round(c, 4).alias(c) if c != "samples" else F.col(c) for c in fitted.columns])
+
+
+@query("""WITH n AS (SELECT c_nationkey AS doc_id, c_custkey AS k, c_mktsegment AS s, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i FROM customer),
+  p AS (SELECT *, i // 8 AS page, i % 8 AS row, count(*) OVER (PARTITION BY doc_id, i // 8) AS rows FROM n),
+  c AS (SELECT doc_id, page, row, rows, k % 7 = 0 AND rows >= 4 AS merged, k, s FROM p WHERE rows > 1)
+  SELECT doc_id, page AS "table", page, row, col, CASE col WHEN 0 THEN CASE WHEN merged THEN k || ' ' || s ELSE k::varchar END WHEN 1 THEN CASE WHEN merged THEN '' ELSE s END ELSE 'r' || row END AS content FROM c, range(0, 3) t(col)""")
+def s5_tables(t):
+    """Customers of a nation as ruled pages of eight rows, some with a cell over two columns; a short last page is known by its white space."""
+    order = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
+    rows = t.customer.select(F.col("c_nationkey").alias("doc_id"), F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("s"), order.alias("i"))
+    rows = rows.select("doc_id", "k", "s", F.floor(F.col("i") / 8).alias("page"), (F.col("i") % 8).alias("row")).withColumn("y", F.col("row") * 20.0)
+    xs = (0.0, 60.0, 160.0, 230.0)
+    line = lambda x0, y0, x1, y1: F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+    y = F.col("y")
+    drawn = [F.when((F.col("k") % 7 != 0) | F.lit(n != 1), line(F.lit(x), y, F.lit(x + 0.5), y + 20)) for n, x in enumerate(xs)] + [line(F.lit(xs[0]), y + h, F.lit(xs[-1]), y + h) for h in (0.0, 20.0)]
+    segments = rows.select("doc_id", "page", F.explode(F.array_compact(F.array(*drawn))).alias("g")).select("doc_id", "page", "g.*")
+    texts = (F.col("k").cast("string"), F.col("s"), F.concat(F.lit("r"), F.col("row").cast("string")))
+    boxes = rows.select("doc_id", "page", F.explode(F.array(*[F.struct(F.lit(x + 5).alias("x0"), (y + 5).alias("y0"), F.lit(x + 45).alias("x1"), (y + 12).alias("y1"), text.alias("text")) for x, text in zip(xs, texts)])).alias("g"))
+    return lattice.tables_of(segments, boxes.select("doc_id", "page", "g.*"))
