@@ -117,7 +117,7 @@ def b30_calibration_fit(t):
 
 @query("""WITH n AS (SELECT c_nationkey AS doc_id, c_custkey AS k, c_mktsegment AS s, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i FROM customer),
   p AS (SELECT *, i // 8 AS page, i % 8 AS row, count(*) OVER (PARTITION BY doc_id, i // 8) AS rows FROM n),
-  c AS (SELECT doc_id, page, row, rows, k % 7 = 0 AND rows >= 4 AS merged, k, s FROM p WHERE rows > 1)
+  c AS (SELECT doc_id, page, row, rows, k % 7 = 0 AND rows >= 3 AS merged, k, s FROM p WHERE rows > 1)
   SELECT doc_id, page AS "table", page, row, col, CASE col WHEN 0 THEN CASE WHEN merged THEN k || ' ' || s ELSE k::varchar END WHEN 1 THEN CASE WHEN merged THEN '' ELSE s END ELSE 'r' || row END AS content FROM c, range(0, 3) t(col)""")
 def s5_tables(t):
     """Customers of a nation as ruled pages of eight rows, some with a cell over two columns; a short last page is known by its white space."""
