@@ -160,24 +160,21 @@ def _op1_sql() -> str:
 
 
 def _op2_sql() -> str:
-    """Every unit against every template by joined bigrams, without size bounds or anchors."""
+    """Every stretch between two bigrams of a template, of any place and length within the size bounds; no anchors."""
     rows = ", ".join(f"('{k}', '{g}', {len(grams)})" for k, v in sorted(licenses.TEMPLATES.items()) for grams in [licenses.bigrams_of(v)] for g in sorted(grams))
-    places = ", ".join(f"('{a}', {i}, {n})" for v in licenses.TEMPLATES.values() for a, i, n in licenses.places(v))
+    t = licenses.THRESHOLD
     return f"""
-      with t(license, gram, size) as (values {rows}), a(word, place, size) as (values {places}),
+      with t(license, gram, size) as (values {rows}), l as (select license, list(gram) as own from t group by 1),
       d as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),
-      p as (select rid, text, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') as ws from d),
-      h as (select rid, ws, unnest(ws) as word, generate_subscripts(ws, 1) as i from p),
-      u as (select rid, array_to_string(ws, ' ') as unit from p
-        union select rid, trim(regexp_replace(lower(unnest(string_split(text, chr(10)))), '[^a-z0-9]+', ' ', 'g')) from p
-        union select rid, array_to_string(ws[greatest(i - place, 1) : greatest(i - place, 1) + size - 1], ' ') from h join a using (word)),
-      w as (select rid, unit, string_split(unit, ' ') as ws from u),
-      b as (select rid, unit, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) as grams from w where len(ws) > 1),
-      e as (select rid, unit, len(grams) as n, unnest(grams) as gram from b),
-      m as (select rid, unit, license, 2.0::double * count(*) / (any_value(n) + any_value(size)) as dice from e join t using (gram) group by rid, unit, license),
-      best as (select rid, unit, max(dice) as dice, min_by(license, (-dice, license)) as license from m where dice >= {licenses.THRESHOLD} group by rid, unit),
-      per as (select rid, max(dice) as dice, min_by(license, (-dice, license)) as license, count(*) as n_units from best group by rid)
-      select doc_id, license, round(coalesce(dice, 0), 6)::double as dice, coalesce(n_units, 0)::bigint as n_units from d left join per using (rid)"""
+      w as (select rid, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') as ws from d),
+      g as (select rid, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) as gs from w where len(ws) > 1),
+      m as (select rid, license, size, i, row_number() over (partition by rid, license order by i) as n from (select rid, unnest(gs) as gram, generate_subscripts(gs, 1) as i from g) join t using (gram)),
+      p as (select a.rid, a.license, a.size, a.i as a, b.i as b from m a join m b on a.rid = b.rid and a.license = b.license and b.i >= a.i and b.i - a.i + 1 <= floor({2 - t} / {t} * a.size + 1e-9)
+            where b.i - a.i + 1 >= ceil({t} / {2 - t} * a.size - 1e-9) and 2.0 * (b.n - a.n + 1) / (b.i - a.i + 1 + a.size) >= {0.9 * t}),
+      x as (select rid, license, size, list_distinct(gs[a : b]) as u, own from p join g using (rid) join l using (license)),
+      s as (select rid, license, 2.0::double * len(list_intersect(u, own)) / (len(u) + size) as dice from x),
+      best as (select rid, max(dice) as dice, min_by(license, (-dice, license)) as license, count(distinct license) as n from s where dice >= {t} group by rid)
+      select doc_id, license, round(coalesce(dice, 0), 6)::double as dice, coalesce(n, 0)::bigint as n_licenses from d left join best using (rid)"""
 
 
 _OP3_SQL = """

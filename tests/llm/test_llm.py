@@ -127,7 +127,7 @@ def test_trigram_queries():
 
 def test_licenses(spark):
     texts = [None, "", "intro\nReleased under the MIT License.\nmore", "released UNDER the mit   license", "This is unrelated text under the sun", licenses.TEMPLATES["MIT-grant"], "Licensed under CC BY-NC 4.0."]
-    got = {r["doc_id"]: (r["license"], r["n_units"]) for r in licenses.scan(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: (r["license"], r["n_licenses"]) for r in licenses.scan(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
     assert [got[i][0] for i in range(len(texts))] == [None, None, "MIT", "MIT", None, "MIT-grant", "CC-BY-NC-4.0"]
     for grams in map(licenses.bigrams_of, licenses.TEMPLATES.values()):
         words = licenses.anchors(grams)
