@@ -108,15 +108,22 @@ def subject_group(organization: Column, position: Column, text: Column, explicit
     return out.otherwise(found(None, 0.0, "INSUFFICIENT_EVIDENCE"))
 
 
-# Thresholds of a case's decision.
-LEAST_EXTRACTION, LEAST_RELATION, LEAST_PARSE = 0.60, 0.70, 0.80
+# Thresholds of a case's decision, and ways of reading that are character recognition.
+LEAST_EXTRACTION, LEAST_RELATION, LEAST_PARSE, LEAST_OCR = 0.75, 0.70, 0.60, 0.70
+OCR_METHODS = ("OCR", "PADDLE_OCR", "PDF_HYBRID")
+
+
+def parse_is_low(confidence: Column, method: Column, gate: Column) -> Column:
+    """Whether a document was read badly: its gate failed, or its confidence, if there is one, is under the least of its method."""
+    least = F.when(F.coalesce(method.isin(*OCR_METHODS), F.lit(False)), LEAST_OCR).otherwise(LEAST_PARSE)
+    return F.coalesce(F.upper(gate) == "FAIL", F.lit(False)) | F.coalesce(confidence < least, F.lit(False))
 
 
 def case_reason(c: dict[str, Column]) -> Column:
     """Why a case goes to review, the first reason that holds; null if none does and its policies have the facts they need.
 
     ``c`` has warning (code of the first warning of its batch), conflict (person and unit disagree), person and unit (statuses; a null
-    person was not asked for), organization, parse, extraction and relation (confidences), lookup (a bare name or
+    person was not asked for), organization, parse (whether it is low), extraction and relation (confidences), lookup (a bare name or
     unit was asked for, so that no relation is due), group and insufficient (a policy lacks facts).
     """
     low = lambda x, least: F.coalesce(x, F.lit(0.0)) < least
@@ -126,7 +133,7 @@ def case_reason(c: dict[str, Column]) -> Column:
         .when(c["person"].isNotNull() & (c["person"] != "MATCHED"), F.concat(F.lit("PERSON_"), c["person"]))
         .when(~c["unit"].eqNullSafe("MATCHED"), F.coalesce(c["unit"], F.lit("NOT_FOUND")))
         .when(F.coalesce(c["organization"], F.lit("UNKNOWN")) == "UNKNOWN", "ORGANIZATION_TYPE_UNKNOWN")
-        .when(low(c["parse"], LEAST_PARSE), "DOCUMENT_PARSE_LOW_CONFIDENCE")
+        .when(F.coalesce(c["parse"], F.lit(False)), "DOCUMENT_PARSE_LOW_CONFIDENCE")
         .when(low(c["extraction"], LEAST_EXTRACTION), "DOCUMENT_EXTRACTION_LOW_CONFIDENCE")
         .when(~F.coalesce(c["lookup"], F.lit(False)) & low(c["relation"], LEAST_RELATION), "CURRENT_WORK_UNIT_UNCERTAIN")
         .when(c["group"].isNull(), "SUBJECT_GROUP_INSUFFICIENT")
@@ -134,6 +141,50 @@ def case_reason(c: dict[str, Column]) -> Column:
     )
 
 
+def decide_cases(cases: DataFrame, rules: DataFrame) -> DataFrame:
+    """The decision of every case: consistency, decision_confidence, workflow (COMPLETED or NEED_REVIEW), reason, policies.
+
+    ``cases`` has a row each: case_id, day; what was read: subject_name, subject_code, unit_name, unit_code, name_score, code_score,
+    extraction, relation, parse_confidence, parse_method, parse_gate; what was resolved: person_status, person_unit, person_confidence
+    (null where no person was asked for), unit_status, unit_id, unit_confidence, organization; subject_group, facts
+    (map<string,string>) and warnings (array<string>). ``rules`` are those of ``evaluate_policies``.
+
+    A name or code without any unit, or a unit's code without its name, is a lookup: what identifies it is its extraction, and
+    no relation is due. Person and unit conflict if both are matched and the person is of another unit. The confidence is the
+    least of those that are due, 0 in a conflict. Policies are asked only where nothing else sends the case to
+    review; one that lacks facts does. A null or empty value was not given; a null confidence that is due counts as 0.
+    """
+    given = lambda *cs: F.coalesce(*[T.first_present(F.col(c)) for c in cs]).isNotNull()
+    named, coded, person = given("unit_name"), given("unit_code"), given("subject_name", "subject_code")
+    lookup = (person & ~named & ~coded) | (coded & ~named)
+    asserted = named | coded
+    matched = lambda c: F.coalesce(F.col(c) == "MATCHED", F.lit(False))
+    conflict = asserted & person & matched("person_status") & matched("unit_status") & F.coalesce(F.col("person_unit") != F.col("unit_id"), F.lit(False))
+    consistency = F.when(conflict, "CONFLICT").when(asserted & person & matched("person_status") & matched("unit_status"), "MATCHED").when(person & asserted, "UNVERIFIED").otherwise("NOT_APPLICABLE")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    rows = cases.withColumns({
+        "lookup": lookup, "asked": person, "conflict": conflict, "consistency": consistency,
+        "parse_low": parse_is_low(F.col("parse_confidence"), F.col("parse_method"), F.col("parse_gate")),
+        "identity": F.when(lookup, F.coalesce(least_confidence(F.col("name_score"), F.col("code_score")), F.lit(0.0))).otherwise(zero("extraction")),
+    })
+    due = least_confidence(
+        F.col("identity"), zero("unit_confidence"), F.when(~F.col("lookup"), zero("relation")), F.when(F.col("asked"), F.coalesce("person_confidence", F.lit(0.0))), F.when(F.col("conflict"), 0.0)
+    )
+    reason = lambda insufficient: case_reason({
+        "warning": F.get("warnings", F.lit(0)), "conflict": F.col("conflict"), "person": F.when(F.col("asked"), F.coalesce("person_status", F.lit("NOT_FOUND"))), "unit": F.col("unit_status"), "organization": F.col("organization"),
+        "parse": F.col("parse_low"), "extraction": F.col("identity"), "relation": F.col("relation"), "lookup": F.col("lookup"), "group": F.col("subject_group"), "insufficient": insufficient,
+    })
+    rows = rows.withColumn("decision_confidence", due).withColumn("upstream", reason(F.lit(False)))
+    policies = evaluate_policies(rows.filter("upstream is null").select("case_id", "day", "subject_group", "facts"), rules)
+    told = policies.groupBy("case_id").agg(F.bool_or(F.col("status") == "INSUFFICIENT_DATA").alias("insufficient"), F.array_sort(F.collect_list(F.struct("rule_id", "status"))).alias("policies"))  # a row a rule
+    rows = rows.join(told, "case_id", "left")
+    why = F.coalesce("upstream", reason(F.coalesce("insufficient", F.lit(False))))
+    return rows.select(
+        "case_id", "consistency", "decision_confidence", F.when(why.isNull(), "COMPLETED").otherwise("NEED_REVIEW").alias("workflow"), why.alias("reason"),
+        F.coalesce("policies", F.array().cast(told.schema["policies"].dataType)).alias("policies"),
+    )
+
+
 def request_reviews(requests: DataFrame, cases: DataFrame, reviews: DataFrame) -> DataFrame:
     """(case_id, outcome) of requests (case_id) for a review of cases (case_id, workflow, concluded), given reviews (case_id, status).
 

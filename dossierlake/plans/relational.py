@@ -281,7 +281,7 @@ def b12_case_reason(t):
     k = F.col("o_custkey") % 11
     at = lambda n, yes, no: F.when(k == n, yes).otherwise(no)
     c = {
-        "warning": F.when(k == 0, "MULTI_UNIT"), "conflict": k == 1, "person": at(2, "AMBIGUOUS", "MATCHED"), "unit": at(3, "CONFLICT", "MATCHED"), "organization": at(4, "UNKNOWN", "BCA"), "parse": at(5, F.lit(0.5), F.lit(0.95)),
+        "warning": F.when(k == 0, "MULTI_UNIT"), "conflict": k == 1, "person": at(2, "AMBIGUOUS", "MATCHED"), "unit": at(3, "CONFLICT", "MATCHED"), "organization": at(4, "UNKNOWN", "BCA"), "parse": k == 5,
         "extraction": at(6, F.lit(0.2), F.lit(0.9)), "relation": at(7, F.lit(0.3), F.lit(0.9)), "lookup": F.col("o_orderkey") % 2 == 1, "group": F.when(k != 8, "CAND"), "insufficient": k == 9,
     }
     return t.orders.select("o_orderkey", decide.case_reason(c).alias("reason"))
@@ -293,3 +293,39 @@ def b32_review_request(t):
     reviews = t.orders.select(F.col("o_orderkey").alias("case_id"), F.when(F.col("o_custkey") % 6 == 0, "OPEN").otherwise("RESOLVED").alias("status"))
     asked = t.orders.select(F.col("o_orderkey").alias("case_id"))
     return decide.request_reviews(asked.unionByName(asked.limit(5)), cases, reviews)
+
+
+#: the values of a decided case by its key; SQL and plan choose them alike, the decision is each one's own
+_CASE = """SELECT o_orderkey AS case_id, o_orderdate::date AS day, o_orderkey % 5 <> 4 AS named, o_orderkey % 7 IN (0, 1, 2) AS united, o_orderkey % 11 = 5 AS coded, o_custkey % 9 AS p, o_custkey % 10 AS u, o_orderkey % 13 AS w, o_orderkey % 17 AS r, o_orderkey % 19 AS q,
+  round(0.7 + o_orderkey % 31 / 100.0::double, 2) AS name_score, round(0.65 + o_orderkey % 29 / 100.0::double, 2) AS extraction, round(0.6 + o_custkey % 41 / 100.0::double, 2) AS relation, round(0.55 + o_orderkey % 23 / 50.0::double, 2) AS parse, o_custkey % 3 AS m, o_custkey, o_orderstatus FROM orders"""
+
+
+@query(f"""WITH c AS ({_CASE}),
+  d AS (SELECT *, named AS asked, united OR coded AS asserted, (named AND NOT united AND NOT coded) OR (coded AND NOT united) AS lookup, p <> 0 AS person_ok, u <> 0 AS unit_ok, p % 4 <> u % 4 AS unlike FROM c),
+  e AS (SELECT *, asserted AND asked AND person_ok AND unit_ok AND unlike AS conflict, CASE WHEN lookup THEN CASE WHEN named THEN name_score ELSE 0 END ELSE extraction END AS identity, q = 0 OR (q <> 1 AND parse < CASE WHEN m = 0 THEN 0.7 ELSE 0.6 END) AS bad FROM d),
+  f AS (SELECT *, CASE WHEN w = 12 THEN 'AMBIGUOUS_UNIT' WHEN conflict THEN 'PERSON_UNIT_CONFLICT' WHEN asked AND NOT person_ok THEN 'PERSON_AMBIGUOUS' WHEN NOT unit_ok THEN 'NOT_FOUND' WHEN u = 9 THEN 'ORGANIZATION_TYPE_UNKNOWN' WHEN bad THEN 'DOCUMENT_PARSE_LOW_CONFIDENCE'
+    WHEN identity < 0.75 THEN 'DOCUMENT_EXTRACTION_LOW_CONFIDENCE' WHEN NOT lookup AND relation < 0.7 THEN 'CURRENT_WORK_UNIT_UNCERTAIN' WHEN r = 0 THEN 'SUBJECT_GROUP_INSUFFICIENT' END AS upstream,
+    CASE WHEN conflict THEN 0 ELSE least(identity, CASE WHEN unit_ok THEN 0.97 ELSE 0 END, CASE WHEN NOT lookup THEN relation END, CASE WHEN asked THEN CASE WHEN person_ok THEN 0.99 ELSE 0 END END) END AS confidence FROM e),
+  g AS (SELECT *, upstream IS NULL AND day >= DATE '1994-01-01' AND r % 2 = 1 AND o_orderstatus = 'P' AS insufficient FROM f)
+  SELECT case_id, CASE WHEN conflict THEN 'CONFLICT' WHEN asserted AND asked AND person_ok AND unit_ok THEN 'MATCHED' WHEN asserted AND asked THEN 'UNVERIFIED' ELSE 'NOT_APPLICABLE' END AS consistency, round(confidence, 4)::double AS decision_confidence,
+    CASE WHEN upstream IS NULL AND NOT insufficient THEN 'COMPLETED' ELSE 'NEED_REVIEW' END AS workflow, CASE WHEN insufficient THEN 'POLICY_INSUFFICIENT_DATA' ELSE upstream END AS reason,
+    CASE WHEN upstream IS NOT NULL THEN '' WHEN day < DATE '1994-01-01' THEN '2:NOT_APPLICABLE' ELSE concat('1:', CASE WHEN r % 2 = 0 THEN 'NOT_APPLICABLE' WHEN insufficient THEN 'INSUFFICIENT_DATA' ELSE 'ELIGIBLE' END, ',2:NOT_APPLICABLE') END AS policies FROM g""")
+def b12_case_decision(t):
+    """Orders as cases: consistency of person and unit, the least confidence, the review gate, its reason, and policies where nothing else decides."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    part = lambda base, of, n, by: F.round(base + (of % n) / by, 2)
+    named = k % 5 != 4
+    rows = t.orders.select(
+        k.alias("case_id"), F.col("o_orderdate").cast("date").alias("day"), F.when(named, "A B").alias("subject_name"), F.lit("").alias("subject_code"), F.when((k % 7).isin(0, 1, 2), "Cục").alias("unit_name"), F.when(k % 11 == 5, "U1").alias("unit_code"),
+        F.when(named, part(0.7, k, 31, 100.0)).alias("name_score"), F.lit(None).cast("double").alias("code_score"), part(0.65, k, 29, 100.0).alias("extraction"), part(0.6, c, 41, 100.0).alias("relation"),
+        F.when(k % 19 != 1, part(0.55, k, 23, 50.0)).alias("parse_confidence"), F.when(c % 3 == 0, "OCR").otherwise("TEXT").alias("parse_method"), F.when(k % 19 == 0, "fail").otherwise("PASS").alias("parse_gate"),
+        F.when(c % 9 == 0, "AMBIGUOUS").otherwise("MATCHED").alias("person_status"), ((c % 9) % 4).alias("person_unit"), F.when(c % 9 != 0, 0.99).alias("person_confidence"),
+        F.when(c % 10 == 0, "NOT_FOUND").otherwise("MATCHED").alias("unit_status"), ((c % 10) % 4).alias("unit_id"), F.when(c % 10 != 0, 0.97).alias("unit_confidence"), F.when(c % 10 == 9, "UNKNOWN").otherwise("BCA").alias("organization"),
+        F.when(k % 17 != 0, F.when((k % 17) % 2 == 1, "CAND").otherwise("QUAN_NHAN")).alias("subject_group"), F.create_map(F.lit("rank"), F.when(F.col("o_orderstatus") != "P", "x")).alias("facts"),
+        F.when(k % 13 == 12, F.array(F.lit("AMBIGUOUS_UNIT"), F.lit("OTHER"))).otherwise(F.array().cast("array<string>")).alias("warnings"),
+    )
+    rules = t.spark.createDataFrame([(1, ["CAND"], ["rank"], "1994-01-01", True), (2, [], [], None, True), (3, ["*"], ["none"], None, False)], "rule_id int, groups array<string>, required array<string>, f string, active boolean")
+    rules = rules.select("rule_id", "groups", "required", F.col("f").cast("date").alias("effective_from"), F.lit(None).cast("date").alias("effective_to"), "active")
+    got = decide.decide_cases(rows, rules)
+    shown = F.array_join(F.transform("policies", lambda x: F.concat_ws(":", x["rule_id"].cast("string"), x["status"])), ",")
+    return got.select("case_id", "consistency", F.round("decision_confidence", 4).alias("decision_confidence"), "workflow", "reason", shown.alias("policies"))
