@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossierlake.functions import text as T
+from dossierlake.sources.shared import written
 
 #: Letters with Vietnamese marks.
 MARKED = "ăâđêôơưáàảãạắằẳẵặấầẩẫậéèẻẽẹếềểễệíìỉĩịóòỏõọốồổỗộớờởỡợúùủũụứừửữựýỳỷỹỵ"
@@ -67,3 +68,21 @@ def micro_f1(rows: DataFrame) -> DataFrame:
         f1(n(F.col("right")), n(~F.col("right") & F.col("given")), n(~F.col("right"))).alias("entity_f1"),
         f1(n(related), n(unit & ~related & F.col("given")), n(unit & ~related)).alias("relation_f1"),
     )
+
+
+def auc(rows: DataFrame) -> DataFrame:
+    """(auc) of rows (score, label 0 or 1): the chance that a row of label 1 scores above one of label 0, ties half; null without both labels.
+
+    Rows are counted by score. Scores are dealt in ranges; ranks are running sums within a range on top of the sums of the
+    ranges before it, so no task sees all scores. Null scores or labels do not count.
+    """
+    known = rows.filter("score is not null and label in (0, 1)")
+    counts = known.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"))
+    dealt = written(counts.repartitionByRange("score").withColumn("part", F.spark_partition_id()), "scores")
+    parts = dealt.groupBy("part").agg(F.sum("n").alias("all"))
+    before = F.coalesce(F.sum("all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy("score").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = dealt.withColumn("upto", upto).join(F.broadcast(parts.select("part", before.alias("before"))), "part")
+    rank = F.col("before") + F.col("upto") - F.col("n") + (F.col("n") + 1) / 2
+    pos, n = F.sum("pos"), F.sum("n")
+    return ranked.agg(F.try_divide(F.sum(rank * F.col("pos")) - pos * (pos + 1) / 2, pos * (n - pos)).alias("auc"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dossierlake.functions import text as T
 from dossierlake.operators import documents as D
-from dossierlake.operators import registry, robots
+from dossierlake.operators import metrics, registry, robots
 from dossierlake.plans.base import query
 
 from dossierlake.sources.shared import shared_folder
@@ -127,12 +127,8 @@ def _predictions(t):
 @query(f"""WITH x AS ({_PRED}), c AS (SELECT p, count(*) AS n, sum(y) AS pos FROM x GROUP BY p), r AS (SELECT p, n, pos, sum(n) OVER (ORDER BY p ROWS UNBOUNDED PRECEDING) - n + (n + 1) / 2.0::double AS rnk FROM c)
   SELECT 1 AS one, round((sum(rnk * pos) - sum(pos)::double * (sum(pos) + 1) / 2) / (sum(pos)::double * (sum(n) - sum(pos))), 6) AS auc FROM r""")
 def a18_auc(t):
-    # average ranks of tied scores come from counts per score, so that no row-level global sort is needed
-    c = _predictions(t).groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"))
-    w = Window.partitionBy(F.lit(1)).orderBy("p").rowsBetween(Window.unboundedPreceding, 0)  # one row per distinct score: 97
-    r = c.withColumn("rnk", F.sum("n").over(w) - F.col("n") + (F.col("n") + 1) / 2)
-    pos, n = F.sum("pos"), F.sum("n")
-    return r.agg(F.lit(1).alias("one"), F.round((F.sum(F.col("rnk") * F.col("pos")) - pos * (pos + 1) / 2) / (pos * (n - pos)), 6).alias("auc"))
+    rows = _predictions(t).select(F.col("p").alias("score"), F.col("y").alias("label"))
+    return metrics.auc(rows).select(F.lit(1).alias("one"), F.round("auc", 6).alias("auc"))
 
 
 @query("SELECT source, count(*)::bigint AS n, round(avg(CASE WHEN n_chars >= 500 THEN 1.0 ELSE 0 END), 6) AS pass_rate FROM documents GROUP BY source")

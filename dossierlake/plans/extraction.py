@@ -191,12 +191,25 @@ def b28_synthesise(t):
     return synthetic.gates(rows).join(F.broadcast(counted)).select("gate", "violations", "records")  # one row
 
 
-@query("""SELECT 1 AS one, round(2.0::double * tp / (2 * tp + fp + fn), 6) AS entity_f1 FROM (SELECT count(*) FILTER (ok)::double AS tp, count(*) FILTER (NOT ok AND pred <> '')::double AS fp, count(*) FILTER (NOT ok)::double AS fn
-  FROM (SELECT lower(trim(pred)) = lower(gold) AS ok, pred FROM (SELECT o_orderpriority AS gold, CASE o_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'other' ELSE ' ' || upper(o_orderpriority) END AS pred FROM orders)))""")
+@query("""WITH r AS (SELECT 'PERSON' AS field, CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE ' ' || upper(o_clerk) END AS pred, CASE WHEN o_orderkey % 9 <> 0 THEN o_clerk END AS gold, NULL::double AS confidence FROM (SELECT *, 'clerk ' || o_custkey AS o_clerk FROM orders)
+    UNION ALL SELECT 'POSITION', CASE o_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'other' ELSE ' ' || upper(o_orderpriority) END, o_orderpriority, NULL FROM orders
+    UNION ALL SELECT 'UNIT', CASE o_custkey % 6 WHEN 0 THEN '' WHEN 1 THEN 'elsewhere' ELSE 'Unit-' || o_orderstatus END, 'unit ' || lower(o_orderstatus), o_orderkey % 10 / 10.0::double FROM orders),
+  j AS (SELECT *, coalesce(lower(replace(trim(pred), '-', ' ')) = lower(replace(gold, '-', ' ')), false) AS ok, coalesce(pred, '') <> '' AS given FROM r WHERE gold IS NOT NULL),
+  c AS (SELECT count(*) FILTER (ok)::double AS tp, count(*) FILTER (NOT ok AND given)::double AS fp, count(*) FILTER (NOT ok)::double AS fn,
+    count(*) FILTER (field = 'UNIT' AND ok AND confidence >= 0.7)::double AS rtp, count(*) FILTER (field = 'UNIT' AND NOT (ok AND confidence >= 0.7) AND given)::double AS rfp, count(*) FILTER (field = 'UNIT' AND NOT (ok AND confidence >= 0.7))::double AS rfn FROM j)
+  SELECT 1 AS one, round(2 * tp / (2 * tp + fp + fn), 6) AS entity_f1, round(2 * rtp / (2 * rtp + rfp + rfn), 6) AS relation_f1 FROM c""")
 def a15_micro_f1(t):
-    k = F.col("o_custkey") % 5
-    rows = t.orders.select(F.lit("POSITION").alias("field"), F.when(k == 0, "").when(k == 1, "other").otherwise(F.concat(F.lit(" "), F.upper("o_orderpriority"))).alias("predicted"), F.col("o_orderpriority").alias("gold"), F.lit(None).cast("double").alias("confidence"))
-    return metrics.micro_f1(rows).select(F.lit(1).alias("one"), F.round("entity_f1", 6).alias("entity_f1"))
+    """Three fields of every order, some unread, wrong, without a gold value or unsure."""
+    c, k = F.col("o_custkey"), F.col("o_orderkey")
+    clerk = F.concat(F.lit("clerk "), c.cast("string"))
+    row = lambda field, predicted, gold, confidence=F.lit(None): F.struct(F.lit(field).alias("field"), predicted.alias("predicted"), gold.alias("gold"), confidence.cast("double").alias("confidence"))
+    rows = F.array(
+        row("PERSON", F.when(c % 4 != 0, F.concat(F.lit(" "), F.upper(clerk))), F.when(k % 9 != 0, clerk)),
+        row("POSITION", F.when(c % 5 == 0, "").when(c % 5 == 1, "other").otherwise(F.concat(F.lit(" "), F.upper("o_orderpriority"))), F.col("o_orderpriority")),
+        row("UNIT", F.when(c % 6 == 0, "").when(c % 6 == 1, "elsewhere").otherwise(F.concat(F.lit("Unit-"), F.col("o_orderstatus"))), F.concat(F.lit("unit "), F.lower("o_orderstatus")), (k % 10) / 10.0),
+    )
+    got = metrics.micro_f1(t.orders.select(F.explode(rows).alias("r")).select("r.*"))
+    return got.select(F.lit(1).alias("one"), F.round("entity_f1", 6).alias("entity_f1"), F.round("relation_f1", 6).alias("relation_f1"))
 
 
 @query()

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from dossierlake.operators import decide
+from dossierlake.operators import decide, metrics
 
 BASE = {
     "subject_name": "An", "subject_code": None, "unit_name": "Cục A", "unit_code": None, "name_score": 0.9, "code_score": None, "extraction": 0.9, "relation": 0.9, "parse_confidence": None, "parse_method": None, "parse_gate": None,
@@ -54,3 +54,15 @@ def test_decisions(spark):
         asked = reason in (None, "POLICY_INSUFFICIENT_DATA")
         assert [p["rule_id"] for p in r["policies"]] == ([1, 2] if asked else [])
     assert decide.decide_cases(cases.limit(0), rules).count() == 0
+
+
+def test_auc_is_that_of_all_pairs(spark):
+    import random
+
+    rnd = random.Random(7)
+    rows = [(rnd.choice([rnd.random(), 0.5, 0.25]), rnd.randrange(2)) for _ in range(300)] + [(None, 1), (0.1, None)]
+    frame = spark.createDataFrame(rows, "score double, label int")
+    ones, zeros = ([s for s, y in rows if y == v and s is not None] for v in (1, 0))
+    want = sum((a > b) + 0.5 * (a == b) for a in ones for b in zeros) / (len(ones) * len(zeros))
+    assert abs(metrics.auc(frame.repartition(5)).first()[0] - want) < 1e-12
+    assert metrics.auc(frame.filter("label = 1")).first()[0] is None and metrics.auc(frame.limit(0)).first()[0] is None
