@@ -54,6 +54,41 @@ def entry_resolution_totals(t):
     return got.join(t.part, F.col("p_partkey") == F.col("mention_id")).groupBy(org.alias("organisation"), status.alias("status")).agg(F.count(F.lit(1)).alias("mentions"))
 
 
+def _marked(t):
+    """Units of whom every second has a marked name, aliases of every third, and mentions in capitals: as named, without marks, by alias, by alias without marks."""
+    plain, part = F.concat_ws(" ", "p_name", "p_brand", F.col("p_partkey").cast("string")), F.col("p_partkey")
+    marks = lambda c: F.translate(c, "aeo", "àéô")
+    units = t.part.select(part.alias("unit_id"), F.when(part % 2 == 0, marks(plain)).otherwise(plain).alias("name"))
+    alias = F.concat(F.lit("old "), F.floor(part / 6).cast("string"), F.lit(" "), F.col("p_brand"))
+    aliases = t.part.filter("p_partkey % 3 = 0").select(part.alias("unit_id"), F.when(part % 2 == 0, marks(alias)).otherwise(alias).alias("name"))
+    said = F.when(part % 5 == 0, F.when(part % 2 == 0, marks(plain)).otherwise(plain)).when(part % 5 == 1, plain).when(part % 5 == 2, marks(alias)).when(part % 5 == 3, alias).otherwise("nowhere")
+    return t.part.select(part.alias("mention_id"), F.upper(said).alias("name")), units, aliases
+
+
+_MARKED_SQL = f"""WITH b AS (SELECT p_partkey AS id, p_name || ' ' || p_brand || ' ' || p_partkey AS n, 'old ' || (p_partkey // 6) || ' ' || p_brand AS a FROM part), m AS (SELECT *, translate(n, 'aeo', 'àéô') AS nm, translate(a, 'aeo', 'àéô') AS am FROM b),
+  f AS (SELECT id, CASE WHEN id % 2 = 0 THEN nm ELSE n END AS name, 1 AS tier FROM m UNION ALL SELECT id, CASE WHEN id % 2 = 0 THEN am ELSE a END, 2 FROM m WHERE id % 3 = 0),
+  k AS (SELECT id, tier, {KEY.format('name')} AS key FROM f UNION ALL SELECT id, tier + 2, {KEY.format('strip_accents(name)')} FROM f),
+  q AS (SELECT id AS mention_id, upper(CASE id % 5 WHEN 0 THEN CASE WHEN id % 2 = 0 THEN nm ELSE n END WHEN 1 THEN n WHEN 2 THEN am WHEN 3 THEN a ELSE 'nowhere' END) AS name FROM m),
+  h AS (SELECT mention_id, tier, id FROM q JOIN k ON key = CASE WHEN tier > 2 THEN {KEY.format('strip_accents(q.name)')} ELSE {KEY.format('q.name')} END)"""
+
+
+@query(_MARKED_SQL + ", g AS (SELECT mention_id, tier, count(DISTINCT id) AS n, min(id) AS one FROM h GROUP BY 1, 2) SELECT mention_id, g.tier::int AS tier, n AS n_units, CASE WHEN n = 1 THEN one END AS unit_id FROM q LEFT JOIN (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY mention_id ORDER BY tier) = 1) g USING (mention_id)")
+def j9_folded_tiers(t):
+    """All four tiers are hit: names, aliases, and both without marks."""
+    mentions, units, aliases = _marked(t)
+    return resolve.exact_tiers(mentions, resolve.surface_forms(units, aliases)).select("mention_id", "tier", "n_units", "unit_id")
+
+
+@query(_MARKED_SQL + " SELECT mention_id, tier::int AS tier, id AS person_id FROM (SELECT DISTINCT * FROM h) QUALIFY tier = min(tier) OVER (PARTITION BY mention_id)")
+def j11_alias_names(t):
+    """People of the first tier of spellings that anyone answers, by name or alias, with marks or without."""
+    mentions, units, aliases = _marked(t)
+    day, none = F.lit("2026-01-01").cast("date"), F.lit(None).cast("date")
+    people = units.select(F.col("unit_id").alias("person_id"), "name", none.alias("valid_from"), none.alias("valid_to"))
+    got = persons.name_candidates(mentions.withColumn("as_of", day), people, aliases.select(F.col("unit_id").alias("person_id"), "name"))
+    return got.select("mention_id", "tier", "person_id")
+
+
 @query("""SELECT m.o_orderkey AS mention_id, min(p_partkey) AS code_unit, count(DISTINCT p_partkey)::bigint AS n_code_units FROM orders m JOIN part ON lower(trim(p_brand)) = lower(trim('  brand#' || (10 + o_custkey % 45) || ' '))
           WHERE (p_size > 20 OR DATE '1995-01-01' <= o_orderdate::date) GROUP BY 1""")
 def j8_code_lookup(t):
