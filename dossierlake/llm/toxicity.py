@@ -28,6 +28,8 @@ STEMS = (4, 5, 6)  # lengths of word beginnings that may be terms
 PRECISION = 0.8  # toxic share of a term's rows
 COSTS, READINGS = 200_000, 50_000  # costs of letters, and readings of short stretches, that a worker remembers
 WORDS = 200_000  # distinct words whose counts a task holds before it passes their trigrams on
+SLOT_BITS, PAIR_BITS = 22, 20  # slots of the tables of character trigrams and pairs
+_MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 # Letters that a sign may stand for.
 SIGNS = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -97,15 +99,31 @@ def _lattice(span: str, apart: bool) -> list[tuple[str, int, str]]:
     return lattice
 
 
+def _slots(codes: np.ndarray, bits: int) -> np.ndarray:
+    """Slots, below 2**bits, of n-grams packed in 64 bits."""
+    with np.errstate(over="ignore"):
+        mixed = (codes.astype(np.uint64) ^ (codes.astype(np.uint64) >> np.uint64(31))) * _MIX
+        return ((mixed ^ (mixed >> np.uint64(29))) * _MIX2 >> np.uint64(64 - bits)).astype(np.int64)
+
+
 class Trigrams:
-    """Counts of character trigrams in two sorted columns of 16 bytes a trigram."""
+    """Counts of character trigrams, and of the pairs that they begin with, in two tables of a fixed number of slots.
+
+    An n-gram's slot is its hash, so the tables never outgrow ``SLOT_BITS`` and ``PAIR_BITS``, whatever alphabets a corpus
+    has; n-grams that share a slot share its count, of a hundred thousand trigrams about one in eighty does. Slots that
+    are empty take no room.
+    """
+
+    def __init__(self, threes: tuple[np.ndarray, np.ndarray], twos: tuple[np.ndarray, np.ndarray]):
+        self._threes, self._twos = (tuple(np.asarray(x, np.int64)[np.argsort(slots)] for x in (slots, n)) for slots, n in (threes, twos))
 
-    def __init__(self, what, n):
-        codes = np.array([self._code(g) for g in what], np.int64)
-        order = np.argsort(codes)
-        self._codes, self._n = codes[order], np.asarray(n, np.int64)[order]
-        first = np.flatnonzero(np.diff(self._codes >> 21, prepend=-1))
-        self._pairs, self._sums = self._codes[first] >> 21, np.add.reduceat(self._n, first) if len(first) else self._n
+    @classmethod
+    def of(cls, counts: dict[str, int]) -> "Trigrams":
+        """A table of trigrams with their counts."""
+        grams, n = list(counts), np.array(list(counts.values()), np.int64)
+        slots = lambda size, bits: _slots(np.array([cls._code(g[:size]) for g in grams], np.int64), bits)
+        summed = lambda at: (np.unique(at), np.bincount(np.unique(at, return_inverse=True)[1], n).astype(np.int64)) if len(grams) else (at, n)
+        return cls(summed(slots(3, SLOT_BITS)), summed(slots(2, PAIR_BITS)))
 
     @staticmethod
     def _code(g: str) -> int:
@@ -115,24 +133,24 @@ class Trigrams:
         return code
 
     def __len__(self) -> int:
-        return len(self._n)
+        return len(self._threes[0])
 
     def total(self) -> int:
-        return int(self._n.sum())
+        return int(self._threes[1].sum())
 
     def count(self, g: str) -> int:
         """Occurrences of a trigram, or of all trigrams that begin with two letters."""
-        keys, values = (self._codes, self._n) if len(g) == 3 else (self._pairs, self._sums)
-        code = self._code(g)
-        i = int(np.searchsorted(keys, code))
-        return int(values[i]) if i < len(keys) and keys[i] == code else 0
+        (slots, values), bits = (self._threes, SLOT_BITS) if len(g) == 3 else (self._twos, PAIR_BITS)
+        slot = int(_slots(np.array([self._code(g)], np.int64), bits)[0])
+        i = int(np.searchsorted(slots, slot))
+        return int(values[i]) if i < len(slots) and slots[i] == slot else 0
 
 
 class Model:
     """Character language model, toxic terms and calibration."""
 
     def __init__(self, trigrams: Trigrams | dict[str, int], terms: dict[str, float], weights: np.ndarray | None = None):
-        trigrams = Trigrams(list(trigrams), list(trigrams.values())) if isinstance(trigrams, dict) else trigrams
+        trigrams = Trigrams.of(trigrams) if isinstance(trigrams, dict) else trigrams
         self.trigrams, self.terms, self.weights = trigrams, terms, weights
         self._ready = False
 
@@ -298,19 +316,21 @@ def _parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _letters(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Occurrences of each character trigram in the distinct words of each text."""
+    """Occurrences of the character trigrams in the distinct words of each text, and of the pairs they begin with, by slot."""
     words: Counter = Counter()
 
     def passed_on() -> pd.DataFrame:
         n, sizes = np.fromiter(words.values(), np.int64), np.fromiter(map(len, words), np.int64) + 3
         codes = np.frombuffer("".join(f"^^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         words.clear()
-        grams, inside = codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:], np.ones(len(codes), bool)
+        pairs, inside = codes[:-2] << 21 | codes[1:-1], np.ones(len(codes), bool)
         ends = np.cumsum(sizes)
         inside[ends - 1] = inside[ends - 2] = False  # a trigram does not go on into the next word
-        found, at = np.unique(grams[inside[:-2]], return_inverse=True)
-        counts = np.bincount(at, np.repeat(n, sizes - 2)).astype(np.int64)
-        return pd.DataFrame({"what": [chr(g >> 42) + chr(g >> 21 & 0x1FFFFF) + chr(g & 0x1FFFFF) for g in found.tolist()], "n": counts})
+        times, out = np.repeat(n, sizes - 2), []
+        for size, grams, bits in ((3, pairs << 21 | codes[2:], SLOT_BITS), (2, pairs, PAIR_BITS)):
+            found, at = np.unique(_slots(grams[inside[:-2]], bits), return_inverse=True)
+            out.append(pd.DataFrame({"size": size, "slot": found, "n": np.bincount(at, times).astype(np.int64)}))
+        return pd.concat(out)
 
     for f in frames:
         for text in f["text"]:
@@ -359,7 +379,7 @@ def learn(labelled: DataFrame, label: str = "toxic", sample: int = SAMPLE, texts
     A term is kept if toxic rows make up ``PRECISION`` of its rows and so many toxic rows would not come
     about by chance among all terms, counting places that differ, as copies of one text repeat all its words;
     a beginning stands for its longer forms unless one of them is as frequent and cleaner. The driver receives the
-    terms that toxic rows alone could pass with, every distinct trigram with its count, and one row of
+    terms that toxic rows alone could pass with, the filled slots of the trigrams' tables, and one row of
     three numbers a sampled text for the calibration.
     """
     rows = labelled.filter(F.col(label).isin(0, 1) & (F.length("text") > 0)).select("doc_id", "text", F.col(label).cast("int").alias("y"))
@@ -382,8 +402,9 @@ def learn(labelled: DataFrame, label: str = "toxic", sample: int = SAMPLE, texts
         if not any("^" + w[1 : 1 + k] in terms for k in STEMS if len(w) > k):
             terms[w] = strength[w]
     whole = (rows if texts is None else texts).select(F.col("text").cast("string").alias("text")).filter(F.length("text") > 0)
-    letters = whole.mapInPandas(_letters, "what string, n long").groupBy("what").agg(F.sum("n").alias("n")).toPandas()
-    model = Model(Trigrams(letters["what"], letters["n"]), terms)
+    letters = whole.mapInPandas(_letters, "size int, slot long, n long").groupBy("size", "slot").agg(F.sum("n").alias("n")).toPandas()  # as many rows as slots at most
+    tables = [letters[letters["size"] == k] for k in (3, 2)]
+    model = Model(Trigrams(*((t["slot"].to_numpy(), t["n"].to_numpy()) for t in tables)), terms)
     sent = labelled.sparkSession.sparkContext.broadcast(model)
 
     def measured(frames):
