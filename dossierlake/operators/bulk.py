@@ -132,7 +132,7 @@ def records(cells: DataFrame, header: DataFrame, mapping: DataFrame) -> DataFram
 
     Rows keep their number in the sheet, blank rows counted.
     """
-    below = cells.join(F.broadcast(header), "sheet").filter((F.col("row") > F.col("header")) & (F.coalesce("value", F.lit("")) != "")).drop("header")  # a row a sheet
+    below = cells.join(header, "sheet").filter((F.col("row") > F.col("header")) & (F.coalesce("value", F.lit("")) != "")).drop("header")
     fields = below.join(mapping.filter("field is not null").select("sheet", "col", "field"), ["sheet", "col"], "left")
     kept = F.filter(F.array_sort(F.collect_list(F.struct("col", "field", "value"))), lambda x: x["field"].isNotNull())
     grouped = fields.groupBy("sheet", "row").agg(kept.alias("kept"))

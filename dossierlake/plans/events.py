@@ -81,7 +81,15 @@ _stream(
     "SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*)::bigint AS n FROM events GROUP BY 1, 2",
 )
 _stream("t8_stream_intake", lambda e, drained, _: drained(S.first_of_key(e, ["event_id"]).select("event_id", "user_id", "event_type")), "SELECT event_id, user_id, event_type FROM events")
-_stream("t4_stream_lockout", lambda e, drained, _: drained(S.lockouts(e)))
+_stream(
+    "t4_stream_lockout", lambda e, drained, _: drained(S.lockouts(e)).withColumn("locked_at", F.col("locked_at").cast("timestamp_ntz")),
+    """WITH RECURSIVE e AS (SELECT user_id, ts, event_type AS kind, floor(epoch(ts))::bigint AS now, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+      s AS (SELECT DISTINCT user_id, NULL::timestamp AS ts, 0::bigint AS n, 0 AS fails, 0::bigint AS until, false AS locked FROM e
+        UNION ALL SELECT user_id, ts, n, CASE WHEN locked THEN 0 ELSE f END, CASE WHEN locked THEN now + 900 ELSE until END, locked FROM (
+          SELECT *, now >= until AND f >= 8 AS locked FROM (
+            SELECT e.user_id, e.ts, e.n, e.now, s.until, CASE WHEN e.now < s.until THEN s.fails WHEN kind = 'error' THEN s.fails + 1 WHEN kind = 'signup' THEN 0 ELSE s.fails END AS f FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1)))
+      SELECT user_id, ts AS locked_at FROM s WHERE locked""",
+)
 
 
 @query("SELECT event_id AS id, coalesce(sum((event_type = 'error')::int) OVER (PARTITION BY user_id, time_bucket(INTERVAL 1 DAY, ts) ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 2 AS rejected FROM events")
