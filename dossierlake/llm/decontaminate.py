@@ -246,6 +246,36 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, blo
     )
 
 
+def cut_words(text: str | None, spans: list[tuple[int, int]]) -> str | None:
+    """A text without the words of ``spans`` (word places) and what stands between them; one blank marks each cut within the text."""
+    if not text or not spans:
+        return text
+    raw = text.encode("utf-8", "surrogatepass")
+    places = [m.span() for m in _WORD.finditer(raw.lower())]
+    kept, at = [], 0
+    for a, b in spans:
+        kept.append(raw[at : places[a][0]])
+        at = places[b - 1][1]
+    kept.append(raw[at:])
+    return b" ".join(part.strip() for part in kept if part.strip()).decode("utf-8", "surrogatepass")
+
+
+def remove(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block: int = BLOCK, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """``docs``, all rows and columns, with the hit stretches of their texts cut out.
+
+    Rows are told apart by themselves, so repeated and null ids are cut each by its own text. A text without hits stays as it
+    is, null and empty ones too; one that was hit throughout is empty.
+    """
+    own = "row of the text"
+    rows = materialize(docs.withColumn(own, F.monotonically_increasing_id()), "texts")
+    found = decontaminate(rows.select(F.col(own).alias("doc_id"), "text"), benchmark, width, block, shard_words)
+    hit = found.filter("size(spans) > 0").select(F.col("doc_id").alias(own), F.col("spans").alias("spans of the text"))
+    cut = F.udf(lambda text, spans: cut_words(text, [(x["start"], x["end"]) for x in spans]), "string", useArrow=True)
+    joined = rows.join(hit, own, "left")
+    text = F.when(F.col("spans of the text").isNull(), F.col("text").cast("string")).otherwise(cut(F.col("text").cast("string"), F.coalesce("spans of the text", F.expr("cast(array() as array<struct<start:int,end:int>>)"))))
+    return joined.withColumn("text", text).select(*docs.columns)
+
+
 def _arrow(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

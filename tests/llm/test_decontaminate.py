@@ -86,6 +86,20 @@ def test_random_texts(spark):
             assert (r.n_words, [tuple(s) for s in r.spans], r["items"]) == plain(texts[r.doc_id], items, 5)
 
 
+def test_removal(spark):
+    assert decontaminate.cut_words("a, B c! d é-f", [(0, 1), (2, 4)]) == ", B é-f"
+    assert decontaminate.cut_words("x y", [(0, 2)]) == "" and decontaminate.cut_words(None, [(0, 1)]) is None and decontaminate.cut_words("x", []) == "x"
+    docs, items = frames(spark, TEXTS, ITEMS)
+    got = decontaminate.remove(docs.repartition(3), items)
+    assert got.columns == docs.columns
+    kept = {r["doc_id"]: r["text"] for r in got.collect()}
+    for i, t in enumerate(TEXTS):
+        n, spans, _ = plain(t, ITEMS, 10)
+        left = kept[None if i == 12 else i]
+        assert left == t if not spans else words(left) == [w for k, w in enumerate(words(t)) if not any(a <= k < e for a, e in spans)]
+    assert decontaminate.remove(docs.limit(0), items).count() == 0
+
+
 def test_empty_tables(spark):
     docs, items = frames(spark, TEXTS, ITEMS)
     assert decontaminate.decontaminate(docs.limit(0), items).count() == 0
