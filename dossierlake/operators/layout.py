@@ -108,23 +108,34 @@ def _runs(values: np.ndarray, near: float) -> np.ndarray:
     return np.searchsorted(cuts, np.arange(len(values)), "right") - 1
 
 
+def _first_fit(values: np.ndarray, near: float) -> np.ndarray:
+    """Sizes of clusters of values that come in their order: each joins the oldest cluster whose mean is ``near``, or founds one."""
+    mean, size, many = np.zeros(len(values)), np.zeros(len(values), np.int64), 0
+    for v in values:
+        fits = np.abs(mean[:many] - v) <= near
+        k = int(fits.argmax()) if fits.any() else many
+        many = max(many, k + 1)
+        size[k] += 1
+        mean[k] += (v - mean[k]) / size[k]
+    return size[:many]
+
+
 def _clusters(boxes: pd.DataFrame) -> tuple[int, int, int]:
     """Rows, rows of two boxes or more, and columns that three of the boxes in such rows, or more, share."""
     x, y0, y1 = (boxes[c].to_numpy(float) for c in ("x0", "y0", "y1"))
     height = np.sort(np.maximum(y1 - y0, 1.0))[len(boxes) // 2]
-    order = np.argsort((y0 + y1) / 2, kind="stable")
+    order = np.lexsort((x, (y0 + y1) / 2))
     row = _runs(((y0 + y1) / 2)[order], max(6.0, 0.75 * height))
     boxes_in = np.bincount(row)
-    edges = np.sort(x[order][boxes_in[row] > 1])
-    column = _runs(edges, max(12.0, 2.0 * height))
-    return len(boxes_in), int((boxes_in > 1).sum()), int((np.bincount(column) >= LEAST_IN_COLUMN).sum()) if len(edges) else 0
+    columns = _first_fit(x[order][boxes_in[row] > 1], max(12.0, 2.0 * height))
+    return len(boxes_in), int((boxes_in > 1).sum()), int((columns >= LEAST_IN_COLUMN).sum())
 
 
 def aligned_boxes(boxes: DataFrame) -> DataFrame:
     """(page, boxes, rows, multi, stable, table) of boxes (page, x0, y0, x1, y1): does repeated alignment hint at a table?
 
-    Rows are runs of sorted box centres, columns runs of sorted left edges, each around its running mean, so a
-    page is read by one task; pages side by side. Boxes without an extent or with nulls are left out, and with them pages that have no other.
+    Rows are runs of sorted box centres around their running mean. Boxes of rows of two or more are taken by row, centre and left
+    edge; each joins the oldest column whose mean left edge is near, which depends on that order. A page is read by one task, pages side by side. Boxes without an extent or with nulls are left out, and with them pages that have no other.
     """
 
     def one(page: pd.DataFrame) -> pd.DataFrame:

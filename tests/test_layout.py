@@ -3,6 +3,8 @@
 import itertools
 import unicodedata
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from dossierlake.functions import similarity as S
@@ -50,6 +52,28 @@ def test_aligned_boxes(spark):
     assert got == {1: (9, 3, 3, 3, True), 2: (9, 9, 0, 0, False), 3: (1, 0, 0, 0, False)}
 
 
+def plain_columns(rows, near):
+    """Column means and sizes of left edges, row after row, each edge in the oldest column that is near."""
+    columns = []
+    for edges in rows:
+        for x in edges:
+            hit = [c for c in columns if abs(sum(c) / len(c) - x) <= near][:1]
+            hit[0].append(x) if hit else columns.append([x])
+    return [len(c) for c in columns]
+
+
+def test_columns_depend_on_the_order_of_boxes():
+    import random
+
+    rnd = random.Random(3)
+    for _ in range(200):
+        rows = [sorted(rnd.randrange(0, 120) for _ in range(rnd.randrange(2, 6))) for _ in range(rnd.randrange(1, 7))]
+        assert layout._first_fit(np.array([float(x) for r in rows for x in r]), 20.0).tolist() == plain_columns(rows, 20.0)
+    frame = pd.DataFrame([(x, 30.0 * k, x + 5.0, 30.0 * k + 10) for k, r in enumerate([[0, 60], [18, 60], [36, 60], [0, 54]]) for x in r], columns=["x0", "y0", "x1", "y1"])
+    # the first column's mean moves from 0 to 9, so that 36 founds one of its own, which sorted edges would not
+    assert layout._clusters(frame) == (4, 4, 2)
+
+
 def test_continued_headers(spark):
     rows = [(1, "h", 5), (2, None, 4), (3, None, 0), (4, None, 2), (5, "k", 1), (None, None, 3), (6, None, 2), (8, None, 2), (9, "m", 0), (10, None, 1), (None, "n", 2), (11, None, 1)]
     frame = spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], "doc_id int, table_index int, page int, header string, n_rows int")
