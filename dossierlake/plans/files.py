@@ -78,6 +78,24 @@ def s3_sheets(t):
     return S.list_sheets(S.workbook_cells(_workbooks(t)), F.col("value").rlike("^[0-9]*3$")).select("path", "sheet").distinct()
 
 
+@query("SELECT url, md5(html) AS digest FROM pages")
+def s12_saved_pages(t):
+    """Pages saved as a JSON file each, and read again."""
+    path = _folder(t, "pages")
+    t.pages.select("url", "html").write.option("maxRecordsPerFile", 1).json(path)
+    return S.read_saved_pages(t.spark, path).select("url", F.md5(F.col("html").cast("binary")).alias("digest"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice >= 200000 THEN 'large' ELSE 'small' END AS size FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')")
+def s16_config(t):
+    """A configuration file whose lists and thresholds become literals of the plan."""
+    path = _folder(t, "config")
+    t.orders.limit(1).select(F.to_json(F.struct(F.array(F.lit("1-URGENT"), F.lit("5-LOW")).alias("priorities"), F.lit(200_000).alias("large"))).alias("value")).coalesce(1).write.text(path)
+    config = S.read_config(t.spark, path)
+    size = F.when(F.col("o_totalprice") >= config["large"], "large").otherwise("small")
+    return t.orders.filter(F.col("o_orderpriority").isin(*config["priorities"])).select("o_orderkey", size.alias("size"))
+
+
 _TALKS = "(SELECT conv_id::varchar AS path, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS nth, role, text FROM conversations)"
 
 
