@@ -212,7 +212,13 @@ def a15_micro_f1(t):
     return got.select(F.lit(1).alias("one"), F.round("entity_f1", 6).alias("entity_f1"), F.round("relation_f1", 6).alias("relation_f1"))
 
 
-@query()
+_MARKS = "ăâđêôơưáàảãạắằẳẵặấầẩẫậéèẻẽẹếềểễệíìỉĩịóòỏõọốồổỗộớờởỡợúùủũụứừửữựýỳỷỹỵ"
+
+
+@query(f"""WITH b AS (SELECT item_id % 2 = 0 AS p, item_id % 3 AS seconds, text AS t, CASE WHEN item_id % 2 = 0 THEN strip_accents(text) ELSE regexp_replace(text, '\\b(the|der|la|de) ', '', 'g') END AS r FROM benchmark),
+  c AS (SELECT *, len(list_filter(string_split_regex(t, '\\s+'), lambda w: w <> '')) AS words, len(list_filter(string_split_regex(t, '\\s+'), lambda w: w <> '' AND strip_accents(w) <> w)) AS changed, len(list_filter(string_split_regex(r, '\\s+'), lambda w: w <> '')) AS left_,
+    CASE WHEN p THEN len(list_filter(range(1, len(t) + 1), lambda i: t[i] <> r[i])) ELSE len(t) - len(r) END AS letters, length(regexp_replace(t, '[^{_MARKS}{_MARKS.upper()}]', '', 'g')) AS marks FROM b)
+  SELECT CASE WHEN p THEN 'primary' ELSE 'fallback' END AS engine, count(*) AS samples, avg(letters::double / len(t)) AS cer, avg(CASE WHEN p THEN changed ELSE words - left_ END::double / words) AS wer, avg(CASE WHEN p AND marks > 0 THEN 0.0 ELSE 1.0 END)::double AS diacritic_accuracy, avg(seconds)::double AS seconds FROM c GROUP BY p""")
 def a16_reading_scores(t):
     """Benchmark passages against readings that lost marks or words."""
     engine = F.when(F.col("item_id") % 2 == 0, "primary").otherwise("fallback")
