@@ -144,12 +144,12 @@ def t11_p95(t):
     return E.histogram_quantile(buckets, ["start"], 0.95).select("start", F.round("value", 6).alias("p95"))
 
 
-def _stateful(name, build, sql):
+def _stateful(name, build, sql, at_once=False):
     """A query of a stream with keyed state over the events, drained into a table."""
 
     def run(spark, sf_dir):
         with K.keyed_state(spark):
-            return build(S.drain(build.stream(spark, sf_dir), f"{shared_folder(spark)}/stream-{name}-{uuid.uuid4().hex}"))
+            return build(S.drain(build.stream(spark, sf_dir), f"{shared_folder(spark)}/stream-{name}-{uuid.uuid4().hex}", at_once))
 
     QUERIES[name] = run
     SQL[name] = sql
@@ -190,6 +190,13 @@ _stateful("t5_stream_sessions", _session_rows, """
   UNION ALL SELECT event_id, 'REVOKED', next_ts, next FROM e WHERE next_ts < ends
   UNION ALL SELECT event_id, 'EXPIRED', ends, NULL FROM e, m WHERE (next_ts IS NULL OR next_ts >= ends) AND (ends <= next_ts OR ends <= date_trunc('millisecond', mark))""")
 
+@_from(lambda spark, sf_dir: K.once_within(S.read_events(spark, sf_dir).withColumn("key", F.concat_ws(":", F.col("user_id").cast("string"), "event_type")), "key", 86_400))
+def _once(table):
+    return table.select("key", "event_id")
+
+
+_stateful("t6_stream_once", _once, "SELECT user_id || ':' || event_type AS key, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1", at_once=True)
+
 STEP = 3600
 RULES = [
     A.Rule("errors", "event_type = 'error'", "true", 0.2, 6 * 3600, 3 * 3600),

@@ -54,10 +54,13 @@ def lockouts(events: DataFrame, failure: str = "error", success: str = "signup")
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, locked_at timestamp", "fails int, until long", "append", "NoTimeout")
 
 
-def drain(stream: DataFrame, folder: str) -> DataFrame:
-    """Run a stream over what is there into a table under ``folder``, and read that table. A second run adds what is new."""
+def drain(stream: DataFrame, folder: str, at_once: bool = False) -> DataFrame:
+    """Run a stream over what is there into a table under ``folder``, and read that table. A second run adds what is new.
+
+    ``at_once`` takes all of it as one batch: state on processing time asks for batch after batch and would not end.
+    """
     out = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/table")
-    out.trigger(availableNow=True).start().awaitTermination()
+    (out.trigger(once=True) if at_once else out.trigger(availableNow=True)).start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/table")
 
 

@@ -140,6 +140,37 @@ def sessions(logins: DataFrame, hours: int = SESSION_HOURS, late: str = "10 minu
     return rows.groupBy("user_id").transformWithStateInPandas(_Sessions(hours), "event_id long, user_id long, what string, us long, by long", "append", "eventTime")
 
 
+class _Once(StatefulProcessor):
+    """Whether a key was seen; the store itself forgets it after a time."""
+
+    def __init__(self, seconds: int):
+        self.millis = seconds * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "event_id long", ttlDurationMs=self.millis)
+
+    def handleInputRows(self, key, rows, timerValues):
+        rows = _in_order(rows, "us", "event_id")
+        first = rows.iloc[:0]
+        if not self.seen.exists():
+            first = rows.iloc[:1]
+            self.seen.update((int(first["event_id"].iloc[0]),))
+        yield first[["event_id", "us"]].assign(key=key[0])[["event_id", "key", "us"]]
+
+    def close(self) -> None:
+        pass
+
+
+def once_within(events: DataFrame, key: str, seconds: int) -> DataFrame:
+    """(event_id, key, us) of a stream of events (event_id, ts, ``key``): the first event of a key, by time within a batch.
+
+    A key that was let through is remembered for ``seconds`` of the clock (state with a time to live), however late its
+    other events are; after that its next event counts as new. Keys are text.
+    """
+    rows = events.select("event_id", F.col(key).cast("string").alias("key"), F.unix_micros("ts").alias("us"))
+    return rows.groupBy("key").transformWithStateInPandas(_Once(seconds), "event_id long, key string, us long", "append", "processingTime")
+
+
 class _Alerts(StatefulProcessor):
     """Since when a rule's condition holds, and whether it fires. A timer resolves it when no more windows come."""
 

@@ -172,6 +172,24 @@ def test_sessions_over_batches(spark, tmp_path):
     assert len({w[1] for w in want}) == 3
 
 
+def test_keys_are_forgotten_after_their_time(spark, tmp_path):
+    """A second run within the time to live lets nothing through again; after it the keys are new."""
+    import time
+
+    for seconds, pause, again in ((3600, 0, 1), (1, 4, 3)):
+        folder = tmp_path / str(seconds)
+        rows_ = [(1, day(5), 7, "a"), (2, day(3), 7, "a"), (3, day(9), 8, "b")]
+        later = [(4, day(20), 7, "a"), (5, day(21), 9, "c"), (6, day(22), 8, "b")]
+        with state.keyed_state(spark):
+            stream = stream_of(spark, folder, [rows_], EVENTS)
+            first = S.drain(state.once_within(stream, "user_id", seconds), f"file://{folder}/out", at_once=True).collect()
+            assert sorted((r["event_id"], r["key"]) for r in first) == [(2, "7"), (3, "8")]
+            time.sleep(pause)
+            spark.createDataFrame(later, EVENTS).coalesce(1).write.parquet(f"{folder}/in/late")
+            both = S.drain(state.once_within(stream, "user_id", seconds), f"file://{folder}/out", at_once=True)
+        assert both.count() == 2 + again and {r["key"] for r in both.collect()} == {"7", "8", "9"}
+
+
 def plain_intervals(held, step, hold):
     out = []
     for at, ratio in sorted(held):
