@@ -29,18 +29,33 @@ STRETCH = 2048
 LEVEL = 3
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-3) -> np.ndarray:
-    """Weights of a logistic regression with an intercept (last), by Newton steps."""
-    x = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x.shape[1])
+def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 100, ridge: float = 1e-3) -> np.ndarray:
+    """Weights of a logistic regression with an intercept (last), by Newton steps that are halved until the loss falls.
+
+    Features are scaled to unit spread while they are fitted, so that like features of unlike scale do not
+    throw a step far off; classes that are all but apart only grow the weights as far as the ridge lets them.
+    """
+    middle, spread = x.mean(0), x.std(0)
+    spread[spread == 0] = 1.0
+    z = np.column_stack([(x - middle) / spread, np.ones(len(x))])
+    side = np.where(y > 0.5, 1.0, -1.0)
+    loss = lambda w: np.logaddexp(0.0, -side * (z @ w)).sum() + 0.5 * ridge * (w @ w)
+    w = np.zeros(z.shape[1])
+    now = loss(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + ridge * w
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(h, g)
-        w -= step
-        if np.abs(step).max() < 1e-8:
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -500, 500)))
+        g = z.T @ (p - y) + ridge * w
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w)), g)
+        share = 1.0
+        while (then := loss(w - share * step)) > now and share > 1e-6:
+            share /= 2
+        if then > now:
             break
+        w, last, now = w - share * step, now, then
+        if last - now < 1e-9 * max(1.0, now):
+            break
+    w[:-1] /= spread
+    w[-1] -= w[:-1] @ middle
     return w
 
 
@@ -84,9 +99,12 @@ def _dictionary(texts: list[str]) -> bytes:
         return b"\n".join(parts)[-DICT_BYTES:] or b"no text "
 
 
-def learn(labelled: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
+def learn(labelled: DataFrame, label: str = "quality", sample: int = SAMPLE, share: float | None = None) -> Model:
     """Model from (text, label) rows. Null or empty texts and null labels do not count.
 
+    ``share`` is the share of good rows among all that are labelled: a sample of like sizes of both classes has another,
+    and the score is that of all rows. Without it the sample's own share holds.
+
     About ``sample`` rows of each class count, by a hash of their text and id, each text once. Half of them
     build the dictionaries: whole texts, in hash order, of ``DICT_SAMPLE`` characters in all a class (at least one text), which
     come to the driver. The other half calibrate the score: their whole texts are measured where they are, and numbers alone return.
@@ -110,6 +128,9 @@ def learn(labelled: DataFrame, label: str = "quality", sample: int = SAMPLE) ->
     x = np.array(rest["x"].tolist())
     order = np.lexsort(x.T)  # alike in every run
     model.weights = logistic(x[order], rest["y"].to_numpy(float)[order])
+    own = float(rest["y"].mean())
+    if share is not None and 0 < share < 1:
+        model.weights[-1] += math.log(share / (1 - share)) - math.log(own / (1 - own))
     return model
 
 

@@ -67,7 +67,8 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
     labels = table(spark, sf_dir, "labels").filter(remainder(5) != 0)
-    return quality.learn(labelled_sample(table(spark, sf_dir, "documents"), labels, "quality", quality.SAMPLE))
+    share = labels.filter(F.col("quality").isin(0, 1)).select("doc_id", "quality").distinct().agg(F.avg("quality")).first()[0]
+    return quality.learn(labelled_sample(table(spark, sf_dir, "documents"), labels, "quality", quality.SAMPLE), share=share)
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:

@@ -27,7 +27,7 @@ SAMPLE = 6_000  # labelled rows of each class, by hash
 STEMS = (4, 5, 6)  # lengths of word beginnings that may be terms
 PRECISION = 0.8  # toxic share of a term's rows
 COSTS, READINGS = 200_000, 50_000  # costs of letters, and readings of short stretches, that a worker remembers
-WORDS = 200_000  # distinct words whose counts a task holds before it passes their trigrams on
+WORDS = 100_000  # distinct words whose counts a task holds before it passes their trigrams on
 SLOT_BITS, PAIR_BITS = 22, 20  # slots of the tables of character trigrams and pairs
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 # Letters that a sign may stand for.
@@ -101,9 +101,12 @@ def _lattice(span: str, apart: bool) -> list[tuple[str, int, str]]:
 
 def _slots(codes: np.ndarray, bits: int) -> np.ndarray:
     """Slots, below 2**bits, of n-grams packed in 64 bits."""
-    with np.errstate(over="ignore"):
-        mixed = (codes.astype(np.uint64) ^ (codes.astype(np.uint64) >> np.uint64(31))) * _MIX
-        return ((mixed ^ (mixed >> np.uint64(29))) * _MIX2 >> np.uint64(64 - bits)).astype(np.int64)
+    x = codes.astype(np.uint64)
+    for shift, factor in ((31, _MIX), (29, _MIX2)):
+        x ^= x >> np.uint64(shift)
+        x *= factor
+    x >>= np.uint64(64 - bits)
+    return x.view(np.int64)
 
 
 class Trigrams:

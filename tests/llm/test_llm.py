@@ -440,3 +440,26 @@ def test_packing_residue_costs_nothing(spark, monkeypatch):
         monkeypatch.setattr(packing, "RESIDUE", residue)
         found.append(packing.pack(frame).select("sequence_id").distinct().count())
     assert found[0] == found[1]
+
+
+def test_logistic_does_not_run_away():
+    """Features that go together and classes that are nearly apart: the loss falls and the curve tells the classes apart."""
+    rnd = np.random.default_rng(5)
+    y = (rnd.random(6000) < 0.5).astype(float)
+    d = np.where(y == 1, 0.06, -0.09) + 0.03 * rnd.standard_normal(6000)
+    rate = np.where(y == 1, -0.7, -1.9) + 0.2 * rnd.standard_normal(6000)
+    x = np.column_stack([d, d * (1 - 1e-3 * rnd.random(6000)), rate, rate + d, d * rate])
+    w = quality.logistic(x, y)
+    p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
+    assert np.isfinite(w).all() and ((p >= 0.5) == (y == 1)).mean() > 0.98 and -np.log(np.where(y == 1, p, 1 - p) + 1e-12).mean() < 0.1
+    even = quality.logistic(np.ones((4, 1)), np.array([0.0, 1.0, 1.0, 1.0]))
+    assert abs(1 / (1 + np.exp(-(even[0] + even[1]))) - 0.75) < 0.01
+    apart = quality.logistic(np.array([[0.0], [1.0]] * 20), np.array([0.0, 1.0] * 20))
+    assert np.isfinite(apart).all() and apart[0] > 0
+
+
+def test_quality_of_unequal_samples(spark):
+    """A sample of like sizes is set right by the share of good rows among all."""
+    rows = labelled(spark, "the river runs along the valley and the fields", "$$$ %%% buy now ### click ***", "quality")
+    plain, shifted = quality.learn(rows), quality.learn(rows, share=0.9)
+    assert shifted.weights[-1] > plain.weights[-1] and shifted.weights[:-1].tolist() == plain.weights[:-1].tolist()
