@@ -15,11 +15,13 @@ from collections.abc import Callable, Iterator
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dossierlake.llm.bpe import batches_of
 from dossierlake.llm.common import bounded_sample
 from dossierlake.llm.quality import logistic, score_with
 
@@ -27,7 +29,7 @@ SAMPLE = 6_000  # labelled rows of each class, by hash
 STEMS = (4, 5, 6)  # lengths of word beginnings that may be terms
 PRECISION = 0.8  # toxic share of a term's rows
 COSTS, READINGS = 200_000, 50_000  # costs of letters, and readings of short stretches, that a worker remembers
-WORDS = 100_000  # distinct words whose counts a task holds before it passes their trigrams on
+WORDS = 50_000  # distinct words whose counts a task holds before it passes their trigrams on
 SLOT_BITS, PAIR_BITS = 22, 20  # slots of the tables of character trigrams and pairs
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 # Letters that a sign may stand for.
@@ -318,30 +320,33 @@ def _parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"y": y, "what": list(terms[y]), "n": list(terms[y].values())})
 
 
-def _letters(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences of the character trigrams in the distinct words of each text, and of the pairs they begin with, by slot."""
     words: Counter = Counter()
 
-    def passed_on() -> pd.DataFrame:
+    def passed_on() -> Iterator[pa.RecordBatch]:
         n, sizes = np.fromiter(words.values(), np.int64), np.fromiter(map(len, words), np.int64) + 3
         codes = np.frombuffer("".join(f"^^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         words.clear()
-        pairs, inside = codes[:-2] << 21 | codes[1:-1], np.ones(len(codes), bool)
+        inside = np.ones(len(codes), bool)
         ends = np.cumsum(sizes)
         inside[ends - 1] = inside[ends - 2] = False  # a trigram does not go on into the next word
-        times, out = np.repeat(n, sizes - 2), []
-        for size, grams, bits in ((3, pairs << 21 | codes[2:], SLOT_BITS), (2, pairs, PAIR_BITS)):
-            found, at = np.unique(_slots(grams[inside[:-2]], bits), return_inverse=True)
-            out.append(pd.DataFrame({"size": size, "slot": found, "n": np.bincount(at, times).astype(np.int64)}))
-        return pd.concat(out)
-
-    for f in frames:
-        for text in f["text"]:
+        at = np.flatnonzero(inside[:-2])
+        grams, times = codes[at] << 21 | codes[at + 1], np.repeat(n, sizes - 2)
+        for size, bits in ((2, PAIR_BITS), (3, SLOT_BITS)):
+            if size == 3:
+                grams = grams << 21 | codes[at + 2]
+            found, place = np.unique(_slots(grams, bits), return_inverse=True)
+            counts = np.bincount(place, times).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), size, np.int32)), pa.array(found), pa.array(counts)], ["size", "slot", "n"])
+
+    for b in batches_of(batches, 1_000_000):
+        for text in b.column(0).to_pylist():
             words.update(set(_WORD.findall(text.lower())))
             if len(words) > WORDS:
-                yield passed_on()
+                yield from passed_on()
     if words:
-        yield passed_on()
+        yield from passed_on()
 
 
 def _around(names: set[str]):
@@ -405,7 +410,7 @@ def learn(labelled: DataFrame, label: str = "toxic", sample: int = SAMPLE, texts
         if not any("^" + w[1 : 1 + k] in terms for k in STEMS if len(w) > k):
             terms[w] = strength[w]
     whole = (rows if texts is None else texts).select(F.col("text").cast("string").alias("text")).filter(F.length("text") > 0)
-    letters = whole.mapInPandas(_letters, "size int, slot long, n long").groupBy("size", "slot").agg(F.sum("n").alias("n")).toPandas()  # as many rows as slots at most
+    letters = whole.mapInArrow(_letters, "size int, slot long, n long").groupBy("size", "slot").agg(F.sum("n").alias("n")).toPandas()  # as many rows as slots at most
     tables = [letters[letters["size"] == k] for k in (3, 2)]
     model = Model(Trigrams(*((t["slot"].to_numpy(), t["n"].to_numpy()) for t in tables)), terms)
     sent = labelled.sparkSession.sparkContext.broadcast(model)
