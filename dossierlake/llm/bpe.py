@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 LEAF = 12  # symbols of a leaf
 WINDOW = 2  # tokens on both sides of a join that are encoded anew at first
-CHUNK = 5_000_000  # bytes of text encoded at a time
+CHUNK = 2_500_000  # bytes of text encoded at a time
 _NONE = np.int64(1 << 40)
 
 
