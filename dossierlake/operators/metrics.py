@@ -35,10 +35,23 @@ def word_error_rate(truth: Column, got: Column) -> Column:
     return let(F.struct(words(truth).alias("a"), words(got).alias("b")), rate)
 
 
+def _ranges(letters: str) -> str:
+    """Letters as ranges for a class of a pattern: a class of single letters asks them one after the other."""
+    out: list[list[int]] = []
+    for code in sorted(set(map(ord, letters))):
+        if out and code == out[-1][1] + 1:
+            out[-1][1] = code
+        else:
+            out.append([code, code])
+    return "".join(f"{chr(a)}-{chr(b)}" if a < b else chr(a) for a, b in out)
+
+
 def diacritic_accuracy(truth: Column, got: Column) -> Column:
     """One less the error rate of the marked letters alone, 0 at least."""
-    letters = f"[^{MARKED}{MARKED.upper()}]"
-    return F.greatest(F.lit(0.0), 1 - T.error_rate(F.regexp_replace(truth, letters, ""), F.regexp_replace(got, letters, "")))
+    others = f"[^{_ranges(MARKED + MARKED.upper())}]+"
+    marked = lambda c: F.regexp_replace(F.regexp_replace(c, r"[\x00-\x7f]+", ""), others, "")
+    pair = F.array(F.struct(marked(truth).alias("truth"), marked(got).alias("got")))
+    return F.element_at(F.transform(pair, lambda p: F.greatest(F.lit(0.0), 1 - T.error_rate(p["truth"], p["got"]))), 1)
 
 
 def reading_scores(readings: DataFrame) -> DataFrame:

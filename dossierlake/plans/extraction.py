@@ -244,4 +244,4 @@ def f7_wer(t):
 
 @query("SELECT doc_id, CASE WHEN m = 0 THEN 1.0 ELSE 0.0 END::double AS accuracy FROM (SELECT doc_id, length(regexp_replace(text, '[^âăêôơưáàéèíìóòúùÂĂÊÔƠƯÁÀÉÈÍÌÓÒÚÙãõÃÕđĐýÝ]', '', 'g')) AS m FROM documents)")
 def f8_diacritic_accuracy(t):
-    return t.documents.select("doc_id", metrics.diacritic_accuracy(F.col("text"), T.strip_marks(F.col("text"))).alias("accuracy"))
+    return T.dealt(t.documents.select("doc_id", "text")).select("doc_id", metrics.diacritic_accuracy(F.col("text"), T.strip_marks(F.col("text"))).alias("accuracy"))
