@@ -53,12 +53,33 @@ def exact_tiers(mentions: DataFrame, forms: DataFrame) -> DataFrame:
     return mentions.join(best, "name", "left").withColumn("unit_id", F.when(F.col("n_units") == 1, F.col("unit_id")))
 
 
+def _merged_spans(codes: DataFrame) -> DataFrame:
+    """(k, u, valid_from, valid_to) of units under codes with the spans of a unit that meet made one, so that a day is in one at most."""
+    sound = codes.filter("valid_from is null or valid_to is null or valid_from <= valid_to").distinct()
+    earlier = Window.partitionBy("k", "u").orderBy(F.asc_nulls_first("valid_from"), F.asc_nulls_last("valid_to")).rowsBetween(Window.unboundedPreceding, -1)
+    apart = ~F.coalesce(F.bool_or(F.col("valid_to").isNull()).over(earlier), F.lit(False)) & F.coalesce(F.col("valid_from") > F.max("valid_to").over(earlier), F.lit(False))
+    numbered = sound.withColumn("apart", apart.cast("int"))
+    numbered = numbered.withColumn("nth", F.coalesce(F.sum("apart").over(earlier), F.lit(0)) + F.col("apart"))
+    open_or = lambda c, best: F.when(~F.bool_or(F.col(c).isNull()), best(c)).alias(c)
+    return numbered.groupBy("k", "u", "nth").agg(open_or("valid_from", F.min), open_or("valid_to", F.max)).drop("nth")
+
+
 def by_code(mentions: DataFrame, codes: DataFrame) -> DataFrame:
-    """(mention_id, code_unit): least unit whose code equals the mention's, case and outer blanks aside; both valid on the day."""
-    m = mentions.filter("code is not null").select("mention_id", "as_of", F.lower(F.trim("code")).alias("k"))
+    """(mention_id, code_unit): least unit whose code equals the mention's, case and outer blanks aside; both valid on the day.
+
+    Units of a code are counted by span of validity, and a code and day are asked once, so that no row is made for a mention and a unit.
+    """
+    m = mentions.filter("code is not null").select("mention_id", "as_of", F.lower(F.trim("code")).alias("k")).distinct()
     c = codes.select(F.lower(F.trim("code")).alias("k"), F.col("unit_id").alias("u"), "valid_from", "valid_to")
-    hit = m.join(c, "k").filter(T.active_on(F.col("as_of"), F.col("valid_from"), F.col("valid_to")))
-    return hit.groupBy("mention_id").agg(F.min("u").alias("code_unit"), F.count_distinct("u").alias("n_code_units"))
+    valid = T.active_on(F.col("as_of"), F.col("valid_from"), F.col("valid_to"))
+    m = m.withColumn("asks", F.count(F.lit(1)).over(Window.partitionBy("mention_id")))
+    spans = _merged_spans(c).groupBy("k", "valid_from", "valid_to").agg(F.min("u").alias("u"), F.count("u").alias("n"))
+    asked = m.filter("asks = 1").select("k", "as_of").distinct()
+    found = asked.join(spans, "k").filter(valid).groupBy("k", F.col("as_of").alias("day")).agg(F.min("u").alias("code_unit"), F.sum("n").alias("n_code_units"))
+    once = m.filter("asks = 1").join(found.withColumnRenamed("k", "code"), (F.col("k") == F.col("code")) & F.col("as_of").eqNullSafe(F.col("day"))).select("mention_id", "code_unit", "n_code_units")
+    # a mention of several codes or days may meet a unit by each of them
+    again = m.filter("asks > 1").join(c, "k").filter(valid).groupBy("mention_id").agg(F.min("u").alias("code_unit"), F.count_distinct("u").alias("n_code_units"))
+    return once.unionByName(again)
 
 
 def bm25(queries: DataFrame, docs: DataFrame) -> DataFrame:

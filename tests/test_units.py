@@ -108,3 +108,24 @@ def test_person_decisions(spark):
     assert kinds[2] == ("SYNTHETIC_DEMO", [1, 2]) and kinds[14] == ("PROVIDED", [5, 6]) and kinds[1] == ("PROVIDED", [1, 3]) and kinds[11] == ("PROVIDED", []) and kinds[16] == ("ROSTER", [4, 5])
     rich = persons.with_units(resolved.filter("mention_id = 2"), people, units).first()["candidates"]
     assert [(c["person_id"], c["unit_name"]) for c in rich] == [(1, None), (2, "Đơn vị hai")]
+
+
+def test_codes_are_counted_by_span(spark):
+    """Spans of a unit that meet, days without a span, mentions with two codes, against a plain loop."""
+    import datetime
+    import random
+
+    from pyspark.sql import functions as F
+
+    from dossierlake.operators import resolve
+
+    rnd, day = random.Random(8), lambda n: datetime.date(2020, 1, 1) + datetime.timedelta(n)
+    ends = lambda: (None if rnd.random() < 0.2 else day(rnd.randrange(30)), None if rnd.random() < 0.2 else day(rnd.randrange(30)))
+    codes = [(f"C{rnd.randrange(3)}", rnd.randrange(6), *ends()) for _ in range(60)]
+    asked = [(k % 90, f" c{rnd.randrange(4)} ", day(rnd.randrange(32))) for k in range(110)]
+    got = resolve.by_code(spark.createDataFrame(asked, "mention_id long, code string, as_of date"), spark.createDataFrame(codes, "code string, unit_id long, valid_from date, valid_to date"))
+    want: dict = {}
+    for m, code, d in asked:
+        want.setdefault(m, set()).update(u for c, u, a, b in codes if c.lower() == code.strip() and (a is None or a <= d) and (b is None or d <= b))
+    assert {r["mention_id"]: (r["code_unit"], r["n_code_units"]) for r in got.collect()} == {m: (min(us), len(us)) for m, us in want.items() if us}
+    assert all(isinstance(r["n_code_units"], int) for r in got.filter(F.col("mention_id") < 5).collect())
