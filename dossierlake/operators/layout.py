@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 MOST_ACROSS, MOST_DOWN = 1000, 65534  # fixed values: the spans that HTML allows
 LEAST_BOXES, LEAST_ROWS, LEAST_COLUMNS, LEAST_IN_COLUMN = 6, 3, 2, 3  # fixed values: what makes boxes look like a table
@@ -120,10 +123,10 @@ def _first_fit(values: np.ndarray, near: float) -> np.ndarray:
     return size[:many]
 
 
-def _clusters(boxes: pd.DataFrame) -> tuple[int, int, int]:
+def _clusters(boxes: Mapping[str, np.ndarray]) -> tuple[int, int, int]:
     """Rows, rows of two boxes or more, and columns that three of the boxes in such rows, or more, share."""
-    x, y0, y1 = (boxes[c].to_numpy(float) for c in ("x0", "y0", "y1"))
-    height = np.sort(np.maximum(y1 - y0, 1.0))[len(boxes) // 2]
+    x, y0, y1 = (np.asarray(boxes[c], float) for c in ("x0", "y0", "y1"))
+    height = np.sort(np.maximum(y1 - y0, 1.0))[len(x) // 2]
     order = np.lexsort((x, (y0 + y1) / 2))
     row = _runs(((y0 + y1) / 2)[order], max(6.0, 0.75 * height))
     boxes_in = np.bincount(row)
@@ -135,17 +138,50 @@ def aligned_boxes(boxes: DataFrame) -> DataFrame:
     """(page, boxes, rows, multi, stable, table) of boxes (page, x0, y0, x1, y1): does repeated alignment hint at a table?
 
     Rows are runs of sorted box centres around their running mean. Boxes of rows of two or more are taken by row, centre and left
-    edge; each joins the oldest column whose mean left edge is near, which depends on that order. A page is read by one task, pages side by side. Boxes without an extent or with nulls are left out, and with them pages that have no other.
+    Rows are runs of sorted box centres around their running mean. Boxes of rows of two or more are taken by row, centre and left
+    edge; each joins the oldest column whose mean left edge is near, which depends on that order. A page is read by one task, which
+    reads its pages one after the other and holds one batch and one page. Boxes without an extent or with nulls are left out, and with them pages that have no other.
     """
-
-    def one(page: pd.DataFrame) -> pd.DataFrame:
-        rows, multi, stable = _clusters(page) if len(page) >= LEAST_BOXES else (0, 0, 0)
-        table = multi >= LEAST_ROWS and stable >= LEAST_COLUMNS
-        return pd.DataFrame({"page": [page.page.iloc[0]], "boxes": [len(page)], "rows": [rows], "multi": [multi], "stable": [stable], "table": [table]})
-
-    kind = boxes.schema["page"].dataType.simpleString()
-    sound = boxes.filter("page is not null and x1 > x0 and y1 > y0").select("page", *[F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")])
-    return sound.groupBy("page").applyInPandas(one, f"page {kind}, boxes long, rows long, multi long, stable long, table boolean")
+    sides = ("x0", "y0", "x1", "y1")
+
+    def judged(ends: list[tuple], values: np.ndarray) -> pd.DataFrame:
+        out, start = [], 0
+        for page, end in ends:
+            rows, multi, stable = _clusters(dict(zip(sides, values[start:end].T))) if end - start >= LEAST_BOXES else (0, 0, 0)
+            out.append((page, end - start, rows, multi, stable, multi >= LEAST_ROWS and stable >= LEAST_COLUMNS))
+            start = end
+        return pd.DataFrame(out, columns=["page", "boxes", "rows", "multi", "stable", "table"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []  # boxes of a page that may go on in the next batch
+        shaped = lambda frame: pa.RecordBatch.from_pandas(frame, schema, preserve_index=False)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column("page")
+            cuts = np.flatnonzero(np.asarray(pc.not_equal(ids[1:], ids[:-1]))) + 1
+            if held and held[-1].column("page")[-1] != ids[0]:
+                whole = pa.concat_tables(held)
+                yield shaped(judged([(whole.column("page")[0].as_py(), whole.num_rows)], _values(whole)))
+                held = []
+            if len(cuts):
+                whole = pa.concat_tables([*held, pa.Table.from_batches([batch.slice(0, int(cuts[-1]))])])
+                before = sum(t.num_rows for t in held)
+                yield shaped(judged([(ids[int(c) - 1].as_py(), before + int(c)) for c in cuts], _values(whole)))
+                held = []
+            held.append(pa.Table.from_batches([batch.slice(int(cuts[-1]) if len(cuts) else 0)]))
+        if held:
+            whole = pa.concat_tables(held)
+            yield shaped(judged([(whole.column("page")[0].as_py(), whole.num_rows)], _values(whole)))
+
+    def _values(table: pa.Table) -> np.ndarray:
+        return np.column_stack([table.column(c).to_numpy() for c in sides])
+
+    kind = boxes.schema["page"].dataType
+    out = T.StructType([T.StructField("page", kind), *[T.StructField(c, T.LongType()) for c in ("boxes", "rows", "multi", "stable")], T.StructField("table", T.BooleanType())])
+    schema = to_arrow_schema(out)
+    sound = boxes.filter("page is not null and x1 > x0 and y1 > y0").select("page", *[F.col(c).cast("double") for c in sides])
+    return sound.repartition("page").sortWithinPartitions("page").mapInArrow(each, out)
 
 
 def continued_headers(tables: DataFrame) -> DataFrame:

@@ -116,3 +116,26 @@ def test_fit(spark):
     assert r["w_fuzzy"] > 1 and r["w_semantic"] == 0 and r["roc_auc"] > 0.95 and 0 < r["samples"] < 200
     with pytest.raises(ValueError):
         calibrate.fit(frame.filter("label = 1"), "k")
+
+
+def test_pages_go_on_over_batches(spark):
+    """Pages of all sizes, cut by Arrow's batches, against a page alone; a task holds many pages."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(5)
+    rows = [(page, 90.0 * rnd.randrange(4), 14.0 * rnd.randrange(12)) for page in range(60) for _ in range(rnd.choice((1, 5, 6, 7, 40)))]
+    boxes = spark.createDataFrame(rows, "page long, x0 double, y0 double").selectExpr("page", "x0", "y0", "x0 + 40 x1", "y0 + 10 y1")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r["page"]: tuple(r)[1:] for r in layout.aligned_boxes(boxes).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    frame = boxes.toPandas()
+    for page, f in frame.groupby("page"):
+        n, multi, stable = layout._clusters(f) if len(f) >= 6 else (0, 0, 0)
+        assert got[page] == (len(f), n, multi, stable, multi >= 3 and stable >= 2)
+    assert len(got) == 60
+    assert "FlatMapGroups" not in layout.aligned_boxes(boxes)._jdf.queryExecution().executedPlan().toString()  # a call of Python for every page
