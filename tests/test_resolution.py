@@ -85,3 +85,23 @@ def test_version_diff(spark):
     old = spark.createDataFrame([(1, "a", None), (2, "b", "x"), (3, "c", None)], "id int, n string, m string")
     new = spark.createDataFrame([(1, "a", None), (2, "B", None), (4, "d", None)], "id int, n string, m string")
     assert sorted(rows(registry.version_diff(old, new, "id", ["n", "m"]))) == [(2, "CHANGED", "n|m"), (3, "REMOVED", None), (4, "ADDED", None)]
+
+
+def test_people_of_a_name_are_paired_last(spark):
+    """No exchange follows the join of mentions and people; lists of one name are joined with units once; versions of a person count once."""
+    import datetime
+
+    from dossierlake.operators import persons
+
+    day = datetime.date(2020, 5, 1)
+    people = spark.createDataFrame([(k, "an binh", 1950 + k % 2, k % 3, "ROSTER", None if k else datetime.date(2020, 1, 1), None) for k in (*range(6), 0)], "person_id long, name string, birth_year int, unit_id long, source_kind string, valid_from date, valid_to date")
+    mentions = spark.createDataFrame([(k, "AN Binh", None, 1950 if k % 2 else None, None, "unit 1" if k == 3 else None, day) for k in range(4)], "mention_id long, name string, code string, birth_year int, unit_id long, unit_name string, as_of date")
+    none, units = people.select("person_id", "name").limit(0), spark.createDataFrame([("unit 0", 0), ("unit 1", 1)], "name string, unit_id long")
+    pairs = persons.name_candidates(mentions, people, none)
+    plan = pairs._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert "Exchange" not in plan.split("Join")[0] and "Aggregate" not in plan.split("Join")[0]
+    assert sorted((r["mention_id"], r["person_id"]) for r in pairs.collect()) == [(m, p) for m in range(4) for p in range(6)]
+    got = persons.resolve_persons(mentions, people, none, people.select("person_id", persons.F.lit("x").alias("code")), units)
+    assert {r["mention_id"]: (r["status"], r["candidates"], r["source_kind"]) for r in got.collect()} == {0: ("AMBIGUOUS", [0, 1, 2, 3, 4, 5], "ROSTER"), 1: ("AMBIGUOUS", [0, 2, 4], "ROSTER"), 2: ("AMBIGUOUS", [0, 1, 2, 3, 4, 5], "ROSTER"), 3: ("MATCHED", [], "ROSTER")}
+    shown = {r["mention_id"]: [(c["person_id"], c["unit_name"]) for c in r["candidates"]] for r in persons.with_units(got, people.distinct().dropDuplicates(["person_id"]), units).collect()}
+    assert shown[1] == [(0, "unit 0"), (2, None), (4, "unit 1")] and set(shown) == {0, 1, 2}
