@@ -5,7 +5,8 @@ stretch begins and ends with a bigram of the template, as others only lower the
 a Dice coefficient of ``t`` needs the smaller set to have ``t / (2 - t)`` of the larger one's size, so a stretch
 has no more words than that and holds so many of the template's bigrams. Texts without any anchor word are pruned first: a
 template's anchors are so chosen that bigrams without them are too few to reach ``t``. Around an anchor word, as far as
-half the template reaches beyond where the template would stand, the stretches between matching bigrams are weighed.
+half the template reaches beyond where the template would stand, the stretches between matching bigrams are weighed, all of them by a
+bound of their coefficient, and exactly unless the bound is below what another has.
 """
 
 from __future__ import annotations
@@ -88,9 +89,6 @@ def _plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
-CANDIDATES = 3  # stretches around an anchor that are compared exactly: those that match most bigrams for their length
-
-
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Best license of every text: doc_id, license, dice (the best coefficient of any stretch), n_licenses (that reach the threshold).
 
@@ -120,13 +118,24 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
         return F.struct(_let(own, lambda g: F.lit(2.0) * F.size(F.array_intersect(g, e["grams"])) / (F.size(g) + F.size(e["grams"]))).alias("dice"), e["license"].alias("license"))
 
     def stretches(region: Column, e: Column, at: Column) -> Column:
-        """The most promising stretches from one matching bigram to another, by matches over length, compared exactly."""
+        """The best stretch from one matching bigram to another, if it reaches the threshold.
+
+        A stretch has at most as many matches as places that match, and at least as many distinct bigrams as places, less those
+        of the region that repeat one. In falling order of the bound that this gives, stretches are compared exactly until none can be better.
+        """
         size = F.size(e["grams"])
-        pairs = F.flatten(F.transform(at, lambda a, i: F.transform(
-            F.slice(at, i + 1, F.size(at)), lambda b, j: F.struct((F.lit(2.0) * (j + 1) / (b - a + 1 + size)).alias("d"), a.alias("a"), b.alias("b"))
-        )))
-        best = F.slice(F.sort_array(F.filter(pairs, lambda x: x["d"] >= 0.9 * threshold), False), 1, CANDIDATES)
-        return F.filter(F.transform(best, lambda x: exact(region, e, x)), lambda x: x["dice"] >= threshold)
+        repeated = F.size(region) - 1 - F.size(distinct(region))
+
+        def bounded(again: Column) -> Column:
+            pairs = F.flatten(F.transform(at, lambda a, i: F.transform(
+                F.slice(at, i + 1, F.size(at)), lambda b, j: F.struct((F.lit(2.0) * (j + 1) / (F.greatest(b - a + 1 - again, F.lit(1)) + size)).alias("d"), a.alias("a"), b.alias("b"))
+            )))
+            return F.sort_array(F.filter(pairs, lambda x: x["d"] >= threshold), False)
+
+        start = F.struct(F.lit(0.0).alias("dice"), e["license"].alias("license"))
+        better = lambda s, x: F.when(x["d"] > s["dice"], _let(exact(region, e, x), lambda y: F.when(y["dice"] > s["dice"], y).otherwise(s))).otherwise(s)
+        best = F.aggregate(_let(repeated, bounded), start, better)
+        return F.filter(F.array(best), lambda x: x["dice"] >= threshold)
 
     def around(ws: Column, h: Column, e: Column) -> Column:
         reach = F.floor(e["size"] / 2).cast("int")

@@ -65,3 +65,15 @@ def test_query_gives_the_rows_of_sql(spark, tmp_path, notices):
     columns = [c[0] for c in want.description]
     got = [tuple(r) for r in queries.queries()["op2_license_scan"](spark, str(tmp_path)).select(*columns).collect()]
     assert sorted(map(str, got)) == sorted(map(str, want.fetchall()))
+
+
+def test_no_stretch_is_left_out(spark):
+    """Where matches repeat, many stretches look better by places than the one that is best by distinct bigrams."""
+    wording = "alpha beta gamma delta epsilon zeta"
+    for text in ("alpha beta alpha beta alpha beta alpha beta gamma delta epsilon zeta", "alpha beta gamma alpha beta gamma delta epsilon x zeta epsilon zeta", "delta epsilon zeta delta epsilon alpha beta gamma delta epsilon zeta"):
+        words, grams = licenses.words_of(text), licenses.bigrams_of(wording)
+        stretches = [licenses.bigrams_of(" ".join(words[a:b])) for a in range(len(words)) for b in range(a + 2, len(words) + 1)]
+        best = max(2 * len(s & grams) / (len(s) + len(grams)) for s in stretches)
+        got = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), {"T": wording}, 0.6).first()
+        assert got["dice"] == round(best, 6)
+    assert not hasattr(licenses, "CANDIDATES")
