@@ -20,9 +20,10 @@ def free_names(rows: DataFrame) -> Callable[[str], str]:
     return lambda name: mark + name
 
 
-def dealt(rows: DataFrame) -> DataFrame:
-    """``rows`` dealt evenly to some tasks for every core, for costly steps on tables of few splits."""
-    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+def dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows`` dealt to some tasks for every core, for costly steps on tables of few splits: evenly, or by columns, so that steps by
+    these need no further shuffle."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *by)
 
 
 @F.pandas_udf(StringType())
