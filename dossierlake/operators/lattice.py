@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dossierlake.sources.shared import written
+
 # How far a line may lean, and how many lines of either kind a ruled page has at least.
 LEAN, LINES = 2.0, 4
 SNAP = 3.0  # lines and gaps closer than this are one
@@ -64,7 +66,7 @@ def lattice_cells(segments: DataFrame) -> DataFrame:
     Fields are between neighbouring lines of a page. Without a line between them, fields are one cell. Level bands that no
     upright line crosses part the tables of a page (``part``); fields outside a table's outer lines are none.
     """
-    lines = ruled_lines(segments)
+    lines = written(ruled_lines(segments), "lattice-lines")  # met four times
     upright, level = lines.filter("upright"), lines.filter("not upright")
     rows, cols = _bands(level, "r"), _bands(upright, "c")
     beside = _borders(rows, upright, "r", "c").withColumn("beside", F.lit(True))
@@ -100,7 +102,7 @@ def tables_of(segments: DataFrame, boxes: DataFrame) -> DataFrame:
     opens are left out. A page that is not ruled is a table if its boxes form two columns with white space between, and two rows.
     Null texts, and boxes outside all tables, are left out; pages without any give none.
     """
-    cells = lattice_cells(segments)
+    cells = written(lattice_cells(segments), "lattice-cells")  # met five times
     middle = boxes.filter("text is not null").withColumn("mx", (F.col("x0") + F.col("x1")) / 2).withColumn("my", (F.col("y0") + F.col("y1")) / 2)
     met = cells.join(middle, _PAGE).filter((F.col("mx") >= F.col("x_a")) & (F.col("mx") < F.col("x_b")) & (F.col("my") >= F.col("y_a")) & (F.col("my") < F.col("y_b")))
     filled = met.groupBy(*_PAGE, "part", F.col("top").alias("r"), F.col("left").alias("c")).agg(_in_order().alias("content"))

@@ -72,3 +72,13 @@ def test_tables_in_page_order(spark):
 def test_no_pages(spark):
     assert found(spark, ([], [])) == {}
     assert found(spark, ([(1, 1, 0.0, 0.0, 50.0, 50.0)], [(1, 1, 0.0, 0.0, 5.0, 5.0, "x")])) == {}
+
+
+def test_lines_are_found_once(spark, tmp_path):
+    """The fields of all pages are a table; what uses them does not find the lines again."""
+    path = str(tmp_path / "segments-of-pages")
+    spark.createDataFrame([(1, 0, 0.0, 0.0, 10.0, 0.0)], "doc_id int, page int, x0 double, y0 double, x1 double, y1 double").write.parquet(path)
+    boxes = spark.createDataFrame([(1, 0, 1.0, 1.0, 2.0, 2.0, "x")], "doc_id int, page int, x0 double, y0 double, x1 double, y1 double, text string")
+    leaves = lattice.tables_of(spark.read.parquet(path), boxes)._jdf.queryExecution().optimizedPlan().collectLeaves()
+    of = [leaves.apply(k).output().mkString(" ") for k in range(leaves.size())]
+    assert not [c for c in of if "x0" in c and "text" not in c], of  # no segment is read once more
