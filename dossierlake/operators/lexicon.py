@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,21 @@ from dossierlake.sources.shared import written
 SENT_WORDS = 2_000_000  # words of a lexicon that is sent, 8 bytes each
 
 
+def shared_words(rows: DataFrame, doc: str, words: Column, most: int) -> DataFrame:
+    """(word) of the ``words`` (an array) that more than ``most`` documents have.
+
+    Rows of one ``doc`` are one document, a row without is none. Words are counted where they are; only those of
+    documents of several rows meet in a shuffle.
+    """
+    own = T.free_names(rows)
+    some = rows.withColumn(own("doc"), F.col(doc)).filter(F.col(own("doc")).isNotNull())
+    several = written(some.groupBy(own("doc")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(own("doc"), F.col(own("doc")).alias(own("again"))), "lexicon-docs")
+    marked = some.join(several, own("doc"), "left").select(F.col(own("again")).alias("again"), F.explode(F.array_distinct(words)).alias("word"))
+    held = marked.groupBy("word", "again").agg(F.count(F.lit(1)).alias("n"))
+    n = F.sum(F.when(F.col("again").isNull(), F.col("n")).otherwise(1))
+    return held.groupBy("word").agg(n.alias("n")).filter(F.col("n") > most).select("word")
+
+
 def with_known_words(rows: DataFrame, words: Column, lexicon: DataFrame, out: str = "known", sent_words: int = SENT_WORDS) -> DataFrame:
     """``rows`` with the number of their ``words`` (an array) that ``lexicon`` (word) has, repeated ones each.
 
@@ -33,16 +49,15 @@ def with_known_words(rows: DataFrame, words: Column, lexicon: DataFrame, out: st
         table = np.sort(known.toPandas()["h"].to_numpy(np.int64))
         sent = rows.sparkSession.sparkContext.broadcast(table)
 
-        @F.pandas_udf("long")
-        def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf("long")
+        def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             held = sent.value
             for b in batches:
-                size = b.map(len).to_numpy(np.int64)
-                asked = np.concatenate([np.zeros(0, np.int64), *b.map(np.asarray)]).astype(np.int64)
-                at = np.minimum(np.searchsorted(held, asked), max(len(held) - 1, 0))
-                hit = np.r_[0, np.cumsum(held[at] == asked)] if len(held) else np.zeros(len(asked) + 1, np.int64)
-                ends = np.cumsum(size)
-                yield pd.Series(hit[ends] - hit[ends - size])
+                ends = np.cumsum(pc.list_value_length(b).to_numpy(zero_copy_only=False))
+                asked = b.flatten().to_numpy(zero_copy_only=False)
+                hit = held[np.minimum(np.searchsorted(held, asked), len(held) - 1)] == asked if len(held) else np.zeros(len(asked), bool)
+                upto = np.r_[0, np.cumsum(hit)]
+                yield pa.array(upto[ends] - upto[np.r_[0, ends][:-1]], pa.int64())
 
         return rows.withColumn(out, count(hashes))
     row = own("row")

@@ -46,11 +46,14 @@ def _ranges(letters: str) -> str:
     return "".join(f"{chr(a)}-{chr(b)}" if a < b else chr(a) for a, b in out)
 
 
+def marked_letters(c: Column) -> Column:
+    """The letters with marks of a text, all others dropped."""
+    return F.regexp_replace(F.regexp_replace(c, r"[\x00-\x7f]+", ""), f"[^{_ranges(MARKED + MARKED.upper())}]+", "")
+
+
 def diacritic_accuracy(truth: Column, got: Column) -> Column:
     """One less the error rate of the marked letters alone, 0 at least."""
-    others = f"[^{_ranges(MARKED + MARKED.upper())}]+"
-    marked = lambda c: F.regexp_replace(F.regexp_replace(c, r"[\x00-\x7f]+", ""), others, "")
-    pair = F.array(F.struct(marked(truth).alias("truth"), marked(got).alias("got")))
+    pair = F.array(F.struct(marked_letters(truth).alias("truth"), marked_letters(got).alias("got")))
     return F.element_at(F.transform(pair, lambda p: F.greatest(F.lit(0.0), 1 - T.error_rate(p["truth"], p["got"]))), 1)
 
 

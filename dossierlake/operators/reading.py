@@ -16,45 +16,55 @@ CHARSET, ALPHA_CHARS, TOKENS, TOKEN_RATIO = 0.02, 200, 30, 0.60
 DIACRITICS, LEXICON_HITS, COINCIDENCE, ENTROPY = 0.08, 0.35, 1.10, 3.50
 BLUR, CONTRAST, UNSURE = 50.0, 12.0, 0.70
 CRITICAL = ("cccd", "cmnd", "ho ten", "ho va ten", "don vi", "co quan")
-WORD, ALLOWED = "[A-Za-zÀ-ỹĐđ]+", r"(?U)[A-Za-zÀ-ỹĐđ0-9\s.,/:\\\-()]"
+WORD, ALLOWED = "[a-zA-ZÀ-ỹ]+", r"(?U)[a-zA-ZÀ-ỹ0-9\s.,/:\\\-()]+"
 
-MARKED = f"[{metrics.MARKED}{metrics.MARKED.upper()}]"
 
+def with_metrics(rows: DataFrame, text: str, scores: str, ocr: Column, out: str, known: str | None = None) -> DataFrame:
+    """``rows`` with ``out``: (value, passed) by the name of a metric; see ``with_gate``.
 
-def with_gate(rows: DataFrame, text: str, scores: str, ocr: Column, out: str, known: str | None = None) -> DataFrame:
-    """``rows`` with ``out``: (gate, failed, confidence, metrics) of the columns ``text`` and ``scores`` (an array).
-
-    A metric's ``passed`` is null where it does not apply: confidences without scores, letter statistics of texts that
-    are no long prose, diacritics of texts that are not from OCR, words without a lexicon: ``known`` names the column that
-    counts those of ``words_of`` that one has (see ``lexicon``). A null or empty text fails.
+    Each count of a text is a column of its own, made once, and only where a metric applies; metrics that nobody reads cost nothing.
     """
+    own = T.free_names(rows)
     t, s = F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(scores), F.array().cast("array<double>"))
-    alpha = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
-    words = F.regexp_count(t, F.lit(WORD))
-    prose = (alpha >= ALPHA_CHARS) & (words >= TOKENS) & (words / F.greatest(F.lit(1), F.regexp_count(t, F.lit(r"(?U)\S+"))) >= TOKEN_RATIO)
+    rows = rows.withColumn(own("alpha"), F.when(F.length(t) >= ALPHA_CHARS, F.length(F.regexp_replace(t, r"[^\p{L}]+", ""))))
+    rows = rows.withColumn(own("words"), F.when(F.col(own("alpha")) >= ALPHA_CHARS, F.regexp_count(t, F.lit(WORD))))
+    alpha, words = F.col(own("alpha")), F.col(own("words"))
+    prose = F.coalesce((words >= TOKENS) & (words / F.greatest(F.lit(1), F.regexp_count(t, F.lit(r"(?U)\S+"))) >= TOKEN_RATIO), F.lit(False))
+    rows = rows.withColumn(own("prose"), prose)
+    prose = F.col(own("prose"))
+    rows = rows.withColumn(own("stats"), char_stats(F.when(prose, t)))
+    scored, read, stats = F.size(s) > 0, prose & F.coalesce(ocr, F.lit(False)), F.col(own("stats"))
     low = F.size(F.filter(s, lambda x: x < LOW_LINE)) / F.size(s)
     strange = F.length(F.regexp_replace(t, ALLOWED, "")) / F.length(t)
-    marked = F.regexp_count(t, F.lit(MARKED)) / alpha
     share = F.col(known) / words if known else F.lit(None).cast("double")
-    scored, read = F.size(s) > 0, prose & F.coalesce(ocr, F.lit(False))
-
-    own = T.free_names(rows)
-    rows = rows.withColumn(own("prose"), prose).withColumn(own("ocr"), read).withColumn(own("stats"), char_stats(t))
-    prose, read, stats = F.col(own("prose")), F.col(own("ocr")), F.col(own("stats"))
     at_least = lambda least: lambda v: v >= least
     rules = {
         "conf_p10": (scored, nearest_rank(s, 0.10), at_least(CONF_P10)),
         "conf_min": (scored, F.array_min(s), at_least(CONF_MIN)),
         "low_conf_ratio": (scored, low, lambda v: v <= LOW_RATIO),
         "charset_violation_ratio": (t != "", strange, lambda v: F.coalesce(v <= CHARSET, F.lit(False))),
-        "diacritic_ratio": (read, marked, at_least(DIACRITICS)),
+        "diacritic_ratio": (read, F.length(metrics.marked_letters(t)) / alpha, at_least(DIACRITICS)),
         "dict_hit_ratio": (prose & F.lit(known is not None), share, at_least(LEXICON_HITS)),
         "index_of_coincidence": (prose, stats["coincidence"], at_least(COINCIDENCE)),
         "char_entropy": (prose, stats["dense_entropy"], at_least(ENTROPY)),
     }
-    rows = rows.withColumn(own("values"), F.struct(*[F.when(applies, value).cast("double").alias(name) for name, (applies, value, _) in rules.items()]))
-    listed = F.array(*[F.struct(F.lit(n).alias("name"), F.col(own("values"))[n].alias("value"), passes(F.col(own("values"))[n]).alias("passed")) for n, (_, _, passes) in rules.items()])
-    rows = rows.withColumn(own("metrics"), listed).drop(own("prose"), own("ocr"), own("stats"), own("values"))
+    rows = rows.withColumns({own(n): F.when(applies, value).cast("double") for n, (applies, value, _) in rules.items()})
+    by = F.struct(*[F.struct(F.col(own(n)).alias("value"), passes(F.col(own(n))).alias("passed")).alias(n) for n, (_, _, passes) in rules.items()])
+    return rows.withColumn(out, by).drop(*map(own, ("alpha", "words", "prose", "stats", *rules)))
+
+
+def with_gate(rows: DataFrame, text: str, scores: str, ocr: Column, out: str, known: str | None = None) -> DataFrame:
+    """``rows`` with ``out``: (gate, failed, confidence, metrics) of the columns ``text`` and ``scores`` (an array).
+
+    A metric's ``passed`` is null where it does not apply: confidences without scores, letter statistics of texts that
+    are no long prose, diacritics of texts that are not from OCR, words without a lexicon: ``known`` names the column that
+    counts those of ``words_of`` that one has (see ``lexicon``). A null or empty text fails.
+    """
+    own = T.free_names(rows)
+    rows = with_metrics(rows, text, scores, ocr, own("by"), known)
+    by, names = F.col(own("by")), rows.schema[own("by")].dataType.names
+    listed = F.array(*[F.struct(F.lit(n).alias("name"), by[n]["value"].alias("value"), by[n]["passed"].alias("passed")) for n in names])
+    rows = rows.withColumn(own("metrics"), listed).drop(own("by"))
     failed = F.transform(F.filter(own("metrics"), lambda m: ~m["passed"]), lambda m: m["name"])
     rows = rows.withColumn(own("failed"), failed)
     up, down = ["conf_p10", "conf_min", "dict_hit_ratio", "diacritic_ratio"], ["low_conf_ratio", "charset_violation_ratio"]

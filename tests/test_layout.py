@@ -95,6 +95,22 @@ def test_gate(spark):
     assert got[0]["confidence"] == 0 and got[2]["confidence"] == 1 and got[3]["confidence"] == pytest.approx((0.9 + 0.9 + 1 + 1) / 4) and got[7]["confidence"] <= 0.5
 
 
+def test_gate_reads_only_what_is_asked(spark):
+    """A metric that nobody reads is not counted: no call of Python for two ratios; marks are asked as ranges."""
+    from pyspark.sql import functions as F
+
+    prose = " ".join(["cục cảnh sát phòng cháy và trường đại học quân y miền bắc ĐĂNG KÝ İ"] * 6)
+    frame = spark.createDataFrame([(0, prose, None, 7), (1, "x", None, 1), (2, None, None, 0)], "id int, text string, scores array<double>, n int")
+    judged = reading.with_metrics(frame, "text", "scores", F.col("id") == 0, "q", "n")
+    assert judged.columns == [*frame.columns, "q"]
+    two = judged.select("id", "q.diacritic_ratio.value", "q.dict_hit_ratio.value")
+    assert "Python" not in two._jdf.queryExecution().executedPlan().toString() and "Python" in judged._jdf.queryExecution().executedPlan().toString()
+    got = {r[0]: r[1:] for r in two.collect()}
+    letters = [c for c in prose if c.isalpha()]
+    held = set(reading.metrics.MARKED + reading.metrics.MARKED.upper())
+    assert got[0] == (pytest.approx(sum(c in held for c in letters) / len(letters)), pytest.approx(7 / len(prose.split()))) and got[1] == got[2] == (None, None)
+
+
 def test_select_reading(spark):
     lines = [
         (1, "primary", 1, "A", 0.9), (2, "primary", 1, "A", 0.6), (2, "fallback", 1, "A", 0.95), (3, "primary", 1, "CCCD 123456789", 0.6), (3, "fallback", 1, "CCCD 123456780", 0.9),

@@ -51,3 +51,13 @@ def test_statistics_of_nulls(spark):
     got = [r["s"] for r in rows]
     assert got[0]["letters"] is None and got[1]["letters"] == 0 and got[1]["entropy"] == 0 and got[2]["coincidence"] is None and got[2]["entropy"] == 1.0
     assert got[3]["letters"] == 3 and got[3]["coincidence"] == pytest.approx(26 * 2 / 6)
+
+
+def test_shared_words(spark):
+    rows = [(1, ["a", "b", "b"]), (2, ["a", "c"]), (3, ["a", "b"]), (3, ["c", "d"]), (3, ["c", "e"]), (None, ["d", "e"]), (4, ["d", None]), (4, ["b"]), (5, None), (None, ["c", "d"])]
+    frame = spark.createDataFrame(rows, "doc int, ws array<string>").repartition(3)
+    words = lambda most: sorted(r["word"] for r in lexicon.shared_words(frame, "doc", F.col("ws"), most).filter("word is not null").collect())
+    assert words(2) == ["a", "b"] and words(1) == ["a", "b", "c", "d"] and words(0) == ["a", "b", "c", "d", "e"]
+    # the words of documents of one row meet in no shuffle by document
+    plan = lexicon.shared_words(frame, "doc", F.col("ws"), 2)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(word" in plan and "array" not in "".join(line for line in plan.splitlines() if "hashpartitioning" in line)
