@@ -225,3 +225,43 @@ def test_alerts_in_batch_and_stream(spark, tmp_path):
     assert sorted(map(tuple, got), key=str) == sorted(ended, key=str)
     at = spark.createDataFrame([(10, 30, 50)], "since long, firing long, resolved long")
     assert at.select(*[alerts.state_at(F.lit(x)) for x in (5, 10, 30, 50)]).first()[:] == ("INACTIVE", "PENDING", "FIRING", "INACTIVE")
+
+
+def test_a_key_costs_few_calls_of_its_state():
+    """Rows of a key are rows, not frames, and its timer is known from its state: none are listed."""
+    from pyspark.sql import Row
+
+    class Handle:
+        def __init__(self):
+            self.calls, self.timers, self.held = [], set(), None
+
+        def getValueState(self, *_, **__):
+            return self
+
+        def get(self):
+            self.calls.append("get")
+            return self.held
+
+        def update(self, value):
+            self.calls.append("update")
+            self.held = value
+
+        def registerTimer(self, at):
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            self.timers.remove(at)
+
+    hour, handle = 3_600_000_000, Handle()
+    sessions = state._Sessions(1)
+    sessions.init(handle)
+    got = list(sessions.handleInputRows((7,), iter([Row(event_id=2, us=hour), Row(event_id=1, us=0)]), None))
+    assert [(r.event_id, r.what, r.by) for r in got] == [(1, "OPENED", None), (1, "EXPIRED", None), (2, "OPENED", None)] and handle.timers == {7_200_000}
+    got = list(sessions.handleInputRows((7,), iter([Row(event_id=3, us=hour + 5)]), None))
+    assert [(r.event_id, r.what, r.by) for r in got] == [(2, "REVOKED", 3), (3, "OPENED", None)] and handle.timers == {7_200_001}
+    assert handle.calls == ["get", "update"] * 2
+    once, handle = state._Once(5), Handle()
+    once.init(handle)
+    rows = lambda: iter([Row(event_id=3, us=9), Row(event_id=2, us=9), Row(event_id=1, us=10)])
+    assert [r.event_id for r in once.handleInputRows(("k",), rows(), None)] == [2] and list(once.handleInputRows(("k",), rows(), None)) == []
+    assert handle.calls == ["get", "update", "get"]
