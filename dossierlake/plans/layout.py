@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from dossierlake.functions import text as T
 from dossierlake.operators import calibrate, lattice, layout, lexicon, reading
 from dossierlake.plans.base import query
 
@@ -13,7 +14,7 @@ from dossierlake.plans.base import query
 def f30_grid(t):
     cell = lambda c, more="": F.concat(F.lit(f"<td{more}>"), F.col(c).cast("string"), F.lit("</td>"))
     page = F.concat(F.lit("<p>x<table><tr>"), cell("p_name", ' rowspan="2"'), cell("p_brand", " colspan=2"), F.lit("</tr><tr>"), cell("p_type"), cell("p_size"), F.lit("</tr></table>"))
-    rows = t.part.select("p_partkey", F.posexplode(layout.html_grids(page)[0]).alias("nth", "cells"))
+    rows = T.dealt(t.part.select("p_partkey", page.alias("page"))).select("p_partkey", F.posexplode(layout.html_grids("page")[0]).alias("nth", "cells"))
     return rows.select("p_partkey", "nth", F.array_join("cells", "|").alias("cells"))
 
 
