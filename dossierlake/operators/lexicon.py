@@ -1,7 +1,7 @@
 """Words of texts that a lexicon knows, whatever its size.
 
 A lexicon whose hashes fit the bound is sent to every task as one sorted array; a larger one stays where it
-is and meets the words of the texts in a shuffle, each word once for each row that has it.
+is and meets the words of the texts in a shuffle, each word once for each block of neighbouring rows that has it.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from dossierlake.functions import text as T
 from dossierlake.sources.shared import written
 
 SENT_WORDS = 2_000_000  # words of a lexicon that is sent, 8 bytes each
+BLOCK_ROWS, BLOCK_WORDS = 65_536, 2_000_000  # rows that two bytes tell apart, and words of a block
 
 
 def shared_words(rows: DataFrame, doc: str, words: Column, most: int) -> DataFrame:
@@ -35,6 +36,36 @@ def shared_words(rows: DataFrame, doc: str, words: Column, most: int) -> DataFra
     return held.groupBy("word").agg(n.alias("n")).filter(F.col("n") > most).select("word")
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, h, nth) of rows (row, hashes): each hash once for a block of neighbouring rows, with the places in the block that have it.
+
+    A block is named by its first row; it has up to ``BLOCK_ROWS`` rows and, unless one row has more, ``BLOCK_WORDS`` words.
+    """
+    for b in batches:
+        rows, size = b.column(0).to_numpy(), pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
+        words, starts = b.column(1).flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(size)].astype(np.int64)
+        k = 0
+        while k < len(rows):
+            end = max(k + 1, min(len(rows), k + BLOCK_ROWS, int(np.searchsorted(starts, starts[k] + BLOCK_WORDS, "right")) - 1))
+            apart = np.flatnonzero(rows[k:end] - rows[k] != np.arange(end - k))
+            end = k + int(apart[0]) if len(apart) else end
+            own = words[starts[k] : starts[end]]
+            order = np.argsort(own, kind="stable")
+            own, nth = own[order], np.repeat(np.arange(end - k, dtype=np.uint16), size[k:end])[order]
+            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
+            ends = (np.r_[first, len(nth)] * 2).astype(np.int32)
+            places = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(nth.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), rows[k], np.int64)), pa.array(own[first], pa.int64()), places], ["block", "h", "nth"])
+            k = end
+
+
+def _known_of_block(met: pa.Table) -> pa.Table:
+    """(row, n) of a block's known hashes: the words of each row among them."""
+    n = np.bincount(np.frombuffer(b"".join(met["nth"].to_pylist()), np.uint16))
+    at = np.flatnonzero(n)
+    return pa.table({"row": pa.array(at + met["block"][0].as_py(), pa.int64()), "n": pa.array(n[at], pa.int64())})
+
+
 def with_known_words(rows: DataFrame, words: Column, lexicon: DataFrame, out: str = "known", sent_words: int = SENT_WORDS) -> DataFrame:
     """``rows`` with the number of their ``words`` (an array) that ``lexicon`` (word) has, repeated ones each.
 
@@ -62,6 +93,7 @@ def with_known_words(rows: DataFrame, words: Column, lexicon: DataFrame, out: st
         return rows.withColumn(out, count(hashes))
     row = own("row")
     numbered = written(rows.withColumn(row, F.monotonically_increasing_id()).withColumn(own("hashes"), hashes), "lexicon-rows")
-    asked = numbered.select(row, F.explode(own("hashes")).alias("h")).groupBy("h", row).agg(F.count(F.lit(1)).alias("n"))
-    hits = asked.join(known, "h").groupBy(row).agg(F.sum("n").alias(out))  # very frequent words are parts of a skewed join
-    return numbered.join(hits, row, "left").withColumn(out, F.coalesce(out, F.lit(0).cast("long"))).drop(row, own("hashes")).select(*rows.columns, out)
+    asked = numbered.select(row, own("hashes")).mapInArrow(_blocks, "block long, h long, nth binary")
+    hits = asked.join(known, "h").select("block", "nth").groupBy("block").applyInArrow(_known_of_block, "row long, n long")
+    hits = hits.select(F.col("row").alias(row), F.col("n").alias(out))
+    return numbered.drop(own("hashes")).join(hits, row, "left").withColumn(out, F.coalesce(out, F.lit(0).cast("long"))).select(*rows.columns, out)

@@ -79,8 +79,9 @@ def f26_dictionary_hits(t):
 @query(f"WITH {_KNOWN} SELECT doc_id, coalesce(words, 0)::bigint AS words, coalesce(known, 0)::bigint AS known FROM documents LEFT JOIN k USING (doc_id)")
 def f26_large_lexicon(t):
     """The same with a lexicon that is too large to be sent."""
-    rows = lexicon.with_known_words(t.documents.select("doc_id", reading.words_of(F.col("text")).alias("ws")), F.col("ws"), _corpus_words(t), sent_words=0)
-    return rows.select("doc_id", F.size("ws").cast("long").alias("words"), "known")
+    texts = t.documents.select("doc_id", reading.words_of(F.col("text")).alias("ws"))
+    rows = lexicon.with_known_words(texts.withColumn("words", F.size("ws").cast("long")), F.col("ws"), _corpus_words(t), sent_words=0)
+    return rows.select("doc_id", "words", "known")
 
 
 @query(rf"""WITH {_KNOWN}, d AS (SELECT doc_id, coalesce(words, 0) AS words, coalesce(known, 0) AS known, doc_id % 2 = 0 AS ocr, length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) AS alpha, len(regexp_extract_all(text, '\S+')) AS spans,

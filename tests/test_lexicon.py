@@ -61,3 +61,18 @@ def test_shared_words(spark):
     # the words of documents of one row meet in no shuffle by document
     plan = lexicon.shared_words(frame, "doc", F.col("ws"), 2)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(word" in plan and "array" not in "".join(line for line in plan.splitlines() if "hashpartitioning" in line)
+
+
+def test_blocks_hold_a_word_once(monkeypatch):
+    """A word meets the lexicon once a block, not once a row; blocks are bounded and their rows are neighbours."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(lexicon, "BLOCK_WORDS", 6)
+    rows, words = [4, 5, 6, 7, 20, 21], [[1, 2, 1], [2], [], [3] * 9, [1], [1, 2]]
+    batch = pa.RecordBatch.from_arrays([pa.array(rows), pa.array(words, pa.list_(pa.int64()))], ["row", "hashes"])
+    got = pa.Table.from_batches(list(lexicon._blocks(iter([batch, batch.slice(1, 2)])))).to_pylist()
+    told = [(r["block"], r["h"], np.frombuffer(r["nth"], np.uint16).tolist()) for r in got]
+    assert told == [(4, 1, [0, 0]), (4, 2, [0, 1]), (7, 3, [0] * 9), (20, 1, [0, 1]), (20, 2, [1]), (5, 2, [0])]
+    counts = lexicon._known_of_block(pa.Table.from_pylist([r for r in got if r["block"] == 20]))
+    assert counts.to_pylist() == [{"row": 20, "n": 1}, {"row": 21, "n": 2}]
