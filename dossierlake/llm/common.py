@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,6 +33,13 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def measured(df: DataFrame, what: str, measure: Column) -> tuple[DataFrame, int]:
+    """``df`` as ``materialize`` gives it, and the aggregate ``measure`` of its rows (0 for none), taken as they are written."""
+    seen = Observation()
+    out = materialize(df.observe(seen, measure.alias("measure")), what)
+    return out, seen.get.get("measure") or 0
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b): rows (node, label), label the least reachable node.
 
@@ -45,17 +52,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
     labels = materialize(labels.select("node", F.least("node", "m").alias("label")), "labels")
     for _ in range(max_rounds):
-        around = (
-            both.join(labels.withColumnRenamed("node", "b"), "b")
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("label").alias("near"))
-        )
+        own = labels.select("node", F.col("label").alias("near"), "label")
+        around = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), F.col("label").alias("near"), F.lit(None).cast("long").alias("label"))
+        step = own.unionByName(around).groupBy("node").agg(F.min("near").alias("near"), F.max("label").alias("label"))
         hop = labels.select(F.col("node").alias("label"), F.col("label").alias("jump"))
-        step = labels.join(around, "node").join(hop, "label")
-        fresh = materialize(
-            step.select("node", F.least("label", "near", "jump").alias("next"), "label"), "labels"
-        )
-        moved = fresh.filter(F.col("next") != F.col("label")).limit(1).count()
+        fresh = step.join(hop, "label").select("node", F.least("near", "jump").alias("next"), "label")
+        fresh, moved = measured(fresh, "labels", F.count_if(F.col("next") != F.col("label")))
         labels = fresh.select("node", F.col("next").alias("label"))
         if not moved:
             return labels

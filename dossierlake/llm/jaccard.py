@@ -27,10 +27,10 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from dossierlake.llm.common import components, materialize
+from dossierlake.llm.common import components, materialize, measured
 
 BLOCK = 250_000  # shingles of a block of a group (2 MB); one longer text stands alone
 TASK = 2_000_000  # shingles that meet in one call
@@ -276,7 +276,7 @@ def labelled(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> Da
     signed = materialize(
         rows.mapInArrow(_signatures(width, num, den, counts), "doc_id long, text_key long, n_shingles long, need long, cls binary, prefix array<long>"), "signatures"
     )
-    counts.unpersist()
+    counts.destroy()  # the rows are written; the driver's copy goes too
     classes = signed.filter("cls is not null")
     ids = _numbered(classes)
     unique = classes.groupBy("cls").agg(F.first("prefix").alias("prefix"), F.first("need").alias("need")).select(ids.alias("node"), "need", "prefix")
@@ -303,20 +303,22 @@ def one_of_each(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) ->
     order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_key")
     rows = materialize(labelled(docs, width, num, den).filter("label is not null").groupBy("label", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")), "rows-of-labels")
     ranked = rows.join(rows.groupBy("label").agg(F.min(order).alias("first")), "label").withColumn("stays", order == F.col("first"))
-    gone = materialize(ranked.filter("not stays").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")), "gone")
-    twice = ranked.filter("stays and n > 1").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"))
+    repeats = Observation()
+    judged = ranked.observe(repeats, F.count_if(F.expr("stays and n > 1")).alias("rows"))
+    gone, many = measured(judged.filter("not stays").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")), "gone", F.count(F.lit(1)))
     keyed = docs.withColumn(key, F.xxhash64(F.col("text").cast("string")))
     same = lambda other: keyed["doc_id"].eqNullSafe(other["gone_id"]) & (keyed[key] == other["gone_key"])
-    kept = keyed.join(_small(gone), same(gone), "left_anti")
-    if not twice.limit(1).count():
+    kept = keyed.join(_small(gone, many), same(gone), "left_anti")
+    if not repeats.get.get("rows"):
         return kept.drop(key)
-    twice = materialize(twice, "twice")
-    once = keyed.join(_small(twice), same(twice), "left_semi").dropDuplicates(["doc_id", key])
-    return kept.join(_small(twice), same(twice), "left_anti").unionByName(once).drop(key)
+    twice = ranked.filter("stays and n > 1").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"))
+    twice, many = measured(twice, "twice", F.count(F.lit(1)))
+    once = keyed.join(_small(twice, many), same(twice), "left_semi").dropDuplicates(["doc_id", key])
+    return kept.join(_small(twice, many), same(twice), "left_anti").unionByName(once).drop(key)
 
 
-def _small(keys: DataFrame) -> DataFrame:
-    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+def _small(keys: DataFrame, many: int) -> DataFrame:
+    return F.broadcast(keys) if many <= BROADCAST_ROWS else keys
 
 
 def _numbered(classes: DataFrame):
@@ -324,7 +326,7 @@ def _numbered(classes: DataFrame):
     distinct = classes.select("cls").distinct()
     for seed in range(100):
         number = F.xxhash64("cls", F.lit(seed))
-        if not distinct.groupBy(number.alias("node")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").limit(1).count():
+        if distinct.groupBy(number.alias("node")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").isEmpty():
             return number
     raise RuntimeError("no seed keeps the classes apart")
 
@@ -353,7 +355,7 @@ def _settle(rows: DataFrame, signed: DataFrame, postings: DataFrame, width: int,
     sizes = members.groupBy("g").agg(
         F.sum("n").alias("size"), F.ceil(F.sum("n") / BLOCK).alias("cuts"), F.min("n").alias("lo"), F.max("n").alias("hi"), (F.min("label") == F.max("label")).alias("one")
     )
-    members = members.join(sizes.select("g", "cuts"), "g").withColumn("block", F.pmod(F.xxhash64("node"), F.col("cuts"))).drop("cuts")
+    sizes = materialize(sizes, "group-sizes")
     # the matrix: which group has which posting, and the pairs of groups that have one in common
     matrix = materialize(apart.select("token", "node").join(members.select("node", "g"), "node").select("token", "g").distinct(), "matrix")
     # the larger group of a pair is the host, and meets all its smaller guests together, in blocks
@@ -362,24 +364,25 @@ def _settle(rows: DataFrame, signed: DataFrame, postings: DataFrame, width: int,
     met = matrix.join(matrix.withColumnRenamed("g", "h"), "token").filter("g < h").select("g", "h").distinct().join(known, "g").join(other, "h")
     met = met.filter((F.col("x.hi") * den >= F.col("y.lo") * num) & (F.col("y.hi") * den >= F.col("x.lo") * num))
     met = met.select(F.greatest("x", "y").alias("host"), F.least("x", "y").alias("guest"))
-    shares = met.groupBy("host.g").agg(F.ceil(F.sum("guest.size") / BLOCK).alias("shares"))
-    met = met.select(F.col("host.g").alias("host"), F.col("host.cuts").alias("cuts"), F.col("guest.g").alias("g")).join(shares.withColumnRenamed("g", "host"), "host")
+    met = materialize(met.select(F.col("host.g").alias("host"), F.col("host.cuts").alias("host_cuts"), F.col("guest.g").alias("g"), F.col("guest.size").alias("size")), "met")
+    shares = met.groupBy("host").agg(F.ceil(F.sum("size") / BLOCK).alias("shares"))
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     pair = lambda kind, g, i, j: F.xxhash64(F.lit(kind), g, i, j).alias("pair")
-    hosts = members.join(shares, "g").withColumn("share", upto("shares")).select("node", "label", "n", pair(0, "g", "block", "share"), F.lit(0).alias("side"))
-    guests = members.select("node", "label", "n", "g").join(met, "g").withColumn("share", F.pmod(F.xxhash64("node"), F.col("shares"))).withColumn("block", upto("cuts"))
+    members = members.join(sizes.select("g", "cuts", "one"), "g").withColumn("block", F.pmod(F.xxhash64("node"), F.col("cuts")))
+    hosts = members.join(shares.withColumnRenamed("host", "g"), "g").withColumn("share", upto("shares")).select("node", "label", "n", pair(0, "g", "block", "share"), F.lit(0).alias("side"))
+    guests = members.select("node", "label", "n", "g").join(met.join(shares, "host").select("host", "host_cuts", "g", "shares"), "g")
+    guests = guests.withColumn("share", F.pmod(F.xxhash64("node"), F.col("shares"))).withColumn("block", upto("host_cuts"))
     guests = guests.select("node", "label", "n", pair(0, "host", "block", "share"), F.lit(1).alias("side"))
     # a group with several labels also meets itself; side 2: a block that meets itself
-    own = members.join(sizes.filter("not one").select("g", "cuts"), "g").withColumn("o", upto("cuts"))
+    own = members.filter("not one").withColumn("o", upto("cuts"))
     own = own.select(
         "node", "label", "n", pair(1, "g", F.least("block", "o"), F.greatest("block", "o")), F.when(F.col("o") == F.col("block"), 2).when(F.col("o") > F.col("block"), 0).otherwise(1).alias("side")
     )
-    meeting = materialize(hosts.unionByName(guests).unionByName(own), "meetings")
-    load = meeting.agg(F.sum("n")).first()[0] or 0
+    meeting, load = measured(hosts.unionByName(guests).unionByName(own), "meetings", F.sum("n"))
     task = F.pmod(F.xxhash64("pair"), F.lit(max(1, -(-load // TASK))))
     meeting = meeting.join(sets.select("node", "tokens"), "node").select(task.alias("task"), "pair", "side", "node", "label", "tokens")
-    more = meeting.groupBy("task").applyInArrow(_open_groups(num, den), "a long, b long")
-    return components(materialize(linked.unionByName(more), "links"))
+    more, found = measured(meeting.groupBy("task").applyInArrow(_open_groups(num, den), "a long, b long"), "links", F.count(F.lit(1)))
+    return components(linked.unionByName(more)) if found else merged.select("node", "label")
 
 
 def _pivot_links(postings: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -400,13 +403,11 @@ def _pivot_links(postings: DataFrame, sets: DataFrame, num: int, den: int) -> Da
 
 def _sets_of(rows: DataFrame, signed: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """(node, n, tokens) of ``nodes``, from one text of each."""
-    nodes = materialize(nodes, "involved")
+    nodes, many = measured(nodes, "involved", F.count(F.lit(1)))
     keyed = signed.filter("node is not null").groupBy("node").agg(F.min(F.struct("text_key", "doc_id")).alias("k")).join(nodes, "node", "left_semi")
     keyed = keyed.select("node", F.col("k.text_key").alias("text_key"), F.col("k.doc_id").alias("id"))
-    if nodes.count() <= BROADCAST_ROWS:
-        keyed = F.broadcast(keyed)
+    keyed = _small(keyed, many)
     texts = rows.join(keyed, "text_key").filter(F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
-    sets = materialize(texts.mapInArrow(_token_sets(width), "node long, n long, tokens array<long>"), "token-sets")
-    # rows that repeat a doc_id with its text give their set twice
-    repeated = sets.groupBy("node").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").limit(1).count()
-    return sets.dropDuplicates(["node"]) if repeated else sets
+    sets, given = measured(texts.mapInArrow(_token_sets(width), "node long, n long, tokens array<long>"), "token-sets", F.count(F.lit(1)))
+    # rows that repeat a doc_id with its text give their set twice; every node has one
+    return sets.dropDuplicates(["node"]) if given != many else sets
