@@ -90,6 +90,15 @@ def critical_fields(lines: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(ids, F.transform(keys, lambda k: F.concat(F.lit("label:"), k)))))
 
 
+def _judged(read: DataFrame, e: str) -> DataFrame:
+    """``read`` with the texts of the lines in column ``e``, the gate over them and their mean confidence (0 without any)."""
+    lines = F.coalesce(F.col(f"{e}.text"), F.array().cast("array<string>"))
+    read = read.withColumn(f"{e}_lines", lines).withColumn(f"{e}_conf", F.filter(F.col(f"{e}.conf"), lambda x: x.isNotNull()))
+    read = with_gate(read.withColumn(f"{e}_text", F.array_join(f"{e}_lines", "\n")), f"{e}_text", f"{e}_conf", F.lit(True), f"{e}_gate")
+    mean = F.aggregate(f"{e}_conf", F.lit(0.0), lambda a, x: a + x) / F.size(f"{e}_conf")
+    return read.withColumn(f"{e}_mean", F.when(F.size(f"{e}_conf") > 0, mean).otherwise(0.0))
+
+
 def select_reading(lines: DataFrame, images: DataFrame) -> DataFrame:
     """Per page of images (page_id, blur, contrast): which whole reading of lines (page_id, engine, line, text, conf) holds.
 
@@ -97,23 +106,20 @@ def select_reading(lines: DataFrame, images: DataFrame) -> DataFrame:
     poor; it wins if it passes and the primary fails or is less sure. If both count and differ in critical fields the
     page fails with confidence 0. Null texts read as empty; a page without lines was read as nothing.
     """
-    nothing = F.array().cast("array<string>")
     per = {}
     for e in ("primary", "fallback"):
         mine = F.when(F.col("engine") == e, F.struct("line", F.coalesce("text", F.lit("")).alias("text"), "conf"))
         per[e] = F.sort_array(F.collect_list(mine)).alias(e)
     read = images.select("page_id", "blur", "contrast").join(lines.groupBy("page_id").agg(*per.values()), "page_id", "left")
-    for e in per:
-        read = read.withColumn(f"{e}_lines", F.coalesce(F.col(f"{e}.text"), nothing)).withColumn(f"{e}_conf", F.filter(F.col(f"{e}.conf"), lambda x: x.isNotNull()))
-        read = read.withColumn(f"{e}_text", F.array_join(f"{e}_lines", "\n")).withColumn(f"{e}_fields", critical_fields(F.col(f"{e}_lines")))
-        read = with_gate(read, f"{e}_text", f"{e}_conf", F.lit(True), f"{e}_gate")
-        mean = F.aggregate(f"{e}_conf", F.lit(0.0), lambda a, x: a + x) / F.size(f"{e}_conf")
-        read = read.withColumn(f"{e}_mean", F.when(F.size(f"{e}_conf") > 0, mean).otherwise(0.0))
+    read = _judged(read, "primary")
     poor = ~F.coalesce((F.col("blur") >= BLUR) & (F.col("contrast") >= CONTRAST), F.lit(False))
     fails = F.col("primary_gate.gate") == "FAIL"
     reason = F.when(fails, "PRIMARY_GATE_FAILED").when(poor, "INPUT_IMAGE_QUALITY_LOW").when(F.col("primary_mean") < UNSURE, "PRIMARY_CONFIDENCE_BELOW_THRESHOLD")
     read = read.withColumn("poor", poor).withColumn("reason", reason)
     ran = F.col("reason").isNotNull()
+    # where the primary holds the fallback is never asked, and no fields are compared
+    read = _judged(read.withColumn("fallback", F.when(ran, F.col("fallback"))), "fallback")
+    read = read.withColumns({f"{e}_fields": F.when(ran, critical_fields(F.col(f"{e}_lines"))) for e in per})
     better = ran & (F.col("fallback_gate.gate") == "PASS") & (fails | (F.col("fallback_mean") > F.col("primary_mean")))
     differ = ran & (F.col("primary_fields") != F.col("fallback_fields"))
     read = read.withColumn("better", better).withColumn("disagreement", differ)
