@@ -256,7 +256,7 @@ def b4_unit_resolution(t):
     own = t.part.groupBy(F.concat_ws(" ", "p_name", "p_brand").alias("part_name")).agg(F.min("p_partkey").alias("unit_id"))
     first = t.lineitem.filter("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")  # an order's first line names its unit
     rows = t.orders.join(first, "o_orderkey").join(named, F.col("p_partkey") == F.col("l_partkey")).join(own, "part_name").join(units, "unit_id")
-    spelled = F.when(k % 7 == 0, resolve.T.strip_marks(F.col("name"))).when(k % 7 == 1, F.regexp_replace("name", " .*#", " no ")).when((k % 7 == 2) & (F.col("unit_id") < 60), F.regexp_replace("name", "[rn]", "")).when(k % 7 == 3, F.lit("nowhere at all")).when(k % 7 == 4, "").otherwise(F.upper("name"))
+    spelled = F.when(k % 7 == 0, resolve.T.strip_marks(F.col("name"))).when(k % 7 == 1, F.regexp_replace("name", " .*#", " no ")).when(k % 7 == 2, F.regexp_replace("name", "[rn]", "")).when(k % 7 == 3, F.lit("nowhere at all")).when(k % 7 == 4, "").otherwise(F.upper("name"))
     code = F.when(k % 6 == 0, F.concat(F.lit("u-"), (F.col("unit_id") + F.when(k % 12 == 0, 1).otherwise(0)).cast("string")))
     mentions = rows.select(F.concat_ws("/", k.cast("string"), F.col("unit_id").cast("string")).alias("mention_id"), spelled.alias("name"), code.alias("code"), F.col("o_orderdate").cast("date").alias("as_of"))
     got = resolve.resolve_units(mentions, units, aliases, codes)
